@@ -158,3 +158,17 @@ def islands(
     """Number the runs that begin wherever ``starts`` is true."""
     flagged = F.when(starts, F.lit(1)).otherwise(F.lit(0)).cast("long")
     return running(df, keys, bin, order, sums={out: flagged})
+
+
+def median(df: DataFrame, keys: Sequence[str], value: str, bin: Column, out: str = "median") -> DataFrame:
+    """Exact median per key (mean of the middle two) from counts of distinct values."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    upto = running(counts, keys, bin, [value], sums={"__upto": F.col("__n")})
+    total = counts.groupBy(*keys).agg(F.sum("__n").alias("__total"))
+    first, second = F.floor((F.col("__total") - 1) / 2), F.floor(F.col("__total") / 2)
+
+    def at(position: Column) -> Column:
+        covers = (position >= F.col("__upto") - F.col("__n")) & (position < F.col("__upto"))
+        return F.max(F.when(covers, F.col(value)))
+
+    return upto.join(total, list(keys)).groupBy(*keys).agg(((at(first) + at(second)) / 2).alias(out))

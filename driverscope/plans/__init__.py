@@ -6,6 +6,7 @@ from importlib import import_module
 
 MODULES = [
     "chunk_queries",
+    "index_queries",
 ]
 
 
