@@ -7,6 +7,7 @@ from importlib import import_module
 MODULES = [
     "chunk_queries",
     "index_queries",
+    "score_queries",
 ]
 
 

@@ -169,9 +169,12 @@ def frequency(df: DataFrame, value: str) -> DataFrame:
 
 def duration_deviation(durations: DataFrame, participant: str, scenario: str, value: str, bin: Column, scenarios: Sequence[str]) -> DataFrame:
     """Participant x scenario matrix of deviations from the scenario's median."""
-    middle = median(durations, [scenario], value, bin)
-    off = durations.join(F.broadcast(middle) if len(scenarios) < 1000 else middle, scenario)
-    return off.groupBy(participant).pivot(scenario, list(scenarios)).agg(F.sum(F.col(value) - F.col("median")))
+    shown = durations.where(F.col(scenario).isin(*scenarios))
+    middle = median(shown, [scenario], value, bin)
+    every = durations.select(participant).distinct()
+    off = shown.join(middle, scenario).select(participant, scenario, (F.col(value) - F.col("median")).alias("__off"))
+    matrix = off.groupBy(participant).pivot(scenario, list(scenarios)).agg(F.sum("__off"))
+    return every.join(matrix, participant, "left")
 
 
 def minutes_by_category(index: DataFrame, participant: str, name: str, seconds: Column, categories: Mapping[str, str]) -> DataFrame:
