@@ -8,6 +8,7 @@ MODULES = [
     "chunk_queries",
     "index_queries",
     "score_queries",
+    "motion_queries",
 ]
 
 
