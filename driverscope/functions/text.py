@@ -79,7 +79,7 @@ def answered(segments) -> Column:
 
     ``segments`` is an array of (start, end) structs in seconds.
     """
-    starts = F.transform(c(segments), lambda s: s[0])
+    starts = F.transform(c(segments), lambda s: s["start"])
     return F.coalesce(F.exists(F.slice(starts, 1, 2), lambda s: s > F.lit(0.7)), F.lit(False))
 
 

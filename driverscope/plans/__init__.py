@@ -9,6 +9,8 @@ MODULES = [
     "index_queries",
     "score_queries",
     "motion_queries",
+    "clip_queries",
+    "file_queries",
 ]
 
 

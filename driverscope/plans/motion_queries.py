@@ -9,7 +9,7 @@ from driverscope.functions.geometry import gaze_direction, gaze_millimetres, gaz
 from driverscope.operators import gaze as eyes
 from driverscope.operators import steering, tracks as moving
 from driverscope.operators.chunks import frame_grid
-from driverscope.operators.ordered import row_index, time_bin
+from driverscope.operators.timing import rolling_step_mean
 from driverscope.plans.catalogue import query, rounded, table
 from driverscope.plans.standins import SIGNAL_SQL, TRACKS_SQL, actors, recordings, signal, tracks
 
@@ -107,7 +107,7 @@ j AS (SELECT a.recording, a.object_id, a.t_ns, a.first_ns, e_end, {D3} AS dist,
   LEFT JOIN (SELECT x.* FROM ado x JOIN hazard z ON x.recording = z.recording AND x.object_id = z.hazard_id) h ON a.recording = h.recording AND a.t_ns = h.t_ns),
 removals AS (SELECT recording, object_id, t_ns AS time_ns, dist, raw - 360 * floor(raw / 360) - 180 AS direction,
     CASE WHEN t_ns = e_end THEN 'end' WHEN dist >= 60 THEN 'far' WHEN moved <= 25 THEN 'still' WHEN recording % 2 = 0 AND from_hazard <= 45 THEN 'hazard'
-         WHEN first_ns = 1000000000 - 1000000000 THEN 'previous' ELSE 'unknown' END AS cause FROM j),
+         WHEN first_ns = 0 THEN 'previous' ELSE 'unknown' END AS cause FROM j),
 shown AS (SELECT *, dist < 100 AND direction BETWEEN 45 AND 135 AS on_screen FROM removals)
 """
 
@@ -450,13 +450,4 @@ def log_time_delta(spark, folder):
 
     e = table(spark, folder, "events")
     rows = e.select("user_id", "event_id", F.expr(epoch_us(e, "ts")).alias("us"))
-    return rolling_delta(rows, ["user_id"], "us", 30, 3_600_000_000 * 24).select("event_id", rounded("mean_delta", 3).alias("mean_delta_us"))
-
-
-def rolling_delta(rows, keys, time, window, slot):
-    """Mean of the last ``window`` steps between log times; NULL until there are that many."""
-    bin = time_bin(time, slot)
-    numbered = row_index(rows, keys, bin, [time, "event_id"], "__row")
-    # the mean of consecutive steps is the span over their number: one look-up, no rolling sum
-    before = numbered.select(*keys, (F.col("__row") + window).alias("__row"), F.col(time).alias("__then"))
-    return numbered.join(before, [*keys, "__row"], "left").withColumn("mean_delta", (F.col(time) - F.col("__then")) / F.lit(window))
+    return rolling_step_mean(rows, ["user_id"], "us", 30, 24 * 3_600_000_000, tie="event_id").select("event_id", rounded("mean_step", 3).alias("mean_delta_us"))

@@ -128,7 +128,7 @@ def raw_scenarios(spark: SparkSession, folder: str) -> DataFrame:
 TRACKS_SQL = """
 tracks AS (
   SELECT l_suppkey AS recording, CAST(l_linenumber AS BIGINT) AS object_id,
-         (CAST(year(l_shipdate) AS BIGINT) * 12 + month(l_shipdate) - 23940) * 1000000000 AS t_ns,
+         (CAST(year(l_shipdate) AS BIGINT) * 12 + month(l_shipdate) - 23941) * 1000000000 AS t_ns,
          max(l_quantity) AS pose_x, max(l_extendedprice) / 1000 AS pose_y, max(l_tax) * 100 AS pose_z,
          min(l_quantity) / 50 AS qx, max(l_discount) * 5 - 0.2 AS qy, max(l_tax) * 3 - 0.1 AS qz, 0.5 + min(l_discount) AS qw
   FROM lineitem GROUP BY 1, 2, 3),
@@ -141,7 +141,7 @@ actors AS (
 
 
 def tracks(spark: SparkSession, folder: str) -> DataFrame:
-    month = F.expr("(bigint(year(l_shipdate)) * 12 + month(l_shipdate) - 23940) * 1000000000")
+    month = F.expr("(bigint(year(l_shipdate)) * 12 + month(l_shipdate) - 23941) * 1000000000")
     return (
         table(spark, folder, "lineitem")
         .groupBy(F.col("l_suppkey").alias("recording"), F.col("l_linenumber").cast("long").alias("object_id"), month.alias("t_ns"))
