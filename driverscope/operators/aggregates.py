@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driverscope.operators.ordered import running
+from driverscope.operators.spread import hash_bin, join_few
 from driverscope.schema import Aggregate
 
 # Which columns the ordered aggregates need next to the value x: the value one row
@@ -157,10 +158,14 @@ def apply_normaliser(
     if method == "none":
         return df
     keys = normaliser_keys(method, subject)
-    # without keys the statistics are exactly one row
-    joined = df.join(stats, keys, "left") if keys else df.join(F.broadcast(stats.limit(1)), how="left")
-    scored = {c: F.try_divide(F.col(c) - F.col(f"{c}__mu"), F.col(f"{c}__sd")) for c in columns}
-    return joined.withColumns(scored).drop(*[f"{c}__{s}" for c in columns for s in ("mu", "sd")])
+    if keys:
+        joined = join_few(df, stats, keys, "left", hash_bin(columns))
+        fields = {f"{c}__{s}": F.col(f"{c}__{s}") for c in columns for s in ("mu", "sd")}
+    else:  # one row of statistics: a scalar subquery
+        joined = df.withColumn("__stats", stats.select(F.struct("*")).scalar())
+        fields = {f"{c}__{s}": F.col(f"__stats.{c}__{s}") for c in columns for s in ("mu", "sd")}
+    scored = {c: F.try_divide(F.col(c) - fields[f"{c}__mu"], fields[f"{c}__sd"]) for c in columns}
+    return joined.withColumns(scored).drop("__stats", *fields)
 
 
 def normalise_split(
@@ -170,7 +175,7 @@ def normalise_split(
     stats = fit_normaliser(train, columns, method, subject)
     scored_train = apply_normaliser(train, stats, columns, method, subject)
     if method == "subject":
-        unseen = other.join(stats.select(subject), subject, "left_anti")
+        unseen = join_few(other, stats, [subject], "left_anti", hash_bin(columns))
         stats = stats.unionByName(fit_normaliser(unseen, columns, method, subject))
     return scored_train, apply_normaliser(other, stats, columns, method, subject)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driverscope.functions.text import answered, correct_misheard, nback_score, normalise_text, statement_score
@@ -57,10 +57,16 @@ def sounding_segments(samples: DataFrame, keys: Sequence[str], time: str, level:
     )
 
 
-def segment_lists(segments: DataFrame, keys: Sequence[str], unit: float) -> DataFrame:
-    """Per response window the ordered (start, end) list in seconds. Windows last seconds, so lists are short."""
+def segment_lists(segments: DataFrame, keys: Sequence[str], unit: float, first: int = 2) -> DataFrame:
+    """Per response window its first segments as an ordered (start, end) list in seconds.
+
+    Judging an answer looks at two segments. The fixed number is cut inside each map task, so
+    no list grows with the recording; the segments themselves stay a table.
+    """
+    order = F.row_number().over(Window.partitionBy(*keys).orderBy("start", "end"))
+    kept = segments.withColumn("__rn", order).where(F.col("__rn") <= first)
     pair = F.struct((F.col("start") / F.lit(unit)).alias("start"), (F.col("end") / F.lit(unit)).alias("end"))
-    return segments.groupBy(*keys).agg(F.array_sort(F.collect_list(pair)).alias("nonsilent_seg"))
+    return kept.groupBy(*keys).agg(F.array_sort(F.collect_list(pair)).alias("nonsilent_seg"))
 
 
 def score_answers(transcript: DataFrame, task: str, expected: str = "gt", answer: str = "answer", key: Callable[[Column], Column] = F.soundex) -> DataFrame:

@@ -8,6 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driverscope.operators.ordered import time_bin
+from driverscope.operators.spread import join_few
+
 SECOND = 1_000_000_000
 
 
@@ -32,14 +35,26 @@ def frame_count(start, end, fps: int) -> Column:
     return F.greatest(F.lit(0).cast("long"), -floor_div(-scaled, SECOND))
 
 
-def frame_grid(recordings: DataFrame, fps: int, start: str = "start_time", end: str = "end_time") -> DataFrame:
-    """One row per frame: ``frame`` and ``t_ns``. At fps 0 only the two end points, as given."""
+def frame_grid(
+    recordings: DataFrame, fps: int, start: str = "start_time", end: str = "end_time", keys: Sequence[str] = (), block: int = 1_000_000
+) -> DataFrame:
+    """One row per frame: ``frame`` and ``t_ns``. At fps 0 only the two end points, as given.
+
+    One row becomes millions, so with ``keys`` recordings are first cut into blocks of frames
+    that are spread over the cluster before they unfold. (The partition number is given, or the
+    small block table would be merged into one task.)
+    """
     if fps == 0:
         ends = F.array(_long(F.col(start)), _long(F.col(end)))
         return recordings.select("*", F.posexplode(ends).alias("frame", "t_ns"))
     frames = frame_count(F.col(start), F.col(end), fps)
-    numbers = F.when(frames > 0, F.sequence(F.lit(0).cast("long"), frames - 1))
-    return recordings.select("*", F.explode(numbers).alias("frame")).withColumn("t_ns", frame_ns(F.col("frame"), fps))
+    firsts = F.when(frames > 0, F.sequence(F.lit(0).cast("long"), frames - 1, F.lit(block).cast("long")))
+    blocks = recordings.select("*", F.explode(firsts).alias("__first"))
+    if keys:
+        parts = int(recordings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        blocks = blocks.repartition(parts, *keys, "__first")
+    numbers = F.sequence(F.col("__first"), F.least(F.col("__first") + F.lit(block), frames) - 1)
+    return blocks.select(*recordings.columns, F.explode(numbers).alias("frame")).withColumn("t_ns", frame_ns(F.col("frame"), fps))
 
 
 @dataclass(frozen=True)
@@ -169,12 +184,13 @@ def rows_in_chunks(
     start: str = "start_time",
     end: str = "end_time",
     anomalies: str | None = None,
+    slot: int = 600 * SECOND,
 ) -> DataFrame:
     """Sensor rows with the number of every ``start``/``end`` chunk they belong to.
 
     The chunk numbers follow from the row's time by arithmetic, so the only join
-    is rows with their recording's few fields; there is no range join. The closed
-    bounds are checked afterwards because a row's clock may differ from the chunk grid.
+    is rows with their recording's few fields, spread by time slots of ``slot``; there is no
+    range join. The closed bounds are checked afterwards because a row's clock may differ from the chunk grid.
     """
     if spec.strategy not in ("start", "end") or not spec.fps:
         raise ValueError("rows_in_chunks serves regular chunks; use rows_in_intervals otherwise")
@@ -199,7 +215,7 @@ def rows_in_chunks(
     else:
         low, high = floor_div(offset - 1, stride), floor_div(offset + F.lit(length + 1), stride) + 1
     low, high = F.greatest(low, F.lit(0).cast("long")), F.least(high, F.col("__count") - 1)
-    joined = rows.join(few, list(keys))
+    joined = join_few(rows, few, keys, bin=time_bin(time, slot))
     spread = joined.select("*", F.explode(F.when(low <= high, F.sequence(low, high))).alias("chunk_number"))
     step = F.col("chunk_number") * F.lit(stride)
     first = F.col("__base") + step if spec.strategy == "start" else F.col("__base") - step

@@ -13,7 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driverscope.operators.ordered import row_index
+from driverscope.operators.ordered import row_index, time_bin
+from driverscope.operators.spread import join_few
 
 HASH_BITS = 63
 BIN_BITS = 13
@@ -86,13 +87,13 @@ def filter_folds(
     for i, (config, test) in enumerate(zip(configs, mixed_radix(split_index, [c.splits for c in configs]))):
         folds = group_folds(df, config, seed, draws[i] if draws else None, bits)
         wanted = folds.where(fold_role(F.col("fold"), test, config.splits, config.split_train_val) == role)
-        df = df.join(wanted.select(config.column), config.column, "left_semi")
+        df = join_few(df, wanted, [config.column], "left_semi")
     return df
 
 
 def fixed_folds(df: DataFrame, folds: DataFrame, participant: str = "participant_name") -> DataFrame:
     """Folds from a given table; participants in none keep NULL."""
-    return df.join(folds.select(participant, "fold"), participant, "left")
+    return join_few(df, folds.select(participant, "fold"), [participant], "left")
 
 
 def with_role(df: DataFrame, test: int, splits: int = 5, fold: str = "fold") -> DataFrame:
@@ -114,8 +115,8 @@ def take_fraction(
     df: DataFrame, fraction: float, identity: Sequence[str], seed: int = 42, draw: Column | None = None, bits: int = HASH_BITS
 ) -> DataFrame:
     """Exactly round(fraction * rows) rows, half to even, without replacement."""
-    size = F.broadcast(df.agg(F.rint(F.count(F.lit(1)) * F.lit(fraction)).cast("long").alias("__size")))  # one row
-    return ranked(df, [], identity, seed, draw, bits).crossJoin(size).where("__rank < __size").drop("__rank", "__size")
+    size = df.agg(F.rint(F.count(F.lit(1)) * F.lit(fraction)).cast("long")).scalar()
+    return ranked(df, [], identity, seed, draw, bits).where(F.col("__rank") < size).drop("__rank")
 
 
 def thin_class(
@@ -130,9 +131,9 @@ def undersample(
     df: DataFrame, label: str, identity: Sequence[str], seed: int = 42, draw: Column | None = None, bits: int = HASH_BITS
 ) -> DataFrame:
     """At most as many negatives (label 0) as there are positives (label 1); all positives."""
-    positives = F.broadcast(df.agg(F.count_if(F.col(label) == 1).alias("__positives")))  # one row
-    cut = ranked(df.where(F.col(label) == 0), [], identity, seed, draw, bits).crossJoin(positives)
-    return df.where(F.col(label) == 1).unionByName(cut.where("__rank < __positives").drop("__rank", "__positives"))
+    positives = df.agg(F.count_if(F.col(label) == 1)).scalar()
+    cut = ranked(df.where(F.col(label) == 0), [], identity, seed, draw, bits).where(F.col("__rank") < positives)
+    return df.where(F.col(label) == 1).unionByName(cut.drop("__rank"))
 
 
 def oversample(
@@ -143,15 +144,15 @@ def oversample(
     Row r stands for the draws r, r + n, r + 2n, ...; each draw picks a rank by hash and
     meets it in an equi-join on the rank, so draws and rows spread evenly.
     """
-    total = F.broadcast(
-        df.agg(F.count(F.lit(1)).alias("__n")).withColumn("__draws", F.ceil(F.col("__n") * F.lit(float(multiplier))).cast("long"))
-    )
+    count = F.count(F.lit(1))
+    total = df.agg(F.struct(count.alias("n"), F.ceil(count * F.lit(float(multiplier))).cast("long").alias("draws"))).scalar()
     rows = ranked(df, [], identity, seed, draw, bits)
     numbers = F.when(F.col("__rank") < F.col("__draws"), F.sequence(F.col("__rank"), F.col("__draws") - 1, F.col("__n")))
     picked = pick if pick is not None else hash_draw(["draw"], seed)
     draws = (
         rows.select("__rank")
-        .crossJoin(total)
+        .withColumn("__total", total)
+        .select("*", F.col("__total.n").alias("__n"), F.col("__total.draws").alias("__draws"))
         .select("__n", F.explode(numbers).alias("draw"))
         .select("draw", F.pmod(picked, F.col("__n")).alias("__rank"))
     )
@@ -229,7 +230,7 @@ def align_modalities(flow: DataFrame, frames: DataFrame, keys: Sequence[str], fl
     return enough(flow, flow_frames).join(enough(frames, flow_frames + 1), list(keys), "left_semi")
 
 
-def last_frames(df: DataFrame, keys: Sequence[str], time: str, span: int | float) -> DataFrame:
+def last_frames(df: DataFrame, keys: Sequence[str], time: str, span: int | float, slot: int) -> DataFrame:
     """Rows within ``span`` of the end of their recording; the end is a partial maximum joined back."""
     ends = df.groupBy(*keys).agg(F.max(time).alias("__end"))
-    return df.join(ends, list(keys)).where(F.col(time) >= F.col("__end") - F.lit(span)).drop("__end")
+    return join_few(df, ends, keys, bin=time_bin(time, slot)).where(F.col(time) >= F.col("__end") - F.lit(span)).drop("__end")

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driverscope.functions.text import anomaly_intervals, crash_total, hazard_outcome, matches_from_start, scenario_short
+from driverscope.operators.ordered import time_bin
+from driverscope.operators.spread import join_few
 from driverscope.schema import INTERVALS
 
 # Participants the study leaves out by default.
@@ -48,11 +50,11 @@ def select_participants(
 ) -> DataFrame:
     """Drop and keep participants. Short lists become predicates, tables become anti and semi joins."""
     if isinstance(exclude, DataFrame):
-        index = index.join(exclude, participant, "left_anti")
+        index = join_few(index, exclude.distinct(), [participant], "left_anti")
     elif exclude:
         index = index.where(~F.col(participant).isin(*exclude))
     if isinstance(use, DataFrame):
-        index = index.join(use, participant, "left_semi")
+        index = join_few(index, use.distinct(), [participant], "left_semi")
     elif use is not None:
         index = index.where(F.col(participant).isin(*use))
     return index
@@ -105,9 +107,8 @@ def join_annotations(index: DataFrame, annotations: DataFrame) -> DataFrame:
     without annotation has unknown (NULL) counts, as has a hazard that failed to happen.
     """
     few = annotations.select("participant_name", "scenario_short", "anomalies", "number_hazard_crashes", "number_all_crashes")
-    joined = index.withColumn("scenario_short", scenario_short("scenario_name")).join(
-        few, ["participant_name", "scenario_short"], "left"
-    )
+    short = F.coalesce(scenario_short("scenario_name"), F.lit(""))
+    joined = join_few(index.withColumn("scenario_short", short), few, ["participant_name", "scenario_short"], "left")
     driving = F.col("scenario_name").contains("driving")
 
     def count_of(name: str) -> Column:
@@ -185,16 +186,17 @@ def glob_to_regex(glob: str) -> str:
 
 
 def require_one(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of keys that occur exactly once. Counts are partially aggregated, then semi-joined."""
-    single = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n = 1").select(*keys)
-    return df.join(single, list(keys), "left_semi")
+    """Rows of keys that occur exactly once: a partial aggregate that keeps the one row along."""
+    rest = [c for c in df.columns if c not in set(keys)]
+    found = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.first(F.struct(*rest)).alias("__row"))
+    return found.where("__n = 1").select(*keys, "__row.*").select(*df.columns)
 
 
 def frames_with_timing(frames: DataFrame, timing: DataFrame, keys: Sequence[str], minimum: int = 1) -> DataFrame:
     """Frames the timing table lists, for recordings that have at least ``minimum`` of them."""
     kept = frames.join(timing.select(*keys, "frame"), [*keys, "frame"], "left_semi")
     enough = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= minimum).select(*keys)
-    return kept.join(enough, list(keys), "left_semi")
+    return join_few(kept, enough, keys, "left_semi", time_bin("frame", 10_000))
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driverscope.operators.ordered import magnitude_bin, running, score_bin
+from driverscope.operators.spread import join_few
 
 
 def rates(tp: Column, tn: Column, fp: Column, fn: Column) -> dict[str, Column]:
@@ -75,17 +76,18 @@ def best_threshold(predictions: DataFrame, keys: Sequence[str], gt: str = "gt",
     with one class missing it is NULL.
     """
     counts = score_counts(predictions, keys, gt, prob)
+    slices = bin if bin is not None else score_bin(prob)
     upto = running(
         counts,
         keys,
-        bin if bin is not None else score_bin(prob),
+        slices,
         [prob],
         sums={"tp": F.col("pos"), "fp": F.col("neg")},
         descending=True,
     )
     totals = counts.groupBy(*keys).agg(F.sum("pos").alias("__p"), F.sum("neg").alias("__n"))
     uar = (F.try_divide("tp", "__p") + 1 - F.try_divide("fp", "__n")) / 2
-    best = upto.join(totals, list(keys)).withColumn("__uar", uar).groupBy(*keys).agg(
+    best = join_few(upto, totals, keys, bin=slices).withColumn("__uar", uar).groupBy(*keys).agg(
         F.max("__uar").alias("uar"), F.max_by(prob, F.struct("__uar", F.col(prob))).alias("threshold")
     )
     better = F.col("uar") > 0.5
@@ -98,7 +100,7 @@ def best_threshold(predictions: DataFrame, keys: Sequence[str], gt: str = "gt",
 
 def confusion_at(predictions: DataFrame, thresholds: DataFrame, keys: Sequence[str], fallback: float = 0.5) -> DataFrame:
     """Scores at each group's own threshold, 0.5 where there is none."""
-    joined = predictions.join(thresholds.select(*keys, "threshold"), list(keys), "left")
+    joined = join_few(predictions, thresholds.select(*keys, "threshold"), keys, "left", score_bin("prob"))
     return confusion(joined, keys, F.coalesce(F.col("threshold"), F.lit(fallback)))
 
 
@@ -184,7 +186,7 @@ def ranking_loss(clips: DataFrame, keys: Sequence[str], margin: float = 1.0, sco
     )
     above, above_sum = F.col("__negs") - F.col("__neg_upto"), F.col("__neg_sum") - F.col("__sum_upto")
     paid = F.col("__pos") * (above_sum - F.col("__level") * above)
-    return upto.join(totals, list(keys)).groupBy(*keys).agg(
+    return join_few(upto, totals, keys, bin=magnitude_bin("__level")).groupBy(*keys).agg(
         F.coalesce(
             F.try_divide(F.sum(paid), F.first("__negs").cast("double") * F.first("__poss").cast("double")), F.lit(0.0)
         ).alias("rank_loss")

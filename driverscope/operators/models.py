@@ -51,9 +51,9 @@ def prepare(df: DataFrame, columns: Sequence[str], indicate_missing: bool) -> tu
 
 def balanced_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """Rows weigh n / (2 * rows of their class), so both classes weigh the same."""
-    counts = F.broadcast(df.agg(F.count(F.lit(1)).alias("__n"), F.count_if(F.col(label) == 1).alias("__p")))  # one row
-    own = F.when(F.col(label) == 1, F.col("__p")).otherwise(F.col("__n") - F.col("__p"))
-    return df.crossJoin(counts).withColumn("weight", F.col("__n") / (2.0 * own)).drop("__n", "__p")
+    counts = df.agg(F.struct(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("p"))).scalar()
+    own = F.when(F.col(label) == 1, F.col("__c.p")).otherwise(F.col("__c.n") - F.col("__c.p"))
+    return df.withColumn("__c", counts).withColumn("weight", F.col("__c.n") / (2.0 * own)).drop("__c")
 
 
 def fit_task(train: DataFrame, columns: Sequence[str], gt: str, model: str, identity: Sequence[str], seed: int = 42, **options) -> PipelineModel:

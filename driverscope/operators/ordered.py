@@ -18,6 +18,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driverscope.operators.spread import join_few
+
 
 def time_bin(time: str | Column, width: int) -> Column:
     """Slot number of an integer time. Frame rates bound the rows of one slot."""
@@ -171,4 +173,4 @@ def median(df: DataFrame, keys: Sequence[str], value: str, bin: Column, out: str
         covers = (position >= F.col("__upto") - F.col("__n")) & (position < F.col("__upto"))
         return F.max(F.when(covers, F.col(value)))
 
-    return upto.join(total, list(keys)).groupBy(*keys).agg(((at(first) + at(second)) / 2).alias(out))
+    return join_few(upto, total, keys, bin=bin).groupBy(*keys).agg(((at(first) + at(second)) / 2).alias(out))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driverscope.operators.spread import hash_bin, join_few
+
 
 def top_count(scores: Column, ratio: float) -> Column:
     """Number of top frames: the ratio of the clip, at least one."""
@@ -51,9 +53,11 @@ def attention_weights(frames: DataFrame, clip_keys: Sequence[str], score: str =
     Highest score and sum are partial aggregates joined back, so a long clip is never one group.
     """
     highest = frames.groupBy(*clip_keys).agg(F.max(score).alias("__max"))
-    lifted = frames.join(highest, list(clip_keys)).withColumn("__w", F.exp(F.col(score) - F.col("__max")))
-    total = lifted.groupBy(*clip_keys).agg(F.sum("__w").alias("__sum"))
-    return lifted.join(total, list(clip_keys)).withColumn("attention", F.col("__w") / F.col("__sum")).drop("__max", "__w", "__sum")
+    weight = F.exp(F.col(score) - F.col("__max"))
+    total = join_few(frames.select(*clip_keys, score), highest, clip_keys, bin=hash_bin([score])).groupBy(*clip_keys).agg(
+        F.max("__max").alias("__max"), F.sum(weight).alias("__sum")
+    )
+    return join_few(frames, total, clip_keys, bin=hash_bin([score])).withColumn("attention", weight / F.col("__sum")).drop("__max", "__sum")
 
 
 def attention_pooling(weighted: DataFrame, clip_keys: Sequence[str], vector: str, dimensions: int) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driverscope.operators.ordered import magnitude_bin, running
+from driverscope.operators.spread import join_few
 
 CONDITIONS = ("intoxicated", "cd", "joint")
 
@@ -59,15 +60,16 @@ def paired_means(rows: DataFrame, features: Sequence[str], participant: str = "p
     balanced = sides.where("__b = __c").select("condition")
     return (
         means.where("__base_rows > 0 AND __cond_rows > 0")
-        .join(balanced, "condition", "left_semi")
+        .join(F.broadcast(balanced), "condition", "left_semi")  # at most one row per comparison, three in all
         .select("condition", participant, F.inline(F.array(*cells)))
     )
 
 
 def complete_pairs(rows: DataFrame, participant: str = "participant_name") -> DataFrame:
     """Only participants seen on both sides of a comparison."""
-    both = rows.groupBy("condition", participant).agg(F.countDistinct("is_condition").alias("__n")).where("__n = 2")
-    return rows.join(both.select("condition", participant), ["condition", participant], "left_semi")
+    inside = F.col("is_condition")
+    both = rows.groupBy("condition", participant).agg(F.bool_or(inside).alias("__c"), F.bool_or(~inside).alias("__b")).where("__c AND __b")
+    return join_few(rows, both, ["condition", participant], "left_semi")
 
 
 @F.pandas_udf("double")

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from driverscope.functions.geometry import quaternion_yaw
 from driverscope.operators.ordered import halo, islands, neighbour, row_index, time_bin
+from driverscope.operators.spread import join_few
 
 EDGE_ROWS = 9
 PRECISION = 1e-18
@@ -67,7 +68,7 @@ def smooth_low_pass(
     size = max(segment, 2 * reach)
     numbered = row_index(rows, keys, time_bin(time, slot), [time], "__row")
     lengths = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__length"))
-    placed = halo(numbered.join(lengths, list(keys)), F.col("__row"), size, reach, reach)
+    placed = halo(join_few(numbered, lengths, keys, bin=time_bin(time, slot)), F.col("__row"), size, reach, reach)
     schema = T.StructType([*rows.schema.fields, T.StructField(out, T.DoubleType())])
     names = rows.columns
 
@@ -188,11 +189,9 @@ def ego_kinematics(
     A row needs its 5 s neighbourhood only: recordings are cut into minutes with that margin
     copied over. The fit is a weighted cubic, in place of a smoothing spline with the same weights.
     """
-    from driverscope.operators.ordered import halo as cut
-
     half_ns = int(half_s * 1e9)
     turned = ego.select(*keys, time, *pose, quaternion_yaw(*quaternion).alias("yaw_rad"))
-    placed = cut(turned, F.col(time), segment_s * 1_000_000_000, half_ns, half_ns)
+    placed = halo(turned, F.col(time), segment_s * 1_000_000_000, half_ns, half_ns)
     fields = {f.name: f for f in ego.schema.fields}
     schema = T.StructType(
         [fields[k] for k in keys] + [T.StructField(time, T.LongType()), T.StructField("yaw", T.DoubleType())] + [T.StructField(n, T.DoubleType()) for n in KINEMATICS]

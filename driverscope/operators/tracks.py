@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from driverscope.functions.geometry import clamp_degrees, distance, quaternion_yaw, rotate
 from driverscope.operators.chunks import rows_in_intervals
 from driverscope.operators.ordered import row_index, time_bin
+from driverscope.operators.spread import join_few
 
 POSE = ("pose_x", "pose_y", "pose_z")
 # Role of the driven car, of walkers, and the car type of staged hazards.
@@ -24,6 +25,8 @@ STILL_NS = 7_000_000_000
 HAZARD_M = 110.0
 SCREEN_M = 100.0
 SCREEN_DEG = (45.0, 135.0)
+# Time slots over which one recording's rows spread when they meet per-recording fields.
+SLOT_NS = 600_000_000_000
 
 
 def single_ego(actors: DataFrame, keys: Sequence[str], role: str = "role") -> DataFrame:
@@ -32,9 +35,9 @@ def single_ego(actors: DataFrame, keys: Sequence[str], role: str = "role") -> Da
     return heroes.where("__n = 1").drop("__n")
 
 
-def split_ego(tracks: DataFrame, actors: DataFrame, keys: Sequence[str], role: str = "role") -> tuple[DataFrame, DataFrame]:
+def split_ego(tracks: DataFrame, actors: DataFrame, keys: Sequence[str], role: str = "role", time: str = "t_ns") -> tuple[DataFrame, DataFrame]:
     """(ego rows, other rows) of recordings with one ego."""
-    marked = tracks.join(single_ego(actors, keys, role), list(keys))
+    marked = join_few(tracks, single_ego(actors, keys, role), keys, bin=time_bin(time, SLOT_NS))
     ego = marked.where("object_id = ego_id").drop("ego_id", "object_id")
     return ego, marked.where("object_id <> ego_id").drop("ego_id")
 
@@ -45,10 +48,10 @@ def thin_tracks(tracks: DataFrame, keys: Sequence[str], every: int, slot: int, t
     return numbered.where(F.col("__row") % every == 0).drop("__row")
 
 
-def enough_objects(tracks: DataFrame, keys: Sequence[str], minimum: int = 10) -> DataFrame:
+def enough_objects(tracks: DataFrame, keys: Sequence[str], minimum: int = 10, time: str = "t_ns") -> DataFrame:
     """Tracks of recordings with at least ``minimum`` objects."""
     objects = tracks.groupBy(*keys, "object_id").agg(F.lit(1).alias("__one")).groupBy(*keys).agg(F.count("__one").alias("__n"))
-    return tracks.join(objects.where(F.col("__n") >= minimum).select(*keys), list(keys), "left_semi")
+    return join_few(tracks, objects.where(F.col("__n") >= minimum), keys, "left_semi", time_bin(time, SLOT_NS))
 
 
 def ego_positions(ego: DataFrame, keys: Sequence[str], time: str = "t_ns", extra: Sequence[str] = ()) -> DataFrame:
@@ -64,7 +67,7 @@ def relevant_tracks(tracks: DataFrame, actors: DataFrame, keys: Sequence[str], t
 
     The join key holds the time, so even a recording with a third of all rows spreads evenly.
     """
-    marked = tracks.join(single_ego(actors, keys), list(keys))
+    marked = join_few(tracks, single_ego(actors, keys), keys, bin=time_bin(time, SLOT_NS))
     ego = ego_positions(marked.where("object_id = ego_id"), keys, time)
     return (
         marked.drop("ego_id")
@@ -78,7 +81,7 @@ def shared_span(tracks: DataFrame, ego: DataFrame, keys: Sequence[str], time: st
     """Latest start and earliest end of each object and the ego."""
     spans = tracks.groupBy(*keys, "object_id").agg(F.min(time).alias("__s"), F.max(time).alias("__e"))
     own = ego.groupBy(*keys).agg(F.min(time).alias("__es"), F.max(time).alias("__ee"))
-    return spans.join(own, list(keys)).select(
+    return join_few(spans, own, keys).select(
         *keys, "object_id", F.greatest("__s", "__es").alias("start_ns"), F.least("__e", "__ee").alias("end_ns")
     )
 
@@ -102,15 +105,16 @@ def choose_hazard(others: DataFrame, ego: DataFrame, actors: DataFrame, keys: Se
     walker = F.col("role") == PEDESTRIAN
     rank = F.struct((~walker).alias("a"), F.when(walker, F.lit(0.0)).otherwise(score).alias("b"), F.col("__first"), F.col("object_id"))
     return (
-        near.join(actors, [*keys, "object_id"])
-        .join(span, list(keys))
+        join_few(near.join(actors, [*keys, "object_id"]), span, keys)
         .groupBy(*keys)
         .agg(F.min_by("object_id", rank).alias("hazard_id"))
     )
 
 
 def hazard_tracks(others: DataFrame, hazards: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return others.join(hazards, list(keys)).where("object_id = hazard_id").drop("object_id", "hazard_id")
+    """Rows of the chosen objects: the choice joins on (recording, object)."""
+    chosen = hazards.where("hazard_id IS NOT NULL").withColumnRenamed("hazard_id", "object_id")
+    return join_few(others, chosen, [*keys, "object_id"], "left_semi", time_bin("t_ns", SLOT_NS)).drop("object_id")
 
 
 def removal_stats(
@@ -135,7 +139,7 @@ def removal_stats(
         F.max_by(F.struct(time, *POSE), time).alias("__last"), F.min(time).alias("__first")
     ).select(*keys, "object_id", "__first", "__last.*")
     end = ego.groupBy(*keys).agg(F.max(time).alias("__end"))
-    at_end = last.join(ego_positions(ego, keys, time, ["yaw"]), [*keys, time], "left").join(end, list(keys))
+    at_end = join_few(last.join(ego_positions(ego, keys, time, ["yaw"]), [*keys, time], "left"), end, keys)
 
     before = others.select(*keys, "object_id", (F.col(time) + F.lit(still_ns)).alias(time), *[F.col(c).alias(f"__b_{c}") for c in POSE])
     hazard = hazard_tracks(others, hazards, keys).select(*keys, time, *[F.col(c).alias(f"__h_{c}") for c in POSE])
@@ -201,12 +205,14 @@ def key_actors(actors: DataFrame, hazard_types: DataFrame, keys: Sequence[str],
     maps scenario to type and has one row per scenario kind.
     """
     ego = single_ego(actors, keys)
-    ego_time = actors.join(ego, list(keys)).where("object_id = ego_id").select(*keys, "ego_id", F.col(appeared).alias("__ego"))
-    typed = actors.join(hazard_types, scenario).where(F.col("actor_type").contains(F.col("hazard_type")))
-    candidate = typed.select(*keys, "object_id", appeared)
-    joined = ego_time.join(candidate, list(keys), "left")
-    fits = (F.col(appeared) - F.col("__ego")) < within
-    return joined.groupBy(*keys, "ego_id").agg(F.min(F.when(fits, F.col("object_id"))).alias("hazard_id"))
+    ego_time = actors.join(ego.withColumnRenamed("ego_id", "object_id"), [*keys, "object_id"]).select(
+        *keys, F.col("object_id").alias("ego_id"), F.col(appeared).alias("__ego")
+    )
+    typed = join_few(actors, hazard_types, [scenario]).where(F.col("actor_type").contains(F.col("hazard_type")))
+    timed = join_few(typed.select(*keys, "object_id", appeared), ego_time, keys)
+    fitting = timed.where((F.col(appeared) - F.col("__ego")) < within)
+    first = fitting.groupBy(*keys).agg(F.min("object_id").alias("hazard_id"))
+    return ego_time.join(first, list(keys), "left").drop("__ego")
 
 
 def trailing_trajectories(tracks: DataFrame, ego: DataFrame, keys: Sequence[str], trail_ns: int, time: str = "t_ns", yaw: str = "yaw_rad") -> DataFrame:

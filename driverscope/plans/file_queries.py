@@ -44,11 +44,9 @@ def scan_scenario_index(spark, folder):
         "participant_name",
         F.lit("scenario_index.csv").alias("file"),
     )
-    # the tree's directory names are plain values; Spark's name=value folders are read the same way
-    written.repartition("participant_name").write.partitionBy("participant_name", "file").option("header", True).csv(f"{base}/flat")
-    names = spark.read.option("header", True).schema(files.SCENARIO_INDEX).csv(f"{base}/flat/*/*/")
-    person = F.regexp_extract(F.col("_metadata.file_path"), r"participant_name=([^/]+)/", 1)
-    index = with_conditions(names.select("*", person.alias("participant_name")))
+    spread = written.repartitionByRange("participant_name", "scenario_index")
+    spread.write.partitionBy("participant_name", "file").option("header", True).csv(f"{base}/Resampled/Participants")
+    index = with_conditions(files.scan_scenario_index(spark, base, "Resampled", "file=scenario_index.csv"))
     return index.groupBy("participant_name", "round").agg(
         F.count("*").alias("n"),
         F.sum("scenario_index").alias("total"),

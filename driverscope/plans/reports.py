@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from driverscope.functions.text import matches_from_start
 from driverscope.operators.index import FAMILIES, distracted, glob_to_regex
 from driverscope.operators.ordered import median
+from driverscope.operators.spread import join_few
 
 
 def yes_no_all(column: str) -> Column:
@@ -70,7 +71,7 @@ def duration_report(index: DataFrame, families: Sequence[str], minutes: Column)
     counts = rows.groupBy("family", "participant_name").agg(F.count(F.lit(1)).alias("n"))
     most = F.broadcast(counts.groupBy("family").agg(F.max("n").alias("most")))  # one row per family, at most six
     complete = counts.join(most, "family").where("n = most").select("family", "participant_name")
-    return rows.join(complete, ["family", "participant_name"], "left_semi").groupBy("family").agg(
+    return join_few(rows, complete, ["family", "participant_name"], "left_semi").groupBy("family").agg(
         F.avg("minutes").alias("mean_minutes"), F.stddev_samp("minutes").alias("std_minutes")
     )
 
@@ -110,11 +111,10 @@ def share_within(index: DataFrame, minutes: Column, limits: Sequence[float]) ->
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     """Equal-width counts between minimum and maximum; the last bin includes its upper edge."""
-    ends = F.broadcast(df.agg(F.min(value).alias("__low"), F.max(value).alias("__high")))  # one row
-    slot = F.least(
-        F.lit(bins - 1), F.floor((F.col(value) - F.col("__low")) * bins / (F.col("__high") - F.col("__low"))).cast("int")
-    )
-    counted = df.crossJoin(ends).groupBy(F.coalesce(slot, F.lit(0)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    ends = df.agg(F.struct(F.min(value).alias("low"), F.max(value).alias("high"))).scalar()
+    low, high = F.col("__ends.low"), F.col("__ends.high")
+    slot = F.least(F.lit(bins - 1), F.floor(F.try_divide((F.col(value) - low) * bins, high - low)).cast("int"))
+    counted = df.where(F.col(value).isNotNull()).withColumn("__ends", ends).groupBy(F.coalesce(slot, F.lit(0)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     return every.join(counted, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -146,8 +146,8 @@ def repeat_summary(results: DataFrame, metrics: Sequence[str], keys: Sequence[st
 
 def summary_when_complete(results: DataFrame, metrics: Sequence[str], folds: int = 5) -> DataFrame:
     """One summary row, or none while a fold is missing."""
-    found = results.agg(F.countDistinct("fold").alias("__folds"))
-    return fold_summary(results, metrics).crossJoin(F.broadcast(found)).where(F.col("__folds") == folds).drop("__folds")
+    found = results.agg(F.countDistinct("fold")).scalar()
+    return fold_summary(results, metrics).where(found == folds)
 
 
 def missing_folds(results: DataFrame, folds: int = 5) -> DataFrame:
@@ -172,7 +172,7 @@ def duration_deviation(durations: DataFrame, participant: str, scenario: str, va
     shown = durations.where(F.col(scenario).isin(*scenarios))
     middle = median(shown, [scenario], value, bin)
     every = durations.select(participant).distinct()
-    off = shown.join(middle, scenario).select(participant, scenario, (F.col(value) - F.col("median")).alias("__off"))
+    off = join_few(shown, middle, [scenario]).select(participant, scenario, (F.col(value) - F.col("median")).alias("__off"))
     matrix = off.groupBy(participant).pivot(scenario, list(scenarios)).agg(F.sum("__off"))
     return every.join(matrix, participant, "left")
 

@@ -187,7 +187,7 @@ def clip_align_modalities(spark, folder):
     f"""WITH {SIGNAL_SQL} SELECT event_id FROM signal s JOIN recordings r ON s.user_id = r.user_id WHERE t_ns >= end_time - 45000000000""",
 )
 def recording_tail(spark, folder):
-    return folds.last_frames(signal(spark, folder), ["user_id"], "t_ns", 45_000_000_000).select("event_id")
+    return folds.last_frames(signal(spark, folder), ["user_id"], "t_ns", 45_000_000_000, 60_000_000_000).select("event_id")
 
 
 RATES = ("sensitivity", "specificity", "uar", "accuracy", "f1")

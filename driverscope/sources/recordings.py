@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driverscope.functions.text import anomaly_intervals, crash_total, hazard_outcome
+from driverscope.operators.spread import join_few
 from driverscope.schema import OBJECT, SCENARIO_INDEX, TIME, FeatureSpec, clean_doubles, nan_to_null
 
 # Scenario columns of the annotation sheet's three blocks.
@@ -50,15 +51,15 @@ def parse_recording_paths(df: DataFrame, path: str) -> DataFrame:
     return df.withColumns(path_parts(path)).where(F.col("participant_name").isNotNull())
 
 
-def scan_scenario_index(spark: SparkSession, base: str, relative: str) -> DataFrame:
-    """All participants' scenario indexes; the participant is the directory's name."""
+def scan_scenario_index(spark: SparkSession, base: str, relative: str, file: str = "scenario_index.csv") -> DataFrame:
+    """All participants' scenario indexes; the participant is the directory's name (or the value of ``name=value``)."""
     rows = (
         spark.read.schema(SCENARIO_INDEX)
         .option("header", True)
         .option("enforceSchema", False)
-        .csv(f"{base}/{relative}/Participants/*/scenario_index.csv")
+        .csv(f"{base}/{relative}/Participants/*/{file}")
     )
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"Participants/([^/]+)/", 1)
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"Participants/(?:[^/=]+=)?([^/]+)/", 1)
     return clean_doubles(rows.select("*", name.alias("participant_name")))
 
 
@@ -99,7 +100,7 @@ def prefer_primary(rows: DataFrame, keys: Sequence[str], path: str = "__path") -
     """
     raw = F.col(path).contains(f"/{RAW_FOLDER}/")
     have = rows.where(~raw).select(*keys).distinct()
-    fallback = rows.where(raw).join(have, list(keys), "left_anti")
+    fallback = join_few(rows.where(raw), have, keys, "left_anti")
     return rows.where(~raw).unionByName(fallback)
 
 
@@ -230,8 +231,7 @@ def find_one(
         place = f"driving/{scenario}*/{task or '*'}"
     regex = glob_to_regex(f"*/{participant}/{part}/{place}/{file}").replace(".*", "[^/]*").replace("^(?s:[^/]*/", "^(?s:.*/")
     found = listing.where(F.col(path).rlike(regex))
-    count = F.broadcast(found.agg(F.count(F.lit(1)).alias("__n")))  # one row
-    return found.crossJoin(count).where("__n = 1").drop("__n")
+    return found.where(found.agg(F.count(F.lit(1))).scalar() == 1)
 
 
 def scan_array_dict(spark: SparkSession, path: str) -> DataFrame:
