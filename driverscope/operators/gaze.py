@@ -5,8 +5,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +12,7 @@ from pyspark.sql import types as T
 from driverscope.functions.frames import pixel_at
 from driverscope.functions.geometry import gaze_pixel
 from driverscope.operators.chunks import rows_in_intervals
+from driverscope.operators.sequential import scan_groups
 from driverscope.operators.ordered import halo, islands, neighbour, row_index, running, time_bin
 
 SECOND = 1_000_000_000
@@ -167,21 +166,29 @@ def detect_saccades(
     return spans.where((F.col("end") - F.col("start")) / 1e6 >= min_ms).select(*keys, "start", "end")
 
 
-def _fixations(times: np.ndarray, xs: np.ndarray, ys: np.ndarray, max_distance: float, min_ns: float) -> list[tuple[int, int]]:
-    """Runs of samples near their anchor within one stretch without a jump."""
-    found: list[tuple[int, int]] = []
-    anchor, began = 0, None
-    for i in range(1, len(times)):
-        near = math.hypot(xs[i] - xs[anchor], ys[i] - ys[anchor]) <= max_distance
-        if began is None:
-            anchor = i
-            began = i if near else None
-        elif not near:
-            found.append((began, i - 1))
-            anchor, began = i, None
-    if began is not None:
-        found.append((began, len(times) - 1))
-    return [(int(times[a]), int(times[b])) for a, b in found if times[b] - times[a] >= min_ns]
+def fixation_machine(max_distance: float, min_ns: float):
+    """(step, finish) along one stretch without a jump: reports (start, end) of each fixation."""
+    state = {"x": None, "y": None, "began": None, "last": None}
+
+    def close() -> tuple[int, int] | None:
+        began, last = state["began"], state["last"]
+        return (began, last) if began is not None and last - began >= min_ns else None
+
+    def step(t: int, x: float, y: float) -> tuple[int, int] | None:
+        found = None
+        if state["x"] is not None:
+            near = math.hypot(x - state["x"], y - state["y"]) <= max_distance
+            if state["began"] is None:
+                state.update(x=x, y=y, began=t if near else None)
+            elif not near:
+                found = close()
+                state.update(x=x, y=y, began=None)
+        else:
+            state.update(x=x, y=y)
+        state["last"] = t
+        return found
+
+    return step, close
 
 
 def detect_fixations(
@@ -200,7 +207,8 @@ def detect_fixations(
     between two samples ends any fixation and restarts the search whatever the state before:
     an anchored sample lies within one distance of the anchor, so the next is further than one.
     Recordings are therefore cut at such jumps (several a second in real gaze)
-    and the pieces run in parallel; the result is that of one pass over the whole recording.
+    and the pieces run in parallel, each as a stream with constant state; the result is that
+    of one pass over the whole recording.
     """
     seen = gaze.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, time, x, y)
     bin = time_bin(time, slot)
@@ -210,15 +218,9 @@ def detect_fixations(
     fields = {f.name: f for f in gaze.schema.fields}
     schema = T.StructType([fields[k] for k in keys] + [T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 
-    def detect(piece: pd.DataFrame) -> pd.DataFrame:
-        piece = piece.sort_values(time)
-        spans = _fixations(piece[time].to_numpy(), piece[x].to_numpy(), piece[y].to_numpy(), max_distance, min_ms * 1e6)
-        out = pd.DataFrame(spans, columns=["start", "end"], dtype="int64")
-        for k in reversed(list(keys)):
-            out.insert(0, k, piece[k].iloc[0])
-        return out
-
-    return pieces.select(*keys, "__piece", time, x, y).groupBy(*keys, "__piece").applyInPandas(detect, schema)
+    return scan_groups(
+        pieces, [*keys, "__piece"], [time], [time, x, y], lambda: fixation_machine(max_distance, min_ms * 1e6), schema, list(keys)
+    )
 
 
 def value_at_gaze(frames: DataFrame, gaze: DataFrame, keys: Sequence[str], pixels: str, width: int, height: int, x: str, y: str, out: str) -> DataFrame:

@@ -6,13 +6,13 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driverscope.functions.geometry import quaternion_yaw
 from driverscope.operators.ordered import halo, islands, neighbour, row_index, time_bin
+from driverscope.operators.sequential import map_groups, scan_groups
 from driverscope.operators.spread import join_few
 
 EDGE_ROWS = 9
@@ -69,22 +69,21 @@ def smooth_low_pass(
     numbered = row_index(rows, keys, time_bin(time, slot), [time], "__row")
     lengths = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__length"))
     placed = halo(join_few(numbered, lengths, keys, bin=time_bin(time, slot)), F.col("__row"), size, reach, reach)
-    schema = T.StructType([*rows.schema.fields, T.StructField(out, T.DoubleType())])
-    names = rows.columns
-
-    def smooth(piece: pd.DataFrame) -> pd.DataFrame:
-        piece = piece.sort_values("__row")
-        at_start = piece["__row"].iloc[0] == 0
-        at_end = piece["__row"].iloc[-1] == piece["__length"].iloc[0] - 1
-        if piece["__length"].iloc[0] <= EDGE_ROWS or (at_start and len(piece) <= EDGE_ROWS):
-            piece[out] = np.nan
+    fields = {f.name: f for f in rows.schema.fields}
+    schema = T.StructType([fields[k] for k in keys] + [T.StructField("__row", T.LongType()), T.StructField(out, T.DoubleType())])
+
+    def smooth(piece: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        row, own, length = piece["__row"], piece["is_own"], piece["__length"][0]
+        if length <= EDGE_ROWS:
+            result = np.full(len(row), np.nan)
         else:
-            values = piece[value].to_numpy(dtype=float)
-            piece[out] = filter_both_ways(values, response, at_start, at_end and len(values) > EDGE_ROWS)
-        return piece.loc[piece["is_own"], [*names, out]]
+            result = filter_both_ways(piece[value].astype(float), response, row[0] == 0, row[-1] == length - 1)
+        return {"__row": row[own], out: result[own]}
 
-    smoothed = placed.groupBy(*keys, "segment").applyInPandas(smooth, schema)
-    return smoothed.withColumn(out, F.when(~F.isnan(out), F.col(out)))
+    pieces = placed.select(*keys, "segment", "__row", "__length", "is_own", value)
+    smoothed = map_groups(pieces, [*keys, "segment"], ["__row"], smooth, T.StructType([*schema.fields, T.StructField("segment", T.LongType())]))
+    clean = smoothed.select(*keys, "__row", F.when(~F.isnan(out), F.col(out)).alias(out))
+    return numbered.join(clean, [*keys, "__row"]).drop("__row")
 
 
 def stationary_points(rows: DataFrame, keys: Sequence[str], value: str, slot: int, time: str = "t_ns", out: str = "is_stationary") -> DataFrame:
@@ -98,42 +97,43 @@ def stationary_points(rows: DataFrame, keys: Sequence[str], value: str, slot: in
     return around.withColumn(out, flat | peak).drop("__prev", "__next")
 
 
-def _rises(values, theta: float):
-    """Fold over (value, position): the reference level falls with the signal and jumps on each rise of theta."""
-    start = F.struct(F.lit(None).cast("double").alias("level"), F.array().cast("array<bigint>").alias("hits"))
+def reversal_machine(theta: float):
+    """(step, finish) along the stationary values: reports the times at which the wheel has turned back.
+
+    Two reference levels, one for each direction: a level follows the signal while it moves away
+    and jumps to it once it has come back by ``theta``.
+    """
+    level = {"up": None, "down": None}
 
-    def step(state, v):
-        level, x = state["level"], v["v"]
-        hit = x - level >= theta
-        return F.struct(
-            F.when(level.isNull() | hit | (x < level), x).otherwise(level).alias("level"),
-            F.when(F.coalesce(hit, F.lit(False)), F.concat(state["hits"], F.array(v["t"]))).otherwise(state["hits"]).alias("hits"),
-        )
+    def step(t: int, v: float, jumped: bool) -> tuple[int] | None:
+        hit = jumped
+        for side, x in (("up", v), ("down", -v)):
+            low = level[side]
+            turned = low is not None and x - low >= theta
+            if low is None or turned or x < low:
+                level[side] = x
+            hit = hit or turned
+        return (t,) if hit else None
 
-    return F.aggregate(values, start, step, lambda s: s["hits"])
+    return step, lambda: None
 
 
 def steering_reversals(rows: DataFrame, keys: Sequence[str], value: str, theta: float, slot: int, time: str = "t_ns") -> DataFrame:
     """Times of the stationary points where the wheel has turned back by ``theta``, in either direction, once each.
 
     After a stationary value v the reference level lies in (v - theta, v] (mirrored for the
-    other direction). A step of theta or more between two stationary values therefore sets the level to the
-    new value whatever it was: up is a reversal, down a reset. Recordings are cut at such
-    steps and the short pieces are folded independently.
+    other direction). A step of theta or more between two stationary values therefore sets both
+    levels to the new value whatever they were, and is itself a reversal. Recordings are cut at such
+    steps; the pieces run in parallel, each as a stream with constant state.
     """
     bin = time_bin(time, slot)
     points = neighbour(rows.select(*keys, time, value), keys, bin, [time], {"__prev": F.col(value)})
-    step = F.col(value) - F.col("__prev")
-    cut = F.coalesce(F.abs(step) >= theta, F.lit(True))
-    pieces = islands(points, keys, bin, [time], cut, "__piece").withColumn("__jump", F.coalesce(F.abs(step) >= theta, F.lit(False)))
-    listed = pieces.groupBy(*keys, "__piece").agg(
-        F.array_sort(F.collect_list(F.struct(F.col(time).cast("long").alias("t"), F.col(value).cast("double").alias("v")))).alias("__v"),
-        F.min(F.when(F.col("__jump"), F.col(time))).alias("__jumped"),
-    )
-    mirrored = F.transform("__v", lambda p: F.struct(p["t"].alias("t"), (-p["v"]).alias("v")))
-    first = F.when(F.col("__jumped").isNotNull(), F.array("__jumped")).otherwise(F.array().cast("array<bigint>"))
-    times = F.array_union(F.array_union(first, _rises(F.col("__v"), theta)), _rises(mirrored, theta))
-    return listed.select(*keys, F.explode(times).alias(time))
+    jumped = F.coalesce(F.abs(F.col(value) - F.col("__prev")) >= theta, F.lit(False))
+    first = F.col("__prev").isNull()
+    pieces = islands(points.withColumn("__jumped", jumped), keys, bin, [time], first | F.col("__jumped"), "__piece")
+    fields = {f.name: f for f in rows.schema.fields}
+    schema = T.StructType([fields[k] for k in keys] + [T.StructField(time, T.LongType())])
+    return scan_groups(pieces, [*keys, "__piece"], [time], [time, value, "__jumped"], lambda: reversal_machine(theta), schema, list(keys))
 
 
 def mark_reversals(rows: DataFrame, keys: Sequence[str], value: str, thetas: Sequence[float], slot: int, time: str = "t_ns") -> DataFrame:
@@ -197,18 +197,13 @@ def ego_kinematics(
         [fields[k] for k in keys] + [T.StructField(time, T.LongType()), T.StructField("yaw", T.DoubleType())] + [T.StructField(n, T.DoubleType()) for n in KINEMATICS]
     )
 
-    def derive(piece: pd.DataFrame) -> pd.DataFrame:
-        piece = piece.sort_values(time)
-        own = piece["is_own"].to_numpy()
-        values = local_derivatives(
-            piece[time].to_numpy(), piece[pose[0]].to_numpy(float), piece[pose[1]].to_numpy(float), piece["yaw_rad"].to_numpy(float), own, half_s
-        )
-        kept = piece.loc[own, [*keys, time]].copy()
-        kept["yaw"] = np.rad2deg(piece.loc[own, "yaw_rad"])
-        kept[KINEMATICS] = values
-        return kept
-
-    derived = placed.groupBy(*keys, "segment").applyInPandas(derive, schema)
+    def derive(piece: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        own = piece["is_own"]
+        at, x, y = piece[time], piece[pose[0]].astype(float), piece[pose[1]].astype(float)
+        values = local_derivatives(at, x, y, piece["yaw_rad"], own, half_s)
+        return {time: at[own], "yaw": np.rad2deg(piece["yaw_rad"][own])} | {n: values[:, i] for i, n in enumerate(KINEMATICS)}
+
+    derived = map_groups(placed, [*keys, "segment"], [time], derive, T.StructType([*schema.fields, T.StructField("segment", T.LongType())])).drop("segment")
     clean = {n: F.when(~F.isnan(n), F.col(n)) for n in KINEMATICS}
     return derived.withColumns(clean)
 
