@@ -86,15 +86,19 @@ def best_threshold(predictions: DataFrame, keys: Sequence[str], gt: str = "gt",
         descending=True,
     )
     totals = counts.groupBy(*keys).agg(F.sum("pos").alias("__p"), F.sum("neg").alias("__n"))
-    uar = (F.try_divide("tp", "__p") + 1 - F.try_divide("fp", "__n")) / 2
-    best = join_few(upto, totals, keys, bin=slices).withColumn("__uar", uar).groupBy(*keys).agg(
-        F.max("__uar").alias("uar"), F.max_by(prob, F.struct("__uar", F.col(prob))).alias("threshold")
+    # TPR - FPR times both class sizes is a whole number: equal gains really compare equal
+    tp, fp, p, n = (F.col(c).cast("decimal(19,0)") for c in ("tp", "fp", "__p", "__n"))
+    gain = F.when((F.col("__p") > 0) & (F.col("__n") > 0), tp * n - fp * p)
+    best = join_few(upto, totals, keys, bin=slices).withColumn("__gain", gain).groupBy(*keys).agg(
+        F.max_by(F.struct("__gain", "tp", "fp", "__p", "__n", F.col(prob)), F.when(gain.isNotNull(), F.struct("__gain", F.col(prob)))).alias("__b")
     )
-    better = F.col("uar") > 0.5
+    better = F.col("__b.__gain") > 0
+    uar = (F.col("__b.tp") / F.col("__b.__p") + 1 - F.col("__b.fp") / F.col("__b.__n")) / 2
+    known = F.col("__b").isNotNull()
     return best.select(
         *keys,
-        F.when(better, F.col("threshold")).when(F.col("uar").isNotNull(), F.lit(float("inf"))).alias("threshold"),
-        F.greatest("uar", F.when(F.col("uar").isNotNull(), F.lit(0.5))).alias("uar"),
+        F.when(better, F.col(f"__b.{prob}")).when(known, F.lit(float("inf"))).alias("threshold"),
+        F.when(better, uar).when(known, F.lit(0.5)).alias("uar"),
     )
 
 

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driverscope.operators.ordered import magnitude_bin, running
 from driverscope.operators.spread import join_few
@@ -72,7 +73,7 @@ def complete_pairs(rows: DataFrame, participant: str = "participant_name") -> Da
     return join_few(rows, both, ["condition", participant], "left_semi")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def two_sided_normal(z: pd.Series) -> pd.Series:
     return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)) if v is not None and not math.isnan(v) else float("nan"))
 

@@ -227,9 +227,9 @@ WITH {PREDICTIONS_SQL},
 d AS (SELECT task, fold, prob, count(*) FILTER (gt = 1) AS pos, count(*) FILTER (gt = 0) AS neg FROM predictions WHERE gt <> -1 GROUP BY 1, 2, 3),
 b AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER g AS p, sum(neg) OVER g AS n FROM d
       WINDOW w AS (PARTITION BY task, fold ORDER BY prob DESC ROWS UNBOUNDED PRECEDING), g AS (PARTITION BY task, fold)),
-u AS (SELECT *, (tp::DOUBLE / nullif(p, 0) + 1 - fp::DOUBLE / nullif(n, 0)) / 2 AS uar FROM b),
-t AS (SELECT task, fold, CASE WHEN uar > 0.5 THEN prob ELSE 'inf'::DOUBLE END AS threshold, greatest(uar, 0.5::DOUBLE) AS uar
-      FROM (SELECT *, row_number() OVER (PARTITION BY task, fold ORDER BY uar DESC, prob DESC) AS r FROM u) WHERE r = 1)
+u AS (SELECT *, CASE WHEN p > 0 AND n > 0 THEN tp * n - fp * p END AS gain, (tp::DOUBLE / nullif(p, 0) + 1 - fp::DOUBLE / nullif(n, 0)) / 2 AS uar FROM b),
+t AS (SELECT task, fold, CASE WHEN gain > 0 THEN prob ELSE 'inf'::DOUBLE END AS threshold, greatest(uar, 0.5::DOUBLE) AS uar
+      FROM (SELECT *, row_number() OVER (PARTITION BY task, fold ORDER BY gain DESC, prob DESC) AS r FROM u) WHERE r = 1)
 """
 
 
