@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from driverscope.functions.text import answered, correct_misheard, nback_score, normalise_text, statement_score
 from driverscope.operators.chunks import rows_in_intervals
 from driverscope.operators.ordered import neighbour, running, time_bin
+from driverscope.session import settle
 
 # Step in seconds, level below which a sample is silent, padding of a response window.
 STEP_S = 0.1
@@ -48,6 +49,7 @@ def sounding_segments(samples: DataFrame, keys: Sequence[str], time: str, level:
     steps = samples.groupBy(*keys, F.floor(F.col(time) / step).cast("long").alias("__step")).agg(
         F.bool_or(F.abs(F.col(level)) >= silence).alias("__loud")
     )
+    steps = settle(steps)  # hundreds of samples per step
     bin = time_bin("__step", slot_steps)
     marked = neighbour(steps, keys, bin, ["__step"], {"__was": F.col("__loud")})
     closing = running(marked, keys, bin, ["__step"], lasts={"__close": F.when(~F.col("__loud"), F.col("__step"))}, inclusive=False, descending=True)

@@ -12,8 +12,9 @@ from pyspark.sql import types as T
 from driverscope.functions.frames import pixel_at
 from driverscope.functions.geometry import gaze_pixel
 from driverscope.operators.chunks import rows_in_intervals
+from driverscope.operators.ordered import halo, neighbour, row_index, running, step_islands, time_bin
 from driverscope.operators.sequential import scan_groups
-from driverscope.operators.ordered import halo, islands, neighbour, row_index, running, time_bin
+from driverscope.session import settle
 
 SECOND = 1_000_000_000
 # Viewing distance in mm, and the angles and durations of the detectors.
@@ -153,17 +154,28 @@ def detect_saccades(
     Missing samples (NULL) are passed over.
     """
     seen = gaze.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, time, x, y)
-    bin = time_bin(time, slot)
-    stepped = neighbour(seen, keys, bin, [time], {"__p": F.struct(time, x, y)})
-    moved = F.sqrt(F.pow(F.col(x) - F.col("__p")[x], 2) + F.pow(F.col(y) - F.col("__p")[y], 2))
-    speed = F.try_divide(moved, (F.col(time) - F.col("__p")[time]) / F.lit(1e9))
-    stepped = stepped.select(*keys, time, F.col("__p")[time].alias("__before"), speed.alias("__v"))
-    accelerated = neighbour(stepped, keys, bin, [time], {"__pv": F.col("__v")})
-    fast = F.coalesce(F.col("__v") > max_velocity, F.lit(False)) | F.coalesce(F.col("__v") - F.col("__pv") > max_acceleration, F.lit(False))
-    flagged = neighbour(accelerated.withColumn("__fast", fast), keys, bin, [time], {"__was": F.col("__fast")})
-    runs = islands(flagged, keys, bin, [time], F.col("__fast") & ~F.coalesce(F.col("__was"), F.lit(False)), "__run")
-    spans = runs.where("__fast").groupBy(*keys, "__run").agg(F.min("__before").alias("start"), F.max(time).alias("end"))
-    return spans.where((F.col("end") - F.col("start")) / 1e6 >= min_ms).select(*keys, "start", "end")
+    # four consecutive samples decide a row, so rows are numbered once and cut into overlapping segments
+    numbered = row_index(seen, keys, time_bin(time, slot), [time], "__row")
+    placed = halo(numbered, F.col("__row"), 4096, look_back=3, look_ahead=1)
+    w = Window.partitionBy(*keys, "segment").orderBy("__row")
+    moved = F.sqrt(F.pow(F.col(x) - F.lag(x).over(w), 2) + F.pow(F.col(y) - F.lag(y).over(w), 2))
+    elapsed = (F.col(time) - F.lag(time).over(w)) / F.lit(1e9)
+    speeds = placed.withColumns({"__v": F.try_divide(moved, elapsed), "__before": F.lag(time).over(w)})
+    gained = F.col("__v") - F.lag("__v").over(w)
+    fast = F.coalesce(F.col("__v") > max_velocity, F.lit(False)) | F.coalesce(gained > max_acceleration, F.lit(False))
+    flagged = speeds.withColumn("__fast", fast)
+    beside = {"__was": F.lag("__fast").over(w), "__will": F.lead("__fast").over(w)}
+    edges = flagged.withColumns(beside).where(F.col("is_own") & F.col("__fast"))
+    edges = edges.select(
+        *keys,
+        time,
+        F.when(~F.coalesce(F.col("__was"), F.lit(False)), F.col("__before")).alias("__start"),
+        (~F.coalesce(F.col("__will"), F.lit(False))).alias("__ends"),
+    ).where(F.col("__start").isNotNull() | F.col("__ends"))
+    # runs are few next to samples: settle their ends, then give each end the latest start
+    spans = running(settle(edges), keys, time_bin(time, slot), [time], lasts={"start": F.col("__start")})
+    spans = spans.where("__ends").select(*keys, "start", F.col(time).alias("end"))
+    return spans.where((F.col("end") - F.col("start")) / 1e6 >= min_ms)
 
 
 def fixation_machine(max_distance: float, min_ns: float):
@@ -211,10 +223,11 @@ def detect_fixations(
     of one pass over the whole recording.
     """
     seen = gaze.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, time, x, y)
-    bin = time_bin(time, slot)
-    stepped = neighbour(seen, keys, bin, [time], {"__p": F.struct(x, y)})
-    moved = F.sqrt(F.pow(F.col(x) - F.col("__p")[x], 2) + F.pow(F.col(y) - F.col("__p")[y], 2))
-    pieces = islands(stepped, keys, bin, [time], F.coalesce(moved > 2 * max_distance, F.lit(True)), "__piece")
+
+    def jump(now: Column, before: Column) -> Column:
+        return F.sqrt(F.pow(now[x] - before[x], 2) + F.pow(now[y] - before[y], 2)) > 2 * max_distance
+
+    pieces = step_islands(seen, keys, time_bin(time, slot), [time], [x, y], jump, "__piece")
     fields = {f.name: f for f in gaze.schema.fields}
     schema = T.StructType([fields[k] for k in keys] + [T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 

@@ -76,20 +76,19 @@ def best_threshold(predictions: DataFrame, keys: Sequence[str], gt: str = "gt",
     with one class missing it is NULL.
     """
     counts = score_counts(predictions, keys, gt, prob)
-    slices = bin if bin is not None else score_bin(prob)
     upto = running(
         counts,
         keys,
-        slices,
+        bin if bin is not None else score_bin(prob),
         [prob],
         sums={"tp": F.col("pos"), "fp": F.col("neg")},
         descending=True,
+        totals={"__p": F.col("pos"), "__n": F.col("neg")},
     )
-    totals = counts.groupBy(*keys).agg(F.sum("pos").alias("__p"), F.sum("neg").alias("__n"))
     # TPR - FPR times both class sizes is a whole number: equal gains really compare equal
     tp, fp, p, n = (F.col(c).cast("decimal(19,0)") for c in ("tp", "fp", "__p", "__n"))
     gain = F.when((F.col("__p") > 0) & (F.col("__n") > 0), tp * n - fp * p)
-    best = join_few(upto, totals, keys, bin=slices).withColumn("__gain", gain).groupBy(*keys).agg(
+    best = upto.withColumn("__gain", gain).groupBy(*keys).agg(
         F.max_by(F.struct("__gain", "tp", "fp", "__p", "__n", F.col(prob)), F.when(gain.isNotNull(), F.struct("__gain", F.col(prob)))).alias("__b")
     )
     better = F.col("__b.__gain") > 0
@@ -184,13 +183,11 @@ def ranking_loss(clips: DataFrame, keys: Sequence[str], margin: float = 1.0, sco
     upto = running(
         levels, keys, magnitude_bin("__level"), ["__level"],
         sums={"__neg_upto": F.col("__neg"), "__sum_upto": F.col("__neg") * F.col("__level")},
-    )
-    totals = levels.groupBy(*keys).agg(
-        F.sum("__neg").alias("__negs"), F.sum(F.col("__neg") * F.col("__level")).alias("__neg_sum"), F.sum("__pos").alias("__poss")
+        totals={"__negs": F.col("__neg"), "__neg_sum": F.col("__neg") * F.col("__level"), "__poss": F.col("__pos")},
     )
     above, above_sum = F.col("__negs") - F.col("__neg_upto"), F.col("__neg_sum") - F.col("__sum_upto")
     paid = F.col("__pos") * (above_sum - F.col("__level") * above)
-    return join_few(upto, totals, keys, bin=magnitude_bin("__level")).groupBy(*keys).agg(
+    return upto.groupBy(*keys).agg(
         F.coalesce(
             F.try_divide(F.sum(paid), F.first("__negs").cast("double") * F.first("__poss").cast("double")), F.lit(0.0)
         ).alias("rank_loss")

@@ -13,13 +13,11 @@ Keys and bins must not be NULL.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driverscope.operators.spread import join_few
-
 
 def time_bin(time: str | Column, width: int) -> Column:
     """Slot number of an integer time. Frame rates bound the rows of one slot."""
@@ -50,19 +48,24 @@ def running(
     lasts: Mapping[str, Column] | None = None,
     inclusive: bool = True,
     descending: bool = False,
+    totals: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Running sums and last non-NULL values along ``order`` within ``keys``.
+    """Running sums and last non-NULL values along ``order`` within ``keys``; ``totals`` are sums over the whole key.
+
+    The input is read twice (rows, and the per-bin table), so chained calls multiply: take
+    several results from one call, and ``settle`` a small intermediate table before the next.
 
     ``sums`` start at 0; ``lasts`` are NULL until the first non-NULL value.
     ``inclusive=False`` looks strictly before the current row. ``order`` must be
     a total order within the key, or the result among ties is arbitrary.
     """
-    sums, lasts, keys, order = dict(sums or {}), dict(lasts or {}), list(keys), list(order)
+    sums, lasts, totals, keys, order = dict(sums or {}), dict(lasts or {}), dict(totals or {}), list(keys), list(order)
     work = df.select(
         "*",
         bin.alias("__bin"),
         *[F.coalesce(e, F.lit(0)).alias(f"__s_{n}") for n, e in sums.items()],
         *[e.alias(f"__l_{n}") for n, e in lasts.items()],
+        *[e.alias(f"__t_{n}") for n, e in totals.items()],
     )
     ordering = [F.col(o).desc() if descending else F.col(o).asc() for o in order]
     bin_ordering = F.col("__bin").desc() if descending else F.col("__bin").asc()
@@ -76,13 +79,16 @@ def running(
             final(F.col(f"__l_{n}"), F.when(F.col(f"__l_{n}").isNotNull(), position)).alias(f"__l_{n}")
             for n in lasts
         ],
+        *[F.sum(f"__t_{n}").alias(f"__t_{n}") for n in totals],
     )
+    whole = Window.partitionBy(*keys)
     before = Window.partitionBy(*keys).orderBy(bin_ordering).rowsBetween(Window.unboundedPreceding, -1)
     carried = slots.select(
         *keys,
         "__bin",
         *[F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__cs_{n}") for n in sums],
         *[F.last(f"__l_{n}", ignorenulls=True).over(before).alias(f"__cl_{n}") for n in lasts],
+        *[F.sum(f"__t_{n}").over(whole).alias(n) for n in totals],
     )
     frame = (
         Window.partitionBy(*keys, "__bin")
@@ -99,14 +105,16 @@ def running(
         *df.columns,
         *[(F.col(f"__s_{n}") + F.col(f"__cs_{n}")).alias(n) for n in sums],
         *[F.coalesce(F.col(f"__l_{n}"), F.col(f"__cl_{n}")).alias(n) for n in lasts],
+        *totals,
     )
 
 
 def row_index(
-    df: DataFrame, keys: Sequence[str], bin: Column, order: Sequence[str], out: str = "row_index", descending: bool = False
+    df: DataFrame, keys: Sequence[str], bin: Column, order: Sequence[str], out: str = "row_index", length: str | None = None
 ) -> DataFrame:
-    """Zero-based position along ``order``."""
-    return running(df, keys, bin, order, sums={out: F.lit(1).cast("long")}, inclusive=False, descending=descending)
+    """Zero-based position along ``order``, and the number of rows of the key as ``length`` if named."""
+    one = F.lit(1).cast("long")
+    return running(df, keys, bin, order, sums={out: one}, inclusive=False, totals={length: one} if length else None)
 
 
 def neighbour(
@@ -154,6 +162,62 @@ def halo(
     )
 
 
+def around(df: DataFrame, keys: Sequence[str], bin: Column, order: Sequence[str], values: Sequence[str], previous: str = "previous", following: str = "following") -> DataFrame:
+    """Structs with the values of the row before and the row after, NULL at the edges, in one pass."""
+    keys, order = list(keys), list(order)
+    position = F.struct(*[F.col(o) for o in order])
+    work = df.select("*", bin.alias("__bin"), F.struct(*values).alias("__v"))
+    slots = work.groupBy(*keys, "__bin").agg(F.min_by("__v", position).alias("__first"), F.max_by("__v", position).alias("__last"))
+    across = Window.partitionBy(*keys).orderBy("__bin")
+    carried = slots.select(*keys, "__bin", F.lag("__last").over(across).alias("__before"), F.lead("__first").over(across).alias("__after"))
+    w = Window.partitionBy(*keys, "__bin").orderBy(*order)
+    inside = work.select(*df.columns, "__bin", F.lag("__v").over(w).alias("__p"), F.lead("__v").over(w).alias("__n"))
+    return inside.join(carried, [*keys, "__bin"]).select(
+        *df.columns, F.coalesce("__p", "__before").alias(previous), F.coalesce("__n", "__after").alias(following)
+    )
+
+
+def step_islands(
+    df: DataFrame,
+    keys: Sequence[str],
+    bin: Column,
+    order: Sequence[str],
+    values: Sequence[str],
+    starts: Callable[[Column, Column], Column],
+    out: str = "island",
+    previous: str | None = None,
+) -> DataFrame:
+    """Number the runs that begin where ``starts(current, previous)`` is true, from structs of ``values``.
+
+    The first row of a key begins its first run. Neighbours and numbers come from one pass: only the first
+    row of a bin needs the bin before, and that is decided on the per-bin table.
+    """
+    keys, order = list(keys), list(order)
+    position = F.struct(*[F.col(o) for o in order])
+    w = Window.partitionBy(*keys, "__bin").orderBy(*order)
+
+    def flag(current: Column, before: Column) -> Column:
+        return F.coalesce(starts(current, before), F.lit(False)).cast("long")
+
+    work = df.select("*", bin.alias("__bin"), F.struct(*values).alias("__v")).withColumn("__p", F.lag("__v").over(w))
+    inner = F.when(F.col("__p").isNotNull(), flag(F.col("__v"), F.col("__p"))).otherwise(F.lit(0).cast("long"))
+    slots = work.groupBy(*keys, "__bin").agg(
+        F.sum(inner).alias("__inner"), F.min_by("__v", position).alias("__first"), F.max_by("__v", position).alias("__last")
+    )
+    across = Window.partitionBy(*keys).orderBy("__bin")
+    linked = slots.withColumn("__before", F.lag("__last").over(across))
+    linked = linked.withColumn("__opens", F.when(F.col("__before").isNull(), F.lit(1).cast("long")).otherwise(flag(F.col("__first"), F.col("__before"))))
+    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+    carried = linked.select(
+        *keys, "__bin", "__before", (F.coalesce(F.sum(F.col("__inner") + F.col("__opens")).over(earlier), F.lit(0)) + F.col("__opens")).alias("__offset")
+    )
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = work.select(*df.columns, "__bin", "__p", F.sum(inner).over(upto).alias("__inside"))
+    found = inside.join(carried, [*keys, "__bin"])
+    extra = [F.coalesce("__p", "__before").alias(previous)] if previous else []
+    return found.select(*df.columns, (F.col("__inside") + F.col("__offset")).alias(out), *extra)
+
+
 def islands(
     df: DataFrame, keys: Sequence[str], bin: Column, order: Sequence[str], starts: Column, out: str = "island"
 ) -> DataFrame:
@@ -165,12 +229,11 @@ def islands(
 def median(df: DataFrame, keys: Sequence[str], value: str, bin: Column, out: str = "median") -> DataFrame:
     """Exact median per key (mean of the middle two) from counts of distinct values."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    upto = running(counts, keys, bin, [value], sums={"__upto": F.col("__n")})
-    total = counts.groupBy(*keys).agg(F.sum("__n").alias("__total"))
+    upto = running(counts, keys, bin, [value], sums={"__upto": F.col("__n")}, totals={"__total": F.col("__n")})
     first, second = F.floor((F.col("__total") - 1) / 2), F.floor(F.col("__total") / 2)
 
     def at(position: Column) -> Column:
         covers = (position >= F.col("__upto") - F.col("__n")) & (position < F.col("__upto"))
         return F.max(F.when(covers, F.col(value)))
 
-    return join_few(upto, total, keys, bin=bin).groupBy(*keys).agg(((at(first) + at(second)) / 2).alias(out))
+    return upto.groupBy(*keys).agg(((at(first) + at(second)) / 2).alias(out))

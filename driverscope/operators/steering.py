@@ -6,14 +6,14 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driverscope.functions.geometry import quaternion_yaw
-from driverscope.operators.ordered import halo, islands, neighbour, row_index, time_bin
+from driverscope.operators.ordered import around, halo, row_index, step_islands, time_bin
 from driverscope.operators.sequential import map_groups, scan_groups
-from driverscope.operators.spread import join_few
+from driverscope.session import settle
 
 EDGE_ROWS = 9
 PRECISION = 1e-18
@@ -66,11 +66,10 @@ def smooth_low_pass(
     response = impulse_response(cutoff, fps)
     reach = 2 * len(response) + EDGE_ROWS
     size = max(segment, 2 * reach)
-    numbered = row_index(rows, keys, time_bin(time, slot), [time], "__row")
-    lengths = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__length"))
-    placed = halo(join_few(numbered, lengths, keys, bin=time_bin(time, slot)), F.col("__row"), size, reach, reach)
+    numbered = row_index(rows.select(*keys, time, value), keys, time_bin(time, slot), [time], "__row", "__length")
+    placed = halo(numbered, F.col("__row"), size, reach, reach)
     fields = {f.name: f for f in rows.schema.fields}
-    schema = T.StructType([fields[k] for k in keys] + [T.StructField("__row", T.LongType()), T.StructField(out, T.DoubleType())])
+    schema = T.StructType([fields[k] for k in keys] + [T.StructField(time, T.LongType()), T.StructField(out, T.DoubleType())])
 
     def smooth(piece: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         row, own, length = piece["__row"], piece["is_own"], piece["__length"][0]
@@ -78,23 +77,21 @@ def smooth_low_pass(
             result = np.full(len(row), np.nan)
         else:
             result = filter_both_ways(piece[value].astype(float), response, row[0] == 0, row[-1] == length - 1)
-        return {"__row": row[own], out: result[own]}
+        return {time: piece[time][own], out: result[own]}
 
-    pieces = placed.select(*keys, "segment", "__row", "__length", "is_own", value)
+    pieces = placed.select(*keys, "segment", "__row", "__length", "is_own", time, value)
     smoothed = map_groups(pieces, [*keys, "segment"], ["__row"], smooth, T.StructType([*schema.fields, T.StructField("segment", T.LongType())]))
-    clean = smoothed.select(*keys, "__row", F.when(~F.isnan(out), F.col(out)).alias(out))
-    return numbered.join(clean, [*keys, "__row"]).drop("__row")
+    clean = smoothed.select(*keys, time, F.when(~F.isnan(out), F.col(out)).alias(out))
+    return rows.join(clean, [*keys, time])
 
 
 def stationary_points(rows: DataFrame, keys: Sequence[str], value: str, slot: int, time: str = "t_ns", out: str = "is_stationary") -> DataFrame:
     """Flat steps and local maxima: the step into the row is 0, or up and followed by down."""
-    bin = time_bin(time, slot)
-    back = neighbour(rows, keys, bin, [time], {"__prev": F.col(value)})
-    around = neighbour(back, keys, bin, [time], {"__next": F.col(value)}, following=True)
-    step_in, step_out = F.col(value) - F.col("__prev"), F.col("__next") - F.col(value)
+    beside = around(rows, keys, time_bin(time, slot), [time], [value], "__prev", "__next")
+    step_in, step_out = F.col(value) - F.col("__prev")[value], F.col("__next")[value] - F.col(value)
     flat = F.coalesce(step_in == 0, F.lit(False))
     peak = F.coalesce((step_in > 0) & (step_out < 0), F.lit(False))
-    return around.withColumn(out, flat | peak).drop("__prev", "__next")
+    return beside.withColumn(out, flat | peak).drop("__prev", "__next")
 
 
 def reversal_machine(theta: float):
@@ -126,11 +123,13 @@ def steering_reversals(rows: DataFrame, keys: Sequence[str], value: str, theta:
     levels to the new value whatever they were, and is itself a reversal. Recordings are cut at such
     steps; the pieces run in parallel, each as a stream with constant state.
     """
-    bin = time_bin(time, slot)
-    points = neighbour(rows.select(*keys, time, value), keys, bin, [time], {"__prev": F.col(value)})
-    jumped = F.coalesce(F.abs(F.col(value) - F.col("__prev")) >= theta, F.lit(False))
-    first = F.col("__prev").isNull()
-    pieces = islands(points.withColumn("__jumped", jumped), keys, bin, [time], first | F.col("__jumped"), "__piece")
+
+    def far(now: Column, before: Column) -> Column:
+        return F.abs(now[value] - before[value]) >= theta
+
+    pieces = step_islands(rows.select(*keys, time, value), keys, time_bin(time, slot), [time], [value], far, "__piece", "__prev")
+    jumped = F.coalesce(far(F.struct(value), F.col("__prev")), F.lit(False))
+    pieces = pieces.withColumn("__jumped", jumped)
     fields = {f.name: f for f in rows.schema.fields}
     schema = T.StructType([fields[k] for k in keys] + [T.StructField(time, T.LongType())])
     return scan_groups(pieces, [*keys, "__piece"], [time], [time, value, "__jumped"], lambda: reversal_machine(theta), schema, list(keys))
@@ -138,7 +137,8 @@ def steering_reversals(rows: DataFrame, keys: Sequence[str], value: str, theta:
 
 def mark_reversals(rows: DataFrame, keys: Sequence[str], value: str, thetas: Sequence[float], slot: int, time: str = "t_ns") -> DataFrame:
     """0/1 column per threshold, named like ``reversals_0_5``."""
-    still = stationary_points(rows, keys, value, slot, time).where("is_stationary")
+    # turning points are few next to samples, and every threshold starts from them
+    still = settle(stationary_points(rows.select(*keys, time, value), keys, value, slot, time).where("is_stationary").drop("is_stationary"))
     out = rows
     for theta in thetas:
         name = f"reversals_{theta}".replace(".", "_")

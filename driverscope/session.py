@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int = 8, app: str = "driverscope", **conf: str) -> SparkSession:
@@ -43,6 +43,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Write a small intermediate table to the shared folder and go on from there.
+
+    For tables that several later steps read and that are far smaller than their source: the
+    source is then computed once. The files outlive lost executors.
+    """
+    path = scratch_path(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder; never reused, so nothing is overwritten."""
     return f"{shared_folder(spark)}/driverscope/{name}-{uuid.uuid4().hex}"

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from driverscope.operators.ordered import halo, islands, magnitude_bin, median, neighbour, row_index, running, score_bin, time_bin
+from driverscope.operators.ordered import around, halo, islands, magnitude_bin, median, neighbour, row_index, running, score_bin, step_islands, time_bin
 from driverscope.operators.spread import join_few
 
 
@@ -89,3 +89,27 @@ def test_join_few_spreads_a_hot_key(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert sum(sizes) == 100_000 and max(sizes) < 40_000
+
+
+@pytest.mark.parametrize("width", [1, 37, 10_000])
+def test_around(rows, width):
+    w = Window.partitionBy("k").orderBy("t")
+    plain = rows.select("*", F.lag("x").over(w).alias("p"), F.lead("x").over(w).alias("n"))
+    got = around(rows, ["k"], time_bin("t", width), ["t"], ["x"], "a", "b")
+    same(got.select("k", "t", "x", F.col("a.x").alias("p"), F.col("b.x").alias("n")), plain)
+
+
+@pytest.mark.parametrize("width", [1, 37, 10_000])
+def test_step_islands(rows, width):
+    w = Window.partitionBy("k").orderBy("t")
+    seen = rows.where("x IS NOT NULL")
+    before = F.lag("x").over(w)
+    marked = seen.withColumn("s", F.when(before.isNull() | (F.abs(F.col("x") - before) > 2), 1).otherwise(0)).withColumn("p", before)
+    plain = marked.select("k", "t", "x", F.sum("s").over(w).alias("i"), "p")
+    got = step_islands(seen, ["k"], time_bin("t", width), ["t"], ["x"], lambda a, b: F.abs(a["x"] - b["x"]) > 2, "i", "q")
+    same(got.select("k", "t", "x", "i", F.col("q.x").alias("p")), plain)
+
+
+def test_totals_come_with_running_sums(rows):
+    got = running(rows, ["k"], time_bin("t", 50), ["t"], sums={"s": F.lit(1)}, totals={"n": F.lit(1)})
+    assert {(r.k, r.n) for r in got.collect()} == {("hot", 400), ("cold", 30), ("single", 1)}
