@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from driverscope.operators.ordered import row_index, time_bin
 from driverscope.operators.spread import join_few
+from driverscope.session import settle
 
 HASH_BITS = 63
 BIN_BITS = 13
@@ -85,7 +86,8 @@ def filter_folds(
     if role == "all":
         return df
     for i, (config, test) in enumerate(zip(configs, mixed_radix(split_index, [c.splits for c in configs]))):
-        folds = group_folds(df, config, seed, draws[i] if draws else None, bits)
+        # one row per value, ranked from several passes: settle it before the rows use it
+        folds = settle(group_folds(df, config, seed, draws[i] if draws else None, bits))
         wanted = folds.where(fold_role(F.col("fold"), test, config.splits, config.split_train_val) == role)
         df = join_few(df, wanted, [config.column], "left_semi")
     return df

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driverscope.operators.ordered import magnitude_bin, running
-from driverscope.operators.spread import join_few
+from driverscope.session import settle
 
 CONDITIONS = ("intoxicated", "cd", "joint")
 
@@ -42,11 +42,12 @@ def condition_rows(chunks: DataFrame, conditions: Sequence[str] = CONDITIONS) ->
     return chunks.select("*", F.inline(F.array_compact(F.array(*cells))))
 
 
-def paired_means(rows: DataFrame, features: Sequence[str], participant: str = "participant_name") -> DataFrame:
+def paired_means(rows: DataFrame, features: Sequence[str], participant: str = "participant_name", drop_unpaired: bool = False) -> DataFrame:
     """Per condition, feature and participant: mean under baseline and under the condition.
 
-    A feature is skipped when the two sides have different numbers of participants;
-    participants are paired by name.
+    Participants are paired by name. A comparison whose two sides have different numbers of
+    participants is skipped, unless ``drop_unpaired`` leaves out those seen on one side only. The means have
+    one row per participant and are settled, since the tests read them several times.
     """
     means = rows.groupBy("condition", participant).agg(
         *[F.avg(F.when(~F.col("is_condition"), F.col(f))).alias(f"{f}__base") for f in features],
@@ -54,23 +55,16 @@ def paired_means(rows: DataFrame, features: Sequence[str], participant: str = "p
         F.count_if(~F.col("is_condition")).alias("__base_rows"),
         F.count_if(F.col("is_condition")).alias("__cond_rows"),
     )
+    means = settle(means)
     cells = [F.struct(F.lit(f).alias("feature"), F.col(f"{f}__base").alias("baseline"), F.col(f"{f}__cond").alias("impaired")) for f in features]
-    sides = means.groupBy("condition").agg(
-        F.count_if(F.col("__base_rows") > 0).alias("__b"), F.count_if(F.col("__cond_rows") > 0).alias("__c")
-    )
-    balanced = sides.where("__b = __c").select("condition")
-    return (
-        means.where("__base_rows > 0 AND __cond_rows > 0")
-        .join(F.broadcast(balanced), "condition", "left_semi")  # at most one row per comparison, three in all
-        .select("condition", participant, F.inline(F.array(*cells)))
-    )
-
-
-def complete_pairs(rows: DataFrame, participant: str = "participant_name") -> DataFrame:
-    """Only participants seen on both sides of a comparison."""
-    inside = F.col("is_condition")
-    both = rows.groupBy("condition", participant).agg(F.bool_or(inside).alias("__c"), F.bool_or(~inside).alias("__b")).where("__c AND __b")
-    return join_few(rows, both, ["condition", participant], "left_semi")
+    paired = means.where("__base_rows > 0 AND __cond_rows > 0")
+    if not drop_unpaired:
+        sides = means.groupBy("condition").agg(
+            F.count_if(F.col("__base_rows") > 0).alias("__b"), F.count_if(F.col("__cond_rows") > 0).alias("__c")
+        )
+        balanced = sides.where("__b = __c").select("condition")
+        paired = paired.join(F.broadcast(balanced), "condition", "left_semi")  # one row per comparison, three in all
+    return paired.select("condition", participant, F.inline(F.array(*cells)))
 
 
 @F.pandas_udf(T.DoubleType())

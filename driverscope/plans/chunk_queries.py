@@ -285,3 +285,52 @@ def rows_between_events(spark, folder):
     return hits.groupBy("opened").agg(F.count("*").alias("n"), rounded(F.sum("y")).alias("total"))
 
 
+
+
+# The published set on the stand-in: the signal supplies every table, at the tables' own rates.
+MAIN_COLUMNS = {
+    "ego_tracks": {"longitudinal_speed": "y", "longitudinal_acceleration": "x - 50"},
+    "steering_reversals": {"reversals_0_5": "flag", "reversals_2_5": "1 - flag"},
+    "experiment_tobii_frame": {"tobii_left_eye_pupil_diameter": "x", "tobii_right_eye_pupil_diameter": "y"},
+    "gaze_pitch_yaw": {"gaze_left_pitch": "x", "gaze_right_pitch": "y", "gaze_left_yaw": "y", "gaze_right_yaw": "flag"},
+    "gaze_fixation_saccade": {
+        "gaze_left_saccade": "flag", "gaze_right_saccade": "1 - flag", "gaze_left_fixation": "flag", "gaze_right_fixation": "sign(y)"
+    },
+}
+
+
+def _changes(column: str) -> str:
+    known = f"last_value({column} IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY t_ns, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f"CASE WHEN {column} IS NOT NULL AND {known} IS NOT NULL THEN CAST(({column} = 1) <> ({known} = 1) AS INT) END"
+
+
+@query(
+    "feature_set_main",
+    f"""WITH {SIGNAL_SQL},
+    grid AS (SELECT user_id, (end_time * 60 + 999999999) // 1000000000 AS n FROM recordings),
+    c AS (SELECT user_id, (n - 1800 - 5400) * 1000000000 // 60 AS a, (n - 1800 - 1) * 1000000000 // 60 AS b FROM grid WHERE n >= 7200),
+    m0 AS (SELECT s.*, sign(y) AS sy FROM signal s JOIN c ON s.user_id = c.user_id AND t_ns BETWEEN a AND b),
+    m AS (SELECT *, {_changes('flag')} AS cf, {_changes('sy')} AS cs FROM m0),
+    g AS (SELECT user_id, count(x) AS wx, count(y) AS wy, count(flag) AS wf, avg(x) AS mx, avg(y) AS my, stddev_pop(x) AS sx, stddev_pop(y) AS sy, stddev_pop(flag) AS sf,
+      avg(CASE WHEN y > 0 THEN y END) AS py, avg(CASE WHEN x > 50 THEN x - 50 END) AS pa, -avg(CASE WHEN x < 50 THEN x - 50 END) AS na,
+      sum(flag) / (count(flag) / 600.0::DOUBLE) AS r1, sum(1 - flag) / (count(flag) / 600.0::DOUBLE) AS r2,
+      coalesce(sum(cf), 0) / (count(flag) / 3600.0::DOUBLE) AS kf, coalesce(sum(cs), 0) / (count(y) / 3600.0::DOUBLE) AS ks FROM m GROUP BY 1)
+    SELECT user_id, CAST(0 AS BIGINT) AS chunk_number, CASE WHEN wy > 0 THEN round(coalesce(py, 0), 6) END AS longitudinal_speed__pos_mean,
+      CASE WHEN wx > 0 THEN round(coalesce(pa, 0), 6) END AS longitudinal_acceleration__pos_mean, CASE WHEN wx > 0 THEN round(coalesce(na, 0), 6) END AS longitudinal_acceleration__neg_mean,
+      CASE WHEN wf > 0 THEN round(r1, 6) END AS reversals_0_5__sum_rate, CASE WHEN wf > 0 THEN round(r2, 6) END AS reversals_2_5__sum_rate,
+      CASE WHEN wx > 0 AND wy > 0 THEN round((wx * mx + wy * my) / (wx + wy), 6) END AS tobii_eye_pupil_diameter__mean,
+      CASE WHEN wx > 0 AND wy > 0 THEN round((wx * sx + wy * sy) / (wx + wy), 6) END AS gaze_pitch__std, CASE WHEN wf > 0 AND wy > 0 THEN round((wy * sy + wf * sf) / (wy + wf), 6) END AS gaze_yaw__std,
+      CASE WHEN wf > 0 THEN round(kf, 6) END AS gaze_saccade__change_rate, CASE WHEN wf > 0 AND wy > 0 THEN round((wf * kf + wy * ks) / (wf + wy), 6) END AS gaze_fixation__change_rate
+    FROM g""",
+)
+def feature_set_main(spark, folder):
+    from driverscope.plans.feature_set import feature_set
+
+    rows = signal(spark, folder)
+    tables = {
+        name: rows.select("user_id", "event_id", "t_ns", *[F.expr(e).cast("double").alias(c) for c, e in columns.items()])
+        for name, columns in MAIN_COLUMNS.items()
+    }
+    out = feature_set(tables, recordings(rows), ["user_id"], time="t_ns")
+    names = [c for c in out.columns if "__" in c]
+    return out.select("user_id", "chunk_number", *[rounded(c).alias(c) for c in names])

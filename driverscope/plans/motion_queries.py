@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import functions as F
 
 from driverscope.functions.geometry import gaze_direction, gaze_millimetres, gaze_pitch, gaze_pixel, gaze_yaw, quaternion_yaw
@@ -12,6 +11,7 @@ from driverscope.operators.chunks import frame_grid
 from driverscope.operators.timing import rolling_step_mean
 from driverscope.plans.catalogue import query, rounded, table
 from driverscope.plans.standins import SIGNAL_SQL, TRACKS_SQL, actors, recordings, signal, tracks
+from driverscope.session import settle
 
 SECOND = 1_000_000_000
 SLOT = 60 * SECOND
@@ -31,6 +31,11 @@ def split(spark, folder):
     return ego.withColumn("yaw", F.degrees(quaternion_yaw("qx", "qy", "qz", "qw"))), ado, few
 
 
+def written_split(spark, folder):
+    """Ego tracks, other tracks and actors, written once as the study writes them: the many later steps read the files."""
+    return tuple(settle(df) for df in split(spark, folder))
+
+
 @query(
     "relevant_trajectories",
     f"""WITH {TRACKS_SQL}, y AS (SELECT *, degrees(atan2(2 * (qw * qz + qx * qy), qw * qw + qx * qx - qy * qy - qz * qz) - pi() / 2) AS yaw FROM tracks
@@ -79,7 +84,7 @@ hazard AS (SELECT recording, object_id AS hazard_id FROM (SELECT *, row_number()
 
 @query("hazard_choice", f"WITH {HAZARD_SQL} SELECT recording, hazard_id FROM hazard")
 def hazard_choice(spark, folder):
-    ego, ado, few = split(spark, folder)
+    ego, ado, few = written_split(spark, folder)
     return moving.choose_hazard(ado, ego, few, KEYS)
 
 
@@ -88,7 +93,7 @@ def hazard_choice(spark, folder):
     f"WITH {HAZARD_SQL} SELECT a.recording, a.t_ns, a.pose_x, a.pose_y FROM ado a JOIN hazard h ON a.recording = h.recording AND a.object_id = hazard_id",
 )
 def hazard_tracks(spark, folder):
-    ego, ado, few = split(spark, folder)
+    ego, ado, few = written_split(spark, folder)
     chosen = moving.choose_hazard(ado, ego, few, KEYS)
     return moving.hazard_tracks(ado, chosen, KEYS).select("recording", "t_ns", "pose_x", "pose_y")
 
@@ -113,7 +118,7 @@ shown AS (SELECT *, dist < 100 AND direction BETWEEN 45 AND 135 AS on_screen FRO
 
 
 def removals(spark, folder):
-    ego, ado, few = split(spark, folder)
+    ego, ado, few = written_split(spark, folder)
     chosen = moving.choose_hazard(ado, ego, few, KEYS)
     rule = F.col("recording") % 2 == 0
     return moving.removal_stats(ado, ego, chosen, KEYS, rule, far=60.0, still=25.0, still_ns=2 * SECOND, near_hazard=45.0)
