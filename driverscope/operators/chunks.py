@@ -250,6 +250,15 @@ def rows_in_intervals(
     return slotted.join(listed, [*keys, "__slot"]).where((F.col(time) >= F.col(start)) & upper).drop("__slot")
 
 
+def attributes_in_chunks(
+    attributes: DataFrame, chunks: DataFrame, keys: Sequence[str], slot: int, start: str = "start_epoch_ns", end: str = "end_epoch_ns"
+) -> DataFrame:
+    """Attributes valid at some time of each chunk; a table without validity columns holds for every chunk."""
+    if start in attributes.columns and end in attributes.columns:
+        return overlapping(attributes, chunks, keys, (start, end), ("start_ns", "end_ns"), slot)
+    return attributes.join(chunks, list(keys))
+
+
 def overlapping(
     left: DataFrame, right: DataFrame, keys: Sequence[str], left_span: tuple[str, str], right_span: tuple[str, str], slot: int
 ) -> DataFrame:

@@ -25,11 +25,16 @@ def time_bin(time: str | Column, width: int) -> Column:
     return F.floor(c / F.lit(width)).cast("long")
 
 
-def score_bin(score: str | Column, bins: int = 4096, low: float = 0.0, high: float = 1.0) -> Column:
-    """Slice of a score range, non-decreasing in the score; values outside fall in the end slices."""
+def score_bin(score: str | Column, bins: int = 4096, low: float = 0.0, high: float = 1.0, steps: int = 128) -> Column:
+    """Slice of a score range, non-decreasing in the score.
+
+    Classifiers crowd their scores at both ends, so the slices are even in the score and, added to
+    that, in its log-odds. Values outside the range fall in the end slices.
+    """
     c = F.col(score) if isinstance(score, str) else score
-    scaled = F.floor((c - F.lit(low)) * F.lit(bins / (high - low)))
-    return F.greatest(F.lit(-1).cast("long"), F.least(F.lit(bins).cast("long"), scaled.cast("long")))
+    x = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (c - F.lit(low)) / F.lit(high - low)))
+    odds = F.log(x + F.lit(1e-15)) - F.log(F.lit(1.0) - x + F.lit(1e-15))
+    return F.floor(x * F.lit(float(bins)) + odds * F.lit(float(steps))).cast("long")
 
 
 def magnitude_bin(value: str | Column, steps: int = 64) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from driverscope.functions.geometry import gaze_direction, gaze_millimetres, gaze_pitch, gaze_pixel, gaze_yaw, quaternion_yaw
 from driverscope.operators import gaze as eyes
-from driverscope.operators import steering, tracks as moving
+from driverscope.operators import chunks, steering, tracks as moving
 from driverscope.operators.chunks import frame_grid
 from driverscope.operators.timing import rolling_step_mean
 from driverscope.plans.catalogue import query, rounded, table
@@ -180,6 +180,21 @@ def key_actors(spark, folder):
     return moving.key_actors(few, kinds, KEYS, "kind", "seen")
 
 
+@query(
+    "attributes_in_chunks",
+    f"""WITH {TRACKS_SQL}, s AS (SELECT recording, max(t_ns) AS e FROM tracks GROUP BY 1), g AS (SELECT recording, (e + 999999999) // 1000000000 AS n FROM s),
+    c AS (SELECT recording, CAST(k AS BIGINT) AS chunk_number, k * 7 * 1000000000 AS a, (k * 7 + 4) * 1000000000 AS b
+      FROM (SELECT recording, unnest(range(greatest(0, CAST(floor((n - 5) / 7.0) AS BIGINT) + 1))) AS k FROM g))
+    SELECT x.recording, object_id, chunk_number FROM actors x JOIN c ON x.recording = c.recording AND x.start_epoch_ns <= b AND x.end_epoch_ns >= a""",
+)
+def attributes_in_chunks(spark, folder):
+    rows = tracks(spark, folder)
+    spans = rows.groupBy("recording").agg(F.lit(0).cast("long").alias("start_time"), F.max("t_ns").alias("end_time"))
+    cut = chunks.chunk_recordings(spans, chunks.ChunkSpec("start", duration=5.0, stride=7.0, per_recording=None, fps=1), KEYS)
+    found = chunks.attributes_in_chunks(actors(rows), cut, KEYS, 10 * SECOND)
+    return found.select("recording", "object_id", "chunk_number")
+
+
 @query(
     "trailing_trajectories",
     f"""WITH {EGO_SQL} SELECT a.recording, a.object_id, e.t_ns AS now_ns, a.t_ns,

@@ -65,7 +65,7 @@ def test_median(rows):
 
 def test_bins_never_decrease(spark):
     values = spark.createDataFrame([(v / 7,) for v in range(-50, 50)], "v double").orderBy("v")
-    for bin in (score_bin("v"), magnitude_bin("v")):
+    for bin in (score_bin("v"), score_bin("v", low=-8.0, high=8.0), magnitude_bin("v")):
         found = [r[0] for r in values.select(bin).collect()]
         assert found == sorted(found)
 
