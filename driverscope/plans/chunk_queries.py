@@ -158,14 +158,14 @@ def chunk_features(spark, folder):
     f"""WITH {SIGNAL_SQL}, {STUDY_CHUNKS_SQL}, {MEMBERS_SQL},
     c AS (SELECT *, y - avg(y) OVER (PARTITION BY user_id, chunk_number) AS d FROM members)
     SELECT user_id, chunk_number,
-      round(CASE WHEN stddev_pop(y) > 0 THEN avg(d * d * d) / pow(avg(d * d), 1.5) END, 5) AS y__skewness,
-      round(CASE WHEN stddev_pop(y) > 0 THEN avg(d * d * d * d) / pow(avg(d * d), 2) - 3 END, 5) AS y__kurtosis
+      round(CASE WHEN stddev_pop(y) > 0 THEN avg(d * d * d) / pow(avg(d * d), 1.5) END, 7) AS y__skewness,
+      round(CASE WHEN stddev_pop(y) > 0 THEN avg(d * d * d * d) / pow(avg(d * d), 2) - 3 END, 7) AS y__kurtosis
     FROM c GROUP BY 1, 2""",
 )
 def chunk_moments(spark, folder):
     wanted = [Aggregate(("y",), "skewness"), Aggregate(("y",), "kurtosis")]
     out = aggregate_chunks(members(spark, folder), ["user_id", "chunk_number"], wanted, 10)
-    return out.select("user_id", "chunk_number", *[rounded(a.output, 5).alias(a.output) for a in wanted])
+    return out.select("user_id", "chunk_number", *[rounded(a.output, 7).alias(a.output) for a in wanted])
 
 
 @query(
@@ -174,14 +174,14 @@ def chunk_moments(spark, folder):
     g AS (SELECT user_id, chunk_number, count(x) AS wx, count(y) AS wy, avg(x) AS mx, avg(y) AS my,
                  coalesce(avg(CASE WHEN x > 0 THEN x END), 0) AS px, coalesce(avg(CASE WHEN y > 0 THEN y END), 0) AS py,
                  stddev_pop(x) AS sx, stddev_pop(y) AS sy FROM members GROUP BY 1, 2)
-    SELECT user_id, chunk_number, round((wx * mx + wy * my) / nullif(wx + wy, 0), 6) AS both__mean,
-           round((wx * px + wy * py) / nullif(wx + wy, 0), 6) AS both__pos_mean,
-           round((wx * sx + wy * sy) / nullif(wx + wy, 0), 6) AS both__std FROM g""",
+    SELECT user_id, chunk_number, round((wx * mx + wy * my) / nullif(wx + wy, 0), 8) AS both__mean,
+           round((wx * px + wy * py) / nullif(wx + wy, 0), 8) AS both__pos_mean,
+           round((wx * sx + wy * sy) / nullif(wx + wy, 0), 8) AS both__std FROM g""",
 )
 def chunk_pooled_columns(spark, folder):
     wanted = [Aggregate(("x", "y"), f, "both") for f in ("mean", "pos_mean", "std")]
     out = aggregate_chunks(members(spark, folder), ["user_id", "chunk_number"], wanted, 10)
-    return out.select("user_id", "chunk_number", *[rounded(a.output).alias(a.output) for a in wanted])
+    return out.select("user_id", "chunk_number", *[rounded(a.output, 8).alias(a.output) for a in wanted])
 
 
 @query(
