@@ -22,9 +22,13 @@ def test_no_pairwise_join_and_no_global_window(spark, name):
     text = plan(queries()[name](spark, FOLDER))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     assert "ArrowEvalPython" not in text or name == "paired_p_values"
-    # a window over one partition may only see the table of bins, never rows
-    for window in re.findall(r"Window \[.*", text):
-        assert "__bin" in window or "[" in window.split("windowspecdefinition")[-1]
+    # a window over a single partition may only see the table of bins, never rows
+    lines = [line.lstrip(" :+-") for line in text.splitlines()]
+    for i, line in enumerate(lines):
+        if line.startswith("Window"):
+            below = lines[i + 1 : i + 4]
+            exchange = next((x for x in below if x.startswith("Exchange")), "")
+            assert "SinglePartition" not in exchange or any("__bin" in x for x in below if x.startswith("Sort"))
 
 
 def test_scans_read_only_what_they_need(spark):
