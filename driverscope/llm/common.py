@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Callable, Iterator
 
@@ -39,38 +38,94 @@ def arrow_rows(function: Callable, schema: pa.Schema) -> Callable[[Iterator[pa.R
     return run
 
 
-class WordHashes(dict):
-    """Word -> 8 hash bytes. Cleared when full, so memory is bounded whatever the vocabulary."""
+def text_chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """UTF-8 bytes and text ends of consecutive texts, about ``limit`` bytes at a time, at least one text."""
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    if not len(column):
+        return
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    row = 0
+    while row < len(column):
+        after = max(row + 1, int(np.searchsorted(ends, ends[row] + limit, side="right")) - 1)
+        yield data[ends[row] : ends[after]], ends[row + 1 : after + 1] - ends[row]
+        row = after
 
-    limit = 400_000
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = hashlib.blake2b(word, digest_size=8).digest()
-        return value
+class WordHasher:
+    """64-bit hashes of all words of many texts at once; only A-Z are lower-cased.
 
+    A word's hash is a polynomial in one odd number over a fixed random number per byte, taken from
+    running sums over all bytes, then mixed.
+    """
 
-def word_hashes(text: str, cache: WordHashes) -> np.ndarray:
-    """One 64-bit hash per word; only A-Z are lower-cased."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    return np.frombuffer(b"".join(map(cache.__getitem__, words)), "<u8")
-
-
-def shingle_set(text: str, width: int, cache: WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles; a shorter text is one shingle, no words none."""
-    hashes = word_hashes(text, cache)
-    width = min(width, len(hashes))
-    if width == 0:
-        return np.empty(0, np.uint64)
-    rows = len(hashes) - width + 1
-    out = np.full(rows, width, np.uint64)
-    for k in range(width):
-        out = (out ^ hashes[k : k + rows]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    out ^= out >> np.uint64(32)
-    return np.unique(out)
+    base = 0x9E3779B97F4A7C15
+
+    def __init__(self) -> None:
+        values = np.random.RandomState(20).randint(0, 1 << 62, 256).astype(np.uint64) * np.uint64(4) + np.uint64(1)
+        values[65:91] = values[97:123]
+        self.values = values
+        self.blank = np.zeros(256, bool)
+        self.blank[[9, 10, 11, 12, 13, 32]] = True
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def _powers(self, size: int) -> None:
+        if len(self.up) < size:
+            steps = np.full(size + (1 << 20), self.base, np.uint64)
+            steps[0] = 1
+            self.up = np.multiply.accumulate(steps)
+            steps[1:] = pow(self.base, -1, 1 << 64)
+            self.down = np.multiply.accumulate(steps)
+
+    def words(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hash of every word, number of words up to each text's end)."""
+        size = len(data)
+        if not size:
+            return np.empty(0, np.uint64), np.zeros(len(ends), np.int64)
+        self._powers(size)
+        blank = self.blank[data]
+        opens = np.ones(size + 1, bool)
+        opens[1:-1] = blank[:-1]
+        opens[ends] = True  # a text's first byte opens a word whatever stands before
+        closes = opens[1:].copy()
+        closes[:-1] |= blank[1:]
+        first, last = np.flatnonzero(opens[:-1] & ~blank), np.flatnonzero(closes & ~blank) + 1
+        sums = np.zeros(size + 1, np.uint64)
+        np.cumsum(self.values[data] * self.up[:size], out=sums[1:])
+        out = (sums[last] - sums[first]) * self.down[first]
+        out ^= out >> np.uint64(31)
+        out *= np.uint64(0xD6E8FEB86659FD93)
+        out ^= out >> np.uint64(32)
+        return out, np.searchsorted(first, ends)
+
+
+def shingle_sets(column: pa.Array, width: int, hasher: WordHasher) -> Iterator[np.ndarray]:
+    """Per text the sorted distinct 64-bit hashes of its word shingles; a shorter text is one, no words none."""
+
+    def fold(hashes: np.ndarray, size: int) -> np.ndarray:
+        rows = len(hashes) - size + 1
+        out = np.full(rows, size, np.uint64)
+        for k in range(size):
+            out = (out ^ hashes[k : k + rows]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+        out *= np.uint64(0xBF58476D1CE4E5B9)
+        return out ^ out >> np.uint64(32)
+
+    for data, ends in text_chunks(column):
+        hashes, words = hasher.words(data, ends)
+        whole = fold(hashes, width) if len(hashes) >= width else None
+        start = 0
+        for end in words.tolist():
+            size = end - start
+            if size >= width:
+                own = np.sort(whole[start : end - width + 1])
+                yield own[np.concatenate([[True], own[1:] != own[:-1]])]
+            elif size:
+                yield fold(hashes[start:end], size)
+            else:
+                yield np.empty(0, np.uint64)
+            start = end
 
 
 class ChunkTokens(dict):

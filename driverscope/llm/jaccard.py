@@ -5,9 +5,8 @@ by hash within both parts. Any order gives the same result, so the sample only m
 
 1. Two similar sets share a shingle of their prefixes, ceil(t n) - 1 short of their lengths. Rows
    (shingle, set) of the prefixes meet by shingle.
-2. The first shingle of a set is its home: the child of the tree's root that it hangs below. A set
-   asks to meet another home once for every prefix shingle that it shares with a set there, never
-   once per pair. The requests are summed; those with fewer shared shingles than any similar set
+2. The smallest hash of a set is its home; similar sets mostly have the same. A set asks to meet
+   another home once for every prefix shingle that it shares with a set there, never once per pair. The requests are summed; those with fewer shared shingles than any similar set
    there would need are dropped.
 3. Sets travel to the pairs of homes that are left. Each pair of homes is a unit: a prefix tree is
    built of its sets, and every set walks through it. Overlaps of shared paths are summed once, and
@@ -31,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, arrow_rows, body, shingle_set, stored
+from .common import WordHasher, arrow_rows, body, shingle_sets, stored
 from .components import components
 
 #: Documents whose hash leaves no remainder by this are the sample that tells frequent shingles.
@@ -64,10 +63,10 @@ def sets_table(docs: DataFrame, width: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.int64())])
 
     def run(batches):
-        cache = WordHashes()
+        hasher = WordHasher()
         for batch in batches:
-            sets = [shingle_set(text.as_py(), width, cache) for text in batch.column(1)]
-            yield [batch.column(0), [len(s) for s in sets], [signature(s) for s in sets]]
+            told = [(len(s), signature(s)) for s in shingle_sets(batch.column(1), width, hasher)]
+            yield [batch.column(0), *([x[k] for x in told] for k in (0, 1))]
 
     return docs.select("doc_id", body()).mapInArrow(arrow_rows(run, schema), "doc_id long, n_shingles long, sig long")
 
@@ -96,10 +95,10 @@ def frequent_shingles(docs: DataFrame, width: int, often: int) -> np.ndarray:
     schema = pa.schema([("h", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
-        cache = WordHashes()
+        hasher = WordHasher()
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
-                sets = [shingle_set(t.as_py(), width, cache) for t in batch.column(0)[start : start + 256]]
+                sets = list(shingle_sets(batch.column(0)[start : start + 256], width, hasher))
                 values, counts = np.unique(np.concatenate(sets), return_counts=True)
                 yield [values.view(np.int64), counts]
 
@@ -109,9 +108,9 @@ def frequent_shingles(docs: DataFrame, width: int, often: int) -> np.ndarray:
     return bitmap(found, bits_for(found.count()))
 
 
-def home_of(first: np.uint64) -> int:
-    """32 bits of a set's first shingle. Homes that fall together only make a unit larger."""
-    return int(first >> np.uint64(32)) - (1 << 31)
+def home_of(least: np.uint64) -> int:
+    """Bits of a set's smallest hash. Homes that fall together only make a unit larger."""
+    return int(least >> np.uint64(24)) % (1 << 32) - (1 << 31)
 
 
 def postings(docs: DataFrame, width: int, t: Fraction, frequent: np.ndarray) -> DataFrame:
@@ -119,26 +118,27 @@ def postings(docs: DataFrame, width: int, t: Fraction, frequent: np.ndarray) ->
     schema = pa.schema([("h", pa.int64()), ("sig", pa.int64()), ("home", pa.int32()), ("n", pa.int32())])
 
     def run(batches):
-        cache, told = WordHashes(), set()
+        hasher, told = WordHasher(), set()
+        heads, rows, waiting = [], [], 0
         for batch in batches:
-            heads, sigs, homes, sizes, lengths = [], [], [], [], []
-            for text in batch.column(0):
-                items = shingle_set(text.as_py(), width, cache)
-                if not len(items):
-                    continue
+            for items in shingle_sets(batch.column(0), width, hasher):
                 sig = signature(items)
-                if sig in told:
+                if not len(items) or sig in told:
                     continue
                 told.add(sig)
+                rows.append((sig, home_of(items[0]), len(items)))
                 items = ordered(items, frequent)
-                head = items[: prefix_length(len(items), t)]
-                heads.append(head)
-                sigs.append(sig)
-                homes.append(home_of(items[0]))
-                sizes.append(len(items))
-                lengths.append(len(head))
-            if heads:
-                yield [np.concatenate(heads).view(np.int64), np.repeat(np.array(sigs, np.int64), lengths), np.repeat(np.array(homes, np.int32), lengths), np.repeat(np.array(sizes, np.int32), lengths)]
+                heads.append(items[: prefix_length(len(items), t)].copy())
+                waiting += len(heads[-1])
+                if waiting > 100_000:
+                    yield columns(heads, rows)
+                    heads, rows, waiting = [], [], 0
+        if heads:
+            yield columns(heads, rows)
+
+    def columns(heads, rows):
+        lengths = [len(x) for x in heads]
+        return [np.concatenate(heads).view(np.int64)] + [np.repeat(np.array([r[k] for r in rows], kind), lengths) for k, kind in enumerate((np.int64, np.int32, np.int32))]
 
     return docs.select(body()).mapInArrow(arrow_rows(run, schema), "h long, sig long, home int, n int")
 
@@ -342,7 +342,7 @@ def link(sets: list[np.ndarray], sides: list[int], copies: list[int], names: lis
     return links, reach
 
 
-def similar_sets(docs: DataFrame, width: int = 5, threshold: Fraction | float = 0.8, often: int = 4, unit_sets: int = 2000) -> DataFrame:
+def similar_sets(docs: DataFrame, width: int = 5, threshold: Fraction | float = 0.8, often: int = 2, unit_sets: int = 2000) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, n_links.
 
     n_links counts the other rows that are linked directly, copies included; component_id is the
@@ -362,18 +362,21 @@ def similar_sets(docs: DataFrame, width: int = 5, threshold: Fraction | float =
     schema = pa.schema([("sig", pa.int64()), ("items", pa.binary())])
 
     def sets(batches):
-        cache, told, low = WordHashes(), set(), (1 << bits) - 1
+        hasher, told, low = WordHasher(), set(), (1 << bits) - 1
+        sigs, items, waiting = [], [], 0
         for batch in batches:
-            sigs, items = [], []
-            for text in batch.column(0):
-                own = shingle_set(text.as_py(), width, cache)
+            for own in shingle_sets(batch.column(0), width, hasher):
                 sig = signature(own)
                 place = sig & low
                 if len(own) and sig not in told and travels[place >> 3] >> (place & 7) & 1:
                     told.add(sig)
                     sigs.append(sig)
                     items.append(ordered(own, frequent).tobytes())
-            yield [sigs, items]
+                    waiting += len(items[-1])
+                    if waiting > 4 << 20:
+                        yield [sigs, items]
+                        sigs, items, waiting = [], [], 0
+        yield [sigs, items]
 
     carried = docs.select(body()).mapInArrow(arrow_rows(sets, schema), "sig long, items binary")
     # a unit: the smaller home, the larger home, and a block of each
@@ -397,12 +400,13 @@ def similar_sets(docs: DataFrame, width: int = 5, threshold: Fraction | float =
     def walk(batches):
         held, now = [], None
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in range(6))):
-                if row[0] != now and held:
-                    yield from done(held)
-                    held = []
-                now = row[0]
-                held.append(row)
+            for start in range(0, batch.num_rows, 256):
+                for row in zip(*(batch.column(c)[start : start + 256].to_pylist() for c in range(6))):
+                    if row[0] != now and held:
+                        yield from done(held)
+                        held = []
+                    now = row[0]
+                    held.append(row)
         if held:
             yield from done(held)
 
