@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import WORD, body, ranked, slices, stored, uniform
 
+#: Slices of the draw, from the one that overflows, whose rows may fill what is missing.
+EDGE_SLICES = 8
+
 
 def word_count(text: str = "text") -> Column:
     return F.regexp_count(body(text), F.lit(WORD)).cast("long")
@@ -60,14 +65,15 @@ def mix(docs: DataFrame, cycle: int = 3, most: int = 3, seed: str = "mix", slice
 
     Size is the number of words, 0 for null texts. Each document is certain of the whole part of its
     expected copies. The words still missing are filled in Pareto order: rows ranked by the odds of a
-    hash-drawn number over the odds of their inclusion, as many from the top as fit, and one closing
-    row whose size comes nearest to the gap. Importance rises with the logarithm of the size up to
+    hash-drawn number over the odds of their inclusion, from the top whatever still fits, and one
+    closing row if it brings the sum nearer. Importance rises with the logarithm of the size up to
     twice, so inclusion probabilities differ within a source. Documents of no words are never taken.
     Repeated rows tie in their rank; it does not matter which of them is taken.
     An empty table gives no rows. Only doc_id, text and source are read.
 
-    The rank is found in slices of the draw: whole slices count by their sums, and only rows of a
-    source's last slice are sorted, so a source of a third of all rows is never in one task.
+    The rank is found in slices of the draw: whole slices count by their sums, and only the rows of
+    a source's last slice and the few after it are sorted and filled in, so a source of a third of all
+    rows is never in one task.
     """
     base = docs.select("doc_id", "source", word_count().alias("size"), F.md5(body()).alias("_text"))
     base = stored(base.withColumn("_row", F.monotonically_increasing_id()), "mix-sizes")
@@ -94,21 +100,29 @@ def mix(docs: DataFrame, cycle: int = 3, most: int = 3, seed: str = "mix", slice
     last = last.select("_l", F.col("last.slice").alias("last_slice"), F.col("last.before").alias("before"))
     held = gaps.withColumnRenamed("source", "_g").join(last, F.col("_g").eqNullSafe(F.col("_l")), "left").drop("_l")
     rows = rows.join(held, F.col("source").eqNullSafe(F.col("_g"))).drop("_g")
-    edge = F.col("slice") == F.col("last_slice")
-    inside = rows.filter(edge)
-    order = W.partitionBy("source").orderBy("order", "doc_id", "_text", "_row").rowsBetween(W.unboundedPreceding, 0)
-    inside = inside.withColumn("in", (F.col("before") + F.sum("size").over(order)) <= F.col("gap"))
-    outside = rows.filter(~F.coalesce(edge, F.lit(False))).withColumn("in", F.coalesce((F.col("slice") < F.coalesce("last_slice", F.lit(parts))), F.lit(False)))
-    drawn = stored(inside.unionByName(outside), "mix-drawn")
-    # one closing row per source, if it brings the sum nearer
-    missing = drawn.groupBy("source").agg((F.first("gap") - F.sum(F.when(F.col("in"), F.col("size")).otherwise(0))).alias("missing"))
-    missing = missing.withColumnRenamed("source", "_m")
-    able = drawn.filter("chance IS NOT NULL AND NOT in").join(missing, F.col("source").eqNullSafe(F.col("_m")))
-    off = F.abs(F.col("missing") - F.col("size"))
-    closing = able.filter(off < F.abs("missing")).groupBy(F.col("source").alias("_c")).agg(F.min(F.struct(off.alias("off"), "order", "doc_id", "_text", "_row")).alias("best"))
-    drawn = drawn.join(closing, F.col("source").eqNullSafe(F.col("_c")), "left")
-    closes = ~F.col("in") & F.coalesce(F.col("_row") == F.col("best._row"), F.lit(False))
-    chosen = (F.col("whole") + (F.col("in") | closes).cast("long")).alias("chosen")
+    edge = F.coalesce((F.col("slice") >= F.col("last_slice")) & (F.col("slice") < F.col("last_slice") + EDGE_SLICES), F.lit(False))
+    names = ["doc_id", "source", "size", "source_size", "target", "copies", "whole", "_text"]
+    fields = [rows.schema[n] for n in names]
+    schema = T.StructType([*fields, T.StructField("in", T.BooleanType())])
+
+    def fill(part: pa.Table) -> pa.Table:
+        part = part.sort_by([("order", "ascending"), ("doc_id", "ascending"), ("_text", "ascending"), ("_row", "ascending")])
+        left = part["gap"][0].as_py() - part["before"][0].as_py()
+        sizes = part["size"].to_pylist()
+        taken = [False] * len(sizes)
+        for k, size in enumerate(sizes):
+            if size <= left:
+                taken[k], left = True, left - size
+        # one closing row, if it brings the sum nearer
+        off, k = min(((abs(left - size), k) for k, size in enumerate(sizes) if not taken[k]), default=(left, -1))
+        if off < left:
+            taken[k] = True
+        return part.select(names).append_column("in", pa.array(taken, pa.bool_()))
+
+    inside = rows.filter(edge).select(*names, "order", "_row", "gap", "before").groupBy("source").applyInArrow(fill, schema)
+    outside = rows.filter(~edge).select(*names, F.coalesce(F.col("slice") < F.coalesce("last_slice", F.lit(parts)), F.lit(False)).alias("in"))
+    drawn = inside.unionByName(outside)
+    chosen = (F.col("whole") + F.col("in").cast("long")).alias("chosen")
     return drawn.select("doc_id", "source", "size", "source_size", "target", "copies", chosen, F.col("_text").alias("text_hash")).withColumn("taken", F.col("chosen") * F.col("size"))
 
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from driverscope.session import scratch_path
 
-from . import blocks, exact, jaccard, mixing, packing
+from . import blocks, exact, jaccard, licences, lines, mixing, neighbours, packing, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -79,3 +81,45 @@ def op9_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op10_pack_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
+
+
+@query()
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.severity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query()
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query(
+    """
+    WITH l AS (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+    k AS (SELECT doc_id, source, trim(line, ' ') AS line FROM l),
+    spread AS (SELECT line FROM k WHERE length(line) > 0 GROUP BY line HAVING count(DISTINCT source) >= 10)
+    SELECT doc_id, count(*) AS n_lines, count(spread.line) AS n_removed FROM k LEFT JOIN spread USING (line) GROUP BY doc_id
+    """
+)
+def op8_line_spread(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = lines.remove_boilerplate(table(spark, folder, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed")
+
+
+@query()
+def op5_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"))
+
+
+@query()
+def op7_licences(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as files below their source and language: source/lang/doc_id."""
+    docs = table(spark, folder, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))
+    found = licences.scan(docs.select(path.alias("path"), "text"))
+    return found.withColumn("doc_id", F.expr("try_cast(element_at(split(path, '/'), -1) AS long)"))
+
+
+@query(corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
