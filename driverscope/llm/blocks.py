@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ChunkTokens, arrow_rows, body, tokenizer_file
+from .common import arrow_rows, body, chunk_tokens, tokenizer_file
 
 BLOCK = 128
 MAGIC = b"PFOR0001"
@@ -126,7 +126,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
     tokenizer = tokenizer or tokenizer_file()
 
     def segments(batches):
-        cache, part, number = ChunkTokens(tokenizer), TaskContext.get().partitionId(), 0
+        cache, part, number = chunk_tokens(tokenizer), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         names, lengths, held, size = [], [], [], 0
         for batch in batches:

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import math
+import re
+import sys
+from array import array
 from collections.abc import Callable, Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -128,38 +132,84 @@ def shingle_sets(column: pa.Array, width: int, hasher: WordHasher) -> Iterator[n
             start = end
 
 
+def byte_letters() -> list[str]:
+    """The visible character that stands for each byte in byte-level vocabularies: printable bytes for
+    themselves, the others for characters from 256 on, in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return [chr(b) if b in plain else chr(256 + others.index(b)) for b in range(256)]
+
+
 class ChunkTokens(dict):
     """Blank-free chunk -> its ids as little-endian bytes, encoded by the tokenizer once per chunk.
 
     The vocabulary splits at white space and drops it before merging, so the ids of a text are the
-    ids of its chunks in order. The cache is cleared when full; long chunks are not kept.
+    ids of its chunks in order. A chunk of letters and closing marks is split once more, as the
+    vocabulary's own pattern does, and plain letters go straight to the tokenizer's merges, lower-cased;
+    every other chunk takes the tokenizer's whole way. When full, the cache becomes the one before,
+    from which chunks still in use are taken over; long chunks are not kept.
     """
 
-    limit = 300_000
+    limit = 250_000
     longest = 64
 
     def __init__(self, tokenizer_path: str, kind: str = "<u4") -> None:
         super().__init__()
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kind = Tokenizer.from_file(tokenizer_path), kind
+        self.tokenizer, self.kind = Tokenizer.from_file(tokenizer_path), {"<u2": "H", "<u4": "I"}[kind]
+        self.merges, self.letters = self.tokenizer.model, byte_letters()
+        self.before: dict[str, bytes] = {}
+        # another vocabulary, with other rules, takes the whole way alone
+        trial = "Straße naïve, hello WORLD."
+        self.plain = True
+        self.plain = self.ids(trial) == self._whole(trial)
+        self.clear()
+
+    def _whole(self, chunk: str) -> bytes:
+        return array(self.kind, self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        value = np.array(ids, self.kind).tobytes()
-        if len(chunk) <= self.longest:
-            if len(self) >= self.limit:
-                self.clear()
-            self[chunk] = value
+        if len(chunk) > self.longest:
+            return self._whole(chunk)
+        if (value := self.before.get(chunk)) is None:
+            value = self._encode(chunk)
+        if len(self) >= self.limit:
+            self.before = dict(self)
+            self.clear()
+        self[chunk] = value
         return value
 
+    def _encode(self, chunk: str) -> bytes:
+        word = chunk.rstrip(CLOSING)
+        if not self.plain or not word.isalpha() or not (word.isascii() or max(word) < "\u0100"):
+            return self._whole(chunk)
+        if word != chunk:
+            return self[word] + self[chunk[len(word) :]]
+        if (low := word.lower()) != word:
+            return self[low]
+        spelt = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+        return array(self.kind, [t.id for t in self.merges.tokenize(spelt)]).tobytes()
+
     def ids(self, text: str) -> bytes:
-        # only ASCII blanks separate chunks; other white space stays inside for the tokenizer
-        flat = text.translate(BLANKS) if any(c in text for c in "\t\n\r\x0b\x0c") else text
-        return b"".join(map(self.__getitem__, filter(None, flat.split(" "))))
+        if SEPARATORS.search(text):
+            return self._whole(text)
+        return b"".join(map(self.__getitem__, text.split()))
+
+
+#: Marks that follow a word as a run of their own; an apostrophe may begin an ending instead.
+CLOSING = ",.;:!?*#$%&|)]}>\"/-_=+~@^"
+#: Characters at which Python splits and the vocabulary does not.
+SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
-BLANKS = {ord(c): " " for c in "\t\n\r\x0b\x0c"}
+def chunk_tokens(tokenizer_path: str, kind: str = "<u4") -> ChunkTokens:
+    """The worker process's cache, kept from task to task; one at a time, so memory stays bounded."""
+    keep = sys.modules.setdefault("_driverscope_worker", ModuleType("_driverscope_worker"))
+    key = (tokenizer_path, kind)
+    if getattr(keep, "key", None) != key:
+        keep.key, keep.cache = key, ChunkTokens(tokenizer_path, kind)
+    return keep.cache
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:

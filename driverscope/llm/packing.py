@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ChunkTokens, arrow_rows, body, slices, stored, tokenizer_file
+from .common import arrow_rows, body, chunk_tokens, slices, stored, tokenizer_file
 
 PIECE_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -97,7 +97,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, window: int =
     schema = pa.schema([("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
 
     def encode(batches):
-        cache, end = ChunkTokens(tokenizer, kind), np.array([end_id], kind).tobytes()
+        cache, end = chunk_tokens(tokenizer, kind), np.array([end_id], kind).tobytes()
         for batch in batches:
             ids = [cache.ids(text.as_py()) + end for text in batch.column(1)]
             yield [batch.column(0), [len(x) // len(end) for x in ids], ids]
