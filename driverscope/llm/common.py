@@ -150,7 +150,7 @@ class ChunkTokens(dict):
     from which chunks still in use are taken over; long chunks are not kept.
     """
 
-    limit = 250_000
+    limit = 400_000
     longest = 64
 
     def __init__(self, tokenizer_path: str, kind: str = "<u4") -> None:
