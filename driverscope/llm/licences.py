@@ -62,7 +62,7 @@ class Templates:
         own = terms(unit)
         known = own & self.idf.keys()
         norm = (sum(self.idf[t] ** 2 for t in known) + (len(own) - len(known)) * self.unseen**2) ** 0.5
-        found = [(sum(self.idf[t] ** 2 for t in known & row) / (norm * n), name) for (name, row), n in zip(self.rows, self.norms)] if known else []
+        found = [(round(sum(self.idf[t] ** 2 for t in sorted(known & row)) / (norm * n), 12), name) for (name, row), n in zip(self.rows, self.norms)] if known else []
         # ties go to the name that comes first
         return min(found, key=lambda x: (-x[0], x[1]), default=(0.0, None))
 

@@ -114,15 +114,14 @@ def estimated_prior(model: AdditiveModel, positive: np.ndarray, unlabelled: np.n
     """Smallest ratio of the shares of unlabelled and positive documents above a score.
 
     Where only positives score as high, the ratio is the share of positives among the unlabelled.
-    Scores that under a tenth of the positives reach are left out; a margin covers the samples' sizes.
+    Scores that under nine in ten positives reach are left out, as their ratios are noisy. Too small
+    a prior only lowers the scores somewhat; too large a one would lift bad documents.
     """
     p, u = np.sort(model.value(model.places(positive))), np.sort(model.value(model.places(unlabelled)))
     cuts = np.unique(p)
     above_p = 1 - np.searchsorted(p, cuts, side="left") / len(p)
     above_u = 1 - np.searchsorted(u, cuts, side="left") / len(u)
-    margin = np.sqrt(np.log(20) / 2) * (len(p) ** -0.5 + len(u) ** -0.5)
-    ratio = (above_u + 0.5 * margin)[above_p >= 0.1] / above_p[above_p >= 0.1]
-    return float(np.clip(ratio.min(), 0.01, 0.99))
+    return float(np.clip((above_u / above_p)[above_p >= 0.9].min(), 0.01, 0.99))
 
 
 def held_out(doc_id: str | Column = "doc_id", folds: int = 5) -> Column:
@@ -149,6 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 10_000, unlabelle
     Labels of 0 are not used. None where there are no positives. Only the samples' measures, a
     dozen numbers a row, come to the driver.
     """
+    docs = docs.select("doc_id", "text")
     trusted = labels.filter("quality = 1 AND doc_id IS NOT NULL").filter(~held_out()).select(F.col("doc_id").alias("_id")).distinct()
     share = min(1.0, positives / max(trusted.count(), 1))
     trusted = F.broadcast(trusted.filter(uniform("_id", salt="trusted") < share))  # about ``positives`` ids
