@@ -50,9 +50,9 @@ def confusion(
 
 
 def score_counts(predictions: DataFrame, keys: Sequence[str], gt: str = "gt", prob: str = "prob") -> DataFrame:
-    """Positives and negatives per distinct score."""
+    """Positives and negatives per distinct score; rows without a score have no place, as in ``confusion``."""
     truth = F.col(gt)
-    return predictions.where(truth != -1).groupBy(*keys, prob).agg(
+    return predictions.where((truth != -1) & F.col(prob).isNotNull()).groupBy(*keys, prob).agg(
         F.count_if(truth == 1).alias("pos"), F.count_if(truth == 0).alias("neg")
     )
 
@@ -208,6 +208,6 @@ def ranking_loss_with_spread(clips: DataFrame, keys: Sequence[str], margin: floa
 
 def best_epoch(epochs: DataFrame, keys: Sequence[str], metric: str, carry: Sequence[str], epoch: str = "epoch") -> DataFrame:
     """First epoch with the highest metric (missing never wins), with the values to carry along."""
-    rank = F.struct(F.coalesce(F.col(metric), F.lit(-1.0)), -F.col(epoch))
+    rank = F.struct(F.col(metric).isNotNull(), F.col(metric), -F.col(epoch))
     best = F.max_by(F.struct(epoch, metric, *carry), rank)
     return epochs.groupBy(*keys).agg(best.alias("__best")).select(*keys, *[F.col(f"__best.{c}").alias(c) for c in (epoch, metric, *carry)])

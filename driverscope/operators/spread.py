@@ -28,13 +28,15 @@ def join_few(big: DataFrame, few: DataFrame, keys: Sequence[str], how: str = "in
     time or chunk would find them already "clustered" and stay there. Here the (key, bin) pairs that
     exist in ``big`` are listed first (a partial aggregate, one row per pair), given the
     fields of their key, and joined back on (key, bin): the hot key's rows
-    spread over its bins. ``how`` is inner, left, left_semi or left_anti; keys must not be NULL.
+    spread over its bins. ``how`` is inner, left, left_semi or left_anti; a NULL key
+    matches nothing, as in any join.
     """
     keys = list(keys)
     marked = big.withColumn("__slot", bin if bin is not None else row_bin(big, keys))
     pairs = marked.select(*keys, "__slot").distinct()
     if how in ("left_semi", "left_anti"):
-        kept = pairs.join(few.select(*keys), keys, how)
-        return marked.join(kept, [*keys, "__slot"], "left_semi").drop("__slot")
+        # a NULL key matches nothing, so its rows go from a semi join and stay in an anti join
+        matched = pairs.join(few.select(*keys), keys, "left_semi")
+        return marked.join(matched, [*keys, "__slot"], how).drop("__slot")
     listed = pairs.join(few, keys, how)
     return marked.join(listed, [*keys, "__slot"], how).drop("__slot")

@@ -169,3 +169,27 @@ def test_summary_waits_for_all_folds(spark):
     assert [r.fold for r in reports.missing_folds(results).collect()] == [4]
     full = results.union(spark.createDataFrame([(4, None)], "fold int, uar double"))
     assert reports.summary_when_complete(full, ["uar"]).first().uar_mean == pytest.approx(0.65)
+
+
+def test_missing_metric_never_wins(spark):
+    from driverscope.operators.metrics import best_epoch
+
+    epochs = spark.createDataFrame([("a", 1, -3.0), ("a", 2, None), ("a", 3, -2.0)], "k string, epoch int, m double")
+    assert best_epoch(epochs, ["k"], "m", []).first().epoch == 3
+
+
+def test_rows_without_score_do_not_rank(spark):
+    from driverscope.operators.metrics import roc_auc
+
+    rows = spark.createDataFrame([("a", 1, 0.2), ("a", 0, None), ("a", 0, 0.1)], "k string, gt int, prob double")
+    found = roc_auc(rows, ["k"]).first()
+    assert (found.auc, found.negatives) == (1.0, 1)
+
+
+def test_anti_join_keeps_null_keys(spark):
+    from driverscope.operators.spread import join_few
+
+    big = spark.createDataFrame([(None, 1), ("a", 2), ("b", 3)], "k string, v int")
+    few = spark.createDataFrame([("a",)], "k string")
+    assert {r.v for r in join_few(big, few, ["k"], "left_anti").collect()} == {1, 3}
+    assert {r.v for r in join_few(big, few, ["k"], "left_semi").collect()} == {2}
