@@ -28,6 +28,8 @@ TEMPLATES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense|notice)([.-].*)?$"
+#: Parts that the files of one directory are dealt to where they meet its licence.
+SALTS = 64
 TERM = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 
 
@@ -131,7 +133,9 @@ def scan(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, least: f
     the nearest directory above. Null texts are empty; a null path has no directory and inherits
     nothing. Repeated rows are treated alike; only path and text are read. An empty table gives no rows.
 
-    Inheritance is found once per directory: directories meet those above them by equal paths.
+    Inheritance is found once per directory: directories meet those above them by equal paths. Files
+    meet their directory's answer in ``SALTS`` parts by a hash of their path, so a directory with a
+    third of all files, or all the files that need no answer, is no single task's.
     """
     files = files.select("path", "text")
     vocabulary = {t for versions in templates.values() for text in versions for t in terms(text)}
@@ -147,7 +151,9 @@ def scan(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, least: f
     # paths with doubled slashes meet as well
     holders = holders.withColumn("_holder", F.array_join(F.filter(F.split("_holder", "/"), lambda x: x != ""), "/")).groupBy("_holder").agg(F.min("_law").alias("_law"))
     nearest = above.join(holders, "_holder").groupBy("_dir").agg(F.max_by("_law", "_depth").alias("_law"))
-    result = own.withColumn("_of", F.when(F.col("licence").isNull(), parent(F.col("path")))).join(nearest, F.col("_of") == F.col("_dir"), "left")
+    dealt = own.withColumn("_of", F.when(F.col("licence").isNull(), parent(F.col("path")))).withColumn("_part", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int"))
+    nearest = nearest.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    result = dealt.join(nearest, (F.col("_of") == F.col("_dir")) & (F.col("_part") == F.col("_salt")), "left")
     return result.select(
         "path",
         F.coalesce("licence", "_law.licence").alias("licence"),
