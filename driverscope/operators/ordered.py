@@ -8,7 +8,8 @@ the earlier bins contribute is computed on a table with one row per (key, bin),
 built with map-side partial aggregation, and joined back. Results are the same
 as those of the plain window, to the last row.
 
-Keys and bins must not be NULL.
+A NULL key is a key like any other and a NULL bin comes first, as in plain windows: rows and
+per-bin results meet on the struct of keys and bin, whose NULL fields are equal.
 """
 
 from __future__ import annotations
@@ -29,12 +30,13 @@ def score_bin(score: str | Column, bins: int = 4096, low: float = 0.0, high: flo
     """Slice of a score range, non-decreasing in the score.
 
     Classifiers crowd their scores at both ends, so the slices are even in the score and, added to
-    that, in its log-odds. Values outside the range fall in the end slices.
+    that, in its log-odds. Values outside the range fall in the end slices,
+    NULL has none.
     """
     c = F.col(score) if isinstance(score, str) else score
     x = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (c - F.lit(low)) / F.lit(high - low)))
     odds = F.log(x + F.lit(1e-15)) - F.log(F.lit(1.0) - x + F.lit(1e-15))
-    return F.floor(x * F.lit(float(bins)) + odds * F.lit(float(steps))).cast("long")
+    return F.when(c.isNotNull(), F.floor(x * F.lit(float(bins)) + odds * F.lit(float(steps))).cast("long"))
 
 
 def magnitude_bin(value: str | Column, steps: int = 64) -> Column:
@@ -44,6 +46,11 @@ def magnitude_bin(value: str | Column, steps: int = 64) -> Column:
     return F.when(c < 0, -size).otherwise(size)
 
 
+def cell(keys: Sequence[str]) -> Column:
+    """Key and bin as one value that is never NULL."""
+    return F.struct(*keys, "__bin").alias("__cell")
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -89,24 +96,23 @@ def running(
     whole = Window.partitionBy(*keys)
     before = Window.partitionBy(*keys).orderBy(bin_ordering).rowsBetween(Window.unboundedPreceding, -1)
     carried = slots.select(
-        *keys,
-        "__bin",
+        cell(keys),
         *[F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__cs_{n}") for n in sums],
         *[F.last(f"__l_{n}", ignorenulls=True).over(before).alias(f"__cl_{n}") for n in lasts],
         *[F.sum(f"__t_{n}").over(whole).alias(n) for n in totals],
     )
     frame = (
-        Window.partitionBy(*keys, "__bin")
+        Window.partitionBy("__cell")
         .orderBy(*ordering)
         .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     )
-    inside = work.select(
+    inside = work.withColumn("__cell", cell(keys)).select(
         *df.columns,
-        "__bin",
+        "__cell",
         *[F.coalesce(F.sum(f"__s_{n}").over(frame), F.lit(0)).alias(f"__s_{n}") for n in sums],
         *[F.last(f"__l_{n}", ignorenulls=True).over(frame).alias(f"__l_{n}") for n in lasts],
     )
-    return inside.join(carried, [*keys, "__bin"]).select(
+    return inside.join(carried, "__cell").select(
         *df.columns,
         *[(F.col(f"__s_{n}") + F.col(f"__cs_{n}")).alias(n) for n in sums],
         *[F.coalesce(F.col(f"__l_{n}"), F.col(f"__cl_{n}")).alias(n) for n in lasts],
@@ -174,10 +180,10 @@ def around(df: DataFrame, keys: Sequence[str], bin: Column, order: Sequence[str]
     work = df.select("*", bin.alias("__bin"), F.struct(*values).alias("__v"))
     slots = work.groupBy(*keys, "__bin").agg(F.min_by("__v", position).alias("__first"), F.max_by("__v", position).alias("__last"))
     across = Window.partitionBy(*keys).orderBy("__bin")
-    carried = slots.select(*keys, "__bin", F.lag("__last").over(across).alias("__before"), F.lead("__first").over(across).alias("__after"))
-    w = Window.partitionBy(*keys, "__bin").orderBy(*order)
-    inside = work.select(*df.columns, "__bin", F.lag("__v").over(w).alias("__p"), F.lead("__v").over(w).alias("__n"))
-    return inside.join(carried, [*keys, "__bin"]).select(
+    carried = slots.select(cell(keys), F.lag("__last").over(across).alias("__before"), F.lead("__first").over(across).alias("__after"))
+    w = Window.partitionBy("__cell").orderBy(*order)
+    inside = work.withColumn("__cell", cell(keys)).select(*df.columns, "__cell", F.lag("__v").over(w).alias("__p"), F.lead("__v").over(w).alias("__n"))
+    return inside.join(carried, "__cell").select(
         *df.columns, F.coalesce("__p", "__before").alias(previous), F.coalesce("__n", "__after").alias(following)
     )
 
@@ -199,12 +205,12 @@ def step_islands(
     """
     keys, order = list(keys), list(order)
     position = F.struct(*[F.col(o) for o in order])
-    w = Window.partitionBy(*keys, "__bin").orderBy(*order)
+    w = Window.partitionBy("__cell").orderBy(*order)
 
     def flag(current: Column, before: Column) -> Column:
         return F.coalesce(starts(current, before), F.lit(False)).cast("long")
 
-    work = df.select("*", bin.alias("__bin"), F.struct(*values).alias("__v")).withColumn("__p", F.lag("__v").over(w))
+    work = df.select("*", bin.alias("__bin"), F.struct(*values).alias("__v")).withColumn("__cell", cell(keys)).withColumn("__p", F.lag("__v").over(w))
     inner = F.when(F.col("__p").isNotNull(), flag(F.col("__v"), F.col("__p"))).otherwise(F.lit(0).cast("long"))
     slots = work.groupBy(*keys, "__bin").agg(
         F.sum(inner).alias("__inner"), F.min_by("__v", position).alias("__first"), F.max_by("__v", position).alias("__last")
@@ -214,11 +220,11 @@ def step_islands(
     linked = linked.withColumn("__opens", F.when(F.col("__before").isNull(), F.lit(1).cast("long")).otherwise(flag(F.col("__first"), F.col("__before"))))
     earlier = across.rowsBetween(Window.unboundedPreceding, -1)
     carried = linked.select(
-        *keys, "__bin", "__before", (F.coalesce(F.sum(F.col("__inner") + F.col("__opens")).over(earlier), F.lit(0)) + F.col("__opens")).alias("__offset")
+        cell(keys), "__before", (F.coalesce(F.sum(F.col("__inner") + F.col("__opens")).over(earlier), F.lit(0)) + F.col("__opens")).alias("__offset")
     )
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = work.select(*df.columns, "__bin", "__p", F.sum(inner).over(upto).alias("__inside"))
-    found = inside.join(carried, [*keys, "__bin"])
+    inside = work.select(*df.columns, "__cell", "__p", F.sum(inner).over(upto).alias("__inside"))
+    found = inside.join(carried, "__cell")
     extra = [F.coalesce("__p", "__before").alias(previous)] if previous else []
     return found.select(*df.columns, (F.col("__inside") + F.col("__offset")).alias(out), *extra)
 

@@ -78,12 +78,14 @@ def signed_rank(pairs: DataFrame, keys: Sequence[str], baseline: str = "baseline
     Differences are rounded to ``digits`` first, so sizes that are equal but for the
     order of summation tie whatever the partitioning.
 
+    A pair with a missing side makes the mean difference, z and effect NULL; it counts in n.
     Zero differences are dropped from the ranks but count in n. Ties share the middle rank
     and reduce the variance. Equal sizes collapse to one row before ranking.
     """
     delta = F.round(F.col(impaired) - F.col(baseline), digits)
-    differences = pairs.select(*keys, delta.alias("__d")).where(F.col("__d").isNotNull())
-    every = differences.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("__d").alias("mean_diff"))
+    differences = pairs.select(*keys, delta.alias("__d"))
+    known = F.count("__d") == F.count(F.lit(1))
+    every = differences.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.when(known, F.avg("__d")).alias("mean_diff"))
     sizes = (
         differences.where("__d <> 0")
         .groupBy(*keys, F.abs("__d").alias("__size"))
@@ -98,7 +100,7 @@ def signed_rank(pairs: DataFrame, keys: Sequence[str], baseline: str = "baseline
     )
     m = F.col("__m")
     variance = m * (m + 1) * (2 * m + 1) / 24 - F.col("__ties") / 48
-    z = F.try_divide(F.col("__plus") - m * (m + 1) / 4, F.sqrt(variance))
+    z = F.when(F.col("mean_diff").isNotNull(), F.try_divide(F.col("__plus") - m * (m + 1) / 4, F.sqrt(variance)))
     return every.join(sums, list(keys), "left").withColumn("z", z).select(
         *keys, "n", "mean_diff", "z", (F.abs("z") / F.sqrt(F.col("n").cast("double"))).alias("effect")
     )

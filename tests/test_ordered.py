@@ -113,3 +113,16 @@ def test_step_islands(rows, width):
 def test_totals_come_with_running_sums(rows):
     got = running(rows, ["k"], time_bin("t", 50), ["t"], sums={"s": F.lit(1)}, totals={"n": F.lit(1)})
     assert {(r.k, r.n) for r in got.collect()} == {("hot", 400), ("cold", 30), ("single", 1)}
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_missing_keys_and_bins_stay(spark, descending):
+    data = [(k, t, float(i)) for i, (k, t) in enumerate((k, t) for k in (None, "a") for t in (None, 1, 60, 130))]
+    rows = spark.createDataFrame(data, "k string, t long, x double").repartition(3)
+    order = F.col("t").desc() if descending else F.col("t")
+    w = Window.partitionBy("k").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    got = running(rows, ["k"], time_bin("t", 50), ["t"], {"s": F.col("x")}, {"l": F.col("x")}, descending=descending)
+    same(got, rows.select("*", F.sum("x").over(w).alias("s"), F.last("x", ignorenulls=True).over(w).alias("l")))
+    assert around(rows, ["k"], time_bin("t", 50), ["t"], ["x"]).count() == len(data)
+    assert step_islands(rows, ["k"], time_bin("t", 50), ["t"], ["x"], lambda a, b: a["x"] > b["x"] + 1).count() == len(data)
+    assert rows.select(score_bin(F.lit(None).cast("double")).alias("b")).where("b IS NOT NULL").count() == 0

@@ -149,6 +149,13 @@ def test_signed_rank_ties_and_all_zero(spark):
     assert rows["z"].z is None and rows["z"].mean_diff == 0.0
 
 
+def test_signed_rank_of_a_missing_mean_is_missing(spark):
+    data = [("f", 0.0, 1.0), ("f", 0.0, None), ("g", 0.0, 1.0), ("g", 0.0, 2.0)]
+    rows = {r.feature: r for r in stats.signed_rank(spark.createDataFrame(data, "feature string, baseline double, impaired double"), ["feature"]).collect()}
+    assert (rows["f"].n, rows["f"].mean_diff, rows["f"].z, rows["f"].effect) == (2, None, None, None)
+    assert rows["g"].n == 2 and rows["g"].mean_diff == 1.5
+
+
 def test_comparison_is_skipped_when_sides_differ(spark):
     rows = spark.createDataFrame(
         [("cd", "a", True, 1.0), ("cd", "a", False, 2.0), ("cd", "b", True, 1.0)], "condition string, participant_name string, is_condition boolean, x double"
