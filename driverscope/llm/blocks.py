@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from driverscope.operators.ordered import running, time_bin
+
 from .common import arrow_rows, body, chunk_tokens, tokenizer_file
 
 BLOCK = 128
@@ -151,12 +153,12 @@ def read_tokens(spark: SparkSession, folder: str, with_ids: bool = False) -> Dat
     """Per document from the files: doc_id, start, n_tokens, ids_crc32, and the ids themselves if asked for.
 
     A start is the sum of three numbers: ids of earlier parts, of earlier segments of the part, of
-    earlier documents of the segment. Only one number per part is summed up in one place.
+    earlier documents of the segment. Only one number per 64 parts is summed up in one place.
     """
     files = spark.read.schema(SEGMENT_DDL).parquet(folder)
     sizes = files.select("part", "segment", "n_tokens")
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("_all"))
-    parts = parts.select("part", (F.sum("_all").over(W.orderBy("part")) - F.col("_all")).alias("_part_start"))
+    parts = running(parts, [], time_bin("part", 64), ["part"], {"_part_start": F.col("_all")}, inclusive=False).drop("_all")
     within = F.sum("n_tokens").over(W.partitionBy("part").orderBy("segment")) - F.col("n_tokens")
     offsets = sizes.select("part", "segment", within.alias("_segment_start")).join(parts, "part")
     schema = pa.schema([("part", pa.int32()), ("segment", pa.int64()), ("doc_id", pa.int64()), ("local", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int64()))] * with_ids)
