@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -168,6 +168,16 @@ def apply_normaliser(
     return joined.withColumns(scored).drop("__stats", *fields)
 
 
+def z_scores(
+    df: DataFrame, columns: Sequence[str], method: str, subject: str = "participant_name", train: Column | None = None
+) -> DataFrame:
+    """z-scores by the table's own statistics: of everyone (of the rows that ``train`` marks), or of each subject."""
+    if method == "none":
+        return df
+    known = df.where(train) if train is not None and method == "population" else df
+    return apply_normaliser(df, fit_normaliser(known, columns, method, subject), columns, method, subject)
+
+
 def normalise_split(
     train: DataFrame, other: DataFrame, columns: Sequence[str], method: str, subject: str = "participant_name"
 ) -> tuple[DataFrame, DataFrame]:
@@ -184,6 +194,14 @@ def participant_means(df: DataFrame, columns: Sequence[str], participant: str =
     return df.groupBy(participant).agg(*[F.avg(c).alias(c) for c in columns])
 
 
+def on_chunks(chunks: DataFrame, tables: Iterable[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """Every chunk with the aggregates of every table; a chunk without rows in a table has NULLs there."""
+    out = chunks
+    for table in tables:
+        out = out.join(table, list(keys), "left")
+    return out
+
+
 def combine_sources(tables: Mapping[str, DataFrame], keys: Sequence[str]) -> DataFrame:
     """Aggregates of several sources side by side; a source without the chunk leaves NULLs."""
     frames = list(tables.values())

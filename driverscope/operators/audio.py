@@ -59,16 +59,25 @@ def sounding_segments(samples: DataFrame, keys: Sequence[str], time: str, level:
     )
 
 
-def segment_lists(segments: DataFrame, keys: Sequence[str], unit: float, first: int = 2) -> DataFrame:
-    """Per response window its first segments as an ordered (start, end) list in seconds.
+def segment_lists(segments: DataFrame, keys: Sequence[str], unit: float) -> DataFrame:
+    """Per response window all its segments as an ordered (start, end) list in seconds.
 
-    Judging an answer looks at two segments. The fixed number is cut inside each map task, so
-    no list grows with the recording; the segments themselves stay a table.
+    A window lasts seconds, so its list is short; for whole recordings keep the table of segments.
     """
-    order = F.row_number().over(Window.partitionBy(*keys).orderBy("start", "end"))
-    kept = segments.withColumn("__rn", order).where(F.col("__rn") <= first)
     pair = F.struct((F.col("start") / F.lit(unit)).alias("start"), (F.col("end") / F.lit(unit)).alias("end"))
-    return kept.groupBy(*keys).agg(F.array_sort(F.collect_list(pair)).alias("nonsilent_seg"))
+    return segments.groupBy(*keys).agg(F.array_sort(F.collect_list(pair)).alias("nonsilent_seg"))
+
+
+def windows_answered(segments: DataFrame, keys: Sequence[str], unit: float) -> DataFrame:
+    """Per window the number of its segments and whether it holds a real answer.
+
+    The judgement looks at the two earliest segments only, which are picked within each map task
+    before the shuffle, so whole recordings can serve as windows too.
+    """
+    counted = segments.groupBy(*keys).agg(F.count(F.lit(1)).alias("segments"))
+    order = F.row_number().over(Window.partitionBy(*keys).orderBy("start", "end"))
+    earliest = segment_lists(segments.withColumn("__rn", order).where(F.col("__rn") <= 2), keys, unit)
+    return counted.join(earliest.select(*keys, answered("nonsilent_seg").alias("answered")), list(keys))
 
 
 def score_answers(transcript: DataFrame, task: str, expected: str = "gt", answer: str = "answer", key: Callable[[Column], Column] = F.soundex) -> DataFrame:

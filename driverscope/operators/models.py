@@ -56,15 +56,19 @@ def balanced_weights(df: DataFrame, label: str = "label") -> DataFrame:
     return df.withColumn("__c", counts).withColumn("weight", F.col("__c.n") / (2.0 * own)).drop("__c")
 
 
-def fit_task(train: DataFrame, columns: Sequence[str], gt: str, model: str, identity: Sequence[str], seed: int = 42, **options) -> PipelineModel:
+def fit_task(
+    train: DataFrame, columns: Sequence[str], gt: str, model: str, identity: Sequence[str], seed: int = 42, undersampled: bool = False, **options
+) -> PipelineModel:
     """Fit one task; rows outside the task (-1) are left out.
 
-    The network has no row weights, so its classes are balanced by undersampling.
+    The network has no row weights. It learns from all rows, or with ``undersampled`` from as many of
+    the larger class as the smaller one has.
     """
     rows, names = prepare(train.where(F.col(gt) != -1), columns, model in ("RandomForest", "GradientBoosting"))
     rows = rows.withColumn("label", F.col(gt).cast("double"))
-    if model == "ShallowNet":
+    if undersampled:
         rows = undersample(rows, "label", identity, seed)
+    if model == "ShallowNet":
         scaler = [VectorAssembler(inputCols=names, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)]
         stages = [*scaler, _estimator(model, len(names), seed, **options)]
     else:

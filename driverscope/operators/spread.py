@@ -6,37 +6,29 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-BINS = 1024
+#: Parts that the rows of one key are dealt to.
+SALTS = 32
 
 
-def hash_bin(columns: Sequence[str | Column], bins: int = BINS) -> Column:
+def hash_bin(columns: Sequence[str | Column], bins: int = 1024) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(bins).cast("long"))
 
 
-def row_bin(df: DataFrame, keys: Sequence[str], bins: int = BINS) -> Column:
-    """Hash of everything but the keys, for rows without a time or score to cut by."""
-    plain = [f.name for f in df.schema.fields if f.name not in set(keys) and isinstance(f.dataType, T.AtomicType)]
-    return hash_bin([F.col(f"`{n}`") for n in plain] or [F.lit(0)], bins)
-
-
 def join_few(big: DataFrame, few: DataFrame, keys: Sequence[str], how: str = "inner", bin: Column | None = None) -> DataFrame:
-    """Join on ``keys`` where ``few`` has at most one row per key, without shuffling ``big`` by ``keys`` alone.
-
-    A plain join would send a hot key's rows to one task, and a later grouping on that key plus a
-    time or chunk would find them already "clustered" and stay there. Here the (key, bin) pairs that
-    exist in ``big`` are listed first (a partial aggregate, one row per pair), given the
-    fields of their key, and joined back on (key, bin): the hot key's rows
-    spread over its bins. ``how`` is inner, left, left_semi or left_anti; a NULL key
-    matches nothing, as in any join.
+    """Join on ``keys`` where ``few`` has at most one row per key; ``big`` is read and moved once.
+
+    Without ``bin`` it is a plain join: Spark broadcasts a small ``few`` and splits a hot key while
+    running. Give a ``bin`` (a time slot, say) where a later grouping holds the keys and more: it would
+    take the rows of a plain join as clustered already and leave a hot key in one task. The rows
+    are then dealt to ``SALTS`` parts by a hash of their bin, and every row of ``few`` stands once in
+    each part. ``how`` is inner, left, left_semi or left_anti; a NULL key matches nothing, as in any join.
     """
     keys = list(keys)
-    marked = big.withColumn("__slot", bin if bin is not None else row_bin(big, keys))
-    pairs = marked.select(*keys, "__slot").distinct()
     if how in ("left_semi", "left_anti"):
-        # a NULL key matches nothing, so its rows go from a semi join and stay in an anti join
-        matched = pairs.join(few.select(*keys), keys, "left_semi")
-        return marked.join(matched, [*keys, "__slot"], how).drop("__slot")
-    listed = pairs.join(few, keys, how)
-    return marked.join(listed, [*keys, "__slot"], how).drop("__slot")
+        few = few.select(*keys)
+    if bin is None:
+        return big.join(few, keys, how)
+    part = F.pmod(F.xxhash64(bin), F.lit(SALTS).cast("long")).cast("int")
+    listed = few.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return big.withColumn("__part", part).join(listed, [*keys, "__part"], how).drop("__part")

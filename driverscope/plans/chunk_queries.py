@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driverscope.operators.aggregates import aggregate_chunks, apply_normaliser, fit_normaliser, normalise_split
+from driverscope.operators.aggregates import aggregate_chunks, apply_normaliser, fit_normaliser, normalise_split, on_chunks
 from driverscope.operators.chunks import (
     ChunkSpec,
     chunk_recordings,
@@ -19,7 +19,7 @@ from driverscope.operators.chunks import (
 from driverscope.operators.ordered import time_bin
 from driverscope.plans.catalogue import query, rounded
 from driverscope.plans.standins import SIGNAL_SQL, recordings, signal
-from driverscope.schema import Aggregate
+from driverscope.schema import Aggregate, FeatureSpec
 
 SECOND = 1_000_000_000
 # 90 s chunks that end 30 s before the recording does, one a minute.
@@ -43,6 +43,13 @@ def members(spark: SparkSession, folder: str) -> DataFrame:
     return rows_in_chunks(rows, recordings(rows), STUDY, ["user_id"])
 
 
+def per_chunk(spark: SparkSession, folder: str, wanted: list[Aggregate]) -> DataFrame:
+    """Aggregates of every study chunk, those without rows included."""
+    keys = ["user_id", "chunk_number"]
+    chunks = chunk_recordings(recordings(signal(spark, folder)), STUDY, ["user_id"]).select(*keys)
+    return on_chunks(chunks, [aggregate_chunks(members(spark, folder), keys, wanted, 10, order=["t_ns", "event_id"])], keys)
+
+
 @query(
     "chunk_tiling_end",
     f"WITH {SIGNAL_SQL}, {STUDY_CHUNKS_SQL} SELECT user_id, chunk_number, start_ns, end_ns FROM chunks",
@@ -144,12 +151,12 @@ def frame_grid_60(spark, folder):
       CASE WHEN count(flag) > 0 THEN round(coalesce(sum(CASE WHEN flag IS NOT NULL AND known IS NOT NULL
            THEN CAST((flag = 1) <> (known = 1) AS INT) END), 0) / (count(flag) / 600.0), 6) END AS flag__change_rate,
       CASE WHEN count(y) > 0 THEN round(coalesce(sqrt(sum((y - p) * (y - p))) / nullif(stddev_pop(y), 0), 0), 6) END AS y__cid_ce
-    FROM m GROUP BY 1, 2""",
+    FROM chunks LEFT JOIN m USING (user_id, chunk_number) GROUP BY 1, 2""",
 )
 def chunk_features(spark, folder):
     wanted = [Aggregate(("y",), f) for f in ("mean", "abs_mean", "pos_mean", "neg_mean", "sum_rate", "std")]
     wanted += [Aggregate(("flag",), "change_rate"), Aggregate(("y",), "cid_ce")]
-    out = aggregate_chunks(members(spark, folder), ["user_id", "chunk_number"], wanted, 10, order=["t_ns", "event_id"])
+    out = per_chunk(spark, folder, wanted)
     return out.select("user_id", "chunk_number", *[rounded(a.output).alias(a.output) for a in wanted])
 
 
@@ -160,11 +167,11 @@ def chunk_features(spark, folder):
     SELECT user_id, chunk_number,
       round(CASE WHEN stddev_pop(y) > 0 THEN avg(d * d * d) / pow(avg(d * d), 1.5) END, 7) AS y__skewness,
       round(CASE WHEN stddev_pop(y) > 0 THEN avg(d * d * d * d) / pow(avg(d * d), 2) - 3 END, 7) AS y__kurtosis
-    FROM c GROUP BY 1, 2""",
+    FROM chunks LEFT JOIN c USING (user_id, chunk_number) GROUP BY 1, 2""",
 )
 def chunk_moments(spark, folder):
     wanted = [Aggregate(("y",), "skewness"), Aggregate(("y",), "kurtosis")]
-    out = aggregate_chunks(members(spark, folder), ["user_id", "chunk_number"], wanted, 10)
+    out = per_chunk(spark, folder, wanted)
     return out.select("user_id", "chunk_number", *[rounded(a.output, 7).alias(a.output) for a in wanted])
 
 
@@ -173,14 +180,14 @@ def chunk_moments(spark, folder):
     f"""WITH {SIGNAL_SQL}, {STUDY_CHUNKS_SQL}, {MEMBERS_SQL},
     g AS (SELECT user_id, chunk_number, count(x) AS wx, count(y) AS wy, avg(x) AS mx, avg(y) AS my,
                  coalesce(avg(CASE WHEN x > 0 THEN x END), 0) AS px, coalesce(avg(CASE WHEN y > 0 THEN y END), 0) AS py,
-                 stddev_pop(x) AS sx, stddev_pop(y) AS sy FROM members GROUP BY 1, 2)
+                 stddev_pop(x) AS sx, stddev_pop(y) AS sy FROM chunks LEFT JOIN members USING (user_id, chunk_number) GROUP BY 1, 2)
     SELECT user_id, chunk_number, round((wx * mx + wy * my) / nullif(wx + wy, 0), 8) AS both__mean,
            round((wx * px + wy * py) / nullif(wx + wy, 0), 8) AS both__pos_mean,
            round((wx * sx + wy * sy) / nullif(wx + wy, 0), 8) AS both__std FROM g""",
 )
 def chunk_pooled_columns(spark, folder):
     wanted = [Aggregate(("x", "y"), f, "both") for f in ("mean", "pos_mean", "std")]
-    out = aggregate_chunks(members(spark, folder), ["user_id", "chunk_number"], wanted, 10)
+    out = per_chunk(spark, folder, wanted)
     return out.select("user_id", "chunk_number", *[rounded(a.output, 8).alias(a.output) for a in wanted])
 
 
@@ -321,7 +328,7 @@ def _changes(column: str) -> str:
       CASE WHEN wx > 0 AND wy > 0 THEN round((wx * mx + wy * my) / (wx + wy), 6) END AS tobii_eye_pupil_diameter__mean,
       CASE WHEN wx > 0 AND wy > 0 THEN round((wx * sx + wy * sy) / (wx + wy), 6) END AS gaze_pitch__std, CASE WHEN wf > 0 AND wy > 0 THEN round((wy * sy + wf * sf) / (wy + wf), 6) END AS gaze_yaw__std,
       CASE WHEN wf > 0 THEN round(kf, 6) END AS gaze_saccade__change_rate, CASE WHEN wf > 0 AND wy > 0 THEN round((wf * kf + wy * ks) / (wf + wy), 6) END AS gaze_fixation__change_rate
-    FROM g""",
+    FROM c LEFT JOIN g USING (user_id)""",
 )
 def feature_set_main(spark, folder):
     from driverscope.plans.feature_set import feature_set
@@ -331,6 +338,26 @@ def feature_set_main(spark, folder):
         name: rows.select("user_id", "event_id", "t_ns", *[F.expr(e).cast("double").alias(c) for c, e in columns.items()])
         for name, columns in MAIN_COLUMNS.items()
     }
-    out = feature_set(tables, recordings(rows), ["user_id"], time="t_ns")
+    out = feature_set(tables, recordings(rows), ["user_id"], time="t_ns", order=["t_ns", "event_id"])
     names = [c for c in out.columns if "__" in c]
     return out.select("user_id", "chunk_number", *[rounded(c).alias(c) for c in names])
+
+
+@query(
+    "feature_set_normalised",
+    f"""WITH {SIGNAL_SQL}, {STUDY_CHUNKS_SQL}, {MEMBERS_SQL},
+    z AS (SELECT user_id, chunk_number, (y - avg(y) OVER u) / nullif(stddev_samp(y) OVER u, 0) AS zy FROM members WINDOW u AS (PARTITION BY user_id)),
+    a AS (SELECT user_id, chunk_number, avg(abs(zy)) AS m, stddev_pop(zy) AS s FROM z GROUP BY 1, 2),
+    p AS (SELECT avg(m) AS mm, stddev_samp(m) AS ms, avg(s) AS sm, stddev_samp(s) AS ss FROM a WHERE user_id % 3 <> 0)
+    SELECT user_id, chunk_number, round((m - mm) / nullif(ms, 0), 6) AS y__abs_mean, round((s - sm) / nullif(ss, 0), 6) AS y__std
+    FROM chunks LEFT JOIN a USING (user_id, chunk_number) CROSS JOIN p""",
+)
+def feature_set_normalised(spark, folder):
+    """Rows as z-scores of their subject, aggregates as z-scores of the training subjects (two thirds)."""
+    from driverscope.plans.feature_set import feature_set
+
+    rows = signal(spark, folder)
+    wanted = (Aggregate(("y",), "abs_mean"), Aggregate(("y",), "std"))
+    spec = FeatureSpec("signal", "signal", 10, aggregates=wanted, normalize="subject", normalize_aggregate="population")
+    out = feature_set({"signal": rows}, recordings(rows), ["user_id"], [spec], STUDY, time="t_ns", subject="user_id", train=F.col("user_id") % 3 != 0)
+    return out.select("user_id", "chunk_number", *[rounded(a.output).alias(a.output) for a in wanted])

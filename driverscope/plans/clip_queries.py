@@ -325,10 +325,7 @@ def sounding_segments(spark, folder):
 )
 def sounding_answered(spark, folder):
     """Seconds are scaled so that 0.7 s stands for 20 s of the stand-in."""
-    segments = sounds(spark, folder)
-    listed = audio.segment_lists(segments, ["user_id"], 20 * SECOND / 0.7)
-    counted = segments.groupBy("user_id").agg(F.count("*").alias("n"))
-    return counted.join(listed, "user_id").select("user_id", "n", answered("nonsilent_seg").alias("answered"))
+    return audio.windows_answered(sounds(spark, folder), ["user_id"], 20 * SECOND / 0.7).withColumnRenamed("segments", "n")
 
 
 @query(

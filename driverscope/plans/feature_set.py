@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
-from driverscope.operators.aggregates import aggregate_chunks, combine_sources
-from driverscope.operators.chunks import ChunkSpec, default_fps, rows_in_chunks
+from driverscope.operators.aggregates import aggregate_chunks, on_chunks, z_scores
+from driverscope.operators.chunks import ChunkSpec, chunk_recordings, default_fps, rows_in_chunks
 from driverscope.schema import TIME, Aggregate, FeatureSpec
 
 # Tables, rates, columns and functions of the set "main".
@@ -67,14 +67,21 @@ def feature_set(
     chunk: ChunkSpec = TEST_CHUNK,
     anomalies: str | None = None,
     time: str = TIME,
+    order: Sequence[str] | None = None,
+    subject: str = "participant_name",
+    train: Column | None = None,
 ) -> DataFrame:
-    """One row per chunk with the aggregates of every table at hand.
+    """One row per chunk of every recording with the aggregates of every table at hand.
 
     Chunks are cut on the grid of the fastest table unless the spec names a rate. A
-    table, or a column, that a recording lacks leaves NULLs.
+    table, a column or a chunk's rows that a recording lacks leave NULLs. ``order`` settles the order
+    of rows at one time. A spec's ``normalize`` turns the rows of its chunks to z-scores before they
+    are summed up, ``normalize_aggregate`` the chunks' aggregates after; ``train``, a condition on
+    the keys, names the rows that population statistics come from (all by default).
     """
     spec = chunk if chunk.fps is not None else chunk.at(default_fps([s.fps for s in specs]))
     chunk_keys = [*keys, "chunk_number"]
+    chunks = chunk_recordings(recordings, spec, keys, anomalies=anomalies).select(*chunk_keys)
     parts: dict[str, DataFrame] = {}
     for source in specs:
         if source.name not in tables:
@@ -83,5 +90,8 @@ def feature_set(
         wanted = [a for a in source.aggregates if set(a.columns) <= set(table.columns)]
         if wanted:
             rows = rows_in_chunks(table, recordings, spec, keys, time=time, anomalies=anomalies)
-            parts[source.name] = aggregate_chunks(rows, chunk_keys, wanted, source.fps, order=[time])
-    return combine_sources(parts, chunk_keys)
+            inputs = list(dict.fromkeys(c for a in wanted for c in a.columns))
+            rows = z_scores(rows, inputs, source.normalize, subject, train)
+            found = aggregate_chunks(rows, chunk_keys, wanted, source.fps, order=order or [time])
+            parts[source.name] = z_scores(found, [a.output for a in wanted], source.normalize_aggregate, subject, train)
+    return on_chunks(chunks, parts.values(), chunk_keys)

@@ -278,19 +278,15 @@ def scenario_frequency(spark, folder):
     return reports.frequency(raw_scenarios(spark, folder), "scenario_name")
 
 
-NAMES = ["driving/1a-pedestrian_pop_out", "driving/3c-pedestrian_pop_out", "tobii_calibration"]
-_MATRIX = ", ".join(f"""CAST(sum(duration_ds - med) FILTER (scenario_name = '{n}') AS DOUBLE) AS "{n}" """ for n in NAMES)
-
-
 @query(
     "duration_matrix",
     f"""WITH {INDEX_SQL}, m AS (SELECT *, median(duration_ds) OVER (PARTITION BY scenario_name) AS med FROM scenarios)
-    SELECT participant_name, {_MATRIX} FROM m GROUP BY 1""",
+    SELECT participant_name, scenario_name, CAST(sum(duration_ds - med) AS DOUBLE) AS deviation FROM m GROUP BY 1, 2""",
 )
 def duration_matrix(spark, folder):
     index = raw_scenarios(spark, folder)
-    out = reports.duration_deviation(index, "participant_name", "scenario_name", "duration_ds", magnitude_bin("duration_ds"), NAMES)
-    return out.select("participant_name", *[F.col(f"`{n}`").cast("double").alias(n) for n in NAMES])
+    out = reports.duration_deviation(index, "participant_name", "scenario_name", "duration_ds", magnitude_bin("duration_ds"))
+    return out.withColumn("deviation", F.col("deviation").cast("double"))
 
 
 @query(

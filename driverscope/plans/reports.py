@@ -167,14 +167,11 @@ def frequency(df: DataFrame, value: str) -> DataFrame:
     return df.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
 
 
-def duration_deviation(durations: DataFrame, participant: str, scenario: str, value: str, bin: Column, scenarios: Sequence[str]) -> DataFrame:
-    """Participant x scenario matrix of deviations from the scenario's median."""
-    shown = durations.where(F.col(scenario).isin(*scenarios))
-    middle = median(shown, [scenario], value, bin)
-    every = durations.select(participant).distinct()
-    off = join_few(shown, middle, [scenario]).select(participant, scenario, (F.col(value) - F.col("median")).alias("__off"))
-    matrix = off.groupBy(participant).pivot(scenario, list(scenarios)).agg(F.sum("__off"))
-    return every.join(matrix, participant, "left")
+def duration_deviation(durations: DataFrame, participant: str, scenario: str, value: str, bin: Column) -> DataFrame:
+    """Deviation from the scenario's median per participant and scenario: the matrix, one row per cell."""
+    middle = median(durations, [scenario], value, bin)
+    off = join_few(durations, middle, [scenario], bin=bin)
+    return off.groupBy(participant, scenario).agg(F.sum(F.col(value) - F.col("median")).alias("deviation"))
 
 
 def minutes_by_category(index: DataFrame, participant: str, name: str, seconds: Column, categories: Mapping[str, str]) -> DataFrame:

@@ -67,23 +67,48 @@ def clean_name(name: str) -> str:
     return name.strip().replace(" ", "_")
 
 
+def read_by_name(spark: SparkSession, paths: str, columns: Sequence[str] = (), clean: bool = True, **options) -> DataFrame:
+    """CSV files as strings, every file's columns found by the names in its own header; with ``__path``.
+
+    Columns in another order, left out or added in some files are no matter; what a file lacks is NULL,
+    a column that no file has is left out. Without ``columns`` all are read. ``clean`` writes blanks
+    in names as underscores. The first lines are read first, in one more pass over the text; only the names
+    that occur and their places come to the driver. A name with the same place in every file is read from there,
+    the others meet their file's header in a join by path.
+    """
+    path = F.col("_metadata.file_path").alias("__path")
+    text = spark.read.options(**options).text(paths).where(F.col("_metadata.file_block_start") == 0)
+    lines = text.where(F.trim("value") != "").select(path, "value", F.monotonically_increasing_id().alias("__at"))
+    name = F.regexp_replace(F.trim(F.col("name")), '^"|"$', "")
+    name = F.regexp_replace(F.trim(name), " ", "_") if clean else name
+    first = lines.groupBy("__path").agg(F.min_by("value", "__at").alias("__head"))
+    cells = first.select("__path", F.posexplode(F.split("__head", ",")).alias("__place", "name")).select("__path", "__place", name.alias("name"))
+    # the first of equal names counts
+    places = cells.groupBy("__path", "name").agg(F.min("__place").alias("__place"))
+    bounds = F.min("__place").alias("low"), F.max("__place").alias("high"), F.count(F.lit(1)).alias("files")
+    found = places.groupBy("name").agg(*bounds).orderBy("low", "name").collect()
+    widest = cells.agg(F.coalesce(F.max("__place"), F.lit(0)), F.count_distinct("__path")).first()
+    fields = [f"c{i}" for i in range(widest[0] + 1)]
+    raw = spark.read.options(header=True, **options).schema(", ".join(f"{f} string" for f in fields)).csv(paths)
+    wanted = {r["name"]: r for r in found if r["name"] != "" and (not columns or r["name"] in columns)}
+    fixed = {n for n, r in wanted.items() if r.low == r.high and r.files == widest[1]}
+    rows, moving = raw.select(path, *fields), [n for n in wanted if n not in fixed]
+    if moving:
+        own = F.map_from_entries(F.collect_list(F.struct("name", "__place")))
+        rows = rows.join(places.where(F.col("name").isin(moving)).groupBy("__path").agg(own.alias("__places")), "__path", "left")
+    cell = {n: F.col(fields[r.low]) if n in fixed else F.get(F.array(*fields), F.try_element_at("__places", F.lit(n))) for n, r in wanted.items()}
+    return rows.select("__path", *[c.alias(n) for n, c in cell.items()])
+
+
 def _read_named(spark: SparkSession, root: str, file: str, keys: Mapping[str, str], columns: Sequence[str]) -> DataFrame:
     """CSV files of one name below a root; keys as long, other columns as double, NaN as NULL."""
-    raw = (
-        spark.read.option("header", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", file)
-        .csv(root)
-    )
-    names = {clean_name(c): c for c in raw.columns}
-    renamed = {new: names[clean_name(old)] for old, new in keys.items() if clean_name(old) in names}
-    wanted = list(columns) or [n for n in names if n not in {clean_name(k) for k in keys}]
-    # a column that no file has is left out, as its aggregates are
-    present = [c for c in wanted if c in names and c not in renamed]
+    renamed = {clean_name(old): new for old, new in keys.items()}
+    raw = read_by_name(spark, root, [*renamed, *columns] if columns else (), recursiveFileLookup=True, pathGlobFilter=file)
+    present = [c for c in (columns or raw.columns) if c in raw.columns and c not in renamed and c != "__path"]
     return raw.select(
-        F.col("_metadata.file_path").alias("__path"),
-        *[F.col(f"`{old}`").cast("long").alias(new) for new, old in renamed.items()],
-        *[_typed(c, f"`{names[c]}`") for c in present],
+        "__path",
+        *[F.col(f"`{old}`").cast("long").alias(new) for old, new in renamed.items() if old in raw.columns],
+        *[_typed(c, f"`{c}`") for c in present],
     )
 
 
@@ -191,10 +216,10 @@ def schedule_pattern(scenario: Column) -> Column:
 def scan_schedules(spark: SparkSession, root: str, task: str) -> DataFrame:
     """All schedules of a task with their pattern number: a table of eight short files."""
     folder = {"nback_task": "nback", "statement_task": "statement"}[task]
-    rows = spark.read.option("header", True).csv(f"{root}/{folder}/*.csv")
-    number = F.regexp_extract(F.col("_metadata.file_path"), r"pttn(\d+)\.csv", 1).cast("int")
+    rows = read_by_name(spark, f"{root}/{folder}/*.csv", clean=False)
+    number = F.regexp_extract("__path", r"pttn(\d+)\.csv", 1).cast("int")
     numeric = ("startime", "digit", "start_response", "end_response")
-    return rows.select(number.alias("pattern"), *[F.col(c).cast("double").alias(c) if c in numeric else F.col(c) for c in rows.columns])
+    return rows.select(number.alias("pattern"), *[F.col(f"`{c}`").cast("double").alias(c) if c in numeric else F.col(f"`{c}`") for c in rows.columns if c != "__path"])
 
 
 def list_participants(index: DataFrame, version: str = "all", participant: str = "participant_name") -> DataFrame:
@@ -205,9 +230,9 @@ def list_participants(index: DataFrame, version: str = "all", participant: str =
 
 def read_scenario_tables(spark: SparkSession, root: str, file: str = "key_scenario_timings.csv") -> DataFrame:
     """Timing tables of all participants, with the participant's name."""
-    rows = spark.read.option("header", True).csv(f"{root}/*/{file}")
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1)
-    return rows.select(name.alias("participant_name"), *rows.columns)
+    rows = read_by_name(spark, f"{root}/*/{file}", clean=False)
+    name = F.regexp_extract("__path", r"/([^/]+)/[^/]+$", 1)
+    return rows.select(name.alias("participant_name"), *[F.col(f"`{c}`") for c in rows.columns if c != "__path"])
 
 
 def find_one(

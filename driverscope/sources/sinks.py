@@ -33,14 +33,22 @@ def length_violations(df: DataFrame, grid: DataFrame, keys: Sequence[str], expec
     return both.where(wanted != found).select(*keys, wanted.cast("long").alias(expected), found.cast("long").alias("rows"))
 
 
+def repeated_times(df: DataFrame, keys: Sequence[str], time: str = TIME) -> DataFrame:
+    """Times that a recording holds more than once, with their number of rows."""
+    return df.groupBy(*keys, time).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+
+
 def _write(df: DataFrame, path: str, order: Sequence[str], partition: Sequence[str], mode: str) -> None:
     ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
     ordered.write.mode(mode).partitionBy(*partition).parquet(path)
 
 
 def save_tabular(df: DataFrame, grid: DataFrame, path: str, keys: Sequence[str], partition: Sequence[str] = (), mode: str = "errorifexists") -> None:
-    """Time table with one row per grid frame of each recording."""
+    """Time table with one row per grid frame of each recording, no time twice."""
     require_long(df, TIME)
+    twice = repeated_times(df, keys).take(1)
+    if twice:
+        raise ContractError(f"a time stands twice: {twice[0].asDict()}")
     bad = length_violations(df, grid, keys).take(1)
     if bad:
         raise ContractError(f"wrong number of rows: {bad[0].asDict()}")

@@ -152,3 +152,22 @@ def test_overlapping_reports_each_pair_once(spark):
     b = spark.createDataFrame([(1, 100, 400), (1, 101, 120)], "k int, p long, q long")
     found = overlapping(a, b, ["k"], ("s", "e"), ("p", "q"), 10).select("s", "p").collect()
     assert sorted(found) == [(0, 100), (250, 100)]
+
+
+def test_feature_set_keeps_chunks_without_rows(spark):
+    """Two recordings with a chunk each; only one has rows. Unknown normalisations raise."""
+    from driverscope.plans.feature_set import feature_set
+    from driverscope.schema import Aggregate, FeatureSpec
+
+    shown = spark.createDataFrame([("a", 0, 100 * SECOND), ("b", 0, 100 * SECOND)], "r string, start_time long, end_time long")
+    rows = spark.range(1000).select(F.lit("a").alias("r"), (F.col("id") * (SECOND // 10)).alias("t"), F.col("id").cast("double").alias("v"))
+    spec = ChunkSpec(strategy="start", duration=50.0, stride=50.0, fps=10, per_recording=None)
+    source = FeatureSpec("s", "s", 10, aggregates=(Aggregate(("v",), "mean"),))
+    found = feature_set({"s": rows}, shown, ["r"], [source], spec, time="t").collect()
+    assert sorted(((x.r, x.chunk_number, x.v__mean) for x in found), key=repr) == [("a", 0, 249.5), ("a", 1, 749.5), ("b", 0, None), ("b", 1, None)]
+    scaled = FeatureSpec("s", "s", 10, aggregates=source.aggregates, normalize="subject", normalize_aggregate="subject")
+    by_subject = feature_set({"s": rows}, shown, ["r"], [scaled], spec, time="t", subject="r").where("r = 'a'").orderBy("chunk_number").collect()
+    assert [round(x.v__mean, 9) for x in by_subject] == [round(-(0.5**0.5), 9), round(0.5**0.5, 9)]
+    wrong = FeatureSpec("s", "s", 10, aggregates=source.aggregates, normalize="z")
+    with pytest.raises(ValueError):
+        feature_set({"s": rows}, shown, ["r"], [wrong], spec, time="t")

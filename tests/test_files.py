@@ -53,6 +53,21 @@ def test_feature_prefers_derived_files_and_cleans_names(spark, tree):
     assert found == [("7204", "nback_task", 0, 7.0), ("P703", "no_task", 0, 1.5), ("P703", "no_task", 100, None)]
 
 
+def test_columns_are_found_by_each_files_own_header(spark, tree):
+    root, place = tree / "R10" / "Participants", "R1/driving/2-y/no_task"
+    write(root / "P1" / place / "pose.csv", f"{TIME},x\n0,1\n")
+    write(root / "P2" / place / "pose.csv", f"y,{TIME},x\n2,0,1\n\n,10,NaN\n")
+    write(root / "P3" / place / "pose.csv", f"\n{TIME},other,x,\"y\"\n0,9,1,2\n")
+    write(root / "P4" / place / "pose.csv", f"{TIME},x,y\n")
+    spec = FeatureSpec("pose", "R10", 10, columns=("x", "y", "z"))
+    rows = recordings.scan_feature(spark, str(tree), spec)
+    assert "z" not in rows.columns and "other" not in rows.columns
+    found = sorted(((r.participant_name, r[TIME], r.x, r.y) for r in rows.collect()), key=repr)
+    assert found == [("P1", 0, 1.0, None), ("P2", 0, 1.0, 2.0), ("P2", 10, None, None), ("P3", 0, 1.0, 2.0)]
+    every = recordings.scan_feature(spark, str(tree), FeatureSpec("pose", "R10", 10))
+    assert {"x", "y", "other", TIME} <= set(every.columns)
+
+
 def test_annotations(spark, tmp_path):
     blocks = ["12-15, 40-44", "", "7-", "", "", "", "", ""], ["crash", "fail", "", "", "", "", "", ""], ["12,40", "3", "", "", "", "", "", ""]
     cells = ",".join(f'"{c}"' if "," in c else c for block in blocks for c in block)
@@ -119,6 +134,10 @@ def test_writers_check_their_contract(spark, tmp_path):
         sinks.save_tabular(rows.where("v > 1"), grid, str(tmp_path / "x"), ["r"])
     with pytest.raises(sinks.ContractError):
         sinks.save_tabular(rows.withColumn(TIME, F.col(TIME).cast("int")), grid, str(tmp_path / "y"), ["r"])
+    doubled = rows.where("v < 0").unionByName(rows.withColumn(TIME, F.greatest(F.col(TIME), F.lit(10).cast("long"))))
+    assert doubled.count() == 3
+    with pytest.raises(sinks.ContractError, match="twice"):
+        sinks.save_tabular(doubled, grid, str(tmp_path / "w"), ["r"])
     with pytest.raises(sinks.ContractError):
         sinks.save_object_attributes(rows, str(tmp_path / "z"), ["r"])
     assert not (tmp_path / "x").exists()
