@@ -40,8 +40,8 @@ def frame_grid(
 ) -> DataFrame:
     """One row per frame: ``frame`` and ``t_ns``. At fps 0 only the two end points, as given.
 
-    One row becomes millions, so with ``keys`` recordings are first cut into blocks of frames
-    that are spread over the cluster before they unfold. (The partition number is given, or the
+    One row becomes millions, so recordings are first cut into blocks of frames that are spread
+    over the cluster, by ``keys`` and block, before they unfold. (The partition number is given, or the
     small block table would be merged into one task.)
     """
     if fps == 0:
@@ -50,9 +50,8 @@ def frame_grid(
     frames = frame_count(F.col(start), F.col(end), fps)
     firsts = F.when(frames > 0, F.sequence(F.lit(0).cast("long"), frames - 1, F.lit(block).cast("long")))
     blocks = recordings.select("*", F.explode(firsts).alias("__first"))
-    if keys:
-        parts = int(recordings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        blocks = blocks.repartition(parts, *keys, "__first")
+    parts = int(recordings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = blocks.repartition(parts, *(keys or (start, end)), "__first")
     numbers = F.sequence(F.col("__first"), F.least(F.col("__first") + F.lit(block), frames) - 1)
     return blocks.select(*recordings.columns, F.explode(numbers).alias("frame")).withColumn("t_ns", frame_ns(F.col("frame"), fps))
 

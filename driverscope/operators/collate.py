@@ -25,9 +25,14 @@ def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.lit(None).cast("double") for c in columns if c not in have})
 
 
-def on_grid(by_frame: Column, frames: int, empty: Column) -> Column:
+def by_frame(entries: Column) -> Column:
+    """Sorted (frame, cell) entries to a map; of several rows in one frame the smallest by its values counts."""
+    return F.map_from_entries(F.filter(entries, lambda e, i: (i == 0) | (e["frame"] != F.get(entries, i - 1)["frame"])))
+
+
+def on_grid(cells: Column, frames: int, empty: Column) -> Column:
     """Array over frames 0 .. n-1 from a map frame -> value."""
-    return F.transform(F.sequence(F.lit(0), F.lit(frames - 1)), lambda k: F.coalesce(F.try_element_at(by_frame, k), empty))
+    return F.transform(F.sequence(F.lit(0), F.lit(frames - 1)), lambda k: F.coalesce(F.try_element_at(cells, k), empty))
 
 
 def collate_table(
@@ -41,7 +46,8 @@ def collate_table(
     ready = require_columns(rows, columns)
     filled = [fill(c) for c in columns]
     cell = F.struct(F.array(*[v for v, _ in filled]).alias("v"), F.array(*[k for _, k in filled]).alias("k"))
-    gathered = ready.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col(frame).cast("int"), cell))).alias("__m"))
+    entry = F.struct(F.col(frame).cast("int").alias("frame"), cell.alias("cell"))
+    gathered = ready.where(F.col(frame).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("__e")).withColumn("__m", by_frame(F.col("__e")))
     empty = F.struct(F.array(*[F.lit(0.0)] * len(columns)).alias("v"), F.array(*[F.lit(0)] * len(columns)).alias("k"))
     joined = chunks.select(*keys).join(gathered, list(keys), "left")
     grid = on_grid(F.col("__m"), frames, empty)
@@ -77,12 +83,14 @@ def collate_tracks(
 
     values = F.array(*[fill(c)[0] for c in columns])
     complete = F.forall(F.array(*[F.col(c).isNotNull() for c in columns]), lambda x: x).cast("int")
-    entry = F.struct(F.col(frame).cast("int"), F.struct(values.alias("v"), complete.alias("k")))
+    entry = F.struct(F.col(frame).cast("int").alias("frame"), F.struct(values.alias("v"), complete.alias("k")).alias("cell"))
     empty = F.struct(F.array(*[F.lit(0.0)] * len(columns)).alias("v"), F.lit(0).alias("k"))
     per_object = (
-        ready.join(chosen, [*keys, "object_id"])
+        ready.where(F.col(frame).isNotNull())
+        .join(chosen, [*keys, "object_id"])
         .groupBy(*keys, "object_id", "object_slot")
-        .agg(on_grid(F.map_from_entries(F.collect_list(entry)), frames, empty).alias("__g"))
+        .agg(F.array_sort(F.collect_list(entry)).alias("__e"))
+        .withColumn("__g", on_grid(by_frame(F.col("__e")), frames, empty))
     )
     listed = per_object.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("object_slot", "object_id", "__g"))).alias("__o"))
     joined = chunks.select(*keys).join(listed, list(keys), "left")

@@ -52,7 +52,8 @@ def select_participants(
     if isinstance(exclude, DataFrame):
         index = join_few(index, exclude.distinct(), [participant], "left_anti")
     elif exclude:
-        index = index.where(~F.col(participant).isin(*exclude))
+        # a row without a participant is nobody's, so nothing excludes it
+        index = index.where(~F.coalesce(F.col(participant).isin(*exclude), F.lit(False)))
     if isinstance(use, DataFrame):
         index = join_few(index, use.distinct(), [participant], "left_semi")
     elif use is not None:

@@ -127,7 +127,7 @@ def chunk_random(spark, folder):
            min(k * 1000000000 // 60) AS first_ns, max(k * 1000000000 // 60) AS last_ns FROM frames GROUP BY 1, 2""",
 )
 def frame_grid_60(spark, folder):
-    frames = frame_grid(recordings(signal(spark, folder)), 60)
+    frames = frame_grid(recordings(signal(spark, folder)), 60, keys=["user_id"])
     return frames.groupBy("user_id", F.expr("t_ns div 60000000000").alias("minute")).agg(
         F.count("*").alias("frames"), F.min("t_ns").alias("first_ns"), F.max("t_ns").alias("last_ns")
     )

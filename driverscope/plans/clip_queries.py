@@ -12,6 +12,7 @@ from driverscope.operators.index import ground_truth, with_conditions
 from driverscope.operators.timing import frame_in_chunk
 from driverscope.plans.catalogue import query, rounded, table
 from driverscope.plans.standins import INDEX_SQL, SIGNAL_SQL, TRACKS_SQL, actors, raw_scenarios, signal, tracks
+from driverscope.session import settle
 
 SECOND = 1_000_000_000
 
@@ -378,11 +379,10 @@ TASKS = {"cd": "gt_cd", "sober_cd": "gt_sober_cd"}
 
 def _model(name: str, **options):
     def run(spark, folder):
-        rows = model_rows(spark, folder).persist()
+        rows = settle(model_rows(spark, folder))
         train, test = rows.where("fold NOT IN (0, 1)"), rows.where("fold = 0")
         fitted = models.fit_tasks(train, FEATURES, TASKS, name, ["scenario_index"], **options)
-        scored = models.score_tasks(test, fitted, FEATURES, TASKS, name, ["scenario_index", "fold"])
-        rows.unpersist()
+        scored = settle(models.score_tasks(test, fitted, FEATURES, TASKS, name, ["scenario_index", "fold"]))
         counts = metrics.confusion(scored, ["task"]).select("task", "tp", "tn", "fp", "fn", "uar")
         return counts.join(metrics.roc_auc(scored, ["task"]).select("task", "auc"), "task")
 

@@ -9,7 +9,7 @@ from driverscope.operators.index import frames_with_timing, require_one, with_co
 from driverscope.operators.timing import renumber_frames
 from driverscope.plans import reports
 from driverscope.plans.catalogue import query, rounded, table
-from driverscope.plans.standins import INDEX_SQL, PREDICTIONS_SQL, SIGNAL_SQL, TRACKS_SQL, predictions, raw_scenarios, recordings, signal, tracks
+from driverscope.plans.standins import INDEX_SQL, PREDICTIONS_SQL, SIGNAL_SQL, TRACKS_SQL, actors, predictions, raw_scenarios, recordings, signal, tracks
 from driverscope.schema import TIME, Aggregate, FeatureSpec
 from driverscope.session import scratch_path
 from driverscope.sources import logs, recordings as files, sinks
@@ -125,6 +125,66 @@ def scan_feature(spark, folder):
     )
 
 
+@query(
+    "scan_feature_mixed_headers",
+    f"""WITH {SIGNAL_SQL} SELECT user_id, count(*) AS n, round(sum(x), 4) AS total, round(sum(CASE WHEN user_id % 2 = 1 THEN y END), 4) AS other, max(t_ns) AS last_ns FROM signal GROUP BY 1""",
+)
+def scan_feature_mixed_headers(spark, folder):
+    """Two participants' files with columns in another order, one of them without a column."""
+    base = scratch_path(spark, "mixed")
+    time, x, who, odd = F.col("t_ns").alias(TIME), F.col("x").alias("gaze x"), F.col("user_id").cast("double").alias("person id"), F.col("user_id") % 2 == 1
+    for name, part, columns in (("P1", ~odd, [time, x, who]), ("P2", odd, [who, F.col("y").alias("gaze y"), x, time])):
+        rows = signal(spark, folder).where(part).select(*columns)
+        rows.write.option("header", True).csv(f"{base}/Resampled/Participants/{name}/R1/driving/1a/no_task")
+    spec = FeatureSpec("gaze", "Resampled", 10, file_name="*", columns=("gaze_x", "gaze_y", "person_id"))
+    found = files.scan_feature(spark, base, spec)
+    return found.groupBy(F.col("person_id").cast("long").alias("user_id")).agg(
+        F.count("*").alias("n"), rounded(F.sum("gaze_x"), 4).alias("total"), rounded(F.sum("gaze_y"), 4).alias("other"), F.max(TIME).alias("last_ns")
+    )
+
+
+@query(
+    "save_and_load_attributes",
+    f"WITH {TRACKS_SQL} SELECT recording, object_id, role, actor_type, end_epoch_ns - start_epoch_ns AS span FROM actors",
+)
+def save_and_load_attributes(spark, folder):
+    """Object attributes through the writer and back."""
+    path = scratch_path(spark, "attributes")
+    sinks.save_object_attributes(actors(tracks(spark, folder)), path, ["recording"])
+    back = spark.read.parquet(path)
+    return back.select("recording", "object_id", "role", "actor_type", (F.col("end_epoch_ns") - F.col("start_epoch_ns")).alias("span"))
+
+
+@query(
+    "save_and_load_arrays",
+    """SELECT vec_id, CAST(len(embedding) AS INT) AS n, label, round(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: i * embedding[i]::DOUBLE)), 4) AS weighed FROM embeddings""",
+)
+def save_and_load_arrays(spark, folder):
+    """Whole arrays through the writer and back; the weighed sum depends on every entry and its place."""
+    path = scratch_path(spark, "arrays")
+    e = table(spark, folder, "embeddings").select("vec_id", "embedding", F.array("label").alias("label"), F.sequence(F.lit(0), F.size("embedding") - 1).alias("times"))
+    sinks.save_array_dict(e, ["embedding", "label"], path)
+    back = files.scan_array_dict(spark, path)
+    weighed = F.aggregate(F.transform("embedding", lambda v, i: (i + 1) * v.cast("double")), F.lit(0.0), lambda a, v: a + v)
+    return back.select("vec_id", F.size("embedding").alias("n"), F.col("label")[0].alias("label"), rounded(weighed, 4).alias("weighed"))
+
+
+@query(
+    "scan_folds",
+    f"WITH {INDEX_SQL} SELECT DISTINCT participant_name, CAST(fold AS INT) AS fold FROM people",
+)
+def scan_folds(spark, folder):
+    """One line of participants per fold, written and read back."""
+    path = scratch_path(spark, "fold-file")
+    people = table(spark, folder, "customer").select(
+        (F.col("c_custkey") % 6).alias("fold"), F.concat(F.when(F.col("c_custkey") % 2 == 0, "P").otherwise("72"), F.col("c_custkey").cast("string")).alias("name")
+    )
+    lines = people.groupBy("fold").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("line"))
+    # the study's fold file is one small file, a line per fold
+    lines.repartitionByRange(1, "fold").sortWithinPartitions("fold").select("line").write.text(path)
+    return files.scan_folds(spark, path)
+
+
 @query(
     "grid_length_violations",
     f"""WITH {SIGNAL_SQL}, c AS (SELECT user_id, count(*) AS rows FROM signal GROUP BY 1)

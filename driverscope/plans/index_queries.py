@@ -104,6 +104,18 @@ def index_participant_tables(spark, folder):
     return filter_index(kept, train=True, exclude_baseline=True).select("scenario_index", "scenario_name")
 
 
+@query(
+    "participants_anti_null",
+    f"""WITH {INDEX_SQL}, n AS (SELECT scenario_index, CASE WHEN scenario_index % 5 <> 0 THEN c_custkey END AS c_custkey FROM scenarios)
+    SELECT scenario_index FROM n WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = n.c_custkey AND c_mktsegment = 'BUILDING')""",
+)
+def participants_anti_null(spark, folder):
+    """Scenarios without a participant are nobody's and stay."""
+    gone = table(spark, folder, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey")
+    rows = raw_scenarios(spark, folder).withColumn("c_custkey", F.when(F.col("scenario_index") % 5 != 0, F.col("c_custkey")))
+    return select_participants(rows, gone, participant="c_custkey").select("scenario_index")
+
+
 @query(
     "index_skip_anomalous",
     f"""WITH {INDEX_SQL} SELECT scenario_index FROM scenarios s WHERE scenario_name NOT LIKE '%practice%'

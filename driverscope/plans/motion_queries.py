@@ -289,7 +289,7 @@ def gaze_value_in_frame(spark, folder):
     UNION ALL SELECT user_id, k, NULL, NULL, NULL FROM f WHERE NOT EXISTS (SELECT 1 FROM j WHERE j.user_id = f.user_id AND j.k = f.k)""",
 )
 def gaze_latest_within(spark, folder):
-    frames = frame_grid(recordings(signal(spark, folder)), 1).select("user_id", "frame", "t_ns")
+    frames = frame_grid(recordings(signal(spark, folder)), 1, keys=["user_id"]).select("user_id", "frame", "t_ns")
     out = eyes.latest_within(frames, gaze_rows(spark, folder), ["user_id"], 6 * SECOND, ["event_id", "gx"], "event_id")
     return out.select("user_id", "frame", "latest_time", "latest_event_id", rounded("latest_gx").alias("latest_gx"))
 

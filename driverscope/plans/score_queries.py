@@ -222,6 +222,20 @@ def task_auc(spark, folder):
     return metrics.roc_auc(predictions(spark, folder), ["task", "fold"]).withColumn("auc", rounded("auc"))
 
 
+@query(
+    "task_auc_missing_scores",
+    f"""WITH {PREDICTIONS_SQL},
+    d AS (SELECT task, fold, prob, count(*) FILTER (gt = 1) AS pos, count(*) FILTER (gt = 0) AS neg FROM predictions WHERE gt <> -1 AND sample % 7 <> 0 GROUP BY 1, 2, 3),
+    b AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY task, fold ORDER BY prob ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM d)
+    SELECT task, fold, round(sum(pos * (below + neg / 2.0::DOUBLE)) / (sum(pos)::DOUBLE * sum(neg)::DOUBLE), 6) AS auc,
+      CAST(sum(pos) AS BIGINT) AS positives, CAST(sum(neg) AS BIGINT) AS negatives FROM b GROUP BY 1, 2""",
+)
+def task_auc_missing_scores(spark, folder):
+    """Rows without a score have no rank and no part."""
+    rows = predictions(spark, folder).withColumn("prob", F.when(F.col("sample") % 7 != 0, F.col("prob")))
+    return metrics.roc_auc(rows, ["task", "fold"]).withColumn("auc", rounded("auc"))
+
+
 THRESHOLD_SQL = f"""
 WITH {PREDICTIONS_SQL},
 d AS (SELECT task, fold, prob, count(*) FILTER (gt = 1) AS pos, count(*) FILTER (gt = 0) AS neg FROM predictions WHERE gt <> -1 GROUP BY 1, 2, 3),

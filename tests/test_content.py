@@ -102,3 +102,22 @@ def test_arrays_of_the_wrong_size_raise(spark):
     df = spark.createDataFrame([([1.0],)], "v array<double>")
     with pytest.raises(Exception, match="expected 2 values"):
         df.select(collate.collate_array("v", 2)[0]).collect()
+
+
+def test_two_rows_in_one_frame_count_once(spark):
+    """The smaller row by its values stands; a row without a frame stands nowhere."""
+    rows = spark.createDataFrame([("c", 0, 2.0), ("c", 0, 1.0), ("c", 2, 5.0), ("c", None, 9.0)], "k string, frame int, v double")
+    chunks = spark.createDataFrame([("c",), ("d",)], "k string")
+    found = {r.k: r for r in collate.collate_table(rows, chunks, ["k"], ["v"], 3).collect()}
+    assert (found["c"].table, found["c"].table_valid, found["c"].file_valid) == ([[1.0], [0.0], [5.0]], [[1], [0], [1]], 1)
+    assert (found["d"].table, found["d"].file_valid) == ([[0.0]] * 3, 0)
+    objects = rows.withColumn("object_id", F.lit(4).cast("long"))
+    track = {r.k: r for r in collate.collate_tracks(objects, chunks, ["k"], ["v"], 3, 1).collect()}["c"]
+    assert (track.object_id, track.tracks, track.tracks_valid) == ([4], [[[1.0], [0.0], [5.0]]], [[1, 0, 1]])
+
+
+def test_every_segment_is_listed(spark):
+    rows = spark.createDataFrame([("w", s, s + 5) for s in (30, 10, 20)] + [("x", 1, 2)], "w string, start long, end long")
+    lists = {r.w: [tuple(p) for p in r.nonsilent_seg] for r in audio.segment_lists(rows, ["w"], 10.0).collect()}
+    assert lists == {"w": [(1.0, 1.5), (2.0, 2.5), (3.0, 3.5)], "x": [(0.1, 0.2)]}
+    assert {r.w: (r.segments, r.answered) for r in audio.windows_answered(rows, ["w"], 10.0).collect()} == {"w": (3, True), "x": (1, False)}

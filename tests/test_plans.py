@@ -9,7 +9,7 @@ from __spark_entry__ import queries
 
 FOLDER = "/root/testdata/sf0.001"
 # These write files before they return, or fit models.
-EAGER = {"scan_scenario_index", "scan_feature", "save_and_load_tracks", "save_and_load_predictions", "cached_features", "fold_results_complete"}
+EAGER = {"scan_scenario_index", "scan_feature", "scan_feature_mixed_headers", "scan_folds", "save_and_load_attributes", "save_and_load_arrays", "save_and_load_tracks", "save_and_load_predictions", "cached_features", "fold_results_complete"}
 LAZY = sorted(n for n in queries() if n not in EAGER and not n.startswith("model_"))
 
 
