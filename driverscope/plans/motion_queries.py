@@ -24,16 +24,16 @@ ado AS (SELECT * FROM tracks WHERE object_id <> 1 AND recording IN (SELECT recor
 D3 = "sqrt((a.pose_x - e.pose_x) * (a.pose_x - e.pose_x) + (a.pose_y - e.pose_y) * (a.pose_y - e.pose_y) + (a.pose_z - e.pose_z) * (a.pose_z - e.pose_z))"
 
 
-def split(spark, folder):
-    rows = tracks(spark, folder)
+def split(spark, folder, rows=None):
+    rows = tracks(spark, folder) if rows is None else rows
     few = actors(rows)
     ego, ado = moving.split_ego(rows, few, KEYS)
     return ego.withColumn("yaw", F.degrees(quaternion_yaw("qx", "qy", "qz", "qw"))), ado, few
 
 
 def written_split(spark, folder):
-    """Ego tracks, other tracks and actors, written once as the study writes them: the many later steps read the files."""
-    return tuple(settle(df) for df in split(spark, folder))
+    """Ego tracks, other tracks and actors out of the tracks as the study writes them: grouped once, written once."""
+    return split(spark, folder, settle(tracks(spark, folder)))
 
 
 @query(
