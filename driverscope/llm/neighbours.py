@@ -112,11 +112,12 @@ def build_index(vectors: DataFrame, axes: int = 6, shard_rows: int = 16_384) ->
     """The index, written to the shared folder: one row per shard with its vectors and kd-tree.
 
     Shards are dealt by a hash of the id, as many as the rows need, so none grows with the table or
-    with copies of one vector. Equal vectors of a shard are one point with a list of ids.
+    with copies of one vector. Equal vectors of a shard are one point with a list of ids; rows that
+    repeat id and vector count once, dropped before they are dealt.
     """
     points = usable(vectors)
     counts = points.groupBy("dim").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(shard_rows))).alias("shards"))
-    dealt = points.join(counts, "dim").withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("long"))
+    dealt = points.distinct().join(counts, "dim").withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("long"))
 
     def build(part: pa.Table) -> pa.Table:
         part = part.sort_by("vec_id")
@@ -156,10 +157,11 @@ class Shard:
             far = np.sqrt(((self.vectors[a:b] - query) ** 2).sum(axis=1))
             reach = best[-1][0] if len(best) == k else np.inf
             for j in np.flatnonzero(far <= reach):
-                # ids of equal vectors ascend: k + 1 of them hold the k smallest besides the query's own
+                # ids of equal vectors ascend, each once: k + 1 of them hold the k smallest besides the query's own
                 own = self.ids[self.starts[a + j] : self.starts[a + j] + min(self.counts[a + j], k + 1)]
                 best += [(float(far[j]), int(i)) for i in own if i != query_id]
-            best = sorted(best)[:k]
+            # two contents of an id may be equally far
+            best = sorted(set(best))[:k]
         return best
 
 

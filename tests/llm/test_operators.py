@@ -340,6 +340,19 @@ def test_nearest_vectors(spark):
     assert neighbours.nearest(vectors.limit(0)).count() == 0
 
 
+def test_repeated_rows_take_no_places(spark):
+    random = np.random.RandomState(6)
+    rows = [(k, random.standard_normal(8).tolist()) for k in range(300)] + [(1000 + k, [0.0] + [1.0] * 7) for k in range(12)]
+    rows = [r for r in rows for _ in range(12)] + [(1000, [-0.0] + [1.0] * 7)] * 12
+    once = {i: np.array(v) for i, v in rows}
+    got = collections.defaultdict(list)
+    for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), sure=0.999999).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert got.keys() == {0, 100, 200, 1000}
+    for q, found in got.items():
+        assert found == [i for _, i in sorted((float(np.sqrt(((once[q] - v) ** 2).sum())), i) for i, v in once.items() if i != q)[:10]]
+
+
 def test_stopping_ratio_is_a_chi_square_quantile():
     assert neighbours.stopping_ratio(0.95, 6) == pytest.approx(12.5916, abs=1e-3)
     assert neighbours.stopping_ratio(0.99, 2) == pytest.approx(9.2103, abs=1e-3)
