@@ -8,10 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, body, ranked, slices, stored, uniform
-
-#: Slices of the draw, from the one that overflows, whose rows may fill what is missing.
-EDGE_SLICES = 8
+from .common import WORD, body, ranked, stored, uniform
 
 
 def word_count(text: str = "text") -> Column:
@@ -60,25 +57,74 @@ def expected_copies(rows: DataFrame, most: int) -> DataFrame:
     return rows.join(table, rows["source"].eqNullSafe(table["_s"]) & (rows["importance"] == table["_i"])).drop("_s", "_i")
 
 
+def fill_rounds(rows: DataFrame, gaps: DataFrame) -> DataFrame:
+    """How each source's gap is filled, one row per source and round: first, last, left, start, after.
+
+    A round goes on from slice ``first`` with ``left`` words missing and sees only rows that fit them. They
+    are all taken up to slice ``last``, the first to overflow; that one is gone through row by row, with
+    ``start`` words missing before and ``after`` behind it. The next round goes on from the slice
+    after it. A round without ``last`` takes every row left that fits.
+    """
+    drawn = rows.filter("slice IS NOT NULL").select("source", "slice", "order", "doc_id", "_text", "_row", "size")
+    state, rounds = gaps.select(F.col("source").alias("_s"), F.col("gap").cast("double").alias("left"), F.lit(-(1 << 62)).alias("first")), []
+    by_slice = W.partitionBy("_s").orderBy("slice")
+    schema = "_s string, after double"
+
+    def rest(part: pa.Table) -> pa.Table:
+        left = fit(part)[1]
+        return pa.table([part["source"].slice(0, 1), pa.array([left], pa.float64())], names=["_s", "after"])
+
+    while True:
+        fits = drawn.join(state, F.col("source").eqNullSafe(F.col("_s")) & (F.col("slice") >= F.col("first")) & (F.col("size") <= F.col("left")))
+        sums = fits.groupBy("_s", "slice").agg(F.sum("size").alias("words"), F.first("left").alias("missing"))
+        sums = sums.withColumn("through", F.sum("words").over(by_slice))
+        over = F.when(F.col("through") > F.col("missing"), F.struct("slice", (F.col("through") - F.col("words")).alias("before")))
+        found = sums.groupBy(F.col("_s").alias("_o")).agg(F.min(over).alias("over"), F.sum("words").alias("words"))
+        found = state.join(found, F.col("_s").eqNullSafe(F.col("_o")), "left").drop("_o")
+        start = F.col("left") - F.coalesce("over.before", "words", F.lit(0))
+        found = stored(found.select("_s", "first", F.col("over.slice").alias("last"), "left", start.alias("start")), "mix-round")
+        edge = drawn.join(found, F.col("source").eqNullSafe(F.col("_s")) & (F.col("slice") == F.col("last")) & (F.col("size") <= F.col("left"))).drop("_s")
+        after = edge.groupBy("source").applyInArrow(rest, schema).withColumnRenamed("_s", "_a")
+        done = stored(found.join(after, F.col("_s").eqNullSafe(F.col("_a")), "left").drop("_a").withColumn("after", F.coalesce("after", "start")), "mix-filled")
+        rounds.append(done)
+        state = done.filter("last IS NOT NULL AND after >= 1").select("_s", F.col("after").alias("left"), (F.col("last") + 1).alias("first"))
+        if state.isEmpty():
+            break
+    out = rounds[0]
+    for done in rounds[1:]:
+        out = out.unionByName(done)
+    return out
+
+
+def fit(part: pa.Table) -> tuple[pa.Table, float, list[bool]]:
+    """A slice in its order, the words still missing behind it, and which rows fitted."""
+    part = part.sort_by([("order", "ascending"), ("doc_id", "ascending"), ("_text", "ascending"), ("_row", "ascending")])
+    left, taken = part["start"][0].as_py(), []
+    for size in part["size"].to_pylist():
+        taken.append(size <= left)
+        left -= size if taken[-1] else 0
+    return part, left, taken
+
+
 def mix(docs: DataFrame, cycle: int = 3, most: int = 3, seed: str = "mix", slice_rows: int = 20_000) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, copies, taken, chosen (times it is taken).
 
     Size is the number of words, 0 for null texts. Each document is certain of the whole part of its
     expected copies. The words still missing are filled in Pareto order: rows ranked by the odds of a
-    hash-drawn number over the odds of their inclusion, from the top whatever still fits, and one
-    closing row if it brings the sum nearer. Importance rises with the logarithm of the size up to
-    twice, so inclusion probabilities differ within a source. Documents of no words are never taken.
-    Repeated rows tie in their rank; it does not matter which of them is taken.
+    hash-drawn number over the odds of their inclusion, from the top whatever still fits, down to the
+    last row, and one closing row if it brings the sum nearer. Importance rises with the logarithm of
+    the size up to twice, so inclusion probabilities differ within a source. Documents of no words are
+    never taken. Repeated rows tie in their rank; it does not matter which of them is taken.
     An empty table gives no rows. Only doc_id, text and source are read.
 
-    The rank is found in slices of the draw: whole slices count by their sums, and only the rows of
-    a source's last slice and the few after it are sorted and filled in, so a source of a third of all
-    rows is never in one task.
+    The rank is cut into slices of about ``slice_rows`` / 8 rows of a source at most: the logarithm of
+    odds has a density of at most 1/4, whatever the chances. Slices count by their sums, and only
+    those that overflow are sorted, so a source of a third of all rows is never in one task.
     """
     base = docs.select("doc_id", "source", word_count().alias("size"), F.md5(body()).alias("_text"))
     base = stored(base.withColumn("_row", F.monotonically_increasing_id()), "mix-sizes")
-    sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(sizes, cycle, most).select(F.col("source").alias("_source"), "source_size", "target")
+    sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_n"))
+    targets = source_targets(sizes.drop("_n"), cycle, most).select(F.col("source").alias("_source"), "source_size", "target")
     importance = 1.0 + F.least(F.floor(F.log2(F.col("size") + 1.0)), F.lit(16)) / 16.0
     rows = base.join(targets, base["source"].eqNullSafe(F.col("_source"))).drop("_source").withColumn("importance", importance)
     rows = expected_copies(rows, most)
@@ -87,42 +133,32 @@ def mix(docs: DataFrame, cycle: int = 3, most: int = 3, seed: str = "mix", slice
     draw = uniform("doc_id", "_text", salt=seed)
     odds = (draw / (1 - draw)) * F.try_divide(1 - chance, chance)
     rows = rows.withColumn("whole", whole).withColumn("chance", F.when((F.col("size") > 0) & (chance > 1e-12), chance))
-    # the ranking variable on a bounded scale, so that it can be cut into slices
-    rows = rows.withColumn("order", F.when(F.col("chance").isNotNull(), odds / (1 + odds)))
-    parts = slices(base.count(), slice_rows) * 8
-    rows = stored(rows.withColumn("slice", F.when(F.col("order").isNotNull(), F.least(F.floor(F.col("order") * parts), F.lit(parts - 1)))), "mix-order")
+    rows = rows.withColumn("order", F.when(F.col("chance").isNotNull(), F.log(odds)))
+    width = sizes.select(F.col("source").alias("_w"), F.least(F.lit(1.0), F.lit(slice_rows / 2) / F.col("_n")).alias("width"))
+    rows = rows.join(width, F.col("source").eqNullSafe(F.col("_w"))).withColumn("slice", F.floor(F.col("order") / F.col("width"))).drop("_w", "width")
+    rows = stored(rows, "mix-order")
     gaps = rows.groupBy("source").agg((F.first("target") - F.sum(F.col("whole") * F.col("size"))).alias("gap"))
-    sums = rows.filter("slice IS NOT NULL").groupBy("source", "slice").agg(F.sum("size").alias("words"))
-    running = F.sum("words").over(W.partitionBy("source").orderBy("slice"))
-    sums = sums.join(gaps.withColumnRenamed("source", "_g"), F.col("source").eqNullSafe(F.col("_g"))).drop("_g").withColumn("through", running)
-    # the first slice that overflows the gap; every slice before it is taken whole
-    last = sums.filter(F.col("through") > F.col("gap")).groupBy(F.col("source").alias("_l")).agg(F.min_by(F.struct("slice", (F.col("through") - F.col("words")).alias("before")), "slice").alias("last"))
-    last = last.select("_l", F.col("last.slice").alias("last_slice"), F.col("last.before").alias("before"))
-    held = gaps.withColumnRenamed("source", "_g").join(last, F.col("_g").eqNullSafe(F.col("_l")), "left").drop("_l")
-    rows = rows.join(held, F.col("source").eqNullSafe(F.col("_g"))).drop("_g")
-    edge = F.coalesce((F.col("slice") >= F.col("last_slice")) & (F.col("slice") < F.col("last_slice") + EDGE_SLICES), F.lit(False))
-    names = ["doc_id", "source", "size", "source_size", "target", "copies", "whole", "_text"]
-    fields = [rows.schema[n] for n in names]
-    schema = T.StructType([*fields, T.StructField("in", T.BooleanType())])
+    rounds = fill_rounds(rows, gaps)
+    plan = rounds.groupBy(F.col("_s").alias("_p")).agg(F.collect_list(F.struct("first", "last", "left", "start")).alias("rounds"), F.min("after").alias("missing"))
+    here = F.filter("rounds", lambda r: (F.col("slice") >= r["first"]) & (r["last"].isNull() | (F.col("slice") <= r["last"])))
+    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("_p"))).withColumn("round", F.get(here, F.lit(0))).drop("_p", "rounds")
+    fits = F.coalesce(F.col("size") <= F.col("round.left"), F.lit(False))
+    edge = fits & F.coalesce(F.col("slice") == F.col("round.last"), F.lit(False))
+    names = ["doc_id", "source", "size", "source_size", "target", "copies", "whole", "_text", "order", "_row", "missing"]
+    schema = T.StructType([*(rows.schema[n] for n in names), T.StructField("in", T.BooleanType())])
 
     def fill(part: pa.Table) -> pa.Table:
-        part = part.sort_by([("order", "ascending"), ("doc_id", "ascending"), ("_text", "ascending"), ("_row", "ascending")])
-        left = part["gap"][0].as_py() - part["before"][0].as_py()
-        sizes = part["size"].to_pylist()
-        taken = [False] * len(sizes)
-        for k, size in enumerate(sizes):
-            if size <= left:
-                taken[k], left = True, left - size
-        # one closing row, if it brings the sum nearer
-        off, k = min(((abs(left - size), k) for k, size in enumerate(sizes) if not taken[k]), default=(left, -1))
-        if off < left:
-            taken[k] = True
+        part, _, taken = fit(part)
         return part.select(names).append_column("in", pa.array(taken, pa.bool_()))
 
-    inside = rows.filter(edge).select(*names, "order", "_row", "gap", "before").groupBy("source").applyInArrow(fill, schema)
-    outside = rows.filter(~edge).select(*names, F.coalesce(F.col("slice") < F.coalesce("last_slice", F.lit(parts)), F.lit(False)).alias("in"))
-    drawn = inside.unionByName(outside)
-    chosen = (F.col("whole") + F.col("in").cast("long")).alias("chosen")
+    inside = rows.filter(edge).select(*names, "slice", F.col("round.start").alias("start")).groupBy("source", "slice").applyInArrow(fill, schema)
+    drawn = stored(inside.unionByName(rows.filter(~edge).select(*names, fits.alias("in"))), "mix-drawn")
+    # one closing row, if it brings the sum nearer
+    off = F.abs(F.col("missing") - F.col("size"))
+    nearest = F.min(F.struct(off.alias("off"), "order", "doc_id", "_text", "_row"))
+    closing = drawn.filter(~F.col("in") & F.col("order").isNotNull() & (off < F.col("missing"))).groupBy("source").agg(nearest.alias("_c")).select(F.col("_c._row").alias("_closing"))
+    drawn = drawn.join(closing, F.col("_row") == F.col("_closing"), "left")
+    chosen = (F.col("whole") + (F.col("in") | F.col("_closing").isNotNull()).cast("long")).alias("chosen")
     return drawn.select("doc_id", "source", "size", "source_size", "target", "copies", chosen, F.col("_text").alias("text_hash")).withColumn("taken", F.col("chosen") * F.col("size"))
 
 

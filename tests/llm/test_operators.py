@@ -263,6 +263,22 @@ def test_full_sources_stop_at_the_cap(spark):
     assert [r.taken for r in got if r.source == "a"] == [3 * r.size for r in got if r.source == "a"]
 
 
+def test_a_gap_is_filled_until_nothing_fits(spark):
+    """Long rows overflow early; shorter ones that fit stand far behind them in the order."""
+    rows = [(k, " ".join(["w"] * (3 + k % 5 if k % 23 == 7 else 300 + 371 * (k % 19))), f"s{k % 12}") for k in range(3000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), slice_rows=40).collect()
+    taken = collections.Counter()
+    for r in got:
+        taken[r.source] += r.taken
+    drawn = [r for r in got if r.copies % 1 > 1e-12]
+    assert len({r.source for r in drawn}) == 12
+    for r in drawn:
+        left = r.target - taken[r.source]
+        assert r.chosen > int(r.copies) or r.size > left
+        # no other closing row comes nearer
+        assert r.chosen > int(r.copies) or abs(left - r.size) >= abs(left)
+
+
 # models
 
 
