@@ -399,3 +399,43 @@ def test_rare_terms_are_needed():
     rare = templates.rare(0.6)
     for _, own in templates.rows:
         assert templates.best(" ".join(own - rare))[0] < 0.6
+
+
+HEADERS = {
+    "GPL-2.0": """ * hello.c - says hello
+ *
+ * Copyright (C) 2004 Jane Roe
+ *
+ * This program is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU General Public License
+ * as published by the Free Software Foundation; either version 2
+ * of the License, or (at your option) any later version.
+ */""",
+    "LGPL-2.1": """# This library is free software; you can redistribute it and/or
+# modify it under the terms of the GNU Lesser General Public
+# License as published by the Free Software Foundation; either
+# version 2.1 of the License, or (at your option) any later version.""",
+    "AGPL-3.0": """// This program is free software: you can redistribute it and/or modify
+// it under the terms of the GNU Affero General Public License as published by
+// the Free Software Foundation, either version 3 of the License, or
+// (at your option) any later version.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.""",
+    "ISC": """Permission to use, copy, modify, and distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+}
+
+
+def test_usual_headers_have_their_own_name(spark):
+    rows = [(f"{name}/x.c", f"{header}\n\nint main() {{ return 0; }}") for name, header in HEADERS.items()]
+    rows += [(f"plain/{k}", "some of the other files under this and that, version 2 or 3") for k in range(40)]
+    files = spark.createDataFrame(rows, "path string, text string")
+    got = {r.path: r.licence for r in licences.scan(files).collect()}
+    assert {name: got[f"{name}/x.c"] for name in HEADERS} == {name: name for name in HEADERS}
+    assert all(got[f"plain/{k}"] is None for k in range(40))
