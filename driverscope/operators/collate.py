@@ -6,11 +6,15 @@ every array built here is bounded by its declared shape.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from driverscope.operators.timing import frame_in_chunk
 from driverscope.operators.tracks import top_objects
 
 
@@ -132,3 +136,90 @@ def collate_array(column: str, size: int, default: float = 0.0) -> tuple[Column,
     wrong = F.raise_error(F.concat(F.lit(f"{column}: expected {size} values, found "), F.size(value).cast("string"))).cast("array<double>")
     checked = F.when(value.isNull(), F.array_repeat(F.lit(default), size)).when(F.size(value) == size, value).otherwise(wrong)
     return checked, value.isNotNull().cast("int")
+
+
+def collate_frame_timing(rows: DataFrame, chunks: DataFrame, keys: Sequence[str], columns: Sequence[str], frames: int, frame: str = "resampled_frame") -> DataFrame:
+    """Per chunk ``timing`` and ``timing_valid`` (frames x columns) and ``file_valid``; the last column is the frame's place in the chunk."""
+    placed = frame_in_chunk(rows, keys, frame)
+    out = collate_table(placed, chunks, keys, [*columns, "frame_in_chunk"], frames, "frame_in_chunk")
+    return out.withColumnsRenamed({"table": "timing", "table_valid": "timing_valid"})
+
+
+@dataclass(frozen=True)
+class ArrayShape:
+    """Declared form of an array: shape of an entry, or of the whole where it does not vary in time; type, default."""
+
+    shape: tuple[int, ...] = ()
+    type: str = "double"
+    default: float = 0
+    temporal: bool = True
+
+    @property
+    def size(self) -> int:
+        return math.prod(self.shape)
+
+
+def reshape(flat: Column, shape: Sequence[int]) -> Column:
+    """A flat array in nested arrays of the shape; no axis gives its only value."""
+    if not shape:
+        return F.get(flat, F.lit(0))
+    if len(shape) == 1:
+        return flat
+    return _rows_of(reshape(flat, [shape[0] * shape[1], *shape[2:]]) if len(shape) > 2 else flat, shape[0], shape[1])
+
+
+def _rows_of(values: Column, count: int, width: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.slice(values, i * width + 1, width))
+
+
+def filled_with(value: Column, shape: Sequence[int]) -> Column:
+    for width in reversed(shape):
+        value = F.array_repeat(value, width)
+    return value
+
+
+def _flat(column: Column, kind: T.DataType) -> Column:
+    """All values of nested arrays in one; a single value becomes an array."""
+    if not isinstance(kind, T.ArrayType):
+        return F.array(column)
+    while isinstance(kind.elementType, T.ArrayType):
+        column, kind = F.flatten(column), kind.elementType
+    return column
+
+
+def collate_arrays(
+    rows: DataFrame, chunks: DataFrame, keys: Sequence[str], shapes: Mapping[str, ArrayShape], frames: int, start: str, end: str, times: str = "times"
+) -> DataFrame:
+    """Per chunk every array in its declared shape, and ``<name>_valid``: 1 where the chunk has one.
+
+    ``rows`` hold arrays with one entry per time, or one for all; entries may be nested or flat. An array that varies in time is cut to
+    the times from the chunk's ``start`` to its ``end`` and has ``frames`` entries then, or its one entry
+    stands for each. A fixed array is taken whole. A chunk without a row gets defaults; another number of values raises.
+    Chunks and rows meet by their keys, NULL included.
+    """
+    of = F.struct(*keys).alias("__of")
+    held = rows.select(of, times, *shapes, F.lit(1).alias("__have"))
+    joined = chunks.select(of, F.col(start).alias("__from"), F.col(end).alias("__to")).join(held, "__of", "left")
+    wanted = F.filter(F.transform(times, lambda t, i: F.when(t.between(F.col("__from"), F.col("__to")), i)), lambda i: i.isNotNull())
+    columns: list[Column] = []
+    for name, form in shapes.items():
+        entries = _shaped(name, rows.schema[name].dataType, form, frames, wanted)
+        blank = filled_with(F.lit(form.default).cast(form.type), (frames, *form.shape) if form.temporal else form.shape)
+        have = F.col("__have").isNotNull() & F.col(name).isNotNull()
+        columns += [F.when(have, entries).otherwise(blank).alias(name), have.cast("int").alias(f"{name}_valid")]
+    return joined.select("__of.*", *columns)
+
+
+def _shaped(name: str, whole: T.ArrayType, form: ArrayShape, frames: int, wanted: Column) -> Column:
+    """The array ``name`` in its declared form; ``wanted`` are the positions of the chunk's times."""
+
+    def one(value: Column, kind: T.DataType) -> Column:
+        flat = _flat(value, kind).cast(f"array<{form.type}>")
+        text = F.concat(F.lit(f"{name}: expected {form.size} values, found "), F.size(flat).cast("string"))
+        return reshape(F.when(F.size(flat) == form.size, flat).otherwise(F.raise_error(text)), form.shape)
+
+    if not form.temporal:
+        return one(F.col(name), whole)
+    held = F.when(F.size(name) == 1, F.array_repeat(F.get(name, F.lit(0)), frames)).otherwise(F.transform(wanted, lambda i: F.get(F.col(name), i)))
+    text = F.concat(F.lit(f"{name}: expected {frames} entries, found "), F.size(held).cast("string"))
+    return F.when(F.size(held) == frames, F.transform(held, lambda e: one(e, whole.elementType))).otherwise(F.raise_error(text))

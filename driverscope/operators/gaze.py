@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,8 +13,8 @@ from pyspark.sql import types as T
 from driverscope.functions.frames import pixel_at
 from driverscope.functions.geometry import gaze_pixel
 from driverscope.operators.chunks import rows_in_intervals
-from driverscope.operators.ordered import halo, neighbour, row_index, running, step_islands, time_bin
-from driverscope.operators.sequential import scan_groups
+from driverscope.operators.ordered import halo, neighbour, row_index, running, time_bin
+from driverscope.operators.sequential import scan_blocks
 from driverscope.session import settle
 
 SECOND = 1_000_000_000
@@ -131,10 +132,13 @@ def fixation_saccade_ratio(
 
 
 def mark_intervals(rows: DataFrame, intervals: DataFrame, keys: Sequence[str], name: str, slot: int, time: str = "t_ns") -> DataFrame:
-    """1 for rows inside any interval, else 0. ``(keys, time)`` identifies a row."""
-    hits = rows_in_intervals(rows.select(*keys, time), intervals.select(*keys, "start", "end"), keys, time, "start", "end", slot)
-    flagged = hits.select(*keys, time).distinct().withColumn(name, F.lit(1))
-    return rows.join(flagged, [*keys, time], "left").withColumn(name, F.coalesce(F.col(name), F.lit(0)))
+    """1 for rows inside any interval, else 0; rows of one key and time share the answer."""
+    of = F.struct(*keys).alias("__of")
+    hits = rows_in_intervals(rows.select(of, time), intervals.select(of, "start", "end"), ["__of"], time, "start", "end", slot)
+    # keys and time meet as one value, whose NULL fields are equal
+    flagged = hits.select(F.struct("__of", time).alias("__at")).distinct().withColumn(name, F.lit(1))
+    marked = rows.withColumn("__at", F.struct(of, time)).join(flagged, "__at", "left").drop("__at")
+    return marked.withColumn(name, F.coalesce(F.col(name), F.lit(0)))
 
 
 def detect_saccades(
@@ -178,29 +182,180 @@ def detect_saccades(
     return spans.where((F.col("end") - F.col("start")) / 1e6 >= min_ms)
 
 
-def fixation_machine(max_distance: float, min_ns: float):
-    """(step, finish) along one stretch without a jump: reports (start, end) of each fixation."""
-    state = {"x": None, "y": None, "began": None, "last": None}
+class FixationMachine:
+    """Anchored fixations as a machine that can be cut into blocks.
 
-    def close() -> tuple[int, int] | None:
-        began, last = state["began"], state["last"]
-        return (began, last) if began is not None and last - began >= min_ns else None
+    Between fixations the anchor is the sample before; a sample near it begins a fixation and becomes its anchor; the
+    first sample further than ``max_distance`` from the anchor ends it. What a block does to a fixation
+    that comes in depends on the first of its samples that lies outside the disc around the anchor. The
+    samples before that one lie inside, and so does their convex hull: it is a sample that extends the hull of
+    those before it. The summary lists these few samples with the state at the block's end after each.
+    """
 
-    def step(t: int, x: float, y: float) -> tuple[int, int] | None:
-        found = None
-        if state["x"] is not None:
-            near = math.hypot(x - state["x"], y - state["y"]) <= max_distance
-            if state["began"] is None:
-                state.update(x=x, y=y, began=t if near else None)
-            elif not near:
-                found = close()
-                state.update(x=x, y=y, began=None)
+    STATE = np.dtype([("kind", "i8"), ("x", "f8"), ("y", "f8"), ("began", "i8"), ("last", "i8")])
+    RECORD = np.dtype(STATE.descr + [("sx", "f8"), ("sy", "f8")])
+    START, BETWEEN, INSIDE = 0, 1, 2
+
+    def __init__(self, time: str, x: str, y: str, max_distance: float, min_ns: float) -> None:
+        self.names, self.reach, self.least = (time, x, y), max_distance, min_ns
+
+    def begin(self) -> bytes:
+        return np.zeros(1, self.STATE).tobytes()
+
+    def _open(self, block) -> tuple:
+        """Times, positions as arrays and as lists."""
+        t, x, y = (block[n] for n in self.names)
+        return t.tolist(), x, y, x.tolist(), y.tolist()
+
+    def _leaves(self, opened: tuple, px: float, py: float, start: int) -> int:
+        """First sample from ``start`` outside the disc around (px, py), or their number.
+
+        Most stays are short, so a few samples are looked at one by one before whole stretches are.
+        """
+        _, x, y, xs, ys = opened
+        soon = min(start + 32, len(xs))
+        for k in range(start, soon):
+            dx, dy = xs[k] - px, ys[k] - py
+            if math.sqrt(dx * dx + dy * dy) > self.reach:
+                return k
+        size = 256
+        while soon < len(xs):
+            out = np.sqrt((x[soon : soon + size] - px) ** 2 + (y[soon : soon + size] - py) ** 2) > self.reach
+            if out.any():
+                return soon + int(np.argmax(out))
+            soon, size = soon + size, 2 * size
+        return len(xs)
+
+    def _next(self, opened: tuple, j: int) -> int:
+        """First sample after ``j`` that is near the one before it: there a fixation begins. 0 if none does."""
+        _, _, _, xs, ys = opened
+        for k in range(j + 1, len(xs)):
+            dx, dy = xs[k] - xs[k - 1], ys[k] - ys[k - 1]
+            if math.sqrt(dx * dx + dy * dy) <= self.reach:
+                return k
+        return 0
+
+    def _exit(self, opened: tuple, j: int, seen: dict[int, tuple]) -> tuple:
+        """State at the block's end, if no fixation runs at sample ``j``; (kind, x, y, began)."""
+        t, _, _, xs, ys = opened
+        passed = []
+        while j not in seen:
+            passed.append(j)
+            begin = self._next(opened, j)
+            if not begin:
+                seen[j] = (self.BETWEEN, xs[-1], ys[-1], 0)
+                break
+            left = self._leaves(opened, xs[begin], ys[begin], begin + 1)
+            if left == len(xs):
+                seen[j] = (self.INSIDE, xs[begin], ys[begin], t[begin])
+                break
+            j = left
+        for k in passed:
+            seen[k] = seen[j]
+        return seen[j]
+
+    def summary(self, block) -> bytes:
+        """Header (last time, first sample's state as an anchor), then the samples that extend the hull, each with its exit."""
+        opened = t, x, y, xs, ys = self._open(block)
+        seen: dict[int, tuple] = {}
+        left = self._leaves(opened, xs[0], ys[0], 1)
+        own = (self.INSIDE, xs[0], ys[0], t[0]) if left == len(xs) else self._exit(opened, left, seen)
+        rows = [(*own, t[-1], xs[0], ys[0])]
+        rows += [(*self._exit(opened, k, seen), t[-1], xs[k], ys[k]) for k in hull_records(x, y, 2 * self.reach)]
+        return np.array(rows, self.RECORD).tobytes()
+
+    def advance(self, state: bytes, summary: bytes) -> bytes:
+        now = np.frombuffer(state, self.STATE)[0]
+        rows = np.frombuffer(summary, self.RECORD)
+        out = np.sqrt((rows["sx"] - now["x"]) ** 2 + (rows["sy"] - now["y"]) ** 2) > self.reach
+        if now["kind"] == self.BETWEEN and not out[0]:
+            found = rows[0]
+        elif now["kind"] != self.INSIDE:
+            found = rows[1]
         else:
-            state.update(x=x, y=y)
-        state["last"] = t
-        return found
-
-    return step, close
+            found = rows[1 + int(np.argmax(out[1:]))] if out[1:].any() else now
+        exit = np.zeros(1, self.STATE)
+        for name in ("kind", "x", "y", "began"):
+            exit[name] = found[name]
+        exit["last"] = rows["last"][0]
+        return exit.tobytes()
+
+    def run(self, state: bytes, block, last: bool):
+        opened = t, _, _, xs, ys = self._open(block)
+        kind, px, py, entered, seen = np.frombuffer(state, self.STATE)[0].item()
+        found: list[tuple[int, int]] = []
+
+        def inside(px: float, py: float, began: int, start: int) -> int:
+            """Where the fixation ends that began at ``began``."""
+            left = self._leaves(opened, px, py, start)
+            if left < len(xs) or last:
+                ended = t[left - 1] if left else seen
+                if ended - began >= self.least:
+                    found.append((began, ended))
+            return left
+
+        j = 0
+        if kind == self.INSIDE:
+            j = inside(px, py, entered, 0)
+        elif kind == self.BETWEEN and math.sqrt((xs[0] - px) * (xs[0] - px) + (ys[0] - py) * (ys[0] - py)) <= self.reach:
+            j = inside(xs[0], ys[0], t[0], 1)
+        while j < len(xs) and (begin := self._next(opened, j)):
+            j = inside(xs[begin], ys[begin], t[begin], begin + 1)
+        spans = np.array(found, np.int64).reshape(-1, 2)
+        return np.zeros(len(spans), int), {"start": spans[:, 0], "end": spans[:, 1]}
+
+
+def convex(points: np.ndarray) -> np.ndarray:
+    """Corners of the convex hull of a few points, counter-clockwise."""
+    rows = sorted({(float(a), float(b)) for a, b in points})
+
+    def chain(row):
+        out: list[tuple[float, float]] = []
+        for p in row:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]):
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    return np.array(rows if len(rows) < 3 else chain(rows) + chain(rows[::-1]))
+
+
+def hull_records(x: np.ndarray, y: np.ndarray, enough: float) -> list[int]:
+    """All samples outside the convex hull of those before them, up to the first with another further away than ``enough``.
+
+    The first few samples are listed as they come. Then the hull is taken from the inside, by the furthest samples in sixteen
+    directions, renewed while ever longer stretches are tested at once. So some samples inside the true
+    hull are listed as well, which does no harm.
+    """
+    first, ax, ay = min(16, len(x)), float(x[0]), float(y[0])
+    for k, (bx, by) in enumerate(zip(x[:first].tolist(), y[:first].tolist())):
+        if math.hypot(bx - ax, by - ay) > enough * 1.001:
+            return list(range(k + 1))
+    if first == len(x):
+        return list(range(first))
+    turns = np.arange(16) * (math.pi / 8)
+    ways = np.stack([np.cos(turns), np.sin(turns)])
+    points = np.stack([x, y], axis=1)
+    found, corners, size = list(range(first)), convex(points[:first]), first
+    while first < len(points):
+        now = points[first : first + size]
+        (ax, ay), (bx, by) = corners[0], corners[-1]
+        if len(corners) < 3:
+            aside = (bx - ax) * (now[:, 1] - ay) != (by - ay) * (now[:, 0] - ax)
+            out = aside | (now < corners.min(axis=0)).any(axis=1) | (now > corners.max(axis=0)).any(axis=1)
+        else:
+            along = np.roll(corners, -1, axis=0) - corners
+            away = now[:, None, :] - corners[None, :, :]
+            out = (along[:, 0] * away[:, :, 1] < along[:, 1] * away[:, :, 0]).any(axis=1)
+        far = np.sqrt(((now[:, None, :] - corners[None, :, :]) ** 2).sum(axis=2)).max(axis=1) > enough * 1.001
+        if far.any():
+            return found + (first + np.flatnonzero(out[: int(np.argmax(far)) + 1])).tolist()
+        found += (first + np.flatnonzero(out)).tolist()
+        if out.any():
+            known = np.concatenate([corners, now[out]])
+            corners = convex(known[np.unique(np.argmax(known @ ways, axis=0))])
+        first, size = first + size, min(2 * size, 512)
+    return found
 
 
 def detect_fixations(
@@ -215,25 +370,16 @@ def detect_fixations(
 ) -> DataFrame:
     """Intervals in which the gaze stays within ``max_distance`` of where the fixation began.
 
-    The anchor makes this sequential, but a jump of more than twice the distance
-    between two samples ends any fixation and restarts the search whatever the state before:
-    an anchored sample lies within one distance of the anchor, so the next is further than one.
-    Recordings are therefore cut at such jumps (several a second in real gaze)
-    and the pieces run in parallel, each as a stream with constant state; the result is that
-    of one pass over the whole recording.
+    The anchor makes this sequential: recordings are cut into blocks of ``slot``, which run side by side once their
+    entry states are known (``scan_blocks``); the result is that of one pass over the whole recording,
+    also for a gaze that never moves. Samples without position or time take no part; samples of one time go in
+    the order of their position.
     """
-    seen = gaze.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, time, x, y)
-
-    def jump(now: Column, before: Column) -> Column:
-        return F.sqrt(F.pow(now[x] - before[x], 2) + F.pow(now[y] - before[y], 2)) > 2 * max_distance
-
-    pieces = step_islands(seen, keys, time_bin(time, slot), [time], [x, y], jump, "__piece")
-    fields = {f.name: f for f in gaze.schema.fields}
-    schema = T.StructType([fields[k] for k in keys] + [T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-
-    return scan_groups(
-        pieces, [*keys, "__piece"], [time], [time, x, y], lambda: fixation_machine(max_distance, min_ms * 1e6), schema, list(keys)
-    )
+    seen = gaze.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(time).isNotNull())
+    seen = seen.select(*keys, F.col(time).cast("long").alias(time), F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y))
+    machine = FixationMachine(time, x, y, max_distance, min_ms * 1e6)
+    spans = [T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]
+    return scan_blocks(seen, keys, time_bin(time, slot), [time, x, y], [time, x, y], machine, keys, spans)
 
 
 def value_at_gaze(frames: DataFrame, gaze: DataFrame, keys: Sequence[str], pixels: str, width: int, height: int, x: str, y: str, out: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Groups such as (task, fold) are few and large, so nothing here orders a group
 inside one task: equal scores collapse to one row first and running counts go
-through slices of the score range.
+through slices cut at the scores' own quantiles.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driverscope.operators.ordered import magnitude_bin, running, score_bin
+from driverscope.operators.ordered import data_bins, running, score_bin
 from driverscope.operators.spread import join_few
 
 
@@ -57,10 +57,18 @@ def score_counts(predictions: DataFrame, keys: Sequence[str], gt: str = "gt", pr
     )
 
 
+def sliced_counts(predictions: DataFrame, keys: Sequence[str], gt: str, prob: str, bin: Column | None) -> DataFrame:
+    """``score_counts`` with the slice of every score as ``__slice``."""
+    counts = score_counts(predictions, keys, gt, prob)
+    if bin is not None:
+        return counts.withColumn("__slice", bin)
+    return data_bins(counts, keys, prob, predictions.where((F.col(gt) != -1) & F.col(prob).isNotNull()))
+
+
 def roc_auc(predictions: DataFrame, keys: Sequence[str], gt: str = "gt", prob: str = "prob", bin: Column | None = None) -> DataFrame:
     """Chance that a positive outscores a negative, ties half; NULL when a class is missing."""
-    counts = score_counts(predictions, keys, gt, prob)
-    below = running(counts, keys, bin if bin is not None else score_bin(prob), [prob], sums={"below": F.col("neg")}, inclusive=False)
+    counts = sliced_counts(predictions, keys, gt, prob, bin)
+    below = running(counts, keys, F.col("__slice"), [prob], sums={"below": F.col("neg")}, inclusive=False)
     wins = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2))
     return below.groupBy(*keys).agg(
         F.try_divide(wins, F.sum("pos").cast("double") * F.sum("neg").cast("double")).alias("auc"),
@@ -75,11 +83,11 @@ def best_threshold(predictions: DataFrame, keys: Sequence[str], gt: str = "gt",
     When no score beats calling everything negative (0.5) the threshold is infinite;
     with one class missing it is NULL.
     """
-    counts = score_counts(predictions, keys, gt, prob)
+    counts = sliced_counts(predictions, keys, gt, prob, bin)
     upto = running(
         counts,
         keys,
-        bin if bin is not None else score_bin(prob),
+        F.col("__slice"),
         [prob],
         sums={"tp": F.col("pos"), "fp": F.col("neg")},
         descending=True,
@@ -180,8 +188,9 @@ def ranking_loss(clips: DataFrame, keys: Sequence[str], margin: float = 1.0, sco
             F.sum(negative).alias("__neg"),
         )
     )
+    valued = clips.select(*keys, shifted.alias("__level"))
     upto = running(
-        levels, keys, magnitude_bin("__level"), ["__level"],
+        data_bins(levels, keys, "__level", valued), keys, F.col("__slice"), ["__level"],
         sums={"__neg_upto": F.col("__neg"), "__sum_upto": F.col("__neg") * F.col("__level")},
         totals={"__negs": F.col("__neg"), "__neg_sum": F.col("__neg") * F.col("__level"), "__poss": F.col("__pos")},
     )

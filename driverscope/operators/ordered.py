@@ -19,6 +19,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driverscope.session import settle
+
 
 def time_bin(time: str | Column, width: int) -> Column:
     """Slot number of an integer time. Frame rates bound the rows of one slot."""
@@ -46,6 +48,33 @@ def magnitude_bin(value: str | Column, steps: int = 64) -> Column:
     return F.when(c < 0, -size).otherwise(size)
 
 
+#: Splitters per level of ``data_bins``: their square is the number of bins of a key.
+SPLITTERS = 16
+
+
+def data_bins(df: DataFrame, keys: Sequence[str], value: str, source: DataFrame | None = None, out: str = "__slice") -> DataFrame:
+    """All columns and ``out``: the value's slice of its key's own values, non-decreasing in the value.
+
+    The slices are cut at the key's quantiles, from a mergeable sketch over ``source`` (the rows themselves unless
+    given), so they are about evenly filled whatever range the values lie in, and equal values share one. NULL and NaN values and NULL keys have
+    slices too. The quantiles, one row per key, are written: both readers of the bins must see the same.
+    """
+    source = df if source is None else source
+    of = F.struct(*keys) if keys else F.lit(0)
+    steps = SPLITTERS * SPLITTERS
+    quantiles = F.percentile_approx(value, [i / steps for i in range(1, steps)], 4 * steps)
+    cuts = settle(source.where(F.col(value).isNotNull()).groupBy(of.alias("__of")).agg(quantiles.alias("__cuts")))
+    # two short searches: among every 16th cut, then among the 15 that follow it
+    heads = F.transform(F.sequence(F.lit(1), F.lit(SPLITTERS - 1)), lambda i: F.element_at("__cuts", i * SPLITTERS))
+    tails = F.transform(F.sequence(F.lit(0), F.lit(SPLITTERS - 1)), lambda i: F.slice("__cuts", i * SPLITTERS + 1, SPLITTERS - 1))
+    cuts = cuts.select("__of", heads.alias("__heads"), tails.alias("__tails"))
+    below = lambda cut: F.size(F.filter(cut, lambda x: x <= F.col(value)))
+    joined = df.withColumn("__of", of).join(cuts, "__of", "left").withColumn("__head", below("__heads"))
+    inner = below(F.element_at("__tails", F.col("__head") + 1))
+    place = F.when(F.col(value).isNotNull(), F.coalesce(F.col("__head") * SPLITTERS + inner, F.lit(0)).cast("long"))
+    return joined.select(*df.columns, place.alias(out))
+
+
 def cell(keys: Sequence[str]) -> Column:
     """Key and bin as one value that is never NULL."""
     return F.struct(*keys, "__bin").alias("__cell")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driverscope.operators.ordered import magnitude_bin, running
+from driverscope.operators.ordered import data_bins, running
 from driverscope.session import settle
 
 CONDITIONS = ("intoxicated", "cd", "joint")
@@ -91,7 +91,8 @@ def signed_rank(pairs: DataFrame, keys: Sequence[str], baseline: str = "baseline
         .groupBy(*keys, F.abs("__d").alias("__size"))
         .agg(F.count(F.lit(1)).alias("__t"), F.count_if(F.col("__d") > 0).alias("__up"))
     )
-    below = running(sizes, keys, bin if bin is not None else magnitude_bin("__size"), ["__size"], sums={"__below": F.col("__t")}, inclusive=False)
+    sliced = data_bins(sizes, keys, "__size") if bin is None else sizes.withColumn("__slice", bin)
+    below = running(sliced, keys, F.col("__slice"), ["__size"], sums={"__below": F.col("__t")}, inclusive=False)
     t = F.col("__t").cast("double")
     sums = below.groupBy(*keys).agg(
         F.sum(F.col("__up") * (F.col("__below") + (t + 1) / 2)).alias("__plus"),
@@ -101,7 +102,9 @@ def signed_rank(pairs: DataFrame, keys: Sequence[str], baseline: str = "baseline
     m = F.col("__m")
     variance = m * (m + 1) * (2 * m + 1) / 24 - F.col("__ties") / 48
     z = F.when(F.col("mean_diff").isNotNull(), F.try_divide(F.col("__plus") - m * (m + 1) / 4, F.sqrt(variance)))
-    return every.join(sums, list(keys), "left").withColumn("z", z).select(
+    of = F.struct(*keys).alias("__of")
+    joined = every.withColumn("__of", of).join(sums.select(of, "__plus", "__m", "__ties"), "__of", "left")
+    return joined.withColumn("z", z).select(
         *keys, "n", "mean_diff", "z", (F.abs("z") / F.sqrt(F.col("n").cast("double"))).alias("effect")
     )
 

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import itertools
 import math
+from array import array
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driverscope.functions.geometry import quaternion_yaw
-from driverscope.operators.ordered import around, halo, row_index, step_islands, time_bin
-from driverscope.operators.sequential import map_groups, scan_groups
+from driverscope.operators.ordered import around, halo, row_index, time_bin
+from driverscope.operators.sequential import map_groups, scan_blocks
 from driverscope.session import settle
 
 EDGE_ROWS = 9
@@ -66,23 +68,20 @@ def smooth_low_pass(
     response = impulse_response(cutoff, fps)
     reach = 2 * len(response) + EDGE_ROWS
     size = max(segment, 2 * reach)
-    numbered = row_index(rows.select(*keys, time, value), keys, time_bin(time, slot), [time], "__row", "__length")
+    # rows of one time go in the order of their values; every row keeps its other columns, so nothing is joined back
+    numbered = row_index(rows, keys, time_bin(time, slot), [time, value], "__row", "__length")
     placed = halo(numbered, F.col("__row"), size, reach, reach)
-    fields = {f.name: f for f in rows.schema.fields}
-    schema = T.StructType([fields[k] for k in keys] + [T.StructField(time, T.LongType()), T.StructField(out, T.DoubleType())])
 
-    def smooth(piece: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        row, own, length = piece["__row"], piece["is_own"], piece["__length"][0]
+    def smooth(piece: dict[str, np.ndarray]):
+        row, own, length = piece["__row"], piece["is_own"].astype(bool), piece["__length"][0]
         if length <= EDGE_ROWS:
             result = np.full(len(row), np.nan)
         else:
             result = filter_both_ways(piece[value].astype(float), response, row[0] == 0, row[-1] == length - 1)
-        return {time: piece[time][own], out: result[own]}
+        return np.flatnonzero(own), {out: result[own]}
 
-    pieces = placed.select(*keys, "segment", "__row", "__length", "is_own", time, value)
-    smoothed = map_groups(pieces, [*keys, "segment"], ["__row"], smooth, T.StructType([*schema.fields, T.StructField("segment", T.LongType())]))
-    clean = smoothed.select(*keys, time, F.when(~F.isnan(out), F.col(out)).alias(out))
-    return rows.join(clean, [*keys, time])
+    needed = ["__row", "__length", "is_own", value]
+    return map_groups(placed, [*keys, "segment"], ["__row"], needed, smooth, rows.columns, [T.StructField(out, T.DoubleType())])
 
 
 def stationary_points(rows: DataFrame, keys: Sequence[str], value: str, slot: int, time: str = "t_ns", out: str = "is_stationary") -> DataFrame:
@@ -94,57 +93,124 @@ def stationary_points(rows: DataFrame, keys: Sequence[str], value: str, slot: in
     return beside.withColumn(out, flat | peak).drop("__prev", "__next")
 
 
-def reversal_machine(theta: float):
-    """(step, finish) along the stationary values: reports the times at which the wheel has turned back.
+class ReversalMachine:
+    """Steering reversals as a machine that can be cut into blocks.
 
-    Two reference levels, one for each direction: a level follows the signal while it moves away
-    and jumps to it once it has come back by ``theta``.
+    A reference level per direction follows the signal while it moves away and jumps to it once it has come
+    back by ``theta``: a reversal. Until its first reversal in a block a level only falls to the lowest value so far, and
+    that reversal comes at the first value that is ``theta`` above the level on entry, or above an earlier
+    value of the block. The first kind are values higher than all before them; so the summary lists these, up to
+    the first of the second kind, each with the level at the block's end after a reversal there.
     """
-    level = {"up": None, "down": None}
 
-    def step(t: int, v: float, jumped: bool) -> tuple[int] | None:
-        hit = jumped
-        for side, x in (("up", v), ("down", -v)):
-            low = level[side]
-            turned = low is not None and x - low >= theta
-            if low is None or turned or x < low:
-                level[side] = x
-            hit = hit or turned
-        return (t,) if hit else None
-
-    return step, lambda: None
-
-
-def steering_reversals(rows: DataFrame, keys: Sequence[str], value: str, theta: float, slot: int, time: str = "t_ns") -> DataFrame:
-    """Times of the stationary points where the wheel has turned back by ``theta``, in either direction, once each.
-
-    After a stationary value v the reference level lies in (v - theta, v] (mirrored for the
-    other direction). A step of theta or more between two stationary values therefore sets both
-    levels to the new value whatever they were, and is itself a reversal. Recordings are cut at such
-    steps; the pieces run in parallel, each as a stream with constant state.
+    def __init__(self, value: str, theta: float, out: str) -> None:
+        self.value, self.theta, self.out = value, theta, out
+
+    def begin(self) -> bytes:
+        return np.full(2, np.inf).tobytes()
+
+    def _next(self, x: np.ndarray, xs: list[float], level: float, start: int) -> tuple[int, float]:
+        """(first reversal from ``start`` on, or the number of values; the level there or at the end)."""
+        soon = min(start + 32, len(xs))
+        for k in range(start, soon):  # most come soon
+            v = xs[k]
+            if v - level >= self.theta:
+                return k, v
+            if v < level:
+                level = v
+        size = 256
+        while soon < len(xs):
+            now = x[soon : soon + size]
+            low = np.minimum.accumulate(np.concatenate([[level], now]))
+            hit = now - low[:-1] >= self.theta
+            if hit.any():
+                at = int(np.argmax(hit))
+                return soon + at, float(now[at])
+            soon, size, level = soon + size, 2 * size, float(low[-1])
+        return len(xs), level
+
+    def _exit(self, x: np.ndarray, xs: list[float], j: int, seen: dict[int, float]) -> float:
+        """Level at the block's end after a reversal at ``j``."""
+        passed = []
+        while j not in seen:
+            passed.append(j)
+            after, level = self._next(x, xs, xs[j], j + 1)
+            if after == len(xs):
+                seen[j] = level
+                break
+            j = after
+        for k in passed:
+            seen[k] = seen[j]
+        return seen[j]
+
+    def summary(self, block) -> bytes:
+        """Per direction: number of records, lowest value, then (value, level at the end) of each record."""
+        parts: list[float] = []
+        for x in (block[self.value], -block[self.value]):
+            xs = x.tolist()
+            certain, _ = self._next(x, xs, math.inf, 0)
+            seen: dict[int, float] = {}
+            records: list[tuple[float, float]] = []
+            high = -math.inf
+            for k in range(min(certain + 1, len(xs))):
+                if xs[k] > high:
+                    high, end = xs[k], self._exit(x, xs, k, seen)
+                    # a level that reaches this value reaches an earlier one first; if both end alike the higher says it all
+                    if records and records[-1][1] == end:
+                        records.pop()
+                    records.append((high, end))
+            if certain < len(xs):  # none gets past it
+                records.append((math.inf, self._exit(x, xs, certain, seen)))
+            parts += [len(records), min(xs), *itertools.chain.from_iterable(records)]
+        return array("d", parts).tobytes()
+
+    def advance(self, state: bytes, summary: bytes) -> bytes:
+        levels, parts = np.frombuffer(state).copy(), np.frombuffer(summary)
+        for side in range(2):
+            size = int(parts[0])
+            records, low = parts[2 : 2 + 2 * size].reshape(-1, 2), parts[1]
+            reached = np.flatnonzero(records[:, 0] - levels[side] >= self.theta) if np.isfinite(levels[side]) else np.flatnonzero(records[:, 0] == np.inf)
+            levels[side] = records[reached[0], 1] if len(reached) else min(levels[side], low)
+            parts = parts[2 + 2 * size :]
+        return levels.tobytes()
+
+    def run(self, state: bytes, block, last: bool):
+        hits = np.zeros(len(block[self.value]), np.int32)
+        for level, x in zip(np.frombuffer(state).tolist(), (block[self.value], -block[self.value])):
+            xs = x.tolist()
+            j, level = self._next(x, xs, level, 0)
+            while j < len(xs):
+                hits[j] = 1
+                j, level = self._next(x, xs, level, j + 1)
+        return np.arange(len(hits)), {self.out: hits}
+
+
+def with_reversals(still: DataFrame, keys: Sequence[str], value: str, theta: float, slot: int, time: str = "t_ns", out: str = "reversal") -> DataFrame:
+    """Stationary points with 1 where the wheel has turned back by ``theta``, in either direction, else 0.
+
+    Runs in blocks of ``slot`` side by side, however smooth the signal. Points of one time go in the order of their
+    values; every column is kept.
     """
+    rows = still.withColumn("__value", F.col(value).cast("double"))
+    flag = T.StructField(out, T.IntegerType())
+    return scan_blocks(rows, keys, time_bin(time, slot), [time, "__value"], ["__value"], ReversalMachine("__value", theta, out), still.columns, [flag])
 
-    def far(now: Column, before: Column) -> Column:
-        return F.abs(now[value] - before[value]) >= theta
 
-    pieces = step_islands(rows.select(*keys, time, value), keys, time_bin(time, slot), [time], [value], far, "__piece", "__prev")
-    jumped = F.coalesce(far(F.struct(value), F.col("__prev")), F.lit(False))
-    pieces = pieces.withColumn("__jumped", jumped)
-    fields = {f.name: f for f in rows.schema.fields}
-    schema = T.StructType([fields[k] for k in keys] + [T.StructField(time, T.LongType())])
-    return scan_groups(pieces, [*keys, "__piece"], [time], [time, value, "__jumped"], lambda: reversal_machine(theta), schema, list(keys))
+def steering_reversals(rows: DataFrame, keys: Sequence[str], value: str, theta: float, slot: int, time: str = "t_ns") -> DataFrame:
+    """Times of the stationary points where the wheel has turned back by ``theta``, once each."""
+    return with_reversals(rows.select(*keys, time, value), keys, value, theta, slot, time, "__hit").where("__hit = 1").select(*keys, time).distinct()
 
 
 def mark_reversals(rows: DataFrame, keys: Sequence[str], value: str, thetas: Sequence[float], slot: int, time: str = "t_ns") -> DataFrame:
-    """0/1 column per threshold, named like ``reversals_0_5``."""
+    """0/1 column per threshold, named like ``reversals_0_5``. Rows keep all columns; nothing is joined back."""
+    names = {theta: f"reversals_{theta}".replace(".", "_") for theta in thetas}
+    flagged = stationary_points(rows, keys, value, slot, time, "__still")
     # turning points are few next to samples, and every threshold starts from them
-    still = settle(stationary_points(rows.select(*keys, time, value), keys, value, slot, time).where("is_stationary").drop("is_stationary"))
-    out = rows
-    for theta in thetas:
-        name = f"reversals_{theta}".replace(".", "_")
-        hits = steering_reversals(still, keys, value, theta, slot, time).withColumn(name, F.lit(1))
-        out = out.join(hits, [*keys, time], "left").withColumn(name, F.coalesce(F.col(name), F.lit(0)))
-    return out
+    marked = settle(flagged.where("__still").drop("__still"))
+    for theta, name in names.items():
+        marked = with_reversals(marked, keys, value, theta, slot, time, name)
+    rest = flagged.where("NOT __still").drop("__still")
+    return rest.withColumns({name: F.lit(0) for name in names.values()}).unionByName(marked)
 
 
 KINEMATICS = [f"{axis}_{kind}" for kind in ("speed", "acceleration", "jerk") for axis in ("lateral", "longitudinal")]
@@ -182,31 +248,35 @@ def local_derivatives(t_ns: np.ndarray, x: np.ndarray, y: np.ndarray, yaw: np.nd
 
 
 def ego_kinematics(
-    ego: DataFrame, keys: Sequence[str], time: str = "t_ns", half_s: float = 2.5, segment_s: int = 60, quaternion: Sequence[str] = ("qx", "qy", "qz", "qw"), pose: Sequence[str] = ("pose_x", "pose_y")
+    ego: DataFrame,
+    keys: Sequence[str],
+    time: str = "t_ns",
+    half_s: float = 2.5,
+    segment_s: int = 60,
+    quaternion: Sequence[str] = ("qx", "qy", "qz", "qw"),
+    pose: Sequence[str] = ("pose_x", "pose_y"),
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Yaw and lateral/longitudinal speed, acceleration and jerk of the ego at every row.
+    """Yaw and lateral/longitudinal speed, acceleration and jerk of the ego at every row, next to the columns ``keep`` (keys and time).
 
     A row needs its 5 s neighbourhood only: recordings are cut into minutes with that margin
-    copied over. The fit is a weighted cubic, in place of a smoothing spline with the same weights.
+    copied over. Rows without time have no neighbourhood and no result.
     """
     half_ns = int(half_s * 1e9)
-    turned = ego.select(*keys, time, *pose, quaternion_yaw(*quaternion).alias("yaw_rad"))
+    keep = list(keep or [*keys, time])
+    turned = ego.select(*dict.fromkeys([*keys, time, *pose, *keep]), quaternion_yaw(*quaternion).alias("yaw_rad"))
     placed = halo(turned, F.col(time), segment_s * 1_000_000_000, half_ns, half_ns)
-    fields = {f.name: f for f in ego.schema.fields}
-    schema = T.StructType(
-        [fields[k] for k in keys] + [T.StructField(time, T.LongType()), T.StructField("yaw", T.DoubleType())] + [T.StructField(n, T.DoubleType()) for n in KINEMATICS]
-    )
 
-    def derive(piece: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        own = piece["is_own"]
-        at, x, y = piece[time], piece[pose[0]].astype(float), piece[pose[1]].astype(float)
-        values = local_derivatives(at, x, y, piece["yaw_rad"], own, half_s)
-        return {time: at[own], "yaw": np.rad2deg(piece["yaw_rad"][own])} | {n: values[:, i] for i, n in enumerate(KINEMATICS)}
+    def derive(piece: dict[str, np.ndarray]):
+        own = piece["is_own"].astype(bool)
+        x, y, yaw = (piece[c].astype(float) for c in (*pose, "yaw_rad"))
+        values = local_derivatives(piece[time], x, y, yaw, own, half_s)
+        return np.flatnonzero(own), {"yaw": np.rad2deg(yaw[own])} | {n: values[:, i] for i, n in enumerate(KINEMATICS)}
 
-    derived = map_groups(placed, [*keys, "segment"], [time], derive, T.StructType([*schema.fields, T.StructField("segment", T.LongType())])).drop("segment")
-    clean = {n: F.when(~F.isnan(n), F.col(n)) for n in KINEMATICS}
-    return derived.withColumns(clean)
+    added = [T.StructField(n, T.DoubleType()) for n in ("yaw", *KINEMATICS)]
+    return map_groups(placed, [*keys, "segment"], [time, *pose], [time, *pose, "yaw_rad", "is_own"], derive, keep, added)
 
 
-def with_kinematics(ego: DataFrame, derived: DataFrame, keys: Sequence[str], time: str = "t_ns") -> DataFrame:
-    return ego.join(derived, [*keys, time], "left")
+def with_kinematics(ego: DataFrame, keys: Sequence[str], time: str = "t_ns", **options) -> DataFrame:
+    """All columns of the ego rows with their kinematics, row by row: also where keys are NULL or times repeat."""
+    return ego_kinematics(ego, keys, time, keep=ego.columns, **options)

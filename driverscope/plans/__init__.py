@@ -11,6 +11,7 @@ MODULES = [
     "motion_queries",
     "clip_queries",
     "file_queries",
+    "study_queries",
 ]
 
 

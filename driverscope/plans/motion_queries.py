@@ -400,9 +400,21 @@ def saccade_marks(spark, folder):
     return eyes.mark_intervals(rows, spans, ["user_id"], "saccade", 20 * SECOND).select("event_id", "saccade")
 
 
-@query("fixation_marks")
+@query(
+    "fixation_marks",
+    f"""WITH RECURSIVE {GAZE_SQL}, p AS (
+      SELECT user_id, t_ns AS t, gx * 100 AS x, gy * 100 AS y, row_number() OVER (PARTITION BY user_id ORDER BY t_ns, gx, gy) AS i
+      FROM gaze WHERE gx IS NOT NULL AND gy IS NOT NULL),
+    walk AS (SELECT user_id, i, x, y, CAST(NULL AS BIGINT) AS began, t AS seen, CAST(NULL AS BIGINT) AS s, CAST(NULL AS BIGINT) AS e FROM p WHERE i = 1
+      UNION ALL SELECT user_id, i, CASE WHEN stays THEN ax ELSE x END, CASE WHEN stays THEN ay ELSE y END,
+        CASE WHEN stays THEN before WHEN near AND before IS NULL THEN t END, t, CASE WHEN NOT near THEN before END, CASE WHEN NOT near AND before IS NOT NULL THEN seen END
+      FROM (SELECT *, near AND before IS NOT NULL AS stays FROM (SELECT p.user_id, p.i, p.x, p.y, p.t, w.x AS ax, w.y AS ay, w.began AS before, w.seen,
+          sqrt((p.x - w.x) * (p.x - w.x) + (p.y - w.y) * (p.y - w.y)) <= 40 AS near FROM walk w JOIN p ON p.user_id = w.user_id AND p.i = w.i + 1))),
+    ends AS (SELECT w.user_id, w.began AS s, w.seen AS e FROM walk w JOIN (SELECT user_id, max(i) AS i FROM p GROUP BY 1) m ON m.user_id = w.user_id AND m.i = w.i WHERE w.began IS NOT NULL),
+    kept AS (SELECT * FROM (SELECT user_id, s, e FROM walk WHERE s IS NOT NULL UNION ALL SELECT * FROM ends) WHERE e - s >= 2000000000)
+    SELECT event_id, CAST(EXISTS (SELECT 1 FROM kept k WHERE k.user_id = z.user_id AND z.t_ns BETWEEN k.s AND k.e) AS INT) AS fixation FROM gaze z""",
+)
 def fixation_marks(spark, folder):
-    """Anchored detection is sequential; the tests compare with one pass over each recording."""
     rows = gaze_mm(spark, folder)
     spans = eyes.detect_fixations(rows, ["user_id"], SLOT, max_distance=40.0, min_ms=2000.0)
     return eyes.mark_intervals(rows, spans, ["user_id"], "fixation", 20 * SECOND).select("event_id", "fixation")
@@ -452,11 +464,34 @@ def steering_reversals(spark, folder):
     return steering.mark_reversals(wheel(spark, folder), ["user_id"], "angle", [25.0], SLOT).select("event_id", "reversals_25_0")
 
 
-@query("steering_smoothed")
+def _filter_sql(cutoff: float, fps: float) -> str:
+    """The recursive filter sample by sample, forth and back, over rows extended by point reflection."""
+    (b0, b1, b2), (_, a1, a2) = (c.tolist() for c in steering.butterworth_low_pass(cutoff, fps))
+    edge = steering.EDGE_ROWS
+
+    def once(name: str, source: str) -> str:
+        step = f"{b0!r}::DOUBLE * p.u + {b1!r}::DOUBLE * w.u + {b2!r}::DOUBLE * w.u2 - {a1!r}::DOUBLE * w.y - {a2!r}::DOUBLE * w.y2"
+        return f"""{name} AS (SELECT user_id, i, u, u AS u2, u AS y, u AS y2 FROM {source} WHERE i = 0
+      UNION ALL SELECT p.user_id, p.i, p.u, w.u, {step}, w.y FROM {name} w JOIN {source} p ON p.user_id = w.user_id AND p.i = w.i + 1)"""
+
+    return f"""rows AS (SELECT user_id, event_id, t_ns, angle AS v, row_number() OVER (PARTITION BY user_id ORDER BY t_ns, angle, event_id) - 1 AS k, count(*) OVER (PARTITION BY user_id) AS n FROM wheel),
+    ends AS (SELECT user_id, any_value(n) AS n, min(v) FILTER (k = 0) AS v0, min(v) FILTER (k = n - 1) AS v1 FROM rows WHERE n > {edge} GROUP BY user_id),
+    fed AS (SELECT r.user_id, k + {edge} AS i, v AS u FROM rows r JOIN ends e ON e.user_id = r.user_id
+      UNION ALL SELECT r.user_id, {edge} - k, 2 * v0 - v FROM rows r JOIN ends e ON e.user_id = r.user_id WHERE k BETWEEN 1 AND {edge}
+      UNION ALL SELECT r.user_id, 2 * e.n - 2 - k + {edge}, 2 * v1 - v FROM rows r JOIN ends e ON e.user_id = r.user_id WHERE k BETWEEN e.n - 1 - {edge} AND e.n - 2),
+    {once("forth", "fed")},
+    turned AS (SELECT f.user_id, e.n + {2 * edge - 1} - i AS i, y AS u FROM forth f JOIN ends e ON e.user_id = f.user_id),
+    {once("back", "turned")}"""
+
+
+@query(
+    "steering_smoothed",
+    f"""WITH RECURSIVE {WHEEL_SQL}, {_filter_sql(2.0, 10.0)}
+    SELECT r.user_id, event_id, t_ns, round(y, 6) + 0.0 AS smoothed FROM rows r LEFT JOIN back b ON b.user_id = r.user_id AND r.n + {steering.EDGE_ROWS} - 1 - r.k = b.i""",
+)
 def steering_smoothed(spark, folder):
-    """Recursive filter both ways; the tests compare with a sample-by-sample pass."""
     out = steering.smooth_low_pass(wheel(spark, folder), ["user_id"], "angle", SLOT)
-    return out.select("user_id", "event_id", "t_ns", "smoothed")
+    return out.select("user_id", "event_id", "t_ns", (rounded("smoothed") + 0.0).alias("smoothed"))
 
 
 @query(

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from driverscope.functions.text import anomaly_intervals, crash_total, hazard_outcome
 from driverscope.operators.spread import join_few
 from driverscope.schema import OBJECT, SCENARIO_INDEX, TIME, FeatureSpec, clean_doubles, nan_to_null
+from driverscope.sources.tree import LEVELS, PATH, clean_name, read_tree
 
 # Scenario columns of the annotation sheet's three blocks.
 ANNOTATED_SCENARIOS = ["1a", "2", "2b", "3c", "5", "6e", "7a", "8a"]
@@ -63,50 +64,14 @@ def scan_scenario_index(spark: SparkSession, base: str, relative: str, file: str
     return clean_doubles(rows.select("*", name.alias("participant_name")))
 
 
-def clean_name(name: str) -> str:
-    return name.strip().replace(" ", "_")
-
-
-def read_by_name(spark: SparkSession, paths: str, columns: Sequence[str] = (), clean: bool = True, **options) -> DataFrame:
-    """CSV files as strings, every file's columns found by the names in its own header; with ``__path``.
-
-    Columns in another order, left out or added in some files are no matter; what a file lacks is NULL,
-    a column that no file has is left out. Without ``columns`` all are read. ``clean`` writes blanks
-    in names as underscores. The first lines are read first, in one more pass over the text; only the names
-    that occur and their places come to the driver. A name with the same place in every file is read from there,
-    the others meet their file's header in a join by path.
-    """
-    path = F.col("_metadata.file_path").alias("__path")
-    text = spark.read.options(**options).text(paths).where(F.col("_metadata.file_block_start") == 0)
-    lines = text.where(F.trim("value") != "").select(path, "value", F.monotonically_increasing_id().alias("__at"))
-    name = F.regexp_replace(F.trim(F.col("name")), '^"|"$', "")
-    name = F.regexp_replace(F.trim(name), " ", "_") if clean else name
-    first = lines.groupBy("__path").agg(F.min_by("value", "__at").alias("__head"))
-    cells = first.select("__path", F.posexplode(F.split("__head", ",")).alias("__place", "name")).select("__path", "__place", name.alias("name"))
-    # the first of equal names counts
-    places = cells.groupBy("__path", "name").agg(F.min("__place").alias("__place"))
-    bounds = F.min("__place").alias("low"), F.max("__place").alias("high"), F.count(F.lit(1)).alias("files")
-    found = places.groupBy("name").agg(*bounds).orderBy("low", "name").collect()
-    widest = cells.agg(F.coalesce(F.max("__place"), F.lit(0)), F.count_distinct("__path")).first()
-    fields = [f"c{i}" for i in range(widest[0] + 1)]
-    raw = spark.read.options(header=True, **options).schema(", ".join(f"{f} string" for f in fields)).csv(paths)
-    wanted = {r["name"]: r for r in found if r["name"] != "" and (not columns or r["name"] in columns)}
-    fixed = {n for n, r in wanted.items() if r.low == r.high and r.files == widest[1]}
-    rows, moving = raw.select(path, *fields), [n for n in wanted if n not in fixed]
-    if moving:
-        own = F.map_from_entries(F.collect_list(F.struct("name", "__place")))
-        rows = rows.join(places.where(F.col("name").isin(moving)).groupBy("__path").agg(own.alias("__places")), "__path", "left")
-    cell = {n: F.col(fields[r.low]) if n in fixed else F.get(F.array(*fields), F.try_element_at("__places", F.lit(n))) for n, r in wanted.items()}
-    return rows.select("__path", *[c.alias(n) for n, c in cell.items()])
-
-
-def _read_named(spark: SparkSession, root: str, file: str, keys: Mapping[str, str], columns: Sequence[str]) -> DataFrame:
-    """CSV files of one name below a root; keys as long, other columns as double, NaN as NULL."""
+def _read_named(spark: SparkSession, root: str, file: str, keys: Mapping[str, str], columns: Sequence[str], **options) -> DataFrame:
+    """CSV files of one name below a root, with path parts; keys as long, other columns as double, NaN as NULL."""
     renamed = {clean_name(old): new for old, new in keys.items()}
-    raw = read_by_name(spark, root, [*renamed, *columns] if columns else (), recursiveFileLookup=True, pathGlobFilter=file)
-    present = [c for c in (columns or raw.columns) if c in raw.columns and c not in renamed and c != "__path"]
-    return raw.select(
-        "__path",
+    raw = read_tree(spark, root, file, [*renamed, *columns] if columns else (), **options)
+    present = [c for c in (columns or raw.columns) if c in raw.columns and c not in renamed and c not in (*LEVELS, PATH)]
+    return raw.where(F.col(LEVELS[0]).isNotNull()).select(
+        *LEVELS,
+        PATH,
         *[F.col(f"`{old}`").cast("long").alias(new) for old, new in renamed.items() if old in raw.columns],
         *[_typed(c, f"`{c}`") for c in present],
     )
@@ -129,20 +94,49 @@ def prefer_primary(rows: DataFrame, keys: Sequence[str], path: str = "__path") -
     return rows.where(~raw).unionByName(fallback)
 
 
-def scan_feature(spark: SparkSession, base: str, spec: FeatureSpec, object_id_column: str | None = None, timed: bool = True) -> DataFrame:
-    """Every recording's table of one feature: path parts, time and object keys, the columns the spec uses."""
+def only(participants: Sequence[str] | None, rounds: Sequence[str] | None) -> dict[str, Sequence[str]]:
+    """Path parts to walk through; those left open are not limited."""
+    return {k: v for k, v in zip(LEVELS, (participants, rounds)) if v is not None}
+
+
+def scan_feature(
+    spark: SparkSession,
+    base: str,
+    spec: FeatureSpec,
+    object_id_column: str | None = None,
+    timed: bool = True,
+    participants: Sequence[str] | None = None,
+    rounds: Sequence[str] | None = None,
+) -> DataFrame:
+    """Every recording's table of one feature: path parts, time and object keys, the columns the spec uses.
+
+    Participants and rounds prune the listing, as do later filters on the path's parts; headers are looked at in the
+    directories that ``participants`` and ``rounds`` leave.
+    """
     keys = {TIME: TIME} if timed else {}
     if object_id_column is not None:
         keys[object_id_column] = OBJECT
-    rows = _read_named(spark, f"{base}/{spec.relative_path}/Participants", spec.file, keys, spec.inputs)
-    parsed = parse_recording_paths(rows, "__path")
-    return prefer_primary(parsed, ["participant_name", "round", "section", "scenario", "task"]).drop("__path")
-
+    rows = _read_named(spark, f"{base}/{spec.relative_path}/Participants", spec.file, keys, spec.inputs, wanted=only(participants, rounds))
+    return prefer_primary(rows, list(LEVELS)).drop(PATH)
+
+
+def scan_frame_timing(
+    spark: SparkSession,
+    base: str,
+    relative: str,
+    camera: str,
+    columns: Sequence[str] = ("resampled_frame",),
+    one_video: bool = False,
+    participants: Sequence[str] | None = None,
+    rounds: Sequence[str] | None = None,
+) -> DataFrame:
+    """Frame timing of a camera, from the camera's own directory in each recording.
 
-def scan_frame_timing(spark: SparkSession, base: str, relative: str, camera: str, columns: Sequence[str] = ("resampled_frame",)) -> DataFrame:
-    """Frame timing of a camera, from the camera's own directory in each recording."""
-    rows = _read_named(spark, f"{base}/{relative}/Participants", "frame_timing.csv", {TIME: TIME}, columns)
-    return parse_recording_paths(rows.where(F.col("__path").contains(f"/{camera}/")), "__path").drop("__path")
+    With ``one_video`` a directory that does not hold exactly one video file is an error.
+    """
+    root = f"{base}/{relative}/Participants"
+    rows = _read_named(spark, root, "frame_timing.csv", {TIME: TIME}, columns, inside=camera, one_video=one_video, wanted=only(participants, rounds))
+    return rows.drop(PATH)
 
 
 def video_directories(listing: DataFrame, path: str = "path") -> DataFrame:
@@ -169,8 +163,11 @@ def scan_annotations(spark: SparkSession, path: str) -> DataFrame:
     block = len(ANNOTATED_SCENARIOS)
     names = ["participant_name"] + [f"{kind}{i}" for kind in "ahc" for i in range(block)]
     schema = ", ".join(f"{n} string" for n in names)
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
-    cells = lines.where("line >= 2 AND trim(text) <> ''").select(F.from_csv("text", schema).alias("c")).select("c.*")
+    # rows of a file are numbered from its first part on: its first two lines are the headers
+    lines = spark.read.text(path).select("value", (F.col("_metadata.file_block_start") == 0).alias("__first"), F.monotonically_increasing_id().alias("__at"))
+    begins = lines.where("__first").agg(F.min("__at")).scalar()
+    body = lines.where(~F.col("__first") | (F.col("__at") > begins + 1)).where("trim(value) <> ''")
+    cells = body.select(F.from_csv("value", schema).alias("c")).select("c.*")
     kept = cells.where(F.col("participant_name").rlike("^[P7]"))
     per_scenario = F.array(
         *[
@@ -216,7 +213,7 @@ def schedule_pattern(scenario: Column) -> Column:
 def scan_schedules(spark: SparkSession, root: str, task: str) -> DataFrame:
     """All schedules of a task with their pattern number: a table of eight short files."""
     folder = {"nback_task": "nback", "statement_task": "statement"}[task]
-    rows = read_by_name(spark, f"{root}/{folder}/*.csv", clean=False)
+    rows = read_tree(spark, f"{root}/{folder}", "*.csv", clean=False).drop(*LEVELS)
     number = F.regexp_extract("__path", r"pttn(\d+)\.csv", 1).cast("int")
     numeric = ("startime", "digit", "start_response", "end_response")
     return rows.select(number.alias("pattern"), *[F.col(f"`{c}`").cast("double").alias(c) if c in numeric else F.col(f"`{c}`") for c in rows.columns if c != "__path"])
@@ -228,11 +225,12 @@ def list_participants(index: DataFrame, version: str = "all", participant: str =
     return people.orderBy(participant)
 
 
-def read_scenario_tables(spark: SparkSession, root: str, file: str = "key_scenario_timings.csv") -> DataFrame:
-    """Timing tables of all participants, with the participant's name."""
-    rows = read_by_name(spark, f"{root}/*/{file}", clean=False)
-    name = F.regexp_extract("__path", r"/([^/]+)/[^/]+$", 1)
-    return rows.select(name.alias("participant_name"), *[F.col(f"`{c}`") for c in rows.columns if c != "__path"])
+def read_scenario_tables(spark: SparkSession, root: str, file: str = "key_scenario_timings.csv", numbers: Sequence[str] = ()) -> DataFrame:
+    """Timing tables of all participants, with the participant's name; the columns ``numbers`` as double, the others as they stand."""
+    rows = read_tree(spark, root, file, clean=False).drop(*LEVELS)
+    name = F.regexp_extract(PATH, r"/([^/]+)/[^/]+$", 1)
+    cells = [nan_to_null(F.col(f"`{c}`").try_cast("double")).alias(c) if c in numbers else F.col(f"`{c}`") for c in rows.columns if c != PATH]
+    return rows.select(name.alias("participant_name"), *cells)
 
 
 def find_one(
@@ -259,6 +257,22 @@ def find_one(
     return found.where(found.agg(F.count(F.lit(1))).scalar() == 1)
 
 
+def find_each(listing: DataFrame, wanted: DataFrame, file: str, path: str = "path") -> DataFrame:
+    """Every wanted recording with the one listed file that matches it; none or several give no row.
+
+    ``wanted`` has participant_name, the beginning of a scenario's name, and round and task, NULL for any. The listing's
+    paths are taken apart once and met by participant.
+    """
+    named = listing.withColumns({f"__{k}": v for k, v in path_parts(path).items()}).where(F.col(path).endswith(f"/{file}"))
+    asked = wanted.withColumn("__wanted", F.monotonically_increasing_id())
+    met = asked.join(named, F.col("participant_name") == F.col("__participant_name"))
+    fits = F.col("__scenario").startswith(F.col("scenario")) & F.coalesce(F.col("__round") == F.concat(F.lit("R"), F.col("round").cast("string")), F.col("round").isNull())
+    found = met.where(fits & F.coalesce(F.col("__task") == F.col("task"), F.col("task").isNull()))
+    inner = [c for c in found.columns if not c.startswith("__")]
+    once = found.groupBy("__wanted").agg(F.count(F.lit(1)).alias("__n"), F.first(F.struct(*inner)).alias("__row"))
+    return once.where("__n = 1").select("__row.*")
+
+
 def scan_array_dict(spark: SparkSession, path: str) -> DataFrame:
     """Array tables are Parquet: one row per recording with the times and named arrays."""
     return spark.read.parquet(path)

@@ -121,3 +121,30 @@ def test_every_segment_is_listed(spark):
     lists = {r.w: [tuple(p) for p in r.nonsilent_seg] for r in audio.segment_lists(rows, ["w"], 10.0).collect()}
     assert lists == {"w": [(1.0, 1.5), (2.0, 2.5), (3.0, 3.5)], "x": [(0.1, 0.2)]}
     assert {r.w: (r.segments, r.answered) for r in audio.windows_answered(rows, ["w"], 10.0).collect()} == {"w": (3, True), "x": (1, False)}
+
+
+def test_arrays_take_their_declared_shape(spark):
+    from driverscope.operators import collate
+
+    rows = spark.createDataFrame([(1, [0, 10, 20, 30], [[1.0, 2.0, 3.0, 4.0, 5.0, 6.0]] * 2 + [[7.0] * 6] * 2, [[9, 8]], [5]), (None, [10, 20], [[0.0] * 6] * 2, [[1, 2]], None)], "k int, times array<long>, v array<array<double>>, once array<array<int>>, fixed array<int>")
+    chunks = spark.createDataFrame([(1, 10, 20), (2, 10, 20), (None, 0, 99)], "k int, a long, b long")
+    shapes = {"v": collate.ArrayShape((3, 2), "float", -1.0), "once": collate.ArrayShape((2,), "int"), "fixed": collate.ArrayShape((1,), "long", 3, temporal=False)}
+    found = {r.k: r for r in collate.collate_arrays(rows, chunks, ["k"], shapes, 2, "a", "b").collect()}
+    assert found[1].v == [[[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]], [[7.0, 7.0]] * 3] and found[1].once == [[9, 8], [9, 8]] and found[1].fixed == [5]
+    assert found[2].v == [[[-1.0, -1.0]] * 3] * 2 and found[2].once == [[0, 0]] * 2 and (found[2].v_valid, found[2].once_valid, found[2].fixed) == (0, 0, [3])
+    assert (found[None].fixed, found[None].fixed_valid, found[None].v_valid) == ([3], 0, 1)
+    with pytest.raises(Exception, match="expected 3 entries, found 2"):
+        collate.collate_arrays(rows, chunks, ["k"], shapes, 3, "a", "b").collect()
+    with pytest.raises(Exception, match="expected 5 values, found 6"):
+        collate.collate_arrays(rows, chunks, ["k"], {"v": collate.ArrayShape((5,))}, 2, "a", "b").collect()
+    cube = spark.range(1).select(collate.reshape(F.array(*[F.lit(i) for i in range(24)]), (2, 3, 4)).alias("c")).first().c
+    assert cube == [[[12 * a + 4 * b + c for c in range(4)] for b in range(3)] for a in range(2)]
+
+
+def test_frame_timing_counts_from_the_chunks_first_frame(spark):
+    from driverscope.operators import collate
+
+    rows = spark.createDataFrame([(1, 40, 4, 0.5), (1, 60, 6, None)], "k int, t long, resampled_frame int, x double")
+    out = collate.collate_frame_timing(rows, spark.createDataFrame([(1,), (2,)], "k int"), ["k"], ["resampled_frame", "x"], 3).orderBy("k").collect()
+    assert out[0].timing == [[4.0, 0.5, 0.0], [0.0, 0.0, 0.0], [6.0, 0.0, 2.0]] and out[0].timing_valid == [[1, 1, 1], [0, 0, 0], [1, 0, 1]]
+    assert (out[1].file_valid, out[1].timing) == (0, [[0.0] * 3] * 3)

@@ -200,3 +200,44 @@ def test_anti_join_keeps_null_keys(spark):
     few = spark.createDataFrame([("a",)], "k string")
     assert {r.v for r in join_few(big, few, ["k"], "left_anti").collect()} == {1, 3}
     assert {r.v for r in join_few(big, few, ["k"], "left_semi").collect()} == {2}
+
+
+RANGES = {"small": (0.0, 0.015), "middle": (2.0, 3.0), "unit": (0.0, 1.0), "wide": (-1e12, 1e12), "narrow": (1e6, 1e6 + 1e-3)}
+
+
+def test_slices_follow_the_data(spark):
+    """100,000 distinct values of any range fall into many slices, which never decrease."""
+    from driverscope.operators.ordered import data_bins
+
+    rows = spark.range(100_000).select(F.inline(F.array(*[F.struct(F.lit(k).alias("k"), (a + (b - a) * F.col("id") / 100_000).alias("v")) for k, (a, b) in RANGES.items()])))
+    rows = rows.withColumn("k", F.when(F.col("k") != "unit", F.col("k"))).union(spark.sql("SELECT 'ties', 0.5D FROM range(1000)"))
+    found = data_bins(rows, ["k"], "v").groupBy("k", "__slice").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).collect()
+    for key in [None, *(k for k in RANGES if k != "unit")]:
+        own = sorted((r for r in found if r.k == key), key=lambda r: r["__slice"])
+        assert len(own) >= 50 and max(r.n for r in own) < 5_000 and sum(r.n for r in own) == 100_000
+        assert all(x.b < y.a for x, y in zip(own, own[1:]))
+    assert [r.n for r in found if r.k == "ties"] == [1000]
+
+
+def test_slices_of_missing_values_and_no_rows(spark):
+    from driverscope.operators.ordered import data_bins
+
+    rows = spark.createDataFrame([("a", None), ("a", 1.0), ("a", float("nan")), ("a", 2.0), (None, 3.0)], "k string, v double")
+    found = {(r.k, repr(r.v)): r["__slice"] for r in data_bins(rows, ["k"], "v").collect()}
+    assert found[("a", "None")] is None and found[("a", "1.0")] <= found[("a", "2.0")] <= found[("a", "nan")] and found[(None, "3.0")] is not None
+    assert data_bins(rows.limit(0), ["k"], "v").count() == 0 and data_bins(rows, [], "v").count() == 5
+
+
+@pytest.mark.parametrize("low, high", [(0.0, 0.015), (2.0, 3.0), (-5e9, 5e9)])
+def test_scores_of_any_range_rank_exactly(spark, low, high):
+    rng = random.Random(8)
+    data = [(None if i % 2 else "a", int(rng.random() < 0.4), low + (high - low) * rng.randrange(400) / 400) for i in range(3000)]
+    df = spark.createDataFrame(data, "k string, gt int, prob double").repartition(5)
+    aucs = {r.k: r.auc for r in metrics.roc_auc(df, ["k"]).collect()}
+    for key in ("a", None):
+        pos = [p for k, g, p in data if k == key and g == 1]
+        neg = [p for k, g, p in data if k == key and g == 0]
+        wins = sum((p > n) + (p == n) / 2 for p in pos for n in neg)
+        assert aucs[key] == pytest.approx(wins / len(pos) / len(neg), abs=1e-12)
+    ranked = stats.signed_rank(df.select("k", F.lit(0.0).alias("baseline"), (F.col("prob") - (low + high) / 2).alias("impaired")), ["k"]).collect()
+    assert {r.k for r in ranked} == {"a", None} and all(r.z is not None for r in ranked)
