@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from driverscope.operators.ordered import time_bin
 from driverscope.operators.spread import join_few
+from driverscope.schema import INTERVALS
 
 SECOND = 1_000_000_000
 
@@ -104,6 +105,71 @@ def mix(value: Column, seed: int, prime: int = 2147483647) -> Column:
     return F.pmod(F.pmod(v * v, F.lit(prime)) * F.lit(48271) + v * F.lit(16807) + F.lit(seed), F.lit(prime).cast("long"))
 
 
+def blocked_starts(anomalies: Column, length: int, fps: int, limit: float) -> Column:
+    """Frames at which no chunk of ``length`` frames may start, one closed interval (lo, hi) per anomaly that blocks any.
+
+    A chunk's overlap with an anomaly grows, stays and falls as the chunk moves on, so the starts that are
+    blocked lie together. Their ends are reckoned from the frame rate and then tried frame by frame, as frames fall on rounded times.
+    """
+    span = (length - 1) * SECOND / fps
+
+    def blocks(f: Column, a: Column) -> Column:
+        return blocked(frame_ns(f, fps), frame_ns(f + F.lit(length - 1), fps), F.array(a), limit)
+
+    def near(at: Column, a: Column) -> Column:
+        first = F.floor(at).cast("long")
+        return F.filter(F.sequence(first - 2, first + 2), lambda f: blocks(f, a))
+
+    def interval(a: Column) -> Column:
+        # the earliest start that reaches into the anomaly far enough, and the last that still does
+        low = (a["start_ns"] + limit * span - span) / SECOND * fps
+        high = (a["end_ns"] - limit * span) / SECOND * fps
+        return F.struct(F.array_min(near(low, a)).alias("lo"), F.array_max(near(high, a)).alias("hi"))
+
+    return F.filter(F.transform(anomalies, interval), lambda i: i["lo"] <= i["hi"])
+
+
+def open_starts(blocked_at: Column, first: Column, last: Column) -> Column:
+    """(segments, total): the stretches of first .. last that no interval covers, each with the number of starts before it."""
+    kind = "struct<cursor:bigint,segments:array<struct<start:bigint,before:bigint>>,total:bigint>"
+
+    def cut(state: Column, lo: Column, hi: Column) -> Column:
+        free = F.least(lo, last + 1) - state["cursor"]
+        grown = F.concat(state["segments"], F.array(F.struct(state["cursor"].alias("start"), state["total"].alias("before"))))
+        return F.struct(
+            F.greatest(state["cursor"], hi + 1).alias("cursor"),
+            F.when(free > 0, grown).otherwise(state["segments"]).alias("segments"),
+            (state["total"] + F.greatest(free, F.lit(0).cast("long"))).alias("total"),
+        ).cast(kind)
+
+    begin = F.struct(first.cast("long").alias("cursor"), F.array().cast("array<struct<start:bigint,before:bigint>>").alias("segments"), F.lit(0).cast("long").alias("total")).cast(kind)
+    ordered = F.array_append(F.array_sort(blocked_at), F.struct((last + 1).cast("long").alias("lo"), (last + 1).cast("long").alias("hi")))
+    return F.aggregate(ordered, begin, lambda state, i: cut(state, i["lo"], i["hi"]))
+
+
+def drawn_starts(segments: Column, wanted: Column, draw: Callable[[Column], Column]) -> Column:
+    """``wanted`` distinct starts out of open segments, or all where there are fewer; every set is equally likely.
+
+    One number is drawn per chunk: for each j among the last ``wanted`` ranks a rank up to j, and j itself where that is taken
+    already. ``draw`` gives a whole number for a rank.
+    """
+    total = segments["total"]
+    count = F.least(total, F.greatest(wanted, F.lit(0).cast("long")))
+    ranks = F.when(count > 0, F.sequence(total - count, total - 1)).otherwise(F.array().cast("array<bigint>"))
+
+    def pick(taken: Column, j: Column) -> Column:
+        drawn = F.pmod(draw(j), j + 1).cast("long")
+        return F.array_append(taken, F.when(F.array_contains(taken, drawn), j).otherwise(drawn))
+
+    chosen = F.aggregate(ranks, F.array().cast("array<bigint>"), pick)
+
+    def place(r: Column) -> Column:
+        own = F.element_at(F.filter(segments["segments"], lambda s: s["before"] <= r), -1)
+        return own["start"] + r - own["before"]
+
+    return F.transform(chosen, place)
+
+
 def chunk_recordings(
     recordings: DataFrame,
     spec: ChunkSpec,
@@ -116,9 +182,9 @@ def chunk_recordings(
     """One row per chunk with ``chunk_number``, ``start_ns``, ``end_ns`` (closed, relative to the start).
 
     Numbers are given out before anomalous chunks are dropped, so gaps stay
-    visible. Everything but ``random`` is row-local; ``random`` ranks the
-    admissible starts of each recording by ``rank`` and keeps the first n distinct ones
-    (Spark prunes the ranking before its shuffle when n is fixed).
+    visible. Every strategy is row-local: ``random`` draws n distinct ones of a recording's admissible starts, whose
+    number comes from the intervals that anomalies leave free, never from unfolded frames (``drawn_starts``). Only
+    with a ``rank`` of one's own are all admissible starts ranked by it (Spark then prunes the ranking before its shuffle when n is fixed).
     """
     fps = spec.fps or 0
     strategy = "full" if fps == 0 else spec.strategy
@@ -154,6 +220,17 @@ def chunk_recordings(
         step = F.col("chunk_number") * F.lit(stride)
         first = head_c + step if strategy == "start" else n - tail_c - F.lit(length) - step
         df = df.select("*", F.explode(numbers).alias("chunk_number")).withColumn("__first", first)
+    elif strategy == "random" and rank is None:
+        wanted = F.lit(spec.per_recording).cast("long") if spec.per_recording is not None else floor_div(usable, length)
+        found = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
+        if anomalies is not None and spec.remove_anomalies is not None:
+            found = blocked_starts(F.coalesce(F.col(anomalies), F.array().cast(INTERVALS)), length, fps, spec.remove_anomalies)
+        df = df.withColumn("__open", open_starts(found, head_c, head_c + usable - F.lit(length)))
+        draw = lambda j: F.xxhash64(*keys, j, F.lit(spec.seed))
+        starts = drawn_starts(F.col("__open"), wanted, draw)
+        df = df.select("*", F.posexplode(starts).alias("chunk_number", "__first")).withColumn("chunk_number", F.col("chunk_number").cast("long"))
+        times = {"start_ns": frame_ns(F.col("__first"), fps), "end_ns": frame_ns(F.col("__first") + F.lit(length - 1), fps)}
+        return df.withColumns(times).drop("__total", "__first", "__open")
     elif strategy == "random":
         starts = F.when(usable >= F.lit(length), F.sequence(head_c, head_c + usable - F.lit(length)))
         df = df.select("*", F.explode(starts).alias("__first"))

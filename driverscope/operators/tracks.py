@@ -86,40 +86,61 @@ def shared_span(tracks: DataFrame, ego: DataFrame, keys: Sequence[str], time: st
     )
 
 
-def choose_hazard(others: DataFrame, ego: DataFrame, actors: DataFrame, keys: Sequence[str], time: str = "t_ns") -> DataFrame:
+def scenes(tracks: DataFrame, actors: DataFrame, keys: Sequence[str], yaw: Column, time: str = "t_ns") -> DataFrame:
+    """One row per recording and time: the ego, and the other objects there with their distance to it.
+
+    What happens at one time then stands in one row, so distances, the ego's heading and the hazard's place need no
+    join. A scene holds as many objects as are on the road at once. Write the result: several steps
+    read it, and all of them by recording and time.
+    """
+    marked = join_few(tracks, single_ego(actors, keys), keys, bin=time_bin(time, SLOT_NS))
+    own = F.col("object_id") == F.col("ego_id")
+    ego = F.max(F.when(own, F.struct(*POSE, yaw.alias("yaw"))))
+    objects = F.collect_list(F.when(~own, F.struct("object_id", *POSE)))
+    return marked.groupBy(*keys, time).agg(ego.alias("ego"), objects.alias("objects"))
+
+
+def scene_distance(ego: Column, other: Column) -> Column:
+    squares = [(other[c] - ego[c]) * (other[c] - ego[c]) for c in POSE]
+    return F.sqrt(squares[0] + squares[1] + squares[2])
+
+
+def object_summaries(scenes: DataFrame, keys: Sequence[str], time: str = "t_ns") -> DataFrame:
+    """One row per object: first time, closest distance to the ego, last row and the ego then; with the ego's first and last time."""
+    seen = scenes.select(*keys, time, "ego", F.explode("objects").alias("o"))
+    objects = seen.groupBy(*keys, F.col("o.object_id").alias("object_id")).agg(
+        F.min(scene_distance(F.col("ego"), F.col("o"))).alias("near"), F.min(time).alias("first_ns"), F.max_by(F.struct(time, "o", "ego"), time).alias("last")
+    )
+    span = scenes.where(F.col("ego").isNotNull()).groupBy(*keys).agg(F.min(time).alias("ego_start"), F.max(time).alias("ego_end"))
+    return join_few(objects, span, keys)
+
+
+def choose_hazard(summaries: DataFrame, actors: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The hazard of each recording: the first pedestrian, else the best-scoring vehicle.
 
     The score adds start and end mismatch (ns), closest distance (m) and a penalty for an
     unexpected type. The units are mixed on purpose: results must equal the study's.
     """
-    near = others.join(ego_positions(ego, keys, time), [*keys, time], "left").groupBy(*keys, "object_id").agg(
-        F.min(ego_distance()).alias("__near"), F.min(time).alias("__first")
-    )
-    span = ego.groupBy(*keys).agg(F.min(time).alias("__ego_start"), F.max(time).alias("__ego_end"))
     score = (
-        F.abs(F.col("start_epoch_ns") - F.col("__ego_start"))
-        + F.abs(F.col("end_epoch_ns") - F.col("__ego_end"))
-        + F.coalesce("__near", F.lit(float("inf")))
+        F.abs(F.col("start_epoch_ns") - F.col("ego_start"))
+        + F.abs(F.col("end_epoch_ns") - F.col("ego_end"))
+        + F.coalesce("near", F.lit(float("inf")))
         + F.when(F.col("actor_type") == HAZARD_VEHICLE, 0).otherwise(OTHER_TYPE_PENALTY)
     )
     walker = F.col("role") == PEDESTRIAN
-    rank = F.struct((~walker).alias("a"), F.when(walker, F.lit(0.0)).otherwise(score).alias("b"), F.col("__first"), F.col("object_id"))
-    return (
-        join_few(near.join(actors, [*keys, "object_id"]), span, keys)
-        .groupBy(*keys)
-        .agg(F.min_by("object_id", rank).alias("hazard_id"))
-    )
+    rank = F.struct((~walker).alias("a"), F.when(walker, F.lit(0.0)).otherwise(score).alias("b"), F.col("first_ns"), F.col("object_id"))
+    return summaries.drop("last").join(actors, [*keys, "object_id"]).groupBy(*keys).agg(F.min_by("object_id", rank).alias("hazard_id"))
 
 
-def hazard_tracks(others: DataFrame, hazards: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of the chosen objects: the choice joins on (recording, object)."""
-    chosen = hazards.where("hazard_id IS NOT NULL").withColumnRenamed("hazard_id", "object_id")
-    return join_few(others, chosen, [*keys, "object_id"], "left_semi", time_bin("t_ns", SLOT_NS)).drop("object_id")
+def hazard_tracks(scenes: DataFrame, hazards: DataFrame, keys: Sequence[str], time: str = "t_ns") -> DataFrame:
+    """Rows of the chosen objects, out of their scenes."""
+    chosen = join_few(scenes, hazards.where("hazard_id IS NOT NULL"), keys, bin=time_bin(time, SLOT_NS))
+    return chosen.select(*keys, time, F.explode(F.filter("objects", lambda o: o["object_id"] == F.col("hazard_id"))).alias("o")).select(*keys, time, *[f"o.{c}" for c in POSE])
 
 
 def removal_stats(
-    others: DataFrame,
-    ego: DataFrame,
+    scenes: DataFrame,
+    summaries: DataFrame,
     hazards: DataFrame,
     keys: Sequence[str],
     hazard_rule: Column,
@@ -131,37 +152,41 @@ def removal_stats(
 ) -> DataFrame:
     """When, where and why each object left.
 
-    ``ego`` carries ``yaw`` in degrees; ``hazard_rule`` is true for recordings of the two
-    scenarios whose hazard removes traffic. Last rows come from a partial aggregate, so the
-    three look-ups afterwards join one row per object.
+    ``hazard_rule`` is true for recordings of the two scenarios whose hazard removes traffic. An object's
+    last row and the ego then come from its summary. Where it was ``still_ns`` before, and where the hazard
+    is at its last time, are two questions per object to the scenes, asked in one join by recording and time.
     """
-    last = others.groupBy(*keys, "object_id").agg(
-        F.max_by(F.struct(time, *POSE), time).alias("__last"), F.min(time).alias("__first")
-    ).select(*keys, "object_id", "__first", "__last.*")
-    end = ego.groupBy(*keys).agg(F.max(time).alias("__end"))
-    at_end = join_few(last.join(ego_positions(ego, keys, time, ["yaw"]), [*keys, time], "left"), end, keys)
-
-    before = others.select(*keys, "object_id", (F.col(time) + F.lit(still_ns)).alias(time), *[F.col(c).alias(f"__b_{c}") for c in POSE])
-    hazard = hazard_tracks(others, hazards, keys).select(*keys, time, *[F.col(c).alias(f"__h_{c}") for c in POSE])
-    full = at_end.join(before, [*keys, "object_id", time], "left").join(hazard, [*keys, time], "left")
-
-    apart = ego_distance()
-    heading = F.degrees(F.atan2(F.col("pose_y") - F.col("ego_pose_y"), F.col("pose_x") - F.col("ego_pose_x")))
-    direction = clamp_degrees(heading - F.col("ego_yaw"))
-    moved = distance(*[(c, f"__b_{c}") for c in POSE])
-    from_hazard = distance(*[(c, f"__h_{c}") for c in POSE])
+    objects = join_few(summaries, hazards, keys, "left")
+    last = F.col("last")[time]
+    asked = F.array(
+        F.struct((last - F.lit(still_ns)).alias("__at"), F.col("object_id").alias("__who"), F.lit(True).alias("__self")),
+        F.struct(last.alias("__at"), F.col("hazard_id").alias("__who"), F.lit(False).alias("__self")),
+    )
+    questions = objects.select(*keys, F.struct("object_id", "first_ns", "last", "ego_end").alias("__object"), F.inline(asked))
+    answers = questions.join(scenes.select(*keys, F.col(time).alias("__at"), "objects"), [*keys, "__at"], "left")
+    place = F.get(F.filter("objects", lambda o: o["object_id"] == F.col("__who")), F.lit(0))
+    told = answers.withColumn("__place", place).groupBy(*keys, F.col("__object.object_id").alias("object_id")).agg(
+        F.first("__object").alias("__object"),
+        F.max(F.when(F.col("__self"), F.col("__place"))).alias("__before"),
+        F.max(F.when(~F.col("__self"), F.col("__place"))).alias("__hazard"),
+    )
+    now, ego = F.col("__object.last.o"), F.col("__object.last.ego")
+    at = F.col("__object.last")[time]
+    apart = scene_distance(ego, now)
+    heading = F.degrees(F.atan2(now["pose_y"] - ego["pose_y"], now["pose_x"] - ego["pose_x"]))
+    direction = clamp_degrees(heading - ego["yaw"])
     cause = (
-        F.when(F.col(time) == F.col("__end"), "end")
+        F.when(at == F.col("__object.ego_end"), "end")
         .when(apart >= far, "far")
-        .when(moved <= still, "still")
-        .when(hazard_rule & (from_hazard <= near_hazard), "hazard")
-        .when(F.col("__first") == 0, "previous")
+        .when(scene_distance(now, F.col("__before")) <= still, "still")
+        .when(hazard_rule & (scene_distance(F.col("__hazard"), now) <= near_hazard), "hazard")
+        .when(F.col("__object.first_ns") == 0, "previous")
         .otherwise("unknown")
     )
-    return full.select(
+    return told.select(
         *keys,
         "object_id",
-        F.col(time).alias("time_ns"),
+        at.alias("time_ns"),
         apart.alias("distance_from_ego"),
         direction.alias("direction_from_ego_deg"),
         ((apart < SCREEN_M) & direction.between(*SCREEN_DEG)).alias("on_screen"),

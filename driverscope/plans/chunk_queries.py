@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from driverscope.operators.aggregates import aggregate_chunks, apply_normaliser, fit_normaliser, normalise_split, on_chunks
 from driverscope.operators.chunks import (
     ChunkSpec,
+    blocked_starts,
     chunk_recordings,
+    drawn_starts,
+    frame_count,
     frame_grid,
     mix,
+    open_starts,
     overlap_share,
     overlapping,
     rows_in_chunks,
@@ -119,6 +123,32 @@ def chunk_random(spark, folder):
     )
 
 
+@query(
+    "chunk_random_drawn",
+    f"""WITH {SIGNAL_SQL}, grid AS (SELECT user_id, (end_time + 999999999) // 1000000000 AS n FROM recordings),
+    starts AS (SELECT user_id, f + 10 AS first FROM (SELECT user_id, unnest(range(greatest(0, n - 10 - 60 + 1))) AS f FROM grid)),
+    open AS (SELECT user_id, first, row_number() OVER (PARTITION BY user_id ORDER BY first) - 1 AS r, count(*) OVER (PARTITION BY user_id) AS m FROM starts
+      WHERE NOT EXISTS (SELECT 1 FROM (VALUES (0, 30), (45, 50), (200, 215)) a(b, e) WHERE ((user_id % 20) * 10 + b) * 1000000000 <= (first + 59) * 1000000000 AND ((user_id % 20) * 10 + e) * 1000000000 >= first * 1000000000)),
+    j AS (SELECT user_id, m, unnest(range(m - least(m, 3), m)) AS j FROM (SELECT DISTINCT user_id, m FROM open)),
+    v AS (SELECT *, (user_id * 100003 + j) % 2147483647 AS v FROM j),
+    t AS (SELECT user_id, j, row_number() OVER (PARTITION BY user_id ORDER BY j) AS k, ((v * v) % 2147483647 * 48271 + v * 16807 + 42) % 2147483647 % (j + 1) AS t FROM v),
+    a AS (SELECT user_id, max(t) FILTER (k = 1) AS s1, max(t) FILTER (k = 2) AS t2, max(j) FILTER (k = 2) AS j2, max(t) FILTER (k = 3) AS t3, max(j) FILTER (k = 3) AS j3 FROM t GROUP BY 1),
+    b AS (SELECT *, CASE WHEN t2 = s1 THEN j2 ELSE t2 END AS s2 FROM a),
+    c AS (SELECT *, CASE WHEN t3 = s1 OR t3 = s2 THEN j3 ELSE t3 END AS s3 FROM b),
+    d AS (SELECT user_id, 0 AS chunk_number, s1 AS r FROM c UNION ALL SELECT user_id, 1, s2 FROM c UNION ALL SELECT user_id, 2, s3 FROM c)
+    SELECT d.user_id, chunk_number, first * 1000000000 AS start_ns, (first + 59) * 1000000000 AS end_ns FROM d JOIN open o ON o.user_id = d.user_id AND o.r = d.r""",
+)
+def chunk_random_drawn(spark, folder):
+    """Three distinct chunks of each recording's admissible starts, drawn without unfolding its frames."""
+    begin = (F.col("user_id") % 20) * 10
+    found = F.array(*[F.struct(((begin + a) * SECOND).alias("start_ns"), ((begin + b) * SECOND).alias("end_ns")) for a, b in ((0, 30), (45, 50), (200, 215))])
+    shown = recordings(signal(spark, folder)).withColumn("anomalies", found).withColumn("__open", open_starts(blocked_starts(found, 60, 1, 0.0), F.lit(10), frame_count(F.col("start_time"), F.col("end_time"), 1) - 60))
+    starts = drawn_starts(F.col("__open"), F.lit(3).cast("long"), lambda j: mix(F.col("user_id") * 100003 + j, 42))
+    return shown.select("user_id", F.posexplode(starts).alias("chunk_number", "first")).select(
+        "user_id", "chunk_number", (F.col("first") * SECOND).alias("start_ns"), ((F.col("first") + 59) * SECOND).alias("end_ns")
+    )
+
+
 @query(
     "frame_grid_60",
     f"""WITH {SIGNAL_SQL}, grid AS (SELECT user_id, (end_time * 60 + 999999999) // 1000000000 AS n FROM recordings),

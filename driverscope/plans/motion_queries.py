@@ -31,9 +31,12 @@ def split(spark, folder, rows=None):
     return ego.withColumn("yaw", F.degrees(quaternion_yaw("qx", "qy", "qz", "qw"))), ado, few
 
 
-def written_split(spark, folder):
-    """Ego tracks, other tracks and actors out of the tracks as the study writes them: grouped once, written once."""
-    return split(spark, folder, settle(tracks(spark, folder)))
+def written_scenes(spark, folder):
+    """Scenes and object summaries as tables, and the actors: the tracks are grouped once."""
+    rows = settle(tracks(spark, folder))
+    few = actors(rows)
+    found = settle(moving.scenes(rows, few, KEYS, F.degrees(quaternion_yaw("qx", "qy", "qz", "qw"))))
+    return found, settle(moving.object_summaries(found, KEYS)), few
 
 
 @query(
@@ -84,8 +87,8 @@ hazard AS (SELECT recording, object_id AS hazard_id FROM (SELECT *, row_number()
 
 @query("hazard_choice", f"WITH {HAZARD_SQL} SELECT recording, hazard_id FROM hazard")
 def hazard_choice(spark, folder):
-    ego, ado, few = written_split(spark, folder)
-    return moving.choose_hazard(ado, ego, few, KEYS)
+    _, summaries, few = written_scenes(spark, folder)
+    return moving.choose_hazard(summaries, few, KEYS)
 
 
 @query(
@@ -93,9 +96,9 @@ def hazard_choice(spark, folder):
     f"WITH {HAZARD_SQL} SELECT a.recording, a.t_ns, a.pose_x, a.pose_y FROM ado a JOIN hazard h ON a.recording = h.recording AND a.object_id = hazard_id",
 )
 def hazard_tracks(spark, folder):
-    ego, ado, few = written_split(spark, folder)
-    chosen = moving.choose_hazard(ado, ego, few, KEYS)
-    return moving.hazard_tracks(ado, chosen, KEYS).select("recording", "t_ns", "pose_x", "pose_y")
+    found, summaries, few = written_scenes(spark, folder)
+    chosen = moving.choose_hazard(summaries, few, KEYS)
+    return moving.hazard_tracks(found, chosen, KEYS).select("recording", "t_ns", "pose_x", "pose_y")
 
 
 # The stand-in world is smaller than a road: distances are scaled, and a step back is two time steps.
@@ -118,10 +121,10 @@ shown AS (SELECT *, dist < 100 AND direction BETWEEN 45 AND 135 AS on_screen FRO
 
 
 def removals(spark, folder):
-    ego, ado, few = written_split(spark, folder)
-    chosen = moving.choose_hazard(ado, ego, few, KEYS)
+    found, summaries, few = written_scenes(spark, folder)
+    chosen = moving.choose_hazard(summaries, few, KEYS)
     rule = F.col("recording") % 2 == 0
-    return moving.removal_stats(ado, ego, chosen, KEYS, rule, far=60.0, still=25.0, still_ns=2 * SECOND, near_hazard=45.0)
+    return moving.removal_stats(found, summaries, chosen, KEYS, rule, far=60.0, still=25.0, still_ns=2 * SECOND, near_hazard=45.0)
 
 
 @query(

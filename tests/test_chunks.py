@@ -1,6 +1,7 @@
 """Grids, chunks, aggregates: the edge cases, by hand."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -171,3 +172,46 @@ def test_feature_set_keeps_chunks_without_rows(spark):
     wrong = FeatureSpec("s", "s", 10, aggregates=source.aggregates, normalize="z")
     with pytest.raises(ValueError):
         feature_set({"s": rows}, shown, ["r"], [wrong], spec, time="t")
+
+
+@pytest.mark.parametrize("fps, length, limit", [(1, 5, 0.0), (3, 7, 0.0), (7, 4, 0.3), (60, 90, 0.5), (10, 1, 0.0), (3, 6, 1.0)])
+def test_free_starts_equal_trying_every_frame(spark, fps, length, limit):
+    from driverscope.operators.chunks import blocked, blocked_starts, frame_ns, open_starts
+
+    rng = random.Random(fps * length)
+    data = []
+    for r in range(40):
+        spans = [(a, a + rng.choice([0, 1, rng.randrange(3 * SECOND)])) for a in (rng.randrange(-SECOND, 12 * SECOND) for _ in range(rng.randrange(5)))]
+        data.append((r, rng.randrange(0, 4), rng.randrange(0, 10 * fps), spans + ([(5, None), (9, 3)] if r % 5 == 0 else [])))
+    df = spark.createDataFrame(data, "r int, first long, last long, a array<struct<start_ns:bigint,end_ns:bigint>>")
+    found = df.select("r", "first", "last", open_starts(blocked_starts(F.col("a"), length, fps, limit), F.col("first"), F.col("last")).alias("o")).collect()
+    every = df.where("last >= first").select("r", "a", F.explode(F.sequence("first", "last")).alias("f"))
+    free = every.where(~blocked(frame_ns(F.col("f"), fps), frame_ns(F.col("f") + length - 1, fps), F.col("a"), limit))
+    want = {}
+    for row in free.collect():
+        want.setdefault(row.r, set()).add(row.f)
+    for row in found:
+        ends = [s.before for s in row.o.segments[1:]] + [row.o.total]
+        got = {s.start + k for s, e in zip(row.o.segments, ends) for k in range(e - s.before)}
+        assert got == want.get(row.r, set()) and row.o.total == len(got)
+
+
+def test_every_set_of_starts_is_as_likely(spark):
+    """Pairs out of eight admissible starts, of 9,000 recordings: each of the 28 about 321 times."""
+    few = spark.range(9_000).select(F.col("id").alias("r"), F.lit(0).cast("long").alias("start_time"), F.lit(16 * SECOND).alias("end_time"), F.array(F.struct(F.lit(6 * SECOND).alias("start_ns"), F.lit(7 * SECOND).alias("end_ns"))).alias("anomalies"))
+    spec = ChunkSpec(strategy="random", duration=4.0, per_recording=2, fps=1)
+    cut = chunk_recordings(few, spec, ["r"], anomalies="anomalies")
+    starts = cut.groupBy("r").agg(F.array_sort(F.collect_list(F.expr("start_ns div 1000000000"))).alias("s"))
+    counts = {tuple(x.s): x["count"] for x in starts.groupBy("s").count().collect()}
+    admissible = [0, 1, 2, 8, 9, 10, 11, 12]
+    assert len(counts) == 28 and {v for k in counts for v in k} == set(admissible)
+    assert all(200 < n < 450 for n in counts.values())
+    all_of_them = chunk_recordings(few.limit(3), ChunkSpec(strategy="random", duration=4.0, per_recording=99, fps=1), ["r"], anomalies="anomalies")
+    assert all_of_them.groupBy("r").agg(F.count_distinct("start_ns").alias("n"), F.max("chunk_number").alias("m")).select("n", "m").distinct().collect() == [(8, 7)]
+
+
+def test_random_chunks_unfold_no_frames(spark):
+    """A recording of 10,000 hours at 60 frames a second: two billion frames, four chunks, at once."""
+    long = spark.createDataFrame([(1, 0, 36_000_000 * SECOND)], "r int, start_time long, end_time long")
+    found = chunk_recordings(long, ChunkSpec(strategy="random", duration=10.0, per_recording=4, fps=60), ["r"]).collect()
+    assert len({r.start_ns for r in found}) == 4 and all(r.end_ns - r.start_ns == 599 * SECOND // 60 or abs(r.end_ns - r.start_ns - 599 * SECOND / 60) < 2 for r in found)
