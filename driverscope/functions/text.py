@@ -61,17 +61,20 @@ def edit_similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, F.lit(1.0)).otherwise(F.lit(1.0) - F.levenshtein(a, b) / longest)
 
 
+def best_matches(heard: Column, wanted: Column) -> Column:
+    """Mean over the wanted keys of the best similarity with any key heard. Both belong to one spoken answer,
+    so the nested loop stays inside a short row."""
+    best = F.transform(wanted, lambda w: F.array_max(F.transform(heard, lambda h: edit_similarity(w, h))))
+    return F.aggregate(best, F.lit(0.0), lambda acc, v: acc + v) / F.size(best)
+
+
 def statement_score(answer, expected, key: Callable[[Column], Column] = F.soundex) -> Column:
     """Mean over the expected words of the best similarity with any answer word.
 
-    ``key`` turns a word into its sound; Spark ships Soundex, any other Column
-    function fits (identity compares the spelling). Both lists belong to one spoken
-    answer, so the nested loop stays inside a short row.
+    ``key`` turns a word into its sound and is any Column function (identity compares the spelling). Spark
+    ships Soundex; the study's key is in ``functions/sound.py`` and used by ``score_answers``.
     """
-    heard = F.transform(answer_words(answer), key)
-    wanted = F.transform(answer_words(expected), key)
-    best = F.transform(wanted, lambda w: F.array_max(F.transform(heard, lambda h: edit_similarity(w, h))))
-    return F.aggregate(best, F.lit(0.0), lambda acc, v: acc + v) / F.size(best)
+    return best_matches(F.transform(answer_words(answer), key), F.transform(answer_words(expected), key))
 
 
 def answered(segments) -> Column:

@@ -7,7 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driverscope.functions.text import answered, correct_misheard, nback_score, normalise_text, statement_score
+from driverscope.functions.sound import with_sounds
+from driverscope.functions.text import answer_words, answered, best_matches, correct_misheard, nback_score, normalise_text, statement_score
 from driverscope.operators.chunks import rows_in_intervals
 from driverscope.operators.ordered import neighbour, running, time_bin
 from driverscope.session import settle
@@ -80,15 +81,21 @@ def windows_answered(segments: DataFrame, keys: Sequence[str], unit: float) -> D
     return counted.join(earliest.select(*keys, answered("nonsilent_seg").alias("answered")), list(keys))
 
 
-def score_answers(transcript: DataFrame, task: str, expected: str = "gt", answer: str = "answer", key: Callable[[Column], Column] = F.soundex) -> DataFrame:
-    """Normalised and corrected texts with their score for a task."""
+def score_answers(transcript: DataFrame, task: str, expected: str = "gt", answer: str = "answer", key: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Normalised and corrected texts with their score for a task.
+
+    Statements compare by sound (Double Metaphone, the study's way) unless ``key`` gives another Column function of a word.
+    """
     want, got = correct_misheard(normalise_text(expected), task), correct_misheard(normalise_text(answer), task)
     texts = transcript.withColumns({"normalised_gt": want, "normalised_answer": got})
     if task == "nback_task":
         score = nback_score("normalised_answer", "normalised_gt")
-    else:
+    elif key is not None:
         score = statement_score("normalised_answer", "normalised_gt", key)
-    return texts.withColumn("score", score)
+    else:
+        texts = with_sounds(texts, {"__heard": answer_words("normalised_answer"), "__wanted": answer_words("normalised_gt")})
+        score = best_matches(F.col("__heard"), F.col("__wanted"))
+    return texts.withColumn("score", score).drop("__heard", "__wanted")
 
 
 def misheard_answers(scored: DataFrame, matched: float = 1.0, segments: str = "nonsilent_seg") -> DataFrame:
