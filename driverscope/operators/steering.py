@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driverscope.functions.geometry import quaternion_yaw
+from driverscope.operators import splines
 from driverscope.operators.ordered import around, halo, row_index, time_bin
 from driverscope.operators.sequential import map_groups, scan_blocks
 from driverscope.session import settle
@@ -216,10 +217,12 @@ def mark_reversals(rows: DataFrame, keys: Sequence[str], value: str, thetas: Seq
 KINEMATICS = [f"{axis}_{kind}" for kind in ("speed", "acceleration", "jerk") for axis in ("lateral", "longitudinal")]
 
 
-def local_derivatives(t_ns: np.ndarray, x: np.ndarray, y: np.ndarray, yaw: np.ndarray, wanted: np.ndarray, half_s: float) -> np.ndarray:
+def local_derivatives(t_ns: np.ndarray, x: np.ndarray, y: np.ndarray, yaw: np.ndarray, wanted: np.ndarray, half_s: float, smoothing: bool = True) -> np.ndarray:
     """First to third derivative at each wanted row of a cosine-weighted cubic fit in the row's own heading.
 
-    Returns rows x 6, ordered as KINEMATICS; NaN where fewer than four points carry weight.
+    Returns rows x 6, ordered as KINEMATICS; NaN where fewer than four points carry weight. All rows' cubics are solved
+    at once. With ``smoothing``, a row whose weighted squared distance is over the spline call's bound takes
+    a smoothing spline with knots instead; on a road that is rare, as a cubic follows five seconds of driving.
     """
     rows = np.flatnonzero(wanted)
     half = int(half_s * 1e9)
@@ -244,6 +247,16 @@ def local_derivatives(t_ns: np.ndarray, x: np.ndarray, y: np.ndarray, yaw: np.nd
     if good.any():
         fit = np.linalg.pinv(normal[good], hermitian=True) @ target[good]
         out[good] = np.concatenate([fit[:, 1, :], 2 * fit[:, 2, :], 6 * fit[:, 3, :]], axis=1)
+        if smoothing:
+            curve = np.stack([right, ahead], axis=-1)[good]
+            misfit = (squared[good] * (curve - basis[good] @ fit) ** 2).sum(axis=(1, 2))
+            points = inside[good].sum(axis=1)
+            bound = points - np.sqrt(2 * points)
+            for k in np.flatnonzero(misfit - bound >= splines.CLOSE * bound):
+                row = np.flatnonzero(good)[k]
+                use = inside[row]
+                knots, coefficients = splines.smoothing_spline(tau[row, use], curve[k, use], weight[row, use], bound[k])
+                out[row] = splines.derivatives(knots, coefficients, 0.0).ravel()
     return out
 
 
@@ -256,11 +269,13 @@ def ego_kinematics(
     quaternion: Sequence[str] = ("qx", "qy", "qz", "qw"),
     pose: Sequence[str] = ("pose_x", "pose_y"),
     keep: Sequence[str] | None = None,
+    smoothing: bool = True,
 ) -> DataFrame:
     """Yaw and lateral/longitudinal speed, acceleration and jerk of the ego at every row, next to the columns ``keep`` (keys and time).
 
     A row needs its 5 s neighbourhood only: recordings are cut into minutes with that margin
-    copied over. Rows without time have no neighbourhood and no result.
+    copied over. Rows without time have no neighbourhood and no result. The fit is a weighted cubic, or
+    with ``smoothing`` a spline with knots where the cubic misses the points by more than the study's bound.
     """
     half_ns = int(half_s * 1e9)
     keep = list(keep or [*keys, time])
@@ -270,7 +285,7 @@ def ego_kinematics(
     def derive(piece: dict[str, np.ndarray]):
         own = piece["is_own"].astype(bool)
         x, y, yaw = (piece[c].astype(float) for c in (*pose, "yaw_rad"))
-        values = local_derivatives(piece[time], x, y, yaw, own, half_s)
+        values = local_derivatives(piece[time], x, y, yaw, own, half_s, smoothing)
         return np.flatnonzero(own), {"yaw": np.rad2deg(yaw[own])} | {n: values[:, i] for i, n in enumerate(KINEMATICS)}
 
     added = [T.StructField(n, T.DoubleType()) for n in ("yaw", *KINEMATICS)]

@@ -249,7 +249,7 @@ def _kinematics_query():
 def ego_with_kinematics(spark, folder):
     """Ego rows with the derivatives of their weighted cubic; the SQL writes out its normal equations."""
     ego, _, _ = split(spark, folder)
-    out = steering.with_kinematics(ego.drop("yaw"), KEYS)
+    out = steering.with_kinematics(ego.drop("yaw"), KEYS, smoothing=False)
     return out.select("recording", "t_ns", "pose_z", rounded("yaw").alias("yaw"), *[(rounded(c, 4) + 0.0).alias(c) for c in steering.KINEMATICS])
 
 
