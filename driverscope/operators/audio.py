@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driverscope.functions.sound import with_sounds
 from driverscope.functions.text import answer_words, answered, best_matches, correct_misheard, nback_score, normalise_text, statement_score
 from driverscope.operators.chunks import rows_in_intervals
-from driverscope.operators.ordered import neighbour, running, time_bin
+from driverscope.operators.ordered import time_bin
+from driverscope.operators.sequential import scan_blocks
 from driverscope.session import settle
 
 # Step in seconds, level below which a sample is silent, padding of a response window.
@@ -41,23 +44,53 @@ def samples_in_windows(samples: DataFrame, windows: DataFrame, keys: Sequence[st
     return inside.withColumn("offset", F.col(time) - F.col("start"))
 
 
+class SegmentMachine:
+    """Runs of loud steps up to the silent step that closes them, as a machine that can be cut into blocks.
+
+    The state is the first step of the run that is open, or none. A block with a silent step leaves the run at its end,
+    whatever came in; a block without one goes on with the run that came in, or begins one.
+    """
+
+    def __init__(self, step: str, loud: str, width: int) -> None:
+        self.step, self.loud, self.width = step, loud, width
+
+    def begin(self) -> bytes:
+        return np.array([0, 0]).tobytes()
+
+    def summary(self, block) -> bytes:
+        at, loud = block[self.step], block[self.loud].astype(bool)
+        silent = np.flatnonzero(~loud)
+        after = silent[-1] + 1 if len(silent) else 0
+        return np.array([len(silent) > 0, after < len(at), at[min(after, len(at) - 1)]], np.int64).tobytes()
+
+    def advance(self, state: bytes, summary: bytes) -> bytes:
+        closed, opens, first = np.frombuffer(summary, np.int64)
+        if not closed and np.frombuffer(state, np.int64)[0]:
+            return state
+        return np.array([opens, first * opens]).tobytes()
+
+    def run(self, state: bytes, block, last: bool):
+        at, loud = block[self.step], block[self.loud].astype(bool)
+        is_open, start = np.frombuffer(state, np.int64)
+        was = np.concatenate([[bool(is_open)], loud[:-1]])
+        starts = at[loud & ~was]
+        starts = np.concatenate([[start], starts]) if is_open else starts
+        ends = at[~loud & was]
+        return np.zeros(len(ends), int), {"start": starts[: len(ends)] * self.width, "end": (ends + 1) * self.width}
+
+
 def sounding_segments(samples: DataFrame, keys: Sequence[str], time: str, level: str, step: int, slot_steps: int = 600, silence: float = SILENCE) -> DataFrame:
     """Runs of steps with a sounding sample: ``start`` and ``end`` in units of ``time``.
 
     A run must be closed by a silent step, which it includes; a run at the very end is
-    dropped. Samples reduce to one row per step before anything is ordered.
+    dropped. Samples reduce to one row per step before anything is ordered, and recordings run in blocks of
+    ``slot_steps``.
     """
-    steps = samples.groupBy(*keys, F.floor(F.col(time) / step).cast("long").alias("__step")).agg(
-        F.bool_or(F.abs(F.col(level)) >= silence).alias("__loud")
-    )
+    loud = F.coalesce(F.bool_or(F.abs(F.col(level)) >= silence), F.lit(False)).cast("int")
+    steps = samples.where(F.col(time).isNotNull()).groupBy(*keys, F.floor(F.col(time) / step).cast("long").alias("__step")).agg(loud.alias("__loud"))
     steps = settle(steps)  # hundreds of samples per step
-    bin = time_bin("__step", slot_steps)
-    marked = neighbour(steps, keys, bin, ["__step"], {"__was": F.col("__loud")})
-    closing = running(marked, keys, bin, ["__step"], lasts={"__close": F.when(~F.col("__loud"), F.col("__step"))}, inclusive=False, descending=True)
-    starts = F.col("__loud") & ~F.coalesce(F.col("__was"), F.lit(False))
-    return closing.where(starts & F.col("__close").isNotNull()).select(
-        *keys, (F.col("__step") * step).alias("start"), ((F.col("__close") + 1) * step).alias("end")
-    )
+    spans = [T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]
+    return scan_blocks(steps, keys, time_bin("__step", slot_steps), ["__step"], ["__step", "__loud"], SegmentMachine("__step", "__loud", step), keys, spans)
 
 
 def segment_lists(segments: DataFrame, keys: Sequence[str], unit: float) -> DataFrame:

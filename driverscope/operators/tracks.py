@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driverscope.functions.geometry import clamp_degrees, distance, quaternion_yaw, rotate
-from driverscope.operators.chunks import rows_in_intervals
 from driverscope.operators.ordered import row_index, time_bin
 from driverscope.operators.spread import join_few
 
@@ -240,16 +239,27 @@ def key_actors(actors: DataFrame, hazard_types: DataFrame, keys: Sequence[str],
     return ego_time.join(first, list(keys), "left").drop("__ego")
 
 
+def trails(tracks: DataFrame, ego: DataFrame, keys: Sequence[str], trail_ns: int, time: str = "t_ns", yaw: str = "yaw_rad") -> DataFrame:
+    """Per object and ego time the poses of the last ``trail_ns`` as an array in the ego's frame: ``now_ns``, ``trail``.
+
+    Tracks are grouped once per object and slot of ``trail_ns``, ego times once per slot, and every ego time takes its stretch
+    out of the object's list; a track row travels twice, under its own slot and the next, however many trails hold it.
+    """
+    slot = F.floor(F.col(time) / trail_ns).cast("long")
+    listed = tracks.select(*keys, "object_id", F.struct(F.col(time).alias("t"), "pose_x", "pose_y").alias("p"), F.explode(F.array(slot, slot + 1)).alias("__slot"))
+    poses = listed.groupBy(*keys, "object_id", "__slot").agg(F.array_sort(F.collect_list("p")).alias("poses"))
+    now = F.struct(F.col(time).alias("now_ns"), F.col("pose_x").alias("x"), F.col("pose_y").alias("y"), F.col(yaw).alias("yaw"))
+    times = ego.select(*keys, slot.alias("__slot"), now.alias("e")).groupBy(*keys, "__slot").agg(F.collect_list("e").alias("times"))
+    met = poses.join(times, [*keys, "__slot"]).select(*keys, "object_id", "poses", F.explode("times").alias("e"))
+    own = F.filter("poses", lambda p: p["t"].between(F.col("e.now_ns") - F.lit(trail_ns), F.col("e.now_ns")))
+
+    def seen(p: Column) -> Column:
+        right, ahead = rotate(p["pose_x"] - F.col("e.x"), p["pose_y"] - F.col("e.y"), F.col("e.yaw"))
+        return F.struct(p["t"].alias(time), right.alias("right"), ahead.alias("ahead"))
+
+    return met.select(*keys, "object_id", F.col("e.now_ns").alias("now_ns"), F.transform(own, seen).alias("trail")).where(F.size("trail") > 0)
+
+
 def trailing_trajectories(tracks: DataFrame, ego: DataFrame, keys: Sequence[str], trail_ns: int, time: str = "t_ns", yaw: str = "yaw_rad") -> DataFrame:
-    """Rows of the last ``trail_ns`` before each ego time, moved and turned into the ego's frame."""
-    now = ego.select(
-        *keys,
-        F.col(time).alias("now_ns"),
-        (F.col(time) - F.lit(trail_ns)).alias("__from"),
-        F.col("pose_x").alias("__x"),
-        F.col("pose_y").alias("__y"),
-        F.col(yaw).alias("__yaw"),
-    )
-    rows = rows_in_intervals(tracks, now, keys, time, "__from", "now_ns", trail_ns)
-    x, y = rotate(F.col("pose_x") - F.col("__x"), F.col("pose_y") - F.col("__y"), F.col("__yaw"))
-    return rows.select(*keys, "object_id", "now_ns", time, x.alias("right"), y.alias("ahead"))
+    """The points of ``trails`` as rows, unfolded last."""
+    return trails(tracks, ego, keys, trail_ns, time, yaw).select(*keys, "object_id", "now_ns", F.inline("trail"))

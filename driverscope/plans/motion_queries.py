@@ -198,6 +198,21 @@ def attributes_in_chunks(spark, folder):
     return found.select("recording", "object_id", "chunk_number")
 
 
+@query(
+    "object_trails",
+    f"""WITH {EGO_SQL} SELECT a.recording, a.object_id, e.t_ns AS now_ns, count(*) AS points, min(a.t_ns) AS first_ns,
+      round(sum((a.pose_x - e.pose_x) * cos(radians(e.yaw)) + (a.pose_y - e.pose_y) * sin(radians(e.yaw))), 4) + 0.0 AS total
+    FROM tracks a JOIN ego e ON a.recording = e.recording AND a.t_ns BETWEEN e.t_ns - 3000000000 AND e.t_ns GROUP BY 1, 2, 3""",
+)
+def object_trails(spark, folder):
+    """One array per object and ego time."""
+    rows = tracks(spark, folder)
+    ego, _, _ = split(spark, folder)
+    out = moving.trails(rows, ego.withColumn("yaw_rad", F.radians("yaw")), KEYS, 3 * SECOND)
+    total = F.aggregate("trail", F.lit(0.0), lambda acc, p: acc + p["right"])
+    return out.select("recording", "object_id", "now_ns", F.size("trail").cast("long").alias("points"), F.col("trail")[0]["t_ns"].alias("first_ns"), (rounded(total, 4) + 0.0).alias("total"))
+
+
 @query(
     "trailing_trajectories",
     f"""WITH {EGO_SQL} SELECT a.recording, a.object_id, e.t_ns AS now_ns, a.t_ns,

@@ -120,3 +120,25 @@ def test_added_columns_and_kept_types(spark):
     out = sequential.map_groups(df, ["k"], ["id"], ["id"], lambda g: (np.array([len(g["id"]) - 1]), {"n": [len(g["id"])], "x": [float("nan")], "raw": [b"a\0"]}), ["k", "at", "d", "a"], [T.StructField("n", T.IntegerType()), T.StructField("x", T.DoubleType()), T.StructField("raw", T.BinaryType())])
     got = sorted((r.k, int(r.d), r.a, r.n, r.x, bytes(r.raw)) for r in out.collect())
     assert got == [(0, 9, [9], 4, None, b"a\0"), (1, 7, [7], 3, None, b"a\0"), (2, 8, [8], 3, None, b"a\0")]
+
+
+@pytest.mark.parametrize("width", [1, 3, 50])
+def test_sounding_segments_equal_one_pass(spark, width):
+    from driverscope.operators import audio
+
+    rng, data, want = random.Random(width), [], {}
+    for k in (1, None, BIG, BIG + 1):
+        loud = [rng.random() < 0.7 for _ in range(120)]
+        seen = [i for i in range(120) if rng.random() < 0.9]
+        data += [(k, i * 100 + j, (0.5 if loud[i] else 0.0) if j == 50 else None) for i in seen for j in (10, 50)]
+        found, start = [], None
+        for i in seen:
+            if loud[i] and start is None:
+                start = i
+            elif not loud[i] and start is not None:
+                found.append((start * 100, (i + 1) * 100))
+                start = None
+        want[k] = found
+    df = spark.createDataFrame(data, "r long, t long, level double").repartition(4)
+    got = audio.sounding_segments(df, ["r"], "t", "level", 100, slot_steps=width).collect()
+    assert {k: sorted((r.start, r.end) for r in got if r.r == k) for k in want} == want
