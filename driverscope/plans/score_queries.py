@@ -431,14 +431,14 @@ def paired_signed_rank(spark, folder):
     )
 
 
-_CELLS = ", ".join(
+RESULT_CELLS = ", ".join(
     f"round(max(mean_diff) FILTER (condition = '{c}'), 6) AS {c}_mean_diff, round(max(abs(z) / sqrt(n)) FILTER (condition = '{c}'), 6) AS {c}_effect, "
     f"bool_or(abs(z) > 1.959963984540054) FILTER (condition = '{c}') AS {c}_significant"
     for c in ("intoxicated", "cd", "joint")
 )
 
 
-@query("paired_result_table", PAIRS_SQL + f"SELECT feature, {_CELLS} FROM tests GROUP BY 1")
+@query("paired_result_table", PAIRS_SQL + f"SELECT feature, {RESULT_CELLS} FROM tests GROUP BY 1")
 def paired_result_table(spark, folder):
     wide = stats.result_table(tested(spark, folder))
     names = [c for c in wide.columns if c != "feature" and not c.endswith("significant")]

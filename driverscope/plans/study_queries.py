@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driverscope.operators import collate, folds, steering
+from driverscope.operators import chunks, collate, folds, stats, steering
+from driverscope.operators.aggregates import aggregate_chunks
 from driverscope.operators.timing import renumber_frames
 from driverscope.plans import reports
 from driverscope.plans.catalogue import query, rounded, table
+from driverscope.plans.chunk_queries import MEMBERS_SQL, STUDY, STUDY_CHUNKS_SQL
 from driverscope.plans.motion_queries import KEYS, split
-from driverscope.plans.standins import INDEX_SQL, PREDICTIONS_SQL, SIGNAL_SQL, predictions, raw_scenarios, signal
+from driverscope.plans.score_queries import PAIRS_SQL, RESULT_CELLS
+from driverscope.plans.standins import INDEX_SQL, PREDICTIONS_SQL, SIGNAL_SQL, predictions, raw_scenarios, recordings, signal
 from driverscope.schema import TIME, Aggregate, FeatureSpec
 from driverscope.session import scratch_path
 from driverscope.sources import recordings as files, sinks
@@ -296,3 +299,46 @@ def collate_nested_arrays(spark, folder):
     frames = out.select("vec_id", F.col("kind")[0].alias("kind"), F.col("v_valid").alias("valid"), F.posexplode("v").alias("frame", "v"))
     rows = frames.select("vec_id", "kind", "valid", F.col("frame").cast("long").alias("frame"), F.posexplode("v").alias("r", "v"))
     return rows.select("vec_id", "kind", "valid", "frame", F.col("r").cast("long").alias("r"), F.posexplode("v").alias("c", "value")).withColumn("c", F.col("c").cast("long"))
+
+
+# The whole feature test: recordings with conditions, study chunks, features per chunk, participant means, paired tests, one table.
+TEST_FEATURES = [Aggregate(("y",), "mean"), Aggregate(("y",), "abs_mean"), Aggregate(("x",), "std")]
+_NAMES = [a.output for a in TEST_FEATURES]
+PEOPLE_SQL = """people AS (SELECT user_id, 'P' || (user_id % 23) AS participant_name, 1 + user_id // 12 % 5 // 4 AS experiment_version, user_id // 2 % 2 = 1 AS i, user_id // 4 % 2 = 1 AS cd FROM recordings)"""
+FEATURE_TEST_SQL = f"""WITH {SIGNAL_SQL}, {STUDY_CHUNKS_SQL}, {MEMBERS_SQL}, {PEOPLE_SQL},
+features AS (SELECT user_id, chunk_number, avg(y) AS y__mean, avg(abs(y)) AS y__abs_mean, stddev_pop(x) AS x__std FROM chunks LEFT JOIN members USING (user_id, chunk_number) GROUP BY 1, 2),
+rows0 AS (SELECT k AS condition, CASE k WHEN 'cd' THEN cd ELSE i END AS side, participant_name, {', '.join(_NAMES)} FROM features JOIN people USING (user_id), (VALUES ('intoxicated'), ('cd'), ('joint')) x(k)
+  WHERE CASE k WHEN 'intoxicated' THEN experiment_version = 1 AND NOT cd WHEN 'cd' THEN NOT i ELSE experiment_version = 1 AND i = cd END),
+pairs AS (SELECT condition, feature, participant_name, avg(v) FILTER (NOT side) AS baseline, avg(v) FILTER (side) AS impaired
+  FROM rows0 CROSS JOIN LATERAL (VALUES {', '.join(f"('{n}', {n})" for n in _NAMES)}) f(feature, v)
+  GROUP BY 1, 2, 3 HAVING count(*) FILTER (side) > 0 AND count(*) FILTER (NOT side) > 0),
+{PAIRS_SQL[PAIRS_SQL.index('diffs AS'):]}, whole AS (SELECT condition, feature FROM diffs GROUP BY 1, 2 HAVING count(d) = count(*)),
+kept AS (SELECT t.condition, t.feature, n, CASE WHEN w.feature IS NOT NULL THEN mean_diff END AS mean_diff, CASE WHEN w.feature IS NOT NULL THEN z END AS z
+  FROM tests t LEFT JOIN whole w ON w.condition = t.condition AND w.feature = t.feature)
+"""
+
+
+def people_of(rows):
+    user = F.col("user_id")
+    return rows.select(
+        "user_id",
+        "start_time",
+        "end_time",
+        F.concat(F.lit("P"), (user % 23).cast("string")).alias("participant_name"),
+        F.expr("1 + user_id div 12 % 5 div 4").alias("experiment_version"),
+        (F.expr("user_id div 2") % 2 == 1).alias("intoxicated"),
+        (F.expr("user_id div 4") % 2 == 1).alias("cd"),
+    )
+
+
+@query("feature_test_table", FEATURE_TEST_SQL + f"SELECT feature, {RESULT_CELLS} FROM kept GROUP BY 1")
+def feature_test_table(spark, folder):
+    rows = signal(spark, folder)
+    index = people_of(recordings(rows))
+    keys = ["user_id", "chunk_number"]
+    cut = chunks.chunk_recordings(index, STUDY, ["user_id"]).select(*keys, "participant_name", "experiment_version", "intoxicated", "cd")
+    inside = chunks.rows_in_chunks(rows, index.select("user_id", "start_time", "end_time"), STUDY, ["user_id"])
+    features = aggregate_chunks(inside, keys, TEST_FEATURES, 10, order=["t_ns", "event_id"])
+    means = stats.paired_means(stats.condition_rows(cut.join(features, keys, "left")), _NAMES, drop_unpaired=True)
+    wide = stats.result_table(stats.signed_rank(means, ["condition", "feature"]))
+    return wide.withColumns({c: rounded(c) for c in wide.columns if c != "feature" and not c.endswith("significant")})
