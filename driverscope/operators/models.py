@@ -97,3 +97,27 @@ def score_tasks(df: DataFrame, models: Mapping[str, PipelineModel], columns: Seq
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+def log_loss_gradient(df: DataFrame, models: Mapping[str, PipelineModel], columns: Sequence[str], tasks: Mapping[str, str]) -> DataFrame:
+    """Per task and input the rows, and the weighted log loss's slope in that input's coefficient at the fitted model.
+
+    The slope is relative to the weighted mean size of the input, so 0 up to the solver's tolerance says that the fit is the optimum. ``intercept`` is an
+    input of ones. One pass per task.
+    """
+    parts = []
+    for task, fitted in models.items():
+        rows, names = prepare(df.where(F.col(tasks[task]) != -1), columns, False)
+        rows = balanced_weights(rows.withColumn("label", F.col(tasks[task]).cast("double")))
+        scored = fitted.transform(rows)
+        error = F.col("weight") * (vector_to_array("probability")[1] - F.col("label"))
+        inputs = {**dict(zip(columns, names)), "intercept": None}
+        values = {c: F.col(n) if n else F.lit(1.0) for c, n in inputs.items()}
+        slopes = [F.try_divide(F.sum(error * v), F.sum(F.col("weight") * F.abs(v))).alias(c) for c, v in values.items()]
+        sums = scored.agg(F.count(F.lit(1)).alias("rows"), *slopes)
+        cells = F.array(*[F.struct(F.lit(c).alias("input"), F.col(c).alias("slope")) for c in values])
+        parts.append(sums.select(F.lit(task).alias("task"), "rows", F.inline(cells)))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

@@ -8,8 +8,9 @@ from driverscope.functions import frames as pixels
 from driverscope.functions.geometry import clamp_degrees, logistic, rotate_degrees
 from driverscope.functions.text import answered, normalise_text, scenario_short
 from driverscope.operators import audio, collate, metrics, models, pooling
-from driverscope.operators.index import ground_truth, with_conditions
+from driverscope.operators.index import ground_truth, ground_truth_long, with_conditions
 from driverscope.operators.timing import frame_in_chunk
+from driverscope.plans import reports
 from driverscope.plans.catalogue import query, rounded, table
 from driverscope.plans.standins import INDEX_SQL, SIGNAL_SQL, TRACKS_SQL, actors, raw_scenarios, signal, tracks
 from driverscope.session import settle
@@ -360,8 +361,11 @@ def scenario_short_names(spark, folder):
 FEATURES = ["mean_quantity", "spread_quantity", "mean_discount", "late_lines", "parts"]
 
 
-def model_rows(spark, folder):
-    """Aggregates per scenario, two tasks, participant-disjoint folds."""
+ALL_TASKS = ["cd", "nback", "statement", "intoxicated", "impaired", "impaired_intoxicated", "sober_cd"]
+
+
+def model_rows(spark, folder, tasks=("cd", "sober_cd")):
+    """Aggregates per scenario, the tasks' labels, participant-disjoint folds."""
     lines = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("scenario_index")).agg(
         F.avg("l_quantity").alias("mean_quantity"),
         F.stddev_pop("l_quantity").alias("spread_quantity"),
@@ -370,7 +374,7 @@ def model_rows(spark, folder):
         F.when(F.count("*") > 1, F.countDistinct("l_partkey")).alias("parts"),
     )
     index = with_conditions(raw_scenarios(spark, folder))
-    gt = {f"gt_{t}": c for t, c in ground_truth(["cd", "sober_cd"]).items()}
+    gt = {f"gt_{t}": c for t, c in ground_truth(tasks).items()}
     return index.withColumns(gt).join(lines, "scenario_index").select("scenario_index", "participant_name", "fold", *gt, *FEATURES)
 
 
@@ -380,7 +384,7 @@ TASKS = {"cd": "gt_cd", "sober_cd": "gt_sober_cd"}
 def _model(name: str, **options):
     def run(spark, folder):
         rows = settle(model_rows(spark, folder))
-        train, test = rows.where("fold NOT IN (0, 1)"), rows.where("fold = 0")
+        train, test = rows.where("fold <> 0"), rows.where("fold = 0")
         fitted = models.fit_tasks(train, FEATURES, TASKS, name, ["scenario_index"], **options)
         scored = settle(models.score_tasks(test, fitted, FEATURES, TASKS, name, ["scenario_index", "fold"]))
         counts = metrics.confusion(scored, ["task"]).select("task", "tp", "tn", "fp", "fn", "uar")
@@ -395,3 +399,33 @@ query("model_random_forest")(_model("RandomForest", numTrees=20))
 query("model_gradient_boosting")(_model("GradientBoosting", maxIter=10))
 query("model_svm")(_model("SVM", maxIter=20))
 query("model_shallow_net")(_model("ShallowNet", maxIter=20))
+
+
+@query(
+    "logistic_optimum",
+    f"""WITH {INDEX_SQL}, used AS (SELECT * FROM scenarios WHERE scenario_index IN (SELECT l_orderkey FROM lineitem)),
+    g AS (SELECT cognitive_task <> 'no_task' AS cd, cognitive_task = 'nback_task' AS nback, cognitive_task = 'statement_task' AS statement, intoxicated AS i FROM used),
+    t AS (SELECT unnest([{{'task': 'cd', 'gt': cd::INT}}, {{'task': 'nback', 'gt': nback::INT}}, {{'task': 'statement', 'gt': statement::INT}}, {{'task': 'intoxicated', 'gt': i::INT}},
+      {{'task': 'impaired', 'gt': (cd OR i)::INT}}, {{'task': 'impaired_intoxicated', 'gt': CASE WHEN cd OR i THEN i::INT ELSE -1 END}}, {{'task': 'sober_cd', 'gt': CASE WHEN i THEN -1 ELSE cd::INT END}}]) AS t FROM g),
+    n AS (SELECT t.task AS task, count(*) FILTER (t.gt <> -1) AS rows FROM t GROUP BY 1)
+    SELECT task, input, rows, true AS is_optimum FROM n CROSS JOIN (VALUES {', '.join(f"('{c}')" for c in (*FEATURES, 'intercept'))}) f(input)""",
+)
+def logistic_optimum(spark, folder):
+    """All seven tasks fitted; at an optimum of the weighted log loss the slope in every coefficient is 0."""
+    tasks = {t: f"gt_{t}" for t in ALL_TASKS}
+    rows = settle(model_rows(spark, folder, ALL_TASKS))
+    fitted = models.fit_tasks(rows, FEATURES, tasks, "LogisticRegression", ["scenario_index"], maxIter=100, tol=1e-8)
+    slopes = models.log_loss_gradient(rows, fitted, FEATURES, tasks)
+    return slopes.select("task", "input", "rows", (F.abs("slope") < 1e-4).alias("is_optimum"))
+
+
+@query(
+    "class_weights_of_all_tasks",
+    f"""WITH {INDEX_SQL}, g AS (SELECT cognitive_task <> 'no_task' AS cd, cognitive_task = 'nback_task' AS nback, cognitive_task = 'statement_task' AS statement, intoxicated AS i FROM scenarios),
+    t AS (SELECT unnest([{{'task': 'cd', 'gt': cd::INT}}, {{'task': 'nback', 'gt': nback::INT}}, {{'task': 'statement', 'gt': statement::INT}}, {{'task': 'intoxicated', 'gt': i::INT}},
+      {{'task': 'impaired', 'gt': (cd OR i)::INT}}, {{'task': 'impaired_intoxicated', 'gt': CASE WHEN cd OR i THEN i::INT ELSE -1 END}}, {{'task': 'sober_cd', 'gt': CASE WHEN i THEN -1 ELSE cd::INT END}}]) AS t FROM g)
+    SELECT t.task AS task, count(*) FILTER (t.gt <> -1) AS valid, count(*) FILTER (t.gt = 1) AS positive, round(count(*) FILTER (t.gt <> -1)::DOUBLE / count(*) FILTER (t.gt = 1) - 1, 6) AS pos_weight FROM t GROUP BY 1""",
+)
+def class_weights_of_all_tasks(spark, folder):
+    long = ground_truth_long(with_conditions(raw_scenarios(spark, folder)), ["scenario_index"], ALL_TASKS)
+    return reports.class_weights(long).withColumn("pos_weight", rounded("pos_weight"))
