@@ -155,14 +155,14 @@ def chunked(spark, folder):
 @query(
     "collate_table",
     f"""WITH {CHUNKED_SQL}, g AS (SELECT recording, chunk, CAST(f AS INT) AS frame FROM ids, (SELECT unnest(range(12)) AS f)),
-    e AS (SELECT * FROM c WHERE object_id = 2 AND recording % 10 <> 0), k AS (SELECT DISTINCT recording, chunk FROM e)
+    e AS (SELECT * FROM c WHERE object_id = 2), k AS (SELECT DISTINCT recording, chunk FROM e)
     SELECT g.recording, g.chunk, g.frame, coalesce(pose_x, 0) AS x, CASE WHEN pose_z > 2 THEN pose_x ELSE 0 END AS speed,
       CAST(pose_x IS NOT NULL AS INT) AS x_valid, CAST(coalesce(pose_z > 2, false) AS INT) AS speed_valid, CAST(k.recording IS NOT NULL AS INT) AS file_valid
     FROM g LEFT JOIN e ON g.recording = e.recording AND g.chunk = e.chunk AND g.frame = e.frame LEFT JOIN k ON k.recording = g.recording AND k.chunk = g.chunk""",
 )
 def collate_table(spark, folder):
     rows = chunked(spark, folder)
-    out = collate.collate_table(rows.where("object_id = 2 AND recording % 10 <> 0"), rows.select(*CHUNK).distinct(), CHUNK, ["pose_x", "speed"], 12)
+    out = collate.collate_table(rows.where("object_id = 2"), rows.select(*CHUNK).distinct(), CHUNK, ["pose_x", "speed"], 12)
     cells = out.select(*CHUNK, "file_valid", F.posexplode(F.arrays_zip("table", "table_valid")).alias("frame", "z"))
     t, v = F.col("z.table"), F.col("z.table_valid")
     return cells.select(*CHUNK, "frame", t[0].alias("x"), t[1].alias("speed"), v[0].alias("x_valid"), v[1].alias("speed_valid"), "file_valid")
@@ -171,7 +171,7 @@ def collate_table(spark, folder):
 @query(
     "collate_tracks",
     f"""WITH {CHUNKED_SQL}, o AS (SELECT recording, chunk, object_id, row_number() OVER (PARTITION BY recording, chunk ORDER BY min(pose_y), object_id) - 1 AS slot
-      FROM c WHERE recording % 10 <> 0 GROUP BY 1, 2, 3 QUALIFY slot < 4),
+      FROM c GROUP BY 1, 2, 3 QUALIFY slot < 4),
     g AS (SELECT recording, chunk, CAST(s AS INT) AS slot, CAST(f AS INT) AS frame FROM ids, (SELECT unnest(range(4)) AS s), (SELECT unnest(range(12)) AS f))
     SELECT g.recording, g.chunk, g.slot, g.frame, coalesce(o.object_id, 0) AS object_id, coalesce(pose_x, 0) AS x, CASE WHEN pose_z > 2 THEN pose_x ELSE 0 END AS speed,
       CAST(coalesce(pose_z > 2, false) AS INT) AS valid FROM g LEFT JOIN o ON g.recording = o.recording AND g.chunk = o.chunk AND g.slot = o.slot
@@ -179,7 +179,7 @@ def collate_table(spark, folder):
 )
 def collate_tracks(spark, folder):
     rows = chunked(spark, folder)
-    out = collate.collate_tracks(rows.where("recording % 10 <> 0"), rows.select(*CHUNK).distinct(), CHUNK, ["pose_x", "speed"], 12, 4, relevance="pose_y")
+    out = collate.collate_tracks(rows, rows.select(*CHUNK).distinct(), CHUNK, ["pose_x", "speed"], 12, 4, relevance="pose_y")
     slots = out.select(*CHUNK, F.posexplode(F.arrays_zip("object_id", "tracks", "tracks_valid")).alias("slot", "o"))
     cells = slots.select(*CHUNK, "slot", F.col("o.object_id").alias("object_id"), F.posexplode(F.arrays_zip(F.col("o.tracks").alias("t"), F.col("o.tracks_valid").alias("v"))).alias("frame", "z"))
     return cells.select(*CHUNK, "slot", "frame", "object_id", F.col("z.t")[0].alias("x"), F.col("z.t")[1].alias("speed"), F.col("z.v").alias("valid"))
@@ -187,14 +187,14 @@ def collate_tracks(spark, folder):
 
 @query(
     "collate_attributes",
-    f"""WITH {TRACKS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY recording ORDER BY object_id) - 1 AS slot FROM actors WHERE recording % 4 <> 0 OR object_id < 3),
+    f"""WITH {TRACKS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY recording ORDER BY object_id) - 1 AS slot FROM actors),
     g AS (SELECT DISTINCT recording, CAST(s AS INT) AS slot FROM actors, (SELECT unnest(range(5)) AS s))
     SELECT g.recording, g.slot, coalesce(object_id, 0) AS object_id, coalesce(role, '') AS role, coalesce(actor_type, '') AS actor_type, CAST(object_id IS NOT NULL AS INT) AS valid
     FROM g LEFT JOIN o ON g.recording = o.recording AND g.slot = o.slot""",
 )
 def collate_attributes(spark, folder):
     few = actors(tracks(spark, folder))
-    out = collate.collate_attributes(few.where("recording % 4 <> 0 OR object_id < 3"), few.select("recording").distinct(), ["recording"], ["role", "actor_type"], 5)
+    out = collate.collate_attributes(few, few.select("recording").distinct(), ["recording"], ["role", "actor_type"], 5)
     cells = out.select("recording", F.posexplode(F.arrays_zip("object_id", "attributes", "attributes_valid")).alias("slot", "z"))
     a = F.col("z.attributes")
     return cells.select("recording", "slot", F.col("z.object_id").alias("object_id"), a[0].alias("role"), a[1].alias("actor_type"), F.col("z.attributes_valid").alias("valid"))
@@ -217,10 +217,10 @@ def collate_aggregates(spark, folder):
 @query(
     "collate_arrays",
     """SELECT e.event_id, round(coalesce(embedding[1]::DOUBLE, -1), 6) AS first, round(coalesce(embedding[64]::DOUBLE, -1), 6) AS last, CAST(embedding IS NOT NULL AS INT) AS valid
-    FROM events e LEFT JOIN embeddings v ON v.vec_id = e.user_id AND v.label < 7""",
+    FROM events e LEFT JOIN embeddings v ON v.vec_id = e.user_id""",
 )
 def collate_arrays(spark, folder):
-    arrays = table(spark, folder, "embeddings").where("label < 7").select(F.col("vec_id").alias("user_id"), "embedding")
+    arrays = table(spark, folder, "embeddings").select(F.col("vec_id").alias("user_id"), "embedding")
     value, valid = collate.collate_array("embedding", 64, default=-1.0)
     out = table(spark, folder, "events").join(arrays, "user_id", "left").select("event_id", value.alias("v"), valid.alias("valid"))
     return out.select("event_id", rounded(F.col("v")[0]).alias("first"), rounded(F.col("v")[63]).alias("last"), "valid")

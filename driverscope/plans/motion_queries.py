@@ -305,6 +305,22 @@ def gaze_value_in_frame(spark, folder):
     return out.select("event_id", rounded(F.col("depth").cast("double")).alias("depth"))
 
 
+@query(
+    "gaze_value_in_frame_at_time",
+    f"""WITH {GAZE_SQL}, p AS (SELECT *, round_even(gx * 8, 0) AS a, round_even(gy * 8, 0) AS b FROM gaze),
+    f AS (SELECT DISTINCT user_id, t_ns, CASE WHEN t_ns // 1000 % 2 = 0 THEN embedding ELSE list_reverse(embedding) END AS pixels FROM signal JOIN embeddings ON vec_id = user_id WHERE event_type <> 'purchase')
+    SELECT event_id, round(CASE WHEN a >= 0 AND a < 8 AND b >= 0 AND b < 8 THEN pixels[CAST(b * 8 + a AS INT) + 1]::DOUBLE END, 6) AS depth
+    FROM p LEFT JOIN f ON f.user_id = p.user_id AND f.t_ns = p.t_ns""",
+)
+def gaze_value_in_frame_at_time(spark, folder):
+    """Frames of a recording differ from time to time; some times have none."""
+    shown = signal(spark, folder).where("event_type <> 'purchase'").join(table(spark, folder, "embeddings"), F.col("vec_id") == F.col("user_id"))
+    turned = F.when(F.expr("t_ns div 1000 % 2 = 0"), F.col("embedding")).otherwise(F.reverse("embedding"))
+    frames = shown.select("user_id", "t_ns", turned.alias("pixels")).distinct()
+    out = eyes.value_at_gaze(frames, gaze_rows(spark, folder), ["user_id", "t_ns"], "pixels", 8, 8, "gx", "gy", "depth")
+    return out.select("event_id", rounded(F.col("depth").cast("double")).alias("depth"))
+
+
 @query(
     "gaze_latest_within",
     f"""WITH {GAZE_SQL}, f AS (SELECT user_id, k, k * 1000000000 AS t FROM (SELECT user_id, unnest(range((end_time + 999999999) // 1000000000)) AS k FROM recordings)),
