@@ -51,12 +51,13 @@ class PieceTable:
             raise ValueError("the model does not fall back to bytes")
         self.plain = {names[i]: i for i in range(size) if not (special[i] or model.is_byte(i) or model.is_unused(i))}
         self.score = {p: model.get_score(i) for p, i in self.plain.items()}
-        # what a piece reads as; None stands for a control piece, which reads as nothing
+        # what a piece reads as; a control piece reads as nothing
         self.surface = [b"" if model.is_control(i) else b" \xe2\x81\x87 " if model.is_unknown(i) else n.replace(BLANK, " ").encode() for i, n in enumerate(names)]
         self.byte_ids = np.zeros(size, bool)
         for value, i in self.bytes_of.items():
             self.surface[i], self.byte_ids[i] = bytes([value]), True
         self.opens = [n.startswith(BLANK) for n in names]
+        self.silent = {i for i in range(size) if model.is_control(i)}
 
         self.automaton = ahocorasick.Automaton()
         self.followers: list[dict[str, bool]] = []
@@ -186,15 +187,16 @@ class PieceTable:
         data = b"".join(map(self.surface.__getitem__, listed))
         # the blank in front counts once control pieces are passed over, and only on a piece that is written with it
         first = next((i for i in listed if self.surface[i]), None)
-        if first is not None and self.opens[first]:
-            data = data[1:]
-        try:
-            return data.decode()
-        except UnicodeDecodeError:
-            return self._patched(ids, first is not None and self.opens[first])
+        cut = first is not None and self.opens[first]
+        if self.silent.isdisjoint(listed):
+            try:
+                return data[cut:].decode()
+            except UnicodeDecodeError:
+                pass
+        return self._patched(ids, cut)
 
     def _patched(self, ids: np.ndarray, cut: bool) -> str:
-        """Runs of byte pieces are read on their own, letter by letter."""
+        """Runs of byte pieces are read on their own, letter by letter; a control piece ends a run."""
         out: list[str] = []
         for is_bytes, run in itertools.groupby(ids.tolist(), key=self.byte_ids.__getitem__):
             data = b"".join(map(self.surface.__getitem__, run))
