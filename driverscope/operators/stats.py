@@ -5,10 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from driverscope.operators.ordered import data_bins, running
 from driverscope.session import settle
@@ -67,9 +65,21 @@ def paired_means(rows: DataFrame, features: Sequence[str], participant: str = "p
     return paired.select("condition", participant, F.inline(F.array(*cells)))
 
 
-@F.pandas_udf(T.DoubleType())
-def two_sided_normal(z: pd.Series) -> pd.Series:
-    return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)) if v is not None and not math.isnan(v) else float("nan"))
+def two_sided_normal(z: str | Column) -> Column:
+    """Chance of a standard normal value at least as far from 0 as z; NULL and NaN are missing.
+
+    Near 0 from the power series of the error function, further out from the continued fraction of its complement, so that small chances
+    keep their digits too.
+    """
+    value = F.col(z) if isinstance(z, str) else z
+    x = F.abs(value) / math.sqrt(2)
+    terms = F.sequence(F.lit(1), F.lit(40))
+    step = lambda acc, n: F.struct((acc["term"] * 2 * x * x / (2 * n + 1)).alias("term"), (acc["total"] + acc["term"] * 2 * x * x / (2 * n + 1)).alias("total"))
+    series = F.aggregate(terms, F.struct(x.alias("term"), x.alias("total")), step, lambda acc: acc["total"])
+    near = 1 - 2 / math.sqrt(math.pi) * F.exp(-x * x) * series
+    fraction = F.aggregate(F.sequence(F.lit(120), F.lit(1), F.lit(-1)), x, lambda acc, n: x + n / 2 / acc)
+    far = F.exp(-x * x) / math.sqrt(math.pi) / fraction
+    return F.when(~F.isnan(value), F.when(x < 1.5, near).otherwise(far))
 
 
 def signed_rank(pairs: DataFrame, keys: Sequence[str], baseline: str = "baseline", impaired: str = "impaired", bin: Column | None = None, digits: int = 9) -> DataFrame:

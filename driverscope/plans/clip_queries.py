@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from driverscope.functions import frames as pixels
 from driverscope.functions.geometry import clamp_degrees, logistic, rotate_degrees
-from driverscope.functions.text import answered, normalise_text, scenario_short
+from driverscope.functions.text import normalise_text, scenario_short
 from driverscope.operators import audio, collate, metrics, models, pooling
 from driverscope.operators.index import ground_truth, ground_truth_long, with_conditions
 from driverscope.operators.timing import frame_in_chunk

@@ -227,11 +227,54 @@ def trailing_trajectories(spark, folder):
     return out.withColumns({c: rounded(c) for c in ("right", "ahead")})
 
 
-@query("ego_kinematics")
+def least_squares_sql(keep: str) -> str:
+    """Weighted cubic through the rows within 2.5 s by its 4 x 4 normal equations, solved by elimination over columns."""
+    powers = [f"sum(w * w * pow(tau, {k})) AS s{k}" for k in range(7)]
+    sides = [f"sum(w * w * pow(tau, {k}) * {v}) AS {v}{k}" for v in ("r", "a") for k in range(4)]
+    # Gauss: row i of the symmetric system is s_i .. s_{i+3} | r_i | a_i; each stage removes one unknown
+    names = ["c0", "c1", "c2", "c3", "r", "a"]
+    stages, source = [], "sums"
+    rows = {i: {**{f"c{j}": f"s{i + j}" for j in range(4)}, "r": f"r{i}", "a": f"a{i}"} for i in range(4)}
+    for k in range(3):
+        cells, after = [], {}
+        for i in rows:
+            if i <= k:
+                after[i] = {}
+                for n, e in rows[i].items():
+                    cells.append(f"{e} AS e{k}_{i}_{n}")
+                    after[i][n] = f"e{k}_{i}_{n}"
+                continue
+            after[i] = {}
+            for n in names:
+                cells.append(f"{rows[i][n]} - {rows[i][f'c{k}']} / {rows[k][f'c{k}']} * {rows[k][n]} AS e{k}_{i}_{n}")
+                after[i][n] = f"e{k}_{i}_{n}"
+        stages.append(f"g{k} AS (SELECT {keep}, yaw, good, {', '.join(cells)} FROM {source})")
+        source, rows = f"g{k}", after
+    solved = {}
+    for v in ("r", "a"):
+        solved[v, 3] = f"({rows[3][v]} / {rows[3]['c3']})"
+        solved[v, 2] = f"(({rows[2][v]} - {rows[2]['c3']} * {solved[v, 3]}) / {rows[2]['c2']})"
+        solved[v, 1] = f"(({rows[1][v]} - {rows[1]['c2']} * {solved[v, 2]} - {rows[1]['c3']} * {solved[v, 3]}) / {rows[1]['c1']})"
+    out = []
+    for k, (kind, factor) in enumerate((("speed", 1), ("acceleration", 2), ("jerk", 6)), 1):
+        out += [f"CASE WHEN good >= 4 THEN round({factor} * {solved[v, k]}, 4) + 0.0 END AS {axis}_{kind}" for v, axis in (("r", "lateral"), ("a", "longitudinal"))]
+    return f"""WITH {TRACKS_SQL},
+    ego AS (SELECT recording, t_ns, pose_x, pose_y, pose_z, atan2(2 * (qw * qz + qx * qy), qw * qw + qx * qx - qy * qy - qz * qz) - pi() / 2 AS turn FROM tracks WHERE object_id = 1),
+    near AS (SELECT e.{keep.replace(', ', ', e.')}, e.turn, cos((n.t_ns - e.t_ns) / 1e9 / 2.5 * (pi() / 2)) AS w, (n.t_ns - e.t_ns) / 1e9::DOUBLE AS tau,
+      first_value(n.pose_x) OVER s AS x0, first_value(n.pose_y) OVER s AS y0, n.pose_x AS x, n.pose_y AS y
+      FROM ego e JOIN ego n ON n.recording = e.recording AND n.t_ns BETWEEN e.t_ns - 2500000000 AND e.t_ns + 2500000000 WINDOW s AS (PARTITION BY e.recording, e.t_ns ORDER BY n.t_ns)),
+    seen AS (SELECT *, (x - x0) * cos(turn) + (y - y0) * sin(turn) AS r, (y - y0) * cos(turn) - (x - x0) * sin(turn) AS a FROM near),
+    sums AS (SELECT {keep}, round(degrees(any_value(turn)), 6) AS yaw, count(*) FILTER (w >= 1e-9) AS good, {', '.join(powers + sides)} FROM seen GROUP BY {keep}),
+    {', '.join(stages)}
+    SELECT {keep}, yaw, {', '.join(out)} FROM {source}"""
+
+
+@query("ego_kinematics", least_squares_sql("recording, t_ns"))
 def ego_kinematics(spark, folder):
-    """A weighted local cubic per row; ``ego_with_kinematics`` compares the same fits with SQL."""
+    """A weighted local cubic per row; the SQL writes out its normal equations."""
     ego, _, _ = split(spark, folder)
-    return steering.ego_kinematics(ego.drop("yaw"), KEYS, smoothing=False)
+    out = steering.ego_kinematics(ego.drop("yaw"), KEYS, smoothing=False)
+    return out.select("recording", "t_ns", rounded("yaw").alias("yaw"), *[(rounded(c, 4) + 0.0).alias(c) for c in steering.KINEMATICS])
 
 
 @query("ego_kinematics_smoothed")
