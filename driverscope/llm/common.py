@@ -60,34 +60,23 @@ def text_chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[np.nda
 class WordHasher:
     """64-bit hashes of all words of many texts at once; only A-Z are lower-cased.
 
-    A word's hash is a polynomial in one odd number over a fixed random number per byte, taken from
-    running sums over all bytes, then mixed.
+    A word's hash is the sum of one number per byte and place in the word, each from a mixing of both: words that differ
+    sum up different numbers, which no repetition inside them can make cancel. Sums come from running sums over
+    all bytes.
     """
 
-    base = 0x9E3779B97F4A7C15
-
     def __init__(self) -> None:
-        values = np.random.RandomState(20).randint(0, 1 << 62, 256).astype(np.uint64) * np.uint64(4) + np.uint64(1)
+        values = np.random.RandomState(20).randint(0, 1 << 62, 256).astype(np.uint64)
         values[65:91] = values[97:123]
         self.values = values
         self.blank = np.zeros(256, bool)
         self.blank[[9, 10, 11, 12, 13, 32]] = True
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def _powers(self, size: int) -> None:
-        if len(self.up) < size:
-            steps = np.full(size + (1 << 20), self.base, np.uint64)
-            steps[0] = 1
-            self.up = np.multiply.accumulate(steps)
-            steps[1:] = pow(self.base, -1, 1 << 64)
-            self.down = np.multiply.accumulate(steps)
 
     def words(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(hash of every word, number of words up to each text's end)."""
         size = len(data)
         if not size:
             return np.empty(0, np.uint64), np.zeros(len(ends), np.int64)
-        self._powers(size)
         blank = self.blank[data]
         opens = np.ones(size + 1, bool)
         opens[1:-1] = blank[:-1]
@@ -95,9 +84,23 @@ class WordHasher:
         closes = opens[1:].copy()
         closes[:-1] |= blank[1:]
         first, last = np.flatnonzero(opens[:-1] & ~blank), np.flatnonzero(closes & ~blank) + 1
+        # place in the word: steps of one, set back at each beginning
+        step = np.ones(size, np.int64)
+        step[0] = 0
+        if len(first):
+            step[first[1:]] = 1 - np.diff(first)
+            step[first[0]] = min(0, 1 - first[0])
+        place = np.cumsum(step).astype(np.uint64)
+        place *= np.uint64(0x9E3779B97F4A7C15)
+        place += self.values[data]
+        place ^= place >> np.uint64(30)
+        place *= np.uint64(0xBF58476D1CE4E5B9)
+        place ^= place >> np.uint64(27)
+        place *= np.uint64(0x94D049BB133111EB)
+        place ^= place >> np.uint64(31)
         sums = np.zeros(size + 1, np.uint64)
-        np.cumsum(self.values[data] * self.up[:size], out=sums[1:])
-        out = (sums[last] - sums[first]) * self.down[first]
+        np.cumsum(place, out=sums[1:])
+        out = sums[last] - sums[first]
         out ^= out >> np.uint64(31)
         out *= np.uint64(0xD6E8FEB86659FD93)
         out ^= out >> np.uint64(32)
@@ -147,11 +150,14 @@ class ChunkTokens(dict):
     ids of its chunks in order. A chunk of letters and closing marks is split once more, as the
     vocabulary's own pattern does, and plain letters go straight to the tokenizer's merges, lower-cased;
     every other chunk takes the tokenizer's whole way. When full, the cache becomes the one before,
-    from which chunks still in use are taken over; long chunks are not kept.
+    from which chunks still in use are taken over; long chunks are not kept. Both halves together hold about
+    ``limit`` bytes at most.
     """
 
-    limit = 400_000
+    limit = 128 << 20
     longest = 64
+    #: Bytes of an entry besides its letters and ids: two object headers and a place in the table.
+    entry = 180
 
     def __init__(self, tokenizer_path: str, kind: str = "<u4") -> None:
         super().__init__()
@@ -160,11 +166,13 @@ class ChunkTokens(dict):
         self.tokenizer, self.kind = Tokenizer.from_file(tokenizer_path), {"<u2": "H", "<u4": "I"}[kind]
         self.merges, self.letters = self.tokenizer.model, byte_letters()
         self.before: dict[str, bytes] = {}
+        self.held = 0
         # another vocabulary, with other rules, takes the whole way alone
         trial = "Straße naïve, hello WORLD."
         self.plain = True
         self.plain = self.ids(trial) == self._whole(trial)
         self.clear()
+        self.held = 0
 
     def _whole(self, chunk: str) -> bytes:
         return array(self.kind, self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
@@ -174,10 +182,12 @@ class ChunkTokens(dict):
             return self._whole(chunk)
         if (value := self.before.get(chunk)) is None:
             value = self._encode(chunk)
-        if len(self) >= self.limit:
+        if self.held >= self.limit // 2:
             self.before = dict(self)
             self.clear()
+            self.held = 0
         self[chunk] = value
+        self.held += self.entry + len(chunk) + len(value)
         return value
 
     def _encode(self, chunk: str) -> bytes:
@@ -194,6 +204,13 @@ class ChunkTokens(dict):
     def ids(self, text: str) -> bytes:
         if SEPARATORS.search(text):
             return self._whole(text)
+        if self.plain:
+            # the vocabulary lower-cases; letters up to U+00FF change one by one, so it may be done first
+            try:
+                text.encode("latin-1")
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
         return b"".join(map(self.__getitem__, text.split()))
 
 
@@ -228,13 +245,13 @@ def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
 
     placed = stored(df.orderBy(*order).withColumn("_place", F.monotonically_increasing_id()), name)
     part = F.shiftright("_place", 33)
-    before = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    before = before.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
+    before = placed.groupBy(part.alias("__bin")).agg(F.count(F.lit(1)).alias("_n"))
+    before = before.select("__bin", (F.sum("_n").over(W.orderBy("__bin")) - F.col("_n")).alias("_before"))
     return (
-        placed.withColumn("_part", part)
-        .join(before, "_part")
+        placed.withColumn("__bin", part)
+        .join(before, "__bin")
         .withColumn("rank", F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)))
-        .drop("_part", "_place", "_before")
+        .drop("__bin", "_place", "_before")
     )
 
 

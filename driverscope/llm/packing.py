@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +44,21 @@ class InvertedIndex:
         return np.bincount(self.docs[at], self.weights[at], self.size)
 
 
+def by_score(scores: np.ndarray, first: int = 64) -> Iterator[int]:
+    """Documents by falling score, ties in their order; only as many are sorted as are asked for."""
+    size, done = first, 0
+    while done < len(scores):
+        if size >= len(scores):
+            order = np.argsort(-scores, kind="stable")
+        else:
+            # all that are as good as the one at place ``size``, so that ties stay in order
+            least = np.partition(scores, len(scores) - size)[len(scores) - size]
+            best = np.flatnonzero(scores >= least)
+            order = best[np.argsort(-scores[best], kind="stable")]
+        yield from order[done:].tolist()
+        done, size = len(order), 4 * size
+
+
 def fill(lengths: list[int], scores, window: int) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of a shard.
 
@@ -71,7 +86,7 @@ def fill(lengths: list[int], scores, window: int) -> list[tuple[int, int, int, i
             doc, start = -1, 0
             if offset < window:
                 if near is None:
-                    near = iter(np.argsort(-scores(seed), kind="stable").tolist())
+                    near = by_score(scores(seed))
                 doc = next((k for k in near if not used[k]), -1)
                 if doc >= 0:
                     used[doc] = True
@@ -94,26 +109,34 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, window: int =
 
     vocabulary = max(Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True), end_id + 1)
     kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
-    schema = pa.schema([("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary()), ("terms", pa.binary())])
 
     def encode(batches):
+        """Ids of every text; some rows carry the document counts per term of the rows since the last such row."""
         cache, end = chunk_tokens(tokenizer, kind), np.array([end_id], kind).tobytes()
         for batch in batches:
+            count = np.zeros(vocabulary, np.uint32)
             ids = [cache.ids(text.as_py()) + end for text in batch.column(1)]
-            yield [batch.column(0), [len(x) // len(end) for x in ids], ids]
+            for one in ids:
+                count[np.unique(np.frombuffer(one, kind))] += 1
+            seen = np.flatnonzero(count).astype(np.uint32)
+            told = np.concatenate([seen, count[seen]]).astype("<u4").tobytes()
+            yield [batch.column(0), [len(x) // len(end) for x in ids], ids, [None] * (len(ids) - 1) + [told] * bool(ids)]
 
-    rows = docs.select("doc_id", body().alias("text")).mapInArrow(arrow_rows(encode, schema), "doc_id long, doc_tokens long, ids binary")
+    rows = docs.select("doc_id", body().alias("text")).mapInArrow(arrow_rows(encode, schema), "doc_id long, doc_tokens long, ids binary, terms binary")
     tokens = stored(rows.withColumn("row", F.monotonically_increasing_id()), "pack-tokens")
 
     def present(batches):
         count = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                count[np.unique(np.frombuffer(ids.as_py(), kind))] += 1
+            for told in batch.column(0):
+                seen, n = np.frombuffer(told.as_py(), "<u4").reshape(2, -1)
+                count[seen] += n
         seen = np.flatnonzero(count)
         yield [seen, count[seen]]
 
-    terms = tokens.select("ids").mapInArrow(arrow_rows(present, pa.schema([("term", pa.int32()), ("n", pa.int64())])), "term int, n long")
+    told = tokens.select("terms").filter(F.col("terms").isNotNull())
+    terms = told.mapInArrow(arrow_rows(present, pa.schema([("term", pa.int32()), ("n", pa.int64())])), "term int, n long")
     frequency = np.zeros(vocabulary)
     for row in terms.groupBy("term").agg(F.sum("n").alias("n")).collect():  # at most one row per vocabulary entry
         frequency[row.term] = row.n
@@ -121,24 +144,20 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, window: int =
     idf = np.log1p((size.docs - frequency + 0.5) / (frequency + 0.5)).astype("f4")
     mean_length = size.ids / max(size.docs, 1)
 
-    def shard(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["doc_id", "row"], na_position="first", kind="stable")
-        ids = [np.frombuffer(x, kind) for x in frame["ids"]]
+    out = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
+
+    def shard(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("doc_id", "ascending"), ("row", "ascending")])
+        ids = [np.frombuffer(x.as_buffer(), kind) for x in rows["ids"]]
         index = InvertedIndex(ids, idf.astype(float), mean_length)
-        names, number = frame["doc_id"].array, int(frame["shard"].iloc[0])
+        number = rows["shard"][0].as_py()
         found = fill([len(x) for x in ids], index.scores, window)
-        return pd.DataFrame(
-            {
-                "doc_id": pd.array([names[d] for d, *_ in found], "Int64"),
-                "start": [s for _, s, *_ in found],
-                "length": [n for _, _, n, *_ in found],
-                "ids_crc32": [zlib.crc32(ids[d][s : s + n].astype("<u4").tobytes()) for d, s, n, *_ in found],
-                "doc_tokens": [len(ids[d]) for d, *_ in found],
-                "sequence_id": [(number << 32) | q for *_, q, _ in found],
-                "offset": [o for *_, o in found],
-            }
-        )
+        doc, start, length, sequence, offset = (np.array(c, np.int64) for c in zip(*found))
+        crc = [zlib.crc32(ids[d][s : s + n].astype("<u4").tobytes()) for d, s, n, *_ in found]
+        whole = np.array([len(x) for x in ids], np.int64)[doc]
+        names = rows["doc_id"].combine_chunks().take(pa.array(doc))
+        return pa.table([names, start, length, pa.array(crc, pa.int64()), whole, (number << 32) | sequence, offset], schema=out)
 
     shards = slices(size.ids, shard_tokens)
     dealt = tokens.select("doc_id", "row", "ids", F.pmod(F.xxhash64("doc_id", F.length("ids"), "row"), F.lit(shards)).alias("shard"))
-    return dealt.groupBy("shard").applyInPandas(shard, PIECE_DDL)
+    return dealt.groupBy("shard").applyInArrow(shard, PIECE_DDL)
