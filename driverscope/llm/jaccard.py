@@ -27,7 +27,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHasher, arrow_rows, body, shingle_sets, stored
@@ -59,16 +59,21 @@ def ordered(items: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def sets_table(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, sig) of every row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.int64())])
+    """(doc_id, content, n_shingles, sig) of every row; content is a short hash of the text."""
+    schema = pa.schema([("doc_id", pa.int64()), ("content", pa.int32()), ("n_shingles", pa.int64()), ("sig", pa.int64())])
 
     def run(batches):
         hasher = WordHasher()
         for batch in batches:
             told = [(len(s), signature(s)) for s in shingle_sets(batch.column(1), width, hasher)]
-            yield [batch.column(0), *([x[k] for x in told] for k in (0, 1))]
+            yield [batch.column(0), batch.column(2), *([x[k] for x in told] for k in (0, 1))]
 
-    return docs.select("doc_id", body()).mapInArrow(arrow_rows(run, schema), "doc_id long, n_shingles long, sig long")
+    return docs.select("doc_id", body(), content()).mapInArrow(arrow_rows(run, schema), "doc_id long, content int, n_shingles long, sig long")
+
+
+def content(text: str = "text") -> Column:
+    """Tells texts of one doc_id apart; never compared across ids, so 32 bits are plenty and keep the lists of rows small."""
+    return F.hash(body(text))
 
 
 def bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
@@ -351,6 +356,11 @@ def similar_sets(docs: DataFrame, width: int = 5, threshold: Fraction | float =
     doc_id is linked and counted like others, but never gives a name: in a component of such rows
     alone component_id is null. Only doc_id and text are read. An empty table gives no rows.
     """
+    return linked(docs, width, threshold, often, unit_sets).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+def linked(docs: DataFrame, width: int = 5, threshold: Fraction | float = 0.8, often: int = 2, unit_sets: int = 2000) -> DataFrame:
+    """``similar_sets`` with each row's text hash and ``root``, one number per group of linked rows, whatever their ids."""
     t = Fraction(threshold).limit_denominator(1000)
     table = stored(sets_table(docs, width), "join-sets")
     groups = table.filter("n_shingles > 0").groupBy("sig").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("name"), F.count(F.lit(1)).alias("copies"))
@@ -424,10 +434,11 @@ def similar_sets(docs: DataFrame, width: int = 5, threshold: Fraction | float =
     named = groups.join(counts, "sig", "left").join(together.withColumnRenamed("node", "sig"), "sig", "left")
     named = named.select("sig", "name", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "sig").alias("root"))
     least = named.groupBy("root").agg(F.min("name").alias("component_id"))
-    named = stored(named.join(least, "root").select(F.col("sig").alias("_sig"), "component_id", (F.col("copies") - 1 + F.col("links")).alias("n_links")), "join-named")
+    named = stored(named.join(least, "root").select(F.col("sig").alias("_sig"), "root", "component_id", (F.col("copies") - 1 + F.col("links")).alias("n_links")), "join-named")
     result = table.join(named, (F.col("sig") == F.col("_sig")) & (F.col("n_shingles") > 0), "left")
     single = F.col("_sig").isNull()
-    return result.select("doc_id", "n_shingles", F.when(single, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    named = F.when(single, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    return result.select("doc_id", "content", "n_shingles", named, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "root")
 
 
 def link_in_order(own: list[np.ndarray], sides, copies, names, t: Fraction, frequent: np.ndarray):
@@ -440,17 +451,20 @@ def link_in_order(own: list[np.ndarray], sides, copies, names, t: Fraction, freq
 def one_per_group(docs: DataFrame, **options) -> DataFrame:
     """The documents less all but one of each group of linked documents: that of the smallest doc_id.
 
-    All columns stay. Of repeated rows with that id one stays. Empty and null texts stay, and so do
-    rows without doc_id.
+    All columns stay. Rows are told apart by id and a hash of the text, so an id that stands on several texts loses only those that
+    are linked to a row that stays; of one group's rows of the smallest id the one with the smallest text hash stays, of
+    repeated rows one. Empty and null texts stay, and so do rows without doc_id.
     """
     from pyspark.sql import Window as W
 
-    found = similar_sets(docs, **options).filter("n_links > 0 AND doc_id IS NOT NULL")
-    ids = found.groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("component_id") == F.col("doc_id")).alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    found = linked(docs, **options).filter("n_links > 0 AND doc_id IS NOT NULL")
+    rows = found.groupBy("root", "doc_id", "content").agg(F.count(F.lit(1)).alias("_rows"))
+    first = rows.groupBy("root").agg(F.min(F.struct("doc_id", "content")).alias("_first"))
+    judged = rows.join(first, "root").select(F.col("doc_id").alias("_id"), F.col("content").alias("_content"), (F.col("_first") == F.struct("doc_id", "content")).alias("_stays"), "_rows")
     # rows that go, or of which one stays: few, so that the others need not be moved for them where the engine sees it
-    ids = stored(ids.filter("NOT _first OR _rows > 1"), "join-dropped")
-    rows = docs.select(F.struct("*").alias("_doc"))
-    match = F.col("_doc.doc_id") == F.col("_id")
-    rest = rows.join(ids, match, "left_anti").select("_doc.*")
-    twins = rows.join(ids.filter("_first"), match).withColumn("_n", F.row_number().over(W.partitionBy("_id").orderBy(F.xxhash64(body("_doc.text")))))
+    judged = stored(judged.filter("NOT _stays OR _rows > 1"), "join-dropped")
+    told = docs.select(F.struct("*").alias("_doc"))
+    match = (F.col("_doc.doc_id") == F.col("_id")) & (content("_doc.text") == F.col("_content"))
+    rest = told.join(judged.select("_id", "_content"), match, "left_anti").select("_doc.*")
+    twins = told.join(judged.filter("_stays"), match).withColumn("_n", F.row_number().over(W.partitionBy("_id", "_content").orderBy(F.xxhash64("_doc"))))
     return rest.unionByName(twins.filter("_n = 1").select("_doc.*"))
