@@ -220,12 +220,13 @@ CLOSING = ",.;:!?*#$%&|)]}>\"/-_=+~@^"
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
-def chunk_tokens(tokenizer_path: str, kind: str = "<u4") -> ChunkTokens:
-    """The worker process's cache, kept from task to task; one at a time, so memory stays bounded."""
+def chunk_tokens(tokenizer_path: str, kind: str = "<u4", limit: int = ChunkTokens.limit) -> ChunkTokens:
+    """The worker process's cache of about ``limit`` bytes, kept from task to task; one at a time, so memory stays bounded."""
     keep = sys.modules.setdefault("_driverscope_worker", ModuleType("_driverscope_worker"))
     key = (tokenizer_path, kind)
     if getattr(keep, "key", None) != key:
         keep.key, keep.cache = key, ChunkTokens(tokenizer_path, kind)
+    keep.cache.limit = limit
     return keep.cache
 
 

@@ -93,7 +93,7 @@ def fill(lengths: list[int], scores, window: int) -> list[tuple[int, int, int, i
         sequence += 1
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, window: int = 2048, end_id: int = 1, shard_tokens: int = 400_000) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, window: int = 2048, end_id: int = 1, shard_tokens: int = 400_000, cache_bytes: int = 128 << 20) -> DataFrame:
     """Cut and pack the ids of all documents into sequences of at most ``window`` ids.
 
     Returns one row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
@@ -103,6 +103,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, window: int =
     Ids are written once. Document frequencies of all documents are summed per token id, so that
     table is bounded by the vocabulary. Shards of about ``shard_tokens`` ids are dealt by a hash of
     the document's id and content and a row number, so no id, source or group of copies can crowd one.
+    ``cache_bytes`` bounds each worker's cache of encoded chunks; less memory costs time, the result is the same.
     """
     tokenizer = tokenizer or tokenizer_file()
     from tokenizers import Tokenizer
@@ -113,7 +114,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, window: int =
 
     def encode(batches):
         """Ids of every text; some rows carry the document counts per term of the rows since the last such row."""
-        cache, end = chunk_tokens(tokenizer, kind), np.array([end_id], kind).tobytes()
+        cache, end = chunk_tokens(tokenizer, kind, cache_bytes), np.array([end_id], kind).tobytes()
         for batch in batches:
             count = np.zeros(vocabulary, np.uint32)
             ids = [cache.ids(text.as_py()) + end for text in batch.column(1)]

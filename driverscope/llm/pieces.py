@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import body
 
@@ -275,7 +276,7 @@ def decode_ids(rows: DataFrame, ids: str = "ids", out: str = "decoded", model: s
             yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string())], names=[*names, out])
 
     kept = rows.drop(out)
-    return kept.mapInArrow(run, kept.schema.add(out, "string"))
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(out, T.StringType())]))
 
 
 def digests(docs: DataFrame, model: str | None = None) -> DataFrame:
