@@ -34,8 +34,11 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 2048 ids."""
-    return packing.pack_documents(docs)
+    """Pieces of sequences of at most 2048 ids.
+
+    Workers stay after this stage beside heaps that earlier stages have grown, so their caches are kept small.
+    """
+    return packing.pack_documents(docs, cache_bytes=48 << 20)
 
 
 STAGES = [
