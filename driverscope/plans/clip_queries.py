@@ -362,11 +362,19 @@ FEATURES = ["mean_quantity", "spread_quantity", "mean_discount", "late_lines", "
 
 
 ALL_TASKS = ["cd", "nback", "statement", "intoxicated", "impaired", "impaired_intoxicated", "sober_cd"]
+#: Line items whose aggregates one task holds.
+TASK_LINES = 500_000
 
 
 def model_rows(spark, folder, tasks=("cd", "sober_cd")):
-    """Aggregates per scenario, the tasks' labels, participant-disjoint folds."""
-    lines = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("scenario_index")).agg(
+    """Aggregates per scenario, the tasks' labels, participant-disjoint folds.
+
+    The line items are dealt by scenario first, to as many tasks as their number asks for: distinct parts need no
+    map of scenarios and parts in front of the shuffle, and no task's map grows with the table.
+    """
+    lines = table(spark, folder, "lineitem")
+    tasks_of_lines = max(int(spark.conf.get("spark.sql.shuffle.partitions")), lines.count() // TASK_LINES + 1)
+    lines = lines.repartition(tasks_of_lines, "l_orderkey").groupBy(F.col("l_orderkey").alias("scenario_index")).agg(
         F.avg("l_quantity").alias("mean_quantity"),
         F.stddev_pop("l_quantity").alias("spread_quantity"),
         F.avg("l_discount").alias("mean_discount"),

@@ -65,3 +65,16 @@ def test_smoothing_of_a_hot_recording_is_spread(spark):
     numbered = row_index(rows, ["r"], time_bin("t_ns", 500), ["t_ns"], "row")
     sizes = halo(numbered, F.col("row"), 6000, 250, 250).groupBy("segment").count().collect()
     assert len(sizes) >= 10 and max(r["count"] for r in sizes) <= 6500
+
+
+def test_model_rows_are_dealt_by_scenario_before_they_are_counted(spark, monkeypatch):
+    """No map of scenarios and parts stands in front of the shuffle, and the tasks follow the number of line items."""
+    from driverscope.plans import clip_queries
+
+    monkeypatch.setattr(clip_queries, "TASK_LINES", 500, raising=False)
+    tasks = spark.read.parquet(f"{FOLDER}/lineitem.parquet").count() // 500 + 1
+    lines = plan(clip_queries.model_rows(spark, FOLDER)).splitlines()
+    scan = next(i for i, line in enumerate(lines) if "FileScan" in line and "l_partkey" in line)
+    dealt = max(i for i in range(scan) if "Exchange" in lines[i])
+    assert re.search(rf"hashpartitioning\(l_orderkey#\d+L?, {tasks}\)", lines[dealt])
+    assert not any("Aggregate" in line for line in lines[dealt:scan])
