@@ -9,22 +9,22 @@ from pyspark.ml.classification import (
     GBTClassifier,
     LinearSVC,
     LogisticRegression,
-    MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driverscope.functions.geometry import logistic
 from driverscope.operators.folds import undersample
+from driverscope.operators.networks import fit_network
 
 HIDDEN_LAYERS = (256, 128, 64)
 MODELS = ("LogisticRegression", "RandomForest", "GradientBoosting", "SVM", "ShallowNet")
 
 
-def _estimator(model: str, inputs: int, seed: int, **options):
+def _estimator(model: str, seed: int, **options):
     common = {"featuresCol": "features", "labelCol": "label"}
     if model == "LogisticRegression":
         return LogisticRegression(weightCol="weight", **common, **options)
@@ -34,8 +34,6 @@ def _estimator(model: str, inputs: int, seed: int, **options):
         return GBTClassifier(weightCol="weight", seed=seed, **common, **options)
     if model == "SVM":
         return LinearSVC(weightCol="weight", **common, **options)
-    if model == "ShallowNet":
-        return MultilayerPerceptronClassifier(layers=[inputs, *HIDDEN_LAYERS, 2], seed=seed, **common, **options)
     raise ValueError(f"unknown model {model!r}")
 
 
@@ -69,12 +67,9 @@ def fit_task(
     if undersampled:
         rows = undersample(rows, "label", identity, seed)
     if model == "ShallowNet":
-        scaler = [VectorAssembler(inputCols=names, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)]
-        stages = [*scaler, _estimator(model, len(names), seed, **options)]
-    else:
-        rows = balanced_weights(rows)
-        stages = [VectorAssembler(inputCols=names, outputCol="features"), _estimator(model, len(names), seed, **options)]
-    return Pipeline(stages=stages).fit(rows)
+        return fit_network(rows, names, identity, HIDDEN_LAYERS, seed, **options)
+    stages = [VectorAssembler(inputCols=names, outputCol="features"), _estimator(model, seed, **options)]
+    return Pipeline(stages=stages).fit(balanced_weights(rows))
 
 
 def fit_tasks(train: DataFrame, columns: Sequence[str], tasks: Mapping[str, str], model: str, identity: Sequence[str], seed: int = 42, **options) -> dict[str, PipelineModel]:

@@ -241,3 +241,32 @@ def test_scores_of_any_range_rank_exactly(spark, low, high):
         assert aucs[key] == pytest.approx(wins / len(pos) / len(neg), abs=1e-12)
     ranked = stats.signed_rank(df.select("k", F.lit(0.0).alias("baseline"), (F.col("prob") - (low + high) / 2).alias("impaired")), ["k"]).collect()
     assert {r.k for r in ranked} == {"a", None} and all(r.z is not None for r in ranked)
+
+
+def test_network_learns_as_spark_does_with_rows_dealt_to_all_cores(spark):
+    """The fit is that of Spark's own estimator, but no task holds all rows, however few files they come in."""
+    import numpy as np
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from pyspark.sql import functions as F
+
+    from driverscope.operators import models, networks
+
+    # 8 blocks of 128 rows, which Spark's own estimator weighs alike
+    rows = spark.range(0, 1024, 1, 1).select("id", *[F.sin(F.col("id") * (k + 1.3)).alias(c) for k, c in enumerate("ab")])
+    rows = rows.withColumn("gt", (F.col("a") * F.col("b") > 0.1).cast("int"))
+    fitted = models.fit_task(rows, ["a", "b"], "gt", "ShallowNet", ["id"], maxIter=8)
+    prepared = rows.select(F.col("gt").cast("double").alias("label"), F.col("a").alias("f_a"), F.col("b").alias("f_b"))
+    stages = [VectorAssembler(inputCols=["f_a", "f_b"], outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)]
+    own = Pipeline(stages=[*stages, MultilayerPerceptronClassifier(layers=[2, *models.HIDDEN_LAYERS, 2], seed=42, maxIter=8)]).fit(prepared)
+    assert np.allclose(fitted.stages[-1].weights.toArray(), own.stages[-1].weights.toArray(), atol=1e-6)
+
+    seen = []
+    real = networks.distributed
+    try:
+        networks.distributed = lambda rows, *rest: seen.append(rows.rdd.getNumPartitions()) or real(rows, *rest)
+        models.fit_task(rows, ["a", "b"], "gt", "ShallowNet", ["id"], maxIter=1)
+    finally:
+        networks.distributed = real
+    assert seen[0] >= spark.sparkContext.defaultParallelism
