@@ -26,8 +26,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 #: Directory levels below the root, in order.
 LEVELS = ("participant_name", "round", "section", "scenario", "task")
 PATH = "__path"
-#: Bytes of a part, and of a text block inside it.
-PART_BYTES, BLOCK_BYTES = 64 << 20, 8 << 20
+#: Bytes of a part, and of a text block inside it; rows of an Arrow batch, each of which names its file.
+PART_BYTES, BLOCK_BYTES, BATCH_ROWS = 64 << 20, 1 << 20, 10_000
 PACKED = re.compile(r"\.(gz|bz2|zst|lz4)$")
 VIDEO = re.compile(r"^video\.[^/]*$")
 
@@ -215,10 +215,9 @@ class TreeReader(DataSourceReader):
             with system.open_input_stream(path) if PACKED.search(path) else system.open_input_file(path) as stream:
                 begin = self._line_start(stream, path, start, after)
                 for block in blocks(stream, begin, end):
-                    table = parse(block, names, self.columns)
-                    fixed = [pa.array([v], pa.string()).take(pa.array([0] * table.num_rows, pa.int64())) for v in known]
-                    table = pa.table([*fixed, *table.columns], names=[*LEVELS, PATH, *self.columns])
-                    yield from table.combine_chunks().to_batches()
+                    for batch in parse(block, names, self.columns).combine_chunks().to_batches(BATCH_ROWS):
+                        fixed = [pa.nulls(batch.num_rows, pa.string()) if v is None else pa.repeat(v, batch.num_rows) for v in known]
+                        yield pa.RecordBatch.from_arrays([*fixed, *batch.columns], names=[*LEVELS, PATH, *self.columns])
 
     def _line_start(self, stream, path: str, start: int, after: int) -> int:
         """Move to the first line that begins at ``start`` or later, past the header."""

@@ -149,3 +149,16 @@ def test_exported_trees_read_back(spark, tmp_path):
     first = (tmp_path / "P0" / "R1" / PLACE / "x.csv").read_text().splitlines()[1:]
     times = [int(line.split(",")[0]) for line in first]
     assert times == sorted(times) and not list(tmp_path.rglob(".*"))
+
+
+def test_batches_stay_small_however_long_a_file(tmp_path):
+    """Every row of a batch names its file, so a batch as long as a text block would be many times its size."""
+    from pyspark.sql import types as T
+
+    from driverscope.sources import tree
+
+    (tmp_path / "long.csv").write_text("a,b\n" + "".join(f"{i},{i % 7}\n" for i in range(400_000)))
+    reader = tree.TreeReader({"path": str(tmp_path), "file": "*.csv"}, T.StructType([T.StructField(c, T.StringType()) for c in "ab"]))
+    batches = [b for part in reader.partitions() for b in reader.read(part)]
+    assert [int(v) for b in batches for v in b.column("a").to_pylist()] == list(range(400_000))
+    assert max(b.num_rows for b in batches) <= 10_000
