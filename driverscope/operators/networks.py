@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from driverscope.session import settle
 
-#: Rows of one matrix product: what the layers give for them stays in a core's cache.
-BLOCK = 128
+#: Rows of one matrix product: a batch of Spark's usual 10,000 rows is whole blocks.
+BLOCK = 500
 #: Files of the training rows per core: tasks are packed from them, about equal in size.
 FILES_PER_CORE = 4
 #: Steps that L-BFGS remembers, and its line search's rounds and Wolfe constants, as in Spark ML.
@@ -42,31 +42,55 @@ def unpack(weights: np.ndarray, layers: Sequence[int]) -> list[tuple[np.ndarray,
     return out
 
 
-def loss_and_slopes(x: np.ndarray, label: np.ndarray, weights: np.ndarray, layers: Sequence[int]) -> tuple[float, np.ndarray]:
-    """Cross entropy summed over the rows and its slope in every weight."""
-    steps, seen, rows = unpack(weights, layers), [x], np.arange(len(x))
-    for w, b in steps[:-1]:
-        z = seen[-1] @ w
-        z += b
-        with np.errstate(over="ignore"):
-            np.exp(np.negative(z, out=z), out=z)
-        z += 1.0
-        seen.append(np.reciprocal(z, out=z))
-    w, b = steps[-1]
-    z = seen[-1] @ w + b
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    loss = -float(z[rows, label].sum())
-    delta = np.exp(z)
-    delta[rows, label] -= 1.0
-    parts: list[np.ndarray] = []
-    for k in range(len(steps) - 1, -1, -1):
-        parts += [delta.sum(axis=0), (seen[k].T @ delta).ravel()]
-        if k:
-            delta = delta @ steps[k][0].T
-            delta *= seen[k]
-            delta *= 1.0 - seen[k]
-    return loss, np.concatenate(parts[::-1])
+class Slopes:
+    """Cross entropy and its slope in every weight, summed over the rows added.
+
+    The arrays that the layers fill are made once: a block of rows asks for no memory.
+    """
+
+    def __init__(self, weights: np.ndarray, layers: Sequence[int]):
+        self.steps, hidden = unpack(weights, layers), layers[1:-1]
+        self.negated = [(-w, -b) for w, b in self.steps[:-1]]
+        self.seen, self.delta, self.bend = ([np.empty((BLOCK, k)) for k in hidden] for _ in range(3))
+        self.block = np.empty(len(weights))
+        self.parts = unpack(self.block, layers)
+        self.total, self.loss, self.rows = np.zeros(len(weights)), 0.0, 0
+
+    def add(self, x: np.ndarray, label: np.ndarray) -> None:
+        for first in range(0, len(x), BLOCK):
+            self._add_block(x[first : first + BLOCK], label[first : first + BLOCK])
+
+    def _add_block(self, x: np.ndarray, label: np.ndarray) -> None:
+        n, seen = len(x), [x]
+        for (w, b), room in zip(self.negated, self.seen):
+            z = np.matmul(seen[-1], w, out=room[:n])
+            z += b
+            with np.errstate(over="ignore"):
+                np.exp(z, out=z)
+            z += 1.0
+            seen.append(np.reciprocal(z, out=z))
+        w, b = self.steps[-1]
+        # a row of z is a class: numpy runs along the rows, not along the few classes
+        z = w.T @ seen[-1].T
+        z += b[:, None]
+        z -= z.max(axis=0)
+        z -= np.log(np.exp(z).sum(axis=0))
+        at = (label, np.arange(n))
+        self.loss -= float(z[at].sum())
+        np.exp(z, out=z)
+        z[at] -= 1.0
+        delta = z.T
+        for k in range(len(self.steps) - 1, -1, -1):
+            w, b = self.parts[k]
+            np.matmul(seen[k].T, delta, out=w)
+            np.sum(delta, axis=0, out=b)
+            if k:
+                bend = np.subtract(1.0, seen[k], out=self.bend[k - 1][:n])
+                bend *= seen[k]
+                delta = np.matmul(delta, self.steps[k][0].T, out=self.delta[k - 1][:n])
+                delta *= bend
+        self.total += self.block
+        self.rows += n
 
 
 def distributed(rows: DataFrame, inputs: Sequence[str], label: str, mean: np.ndarray, scale: np.ndarray, layers: Sequence[int]) -> Objective:
@@ -75,16 +99,12 @@ def distributed(rows: DataFrame, inputs: Sequence[str], label: str, mean: np.nda
 
     def objective(weights: np.ndarray) -> tuple[float, np.ndarray]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(size + 2)
+            slopes = Slopes(weights, layers)
             for batch in batches:
                 x = (np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in inputs]) - mean) * scale
-                y = batch.column(label).to_numpy(zero_copy_only=False).astype(int)
-                for first in range(0, len(x), BLOCK):
-                    loss, slopes = loss_and_slopes(x[first : first + BLOCK], y[first : first + BLOCK], weights, layers)
-                    total[:size] += slopes
-                    total[size] += loss
-                total[size + 1] += len(x)
-            yield pa.RecordBatch.from_pydict({"at": pa.array(np.arange(size + 2), pa.int32()), "value": total})
+                slopes.add(x, batch.column(label).to_numpy(zero_copy_only=False).astype(int))
+            value = np.append(slopes.total, [slopes.loss, slopes.rows])
+            yield pa.RecordBatch.from_pydict({"at": pa.array(np.arange(size + 2), pa.int32()), "value": value})
 
         sums = rows.select(*inputs, label).mapInArrow(run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).toArrow()
         total = np.empty(size + 2)

@@ -270,3 +270,43 @@ def test_network_learns_as_spark_does_with_rows_dealt_to_all_cores(spark):
     finally:
         networks.distributed = real
     assert seen[0] >= spark.sparkContext.defaultParallelism
+
+
+def test_network_slopes_are_exact_and_blocks_ask_for_no_memory():
+    """Sums over blocks of any size are those of one plain pass, and the layers' arrays are made once for all blocks."""
+    import tracemalloc
+
+    import numpy as np
+
+    from driverscope.operators import models, networks
+
+    rng, layers = np.random.default_rng(3), [5, *models.HIDDEN_LAYERS, 2]
+    weights = rng.normal(size=sum((i + 1) * o for i, o in zip(layers, layers[1:]))) * 0.3
+    x, label = rng.normal(size=(2 * networks.BLOCK + 7, 5)) * 2, rng.integers(0, 2, 2 * networks.BLOCK + 7)
+
+    def plain(weights):
+        steps, seen = networks.unpack(weights, layers), [x]
+        for w, b in steps[:-1]:
+            seen.append(1 / (1 + np.exp(-(seen[-1] @ w + b))))
+        odds = np.exp(seen[-1] @ steps[-1][0] + steps[-1][1])
+        share = odds / odds.sum(axis=1, keepdims=True)
+        delta, parts = share - np.eye(2)[label], []
+        for k in (3, 2, 1, 0):
+            parts += [delta.sum(axis=0), (seen[k].T @ delta).ravel()]
+            delta = delta @ steps[k][0].T * seen[k] * (1 - seen[k])
+        return -np.log(share[np.arange(len(x)), label]).sum(), np.concatenate(parts[::-1])
+
+    slopes = networks.Slopes(weights, layers)
+    slopes.add(x[:3], label[:3])
+    tracemalloc.start()
+    slopes.add(x[3:], label[3:])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    loss, want = plain(weights)
+    assert slopes.rows == len(x) and slopes.loss == pytest.approx(loss, rel=1e-12)
+    assert np.allclose(slopes.total, want, rtol=1e-9, atol=1e-9)
+    # an array of one block and the second layer would be more
+    assert most < 8 * networks.BLOCK * layers[2]
+    far = networks.Slopes(weights * 1e4, layers)
+    far.add(x, label)
+    assert np.isfinite(far.loss) and np.isfinite(far.total).all()
